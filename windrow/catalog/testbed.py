@@ -212,13 +212,13 @@ def intervals(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("media_id"), F.col("l_returnflag").alias("zone_id"),
         (F.col("l_linenumber") * 13.0 + F.col("l_suppkey") % 7).alias("center_sec"),
-        (F.col("l_extendedprice") / 1000).alias("activity"), F.col("l_discount").alias("ratio"), F.col("l_quantity").alias("quantity"),
+        F.ln("l_extendedprice").alias("activity"), F.col("l_discount").alias("ratio"), F.col("l_quantity").alias("quantity"),
     )
 
 
 INTERVALS = """pts AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS media_id, l_returnflag AS zone_id, l_linenumber * 13.0 + l_suppkey % 7 AS center_sec,
-         l_extendedprice / 1000 AS activity, l_discount AS ratio, l_quantity AS quantity FROM lineitem)"""
+         ln(l_extendedprice) AS activity, l_discount AS ratio, l_quantity AS quantity FROM lineitem)"""
 
 # all windows of all recordings; range() with a correlated bound
 WINDOWS_PARTIAL = RECORDINGS + """,
