@@ -113,14 +113,15 @@ def even_spread_orders(spark, sf):
 
 
 @query("window_selection", f"""WITH {tb.RECORDINGS},
-f AS (SELECT * FROM rec WHERE session_id <> 'X' AND quality_status = 'ok' AND media_id LIKE '%1%'),
+f AS (SELECT * FROM rec WHERE session_id IN ('F', 'P') AND quality_status = 'ok'),
 h AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY room_id, session_id ORDER BY o_orderdate, media_id) <= 2),
 r AS (SELECT media_id, row_number() OVER (ORDER BY o_orderdate, media_id) - 1 AS pos, count(*) OVER () AS n FROM h),
 s AS (SELECT i, CAST(floor(i * (n - 1) / 99.0 + 0.5) AS BIGINT) AS pos FROM (SELECT max(n) AS n FROM r), LATERAL (SELECT unnest(range(0, 100)) AS i) t)
 SELECT media_id, i + 1 AS selection_rank FROM r JOIN s USING (pos)""")
 def window_selection(spark, sf):
-    media = tb.recordings(spark, sf).withColumn("video_path", F.concat(F.lit("Raw\\"), "media_id"))
-    media = filter_windows(media.filter(F.contains("media_id", F.lit("1"))), path_part="raw/")
+    folder = F.when(F.col("session_id").isin("F", "P"), F.lit("Raw\\Room 1\\")).otherwise(F.lit("Raw\\Room 2\\"))
+    media = tb.recordings(spark, sf).withColumn("video_path", F.concat(folder, "media_id"))
+    media = filter_windows(media, path_part="raw/room 1")
     axis = Axis((), ("start_time", "media_id"), F.datediff(F.substring("start_time", 1, 10).cast("date"), F.lit("1970-01-01").cast("date")))
     picked = select_windows(media, axis, k=100, per_group=2, group=("room_id", "session_id"), require_ok=True, skip_bad=True)
     return picked.select("media_id", "selection_rank")
