@@ -74,7 +74,7 @@ def merged_warnings(df: DataFrame) -> Column:
     return combine_warnings(*plain, *flags)
 
 
-def merge_modalities(windows: DataFrame, biomarkers: DataFrame, audio: DataFrame | None, climate: DataFrame | None) -> DataFrame:
+def merge_modalities(windows: DataFrame, biomarkers: DataFrame, audio: DataFrame | None, climate: DataFrame | None, climate_by_room: bool = True) -> DataFrame:
     """Windows (with ``local_date`` and ``local_hour``) ⟕ biomarkers ⟕ audio ⟕ climate → the hand-off table.
 
     Pass ``None`` for a modality that was not recorded at all.
@@ -84,7 +84,7 @@ def merge_modalities(windows: DataFrame, biomarkers: DataFrame, audio: DataFrame
     if audio is not None:
         df = left_merge(df, audio.drop(*clock), KEYS, "_audio")
     if climate is not None:
-        df = attach_climate(df, climate)
+        df = attach_climate(df, climate, climate_by_room)
     df = with_missing_columns(df, {c: REQUIRED[c] for c in ("temp_context", "rh_context", "temp_daily_mean", "rh_daily_mean", "env_quality_flag")})
     if "audio_available" not in df.columns:
         df = df.withColumn("audio_available", F.lit(False))

@@ -6,10 +6,17 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from windrow.operators.ordered import Axis, with_position, with_running
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson coefficient; null when a side does not vary (``corr`` raises then under ANSI mode)."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))
+
+
 def daily_means(df: DataFrame, columns: list[str], day: str = "local_date") -> DataFrame:
     """Mean per calendar day; rows without a day are dropped."""
     return df.filter(F.col(day).isNotNull()).groupBy(day).agg(*[F.avg(c).alias(c) for c in columns])
@@ -37,7 +44,7 @@ def pair_correlations(daily: DataFrame, left: list[str], right: list[str], left_
 
     ranked = both.withColumns({"rx": average_rank("x"), "ry": average_rank("y")})
     stats = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.corr("x", "y").alias("_p"), F.corr("rx", "ry").alias("_s"),
+        F.count(F.lit(1)).alias("n_samples"), correlation("x", "y").alias("_p"), correlation("rx", "ry").alias("_s"),
         ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("_varies"),
     )
     grid = daily.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in left])).alias(left_name)).select(
@@ -75,7 +82,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * f
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation from Student's t with n − 2 degrees of freedom."""
     def one(value: float, count: float) -> float | None:
@@ -104,6 +111,17 @@ def with_benjamini_hochberg(df: DataFrame, p: str, name: str, tie: list[str], ce
     return adjusted.unionByName(missing)
 
 
+def with_benjamini_hochberg_small(df: DataFrame, p: str, name: str, tie: list[str]) -> DataFrame:
+    """The same adjustment by one window, for tables whose size is set by configuration (feature pairs)."""
+    known = F.col(p).isNotNull()
+    order = [F.col(p), *[F.col(c) for c in tie]]
+    mine = Window.partitionBy(known)
+    raw = F.col(p) * F.count(p).over(mine) / F.row_number().over(mine.orderBy(*order))
+    ranked = df.withColumn("_raw", F.when(known, raw))
+    lowest = F.min("_raw").over(mine.orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return ranked.withColumn(name, F.when(known, F.least(F.greatest(lowest, F.lit(0.0)), F.lit(1.0)))).drop("_raw")
+
+
 def correlation_table(daily: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """The full table: coefficients, p-values and adjusted p-values."""
     table = pair_correlations(daily, left, right)
@@ -114,8 +132,8 @@ def correlation_table(daily: DataFrame, left: list[str], right: list[str]) -> Da
         }
     )
     ids = ["env_feature", "audio_feature"]
-    table = with_benjamini_hochberg(table, "pearson_p", "pearson_fdr_bh", ids)
-    return with_benjamini_hochberg(table, "spearman_p", "spearman_fdr_bh", ids)
+    table = with_benjamini_hochberg_small(table, "pearson_p", "pearson_fdr_bh", ids)
+    return with_benjamini_hochberg_small(table, "spearman_p", "spearman_fdr_bh", ids)
 
 
 def strongest_association(table: DataFrame, column: str) -> DataFrame:
