@@ -87,7 +87,7 @@ def warning_tokens(*cols: Column | str, sep: str = ";") -> Column:
     """Array of distinct trimmed tokens in first-seen order; missing and ``nan`` texts vanish."""
     texts = F.array(*[F.coalesce(blank_to_null(c), F.lit("")) for c in cols])
     pieces = F.flatten(F.transform(texts, lambda t: F.split(t, "\\" + sep if sep in "|." else sep)))
-    return F.array_distinct(F.filter(F.transform(pieces, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(pieces, lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def combine_warnings(*cols: Column | str, sep: str = ";", glue: str | None = None) -> Column:
