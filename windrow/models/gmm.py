@@ -12,7 +12,7 @@ from windrow.functions.arrays import one_hot
 from windrow.models.hmm import initial_model
 from windrow.operators.ordered import Axis
 from windrow.operators.sequences import with_smoothed
-from windrow.session import cut_lineage
+from windrow.session import cut_lineage, spread
 from windrow.settings import ModelSettings
 
 # Published defaults of the mixture.
@@ -70,7 +70,7 @@ def _sums(model: DiagonalMixture, hard: bool):
 
 
 def fit_gmm(df: DataFrame, k: int, settings: ModelSettings = ModelSettings(), features: str = "features", max_iterations: int = MAX_ITERATIONS) -> DiagonalMixture:
-    data = cut_lineage(df.select(F.col(features).alias("features")))
+    data = cut_lineage(spread(df.select(F.col(features).alias("features"))))
     start = initial_model(data, k, "features", settings.seed)
     model = DiagonalMixture(np.full(k, 1.0 / k), start.means, start.variances, float("-inf"), 0)
     previous, history = float("-inf"), []

@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from windrow.operators.ordered import Axis, with_position
-from windrow.session import cut_lineage
+from windrow.session import cut_lineage, spread
 from windrow.settings import ModelSettings
 
 # Variance prior and floor of the published model's defaults.
@@ -297,7 +297,7 @@ def fit_hmm(
     df: DataFrame, axis: Axis, row_id: str, k: int, settings: ModelSettings = ModelSettings(), features: str = "features", chunk_rows: int = 2_048
 ) -> tuple[GaussianHmm, DataFrame]:
     """Expectation–maximisation until the gain falls below the tolerance; returns the model and the packed data."""
-    packed = cut_lineage(pack_sequences(df, axis, row_id, features, chunk_rows))
+    packed = cut_lineage(spread(pack_sequences(df, axis, row_id, features, chunk_rows), "_seq", "_chunk"))
     model = initial_model(df, k, features, settings.seed)
     any_long = _any_long(packed)
     previous, history = float("-inf"), []

@@ -37,6 +37,8 @@ def fit_states(df: DataFrame, settings: ModelSettings = ModelSettings(), feature
 
     If the sequence model fails to converge to finite numbers the mixture takes over.
     """
+    # read many times below: medians, scaling, starting centres, every iteration
+    df = cut_lineage(df)
     names = features or twin_features(df)
     axis = sequence_axis(df)
     scaling = fit_scaling(df, names, settings.missing_indicators)
