@@ -104,8 +104,7 @@ def run_prepare(folder: Folder, args, settings) -> dict[str, DataFrame]:
         if args.max_media is not None:
             files = files.orderBy(F.lower("relative_path"), "media_id").limit(args.max_media)
         out |= preparation.index_recordings(files, settings["windowing"], {"total": args.max_windows})
-    manifest = out.get("media_manifest") or (folder.table("media_manifest") if "index" not in steps else None)
-    windows = out.get("video_window_index") or (folder.raw("video_window_index") if steps & {"video", "audio", "merge"} else None)
+    manifest, windows = out.get("media_manifest"), out.get("video_window_index")
     climate = climate_of(folder) if "env" in steps else None
     if steps & {"video", "audio"}:
         out |= preparation.prepare(
