@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from windrow.functions.times import with_time_columns
 from windrow.models import metrics as mm, risk as rk
 from windrow.models.gmm import assign, fit_gmm
 from windrow.models.hmm import decode, fit_hmm
@@ -38,6 +39,8 @@ def merge_context(biomarkers: DataFrame, audio: DataFrame, climate: DataFrame, e
     order = [F.col("window_id").asc_nulls_last()] if "window_id" in audio.columns else [F.col("start_time").asc_nulls_last()]
     keep = ["window_id", "room_id", "start_time", *[c for c in audio.columns if c.startswith("audio_")]]
     df = join_with_fallback(biomarkers, audio.select(*keep), ["window_id"], ["room_id", "start_time"], "audio_available", order)
+    if "local_date" not in df.columns:
+        df = with_time_columns(df)
     df = attach_climate(df, climate, by_room=False, cutoff=settings.am_hour_cutoff)
     return ev.label_windows(df, events, settings, blank_room)
 
@@ -75,7 +78,7 @@ def compare_models(df: DataFrame, models: dict[str, tuple[str, ...]], settings:
             mixture = fit_gmm(ready, k, settings)
             states, loglik, used = assign(ready, mixture, "window_id"), mixture.mean_log_likelihood, GMM
         placed = cut_lineage(df.join(states, "window_id"))
-        means = [c for c in dict.fromkeys((*SEMANTIC_MULTIMODAL, *MULTIMODAL_FEATURES)) if c in df.columns] + ["state_probability_max"]
+        means = [*dict.fromkeys((*SEMANTIC_MULTIMODAL, *MULTIMODAL_FEATURES)), "state_probability_max"]
         summary = rk.state_summary(placed, means)
         if rules == "semantic":
             summary = rk.with_labels(rk.with_semantic_risk(summary), rk.semantic_label())
