@@ -11,9 +11,11 @@ from windrow.functions.media import cleaning_manifest, preparation_manifest
 from windrow.functions.times import with_time_columns
 from windrow.kernels import zones as zn
 from windrow.models.states import GMM
+from windrow.operators.biomarkers import room_biomarkers
 from windrow.operators.selection import Strategy, first_mapping, greedy_picks
 from windrow.operators.windowing import sliding_windows
 from windrow.plans import cleaning, context, heatmap, preparation, twin
+from windrow.session import cut_lineage
 from windrow.settings import MICROS, ModelSettings
 from windrow.sources import cache, media as sm, sinks, tables
 from windrow.streaming.incremental import index_pending, stream_manifests
@@ -250,9 +252,7 @@ def test_canonical_zone_table(spark):
 
 def context_inputs(spark):
     zones = with_time_columns(twin_zones(spark))
-    from windrow.operators.biomarkers import room_biomarkers
-
-    bio = room_biomarkers(zones).drop("distribution")
+    bio = cut_lineage(room_biomarkers(zones).drop("distribution"))
     audio = bio.select("window_id", "room_id", "start_time", F.lit(True).alias("audio_available"), *[(F.rand(1) + i).alias(n) for i, n in enumerate(context.AUDIO)], F.lit("ok").alias("audio_quality_flag"))
     import datetime
 

@@ -92,10 +92,15 @@ def iso_text(ntz: Column) -> Column:
     return F.when(micros == 0, base).otherwise(F.concat(base, F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
 
 
+def offset_text(c: Column | str) -> Column:
+    """The offset as written, blank if there is none."""
+    return F.regexp_extract(clean_time_text(c), _OFFSET, 1)
+
+
 def shift_iso(c: Column | str, seconds: Column) -> Column:
     """ISO text moved by ``seconds``, keeping the offset that was written."""
     moved = micros_ntz(ntz_micros(local_time(c)) + F.round(seconds * MICROS).cast("bigint"))
-    return F.concat(iso_text(moved), F.regexp_extract(clean_time_text(c), _OFFSET, 1))
+    return F.concat(iso_text(moved), offset_text(c))
 
 
 def with_time_columns(df: DataFrame, zone: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from windrow.operators.ordered import attach_row
 from windrow.settings import BASELINE, DURING, OUTSIDE, PHASES, RECOVERY
 
 
@@ -21,7 +22,7 @@ def model_metrics(df: DataFrame, log_likelihood_per_sample: float | None = None)
         return F.avg(F.when(phase == p, risk))
 
     base = df.agg(mean_in(BASELINE).alias("_bm"), F.stddev_samp(F.when(phase == BASELINE, risk)).alias("_bs"))
-    marked = df.crossJoin(F.broadcast(base)).withColumn("_over", risk > F.col("_bm") + F.col("_bs"))
+    marked = attach_row(df, base).withColumn("_over", risk > F.col("_bm") + F.col("_bs"))
     order = F.struct("room_id", "session_id", "start_us", "window_id")
     hit = (phase == DURING) & F.col("_over")
     one = marked.agg(
@@ -36,7 +37,7 @@ def model_metrics(df: DataFrame, log_likelihood_per_sample: float | None = None)
     )
     counts = df.filter(phase.isin(*PHASES)).groupBy("event_phase", "state_id").agg(F.count(F.lit(1)).alias("n"))
     purity = counts.groupBy("event_phase").agg((F.max("n") / F.sum("n")).alias("p")).agg(F.avg("p").alias("state_purity_by_event_phase"))
-    wide = one.crossJoin(purity).withColumns(
+    wide = attach_row(one, purity).withColumns(
         {
             "event_detection_contrast": F.col("risk_mean_during_event") - F.col("risk_mean_baseline"),
             "log_likelihood_per_sample": F.lit(log_likelihood_per_sample).cast("double"),

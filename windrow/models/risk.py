@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from windrow.functions import arrays
 from windrow.functions.numbers import clip
-from windrow.operators.ordered import Axis
+from windrow.operators.ordered import Axis, attach_row
 from windrow.operators.sequences import risk_level, with_run_length, with_sustained_flag
 from windrow.settings import ModelSettings, RiskWeights
 
@@ -176,8 +176,8 @@ def score_sequence(sequence: DataFrame, axis: Axis, n_states: int, settings: Mod
     means = ["mobility_index", "spatial_freedom_index", "occupancy_imbalance_index", "activity_mean", "normalized_activity", "resilience_pressure_index", "state_probability_max"]
     runs = with_run_length(sequence, axis)
     summary = with_labels(with_twin_risk(state_summary(runs, means), settings.risk), twin_label())
-    labelled = runs.join(F.broadcast(summary.select("state_id", "state_label")), "state_id", "left")
-    scored = labelled.crossJoin(F.broadcast(weight_vector(summary, n_states))).withColumns(
+    labelled = runs.join(summary.select("state_id", "state_label"), "state_id", "left")
+    scored = attach_row(labelled, weight_vector(summary, n_states)).withColumns(
         {"state_label": F.coalesce("state_label", F.lit("unlabeled_state")), "welfare_risk_score": row_risk(F.col("posterior"), F.col("_weights"))}
     ).drop("_weights")
     scored = scored.withColumn("risk_level", risk_level(F.col("welfare_risk_score")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from windrow.functions import arrays
 from windrow.functions.numbers import clip, min_max
-from windrow.operators.ordered import Axis, first_per, join_same, time_axis, with_group_stats, with_neighbours
+from windrow.operators.ordered import Axis, attach_row, first_per, join_same, time_axis, with_group_stats, with_neighbours
 from windrow.settings import SEMANTIC_ZONES, MobilityWeights
 
 
@@ -35,13 +35,15 @@ def merge_tokens(rows: DataFrame, keys: list[str], order: Column, column: str =
     )
 
 
-def window_distribution(zones: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def window_distribution(zones: DataFrame, keys: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per window: totals, means, the zone→share map and its two indices.
 
+    ``carry`` columns are taken from the window's first zone.
+
     Zone rows are combined per zone first, so duplicated rows of one window are
     merged on the map side and the collected map has one entry per zone.
     """
-    keys = keys or ["room_id", "start_us", "window_id"]
+    keys, carry = keys or ["room_id", "start_us", "window_id"], carry or []
     base = zones if "activity_proxy_raw" in zones.columns else with_activity_proxy(zones)
     have = [c for c in ("activity_mean", "activity_std", "motion_pixel_ratio") if c in base.columns]
     per_zone = base.groupBy(*keys, "zone_id").agg(
@@ -49,6 +51,7 @@ def window_distribution(zones: DataFrame, keys: list[str] | None = None) -> Data
         F.sum(F.col("activity_proxy_raw").isNull().cast("bigint")).alias("_missing"),
         *[F.sum(c).alias(f"_s_{c}") for c in have],
         *[F.count(c).alias(f"_n_{c}") for c in have],
+        *[F.min(c).alias(c) for c in carry],
     )
     entries = F.array_sort(F.collect_list(F.when(F.col("zone_id").isNotNull(), F.struct(F.col("zone_id"), F.col("_w")))))
     # Output names of the plain means.
@@ -59,6 +62,7 @@ def window_distribution(zones: DataFrame, keys: list[str] | None = None) -> Data
         F.sum("_w").alias("activity_total"),
         *[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(mean_names[c]) for c in have],
         F.map_from_entries(entries).alias("_weights"),
+        *[F.min_by(c, "zone_id").alias(c) for c in carry],
     )
     fallback = (F.col("activity_total") <= 0) | (F.col("zone_count") <= 0)
     share = F.transform_values(
@@ -163,17 +167,15 @@ def room_biomarkers(zones: DataFrame, weights: MobilityWeights = MobilityWeights
     """The full window biomarker table from zone rows (any number of zones)."""
     keys = ["room_id", "start_us", "window_id"]
     ids = [c for c in ("media_id", "system_id", "session_id", "start_time", "end_time", "end_us", "duration_seconds", "zone_config_id") if c in zones.columns]
-    windows = window_distribution(zones, keys)
-    if ids:
-        firsts = zones.groupBy(*keys).agg(*[F.min_by(c, "zone_id").alias(c) for c in ids])
-        windows = join_same(windows, firsts, keys)
+    windows = window_distribution(zones, keys, ids)
     if "warnings" in zones.columns:
         merged = merge_tokens(zones, keys, F.col("zone_id"), sep="|", glue=" | ")
         windows = join_same(windows, merged, keys).withColumn("warnings", F.coalesce("warnings", F.lit("")))
     windows = with_transition(windows, "distribution")
-    windows = with_scaled(windows, "activity_mean", "_na", ["room_id"], 0.0, 1.0)
-    windows = with_scaled(windows, "activity_total", "_nt", ["room_id"], 0.0, 1.0)
-    windows = windows.withColumn("normalized_activity", F.coalesce("_na", "_nt", F.lit(0.0))).drop("_na", "_nt")
+    ends = {f"_{n}_{c}": f(c) for c in ("activity_mean", "activity_total") for n, f in (("lo", F.min), ("hi", F.max))}
+    windows = with_group_stats(windows, ["room_id"], ends)
+    scaled = [min_max(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), 0.0, 1.0) for c in ("activity_mean", "activity_total")]
+    windows = windows.withColumn("normalized_activity", F.coalesce(*scaled, F.lit(0.0))).drop(*ends)
     return windows.withColumn("mobility_index", mobility(F.col("normalized_activity"), F.col("transition_proxy"), weights))
 
 
@@ -208,10 +210,13 @@ def activity_share(zones: DataFrame, window: str = "window_id", value: str = "ac
 def fill_zones(windows: DataFrame, zones: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """One row per window and configured zone; zones without features are null rows.
 
-    ``zones`` is a configuration table (a handful of rows per room), so each
-    window grows by a fixed factor.
+    ``zones`` is the zone configuration (a handful of rows): it becomes one
+    array, and each window is repeated once per entry.
     """
-    return join_same(windows.crossJoin(F.broadcast(zones)), features, [*keys, "zone_id"])
+    layout = zones.agg(F.collect_list(F.struct(*zones.columns)).alias("_layout"))
+    grid = attach_row(windows, layout).withColumn("_z", F.explode("_layout"))
+    grid = grid.select(*windows.columns, *[F.col("_z")[c].alias(c) for c in zones.columns])
+    return join_same(grid, features, [*keys, "zone_id"])
 
 
 def dominant_zone(windows: DataFrame, by: list[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from windrow.operators.ordered import attach_row
+
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key groups with more than one row."""
@@ -33,7 +35,7 @@ def sequence_diagnostics(df: DataFrame, state: str = "state_id") -> DataFrame:
         F.count(F.lit(1)).alias("row_count"), F.countDistinct("room_id").alias("unique_room_count"),
         F.countDistinct("window_id").alias("unique_window_count"),
     )
-    one = totals.crossJoin(repeated(["room_id", "window_id"], "room_window")).crossJoin(repeated(start_keys, "start_time"))
+    one = attach_row(attach_row(totals, repeated(["room_id", "window_id"], "room_window")), repeated(start_keys, "start_time"))
     return one.withColumn(
         "is_valid_temporal_sequence",
         (F.col("duplicate_room_window_rows") == 0) & (F.col("duplicate_start_time_rows") == 0) & (F.col("multi_state_start_time_groups") == 0),

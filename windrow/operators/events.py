@@ -173,9 +173,7 @@ def phase_metrics_long(labelled: DataFrame, metrics: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_windows"), F.avg("value").alias("mean"), F.max("value").alias("max"), F.stddev_samp("value").alias("std")
     )
     medians = exact_percentiles(long, keys, "value", {"median": 0.5})
-    grid = phases_frame(labelled).crossJoin(
-        labelled.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
-    )
+    grid = phases_frame(labelled).withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
     baseline = stats.filter(F.col("phase") == BASELINE).select("metric", F.col("mean").alias("baseline_mean"))
     out = grid.join(stats, keys, "left").join(medians, keys, "left").join(baseline, "metric", "left")
     return out.withColumns(

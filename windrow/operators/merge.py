@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from windrow.functions.text import combine_warnings
 from windrow.operators.climate import attach_climate
-from windrow.operators.ordered import first_per, join_same
+from windrow.operators.ordered import attach_row, first_per, join_same
 
 KEYS = ["window_id", "media_id", "room_id", "session_id", "start_time", "end_time"]
 
@@ -110,22 +110,22 @@ def outer_metadata(selected: DataFrame, index: DataFrame, manifest: DataFrame) -
 def join_with_fallback(left: DataFrame, right: DataFrame, primary: list[str], fallback: list[str], probe: str, order: list[Column]) -> DataFrame:
     """Left join on ``primary``; only if that matches nothing at all, on ``fallback``.
 
-    The choice is one aggregate over the join, broadcast to a single plan, so
-    no result passes through the driver.
+    Both joins run side by side; one row computed from the keys says which
+    result counts.
     """
     columns = [c for c in right.columns if c not in {*primary, *fallback}]
 
-    def run(keys: list[str]) -> DataFrame:
-        unique = first_per(right, keys, order).select(*keys, *[F.col(c).alias(f"_n_{c}") for c in columns])
-        return join_same(left, unique, keys)
+    def unique(keys: list[str], tag: str) -> DataFrame:
+        return first_per(right, keys, order).select(*keys, *[F.col(c).alias(f"_{tag}_{c}") for c in columns])
 
-    first = run(primary)
-    verdict = first.agg((F.count(f"_n_{probe}") > 0).alias("_hit"))
-    second = run(fallback)
-    chosen = first.crossJoin(F.broadcast(verdict)).filter("_hit").unionByName(
-        second.crossJoin(F.broadcast(verdict)).filter(~F.col("_hit"))
+    named = unique(primary, "p").filter(F.col(f"_p_{probe}").isNotNull())
+    hits = join_same(left.select(*primary), named.select(*primary, F.lit(1).alias("_one")), primary, "inner")
+    verdict = hits.agg((F.count("_one") > 0).alias("_hit"))
+    both = join_same(join_same(left, unique(primary, "p"), primary), unique(fallback, "f"), fallback)
+    chosen = attach_row(both, verdict).withColumns(
+        {c: F.when(F.col("_hit"), F.col(f"_p_{c}")).otherwise(F.col(f"_f_{c}")) for c in columns}
     )
-    return chosen.drop("_hit").withColumnsRenamed({f"_n_{c}": c for c in columns})
+    return chosen.drop("_hit", *[f"_{t}_{c}" for t in "pf" for c in columns])
 
 
 def combine_failed(*frames: DataFrame) -> DataFrame:

@@ -87,6 +87,17 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row.
+
+    The frame is folded by a global aggregate first, so it has exactly one row
+    whatever is passed in: rows cannot multiply and the broadcast is one row.
+    (Scalar subqueries would read better, but Spark cannot plan nested ones.)
+    """
+    row = one.agg(F.first(F.struct(*one.columns)).alias("_row"))
+    return df.join(F.broadcast(row), how="cross").select(*df.columns, *[F.col("_row")[c].alias(c) for c in one.columns])
+
+
 def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
     """Attach per-group aggregates.
 
@@ -96,7 +107,7 @@ def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -
     """
     summary = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
     if not keys:
-        return df.crossJoin(F.broadcast(summary))
+        return attach_row(df, summary)
     return join_same(df, summary, keys)
 
 
@@ -262,9 +273,10 @@ def even_spread(df: DataFrame, axis: Axis, k: int, name: str = "selection_rank")
             (F.col("_i") + 1).cast("bigint").alias(name),
         )
     )
-    picked = placed.join(F.broadcast(spots), "_pos").drop("_pos")
+    # exactly k rows; beyond a size that fits everywhere the join is left to the planner
+    picked = placed.join(F.broadcast(spots) if k <= 100_000 else spots, "_pos").drop("_pos")
     everything = (
-        placed.crossJoin(F.broadcast(size)).filter(F.col("_size") <= k)
+        attach_row(placed, size).filter(F.col("_size") <= k)
         .withColumn(name, F.col("_pos").cast("bigint")).drop("_pos", "_size")
     )
     return picked.unionByName(everything)

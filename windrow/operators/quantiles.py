@@ -22,6 +22,9 @@ def exact_percentiles(
     df: DataFrame, groups: list[str], value: str, probabilities: dict[str, float], cells: int = 16_384
 ) -> DataFrame:
     """Linear-interpolated percentiles, one column per name, one row per group with values."""
+    if not groups:
+        one = df.select(F.lit(0).alias("_all"), value)
+        return exact_percentiles(one, ["_all"], value, probabilities, cells).drop("_all")
     counted = (
         df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*groups, F.col(value).cast("double").alias("_v"))
@@ -33,10 +36,7 @@ def exact_percentiles(
     step = (_scale(F.col("_hi")) - _scale(F.col("_lo"))) / cells
     cell = F.when(step > 0, F.least(F.floor((_scale(F.col("_v")) - _scale(F.col("_lo"))) / step), F.lit(cells - 1))).otherwise(0)
 
-    def attach(left: DataFrame, right: DataFrame) -> DataFrame:
-        return join_same(left, right, groups) if groups else left.crossJoin(F.broadcast(right))
-
-    placed = attach(counted, extent).select(*groups, "_v", "_c", cell.cast("int").alias("_cell"))
+    placed = join_same(counted, extent, groups).select(*groups, "_v", "_c", cell.cast("int").alias("_cell"))
     # at most `cells` rows per group from here on
     histogram = placed.groupBy(*groups, "_cell").agg(F.sum("_c").alias("_c"))
     by_cell = Window.partitionBy(*groups).orderBy("_cell")
@@ -52,7 +52,7 @@ def exact_percentiles(
     ranks = spots.select(
         *groups, "_name", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank")
     )
-    wanted = attach(ranks, histogram).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    wanted = join_same(ranks, histogram, groups).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     wanted = wanted.select(*groups, "_cell", "_name", "_at", "_rank", "_from")
 
     cells_in = wanted.select(*groups, "_cell", "_from").distinct()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from windrow.functions.text import path_contains
-from windrow.operators.ordered import Axis, even_spread, first_per, with_position
+from windrow.operators.ordered import Axis, attach_row, even_spread, first_per, with_position
 from windrow.settings import MICROS
 
 
@@ -61,11 +61,12 @@ def select_windows(windows: DataFrame, axis: Axis, k: int | None = None, per_gro
 def first_mapping(files: DataFrame, mapping: DataFrame, path: str = "file_path", key: str = "media_id") -> DataFrame:
     """First mapping rule whose pattern is found in the path, and how many rules matched.
 
-    ``mapping``: ``map_order, pattern, …``. Rules are a short configuration list
-    and are broadcast; each file meets each rule, which is what the rule means.
+    ``mapping``: ``map_order, pattern, …``. Each file is tested against each
+    rule, which is what the rule means; Spark broadcasts the rules while they
+    are below its size limit.
     """
     values = [c for c in mapping.columns if c not in ("pattern",)]
-    rules = F.broadcast(mapping.filter(F.coalesce(F.col("pattern"), F.lit("")) != "").select(F.struct(*values).alias("_rule"), "pattern"))
+    rules = mapping.filter(F.coalesce(F.col("pattern"), F.lit("")) != "").select(F.struct(*values).alias("_rule"), "pattern")
     hits = files.select(key, path).join(rules, F.expr(f"rlike({path}, concat('(?i)', pattern))"))
     best = hits.groupBy(key).agg(F.min_by("_rule", "_rule.map_order").alias("_m"), F.count(F.lit(1)).alias("match_count"))
     return files.join(best, key, "left").select(
@@ -100,14 +101,11 @@ STRATEGIES = (
 def greedy_picks(df: DataFrame, strategies: tuple[Strategy, ...] = STRATEGIES, gap_seconds: int = 1_200, daylight: tuple[int, int] = (7, 17)) -> DataFrame:
     """One window per strategy, each at least ``gap_seconds`` from the picks before it.
 
-    Each step is a top-1 over the whole table; a pick is one row, attached to
-    the next step's rows as a one-row broadcast. Nothing is collected.
+    Each step is a top-1 over the whole table. The start of a pick and its
+    metric are two numbers that the next steps need as constants.
     """
-    def distance_ok(pick: DataFrame, rest: DataFrame) -> DataFrame:
-        mark = F.broadcast(pick.select(F.col("start_us").alias("_pick")))
-        return rest.crossJoin(mark).filter(F.abs(F.col("start_us") - F.col("_pick")) >= gap_seconds * MICROS).drop("_pick")
-
     chosen: list[DataFrame] = []
+    taken: list[int] = []
     for s in strategies:
         rows = df
         if s.daylight_only:
@@ -118,20 +116,23 @@ def greedy_picks(df: DataFrame, strategies: tuple[Strategy, ...] = STRATEGIES, g
             rows = rows.filter(F.col(s.metric) >= s.min_metric)
         if s.window_id is not None:
             rows = rows.filter(F.col("window_id") == s.window_id)
-        for pick in chosen:
-            rows = distance_ok(pick, rows)
+        for start in taken:
+            rows = rows.filter(F.abs(F.col("start_us") - F.lit(start)) >= gap_seconds * MICROS)
         direction: Column = F.col(s.metric).asc_nulls_last() if s.ascending else F.col(s.metric).desc_nulls_last()
         best = rows.orderBy(direction, F.col("start_us"), F.col("window_id")).limit(1)
-        ranks = df.filter(F.col(s.metric).isNotNull()).crossJoin(F.broadcast(best.select(F.col(s.metric).alias("_v")))).agg(
-            (F.sum((F.col(s.metric) < F.col("_v")).cast("bigint")) + 1).alias("_r"), F.count(F.lit(1)).alias("_n")
+        pick = best.select("window_id", "start_us", s.metric).first()
+        if pick is None:
+            raise ValueError(f"no window matches {s.key}")
+        taken.append(pick["start_us"])
+        value = F.lit(pick[s.metric])
+        below = df.filter(F.col(s.metric).isNotNull()).agg(
+            ((F.sum((F.col(s.metric) < value).cast("bigint")) + 1) / F.count(F.lit(1))).alias("selection_rank_pct")
         )
+        row = df.filter((F.col("window_id") == pick["window_id"]) & (F.col("start_us") == pick["start_us"]))
         chosen.append(
-            best.crossJoin(F.broadcast(ranks)).withColumns(
-                {
-                    "selection_key": F.lit(s.key), "selection_metric": F.lit(s.metric),
-                    "selection_value": F.col(s.metric), "selection_rank_pct": F.col("_r") / F.col("_n"),
-                }
-            ).drop("_r", "_n")
+            attach_row(row, below).withColumns(
+                {"selection_key": F.lit(s.key), "selection_metric": F.lit(s.metric), "selection_value": F.col(s.metric)}
+            )
         )
     union = chosen[0]
     for more in chosen[1:]:

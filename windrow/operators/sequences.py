@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from windrow.operators.ordered import Axis, first_per, join_same, with_group_stats, with_neighbours, with_runs
+from windrow.operators.ordered import Axis, attach_row, first_per, join_same, with_group_stats, with_neighbours, with_runs
 
 
 def with_run_length(df: DataFrame, axis: Axis, state: str = "state_id") -> DataFrame:
@@ -81,4 +81,4 @@ def rank_percent(df: DataFrame, value: str, axis_block: Column, name: str = "ran
         F.col(value), (F.col("_base") + F.col("_in") + 1).alias("_rank")
     )
     total = df.agg(F.count(value).alias("_size"))
-    return join_same(df, ranks, [value]).crossJoin(F.broadcast(total)).withColumn(name, F.col("_rank") / F.col("_size")).drop("_rank", "_size")
+    return attach_row(join_same(df, ranks, [value]), total).withColumn(name, F.col("_rank") / F.col("_size")).drop("_rank", "_size")

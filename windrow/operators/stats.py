@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from windrow.operators.ordered import Axis, with_position, with_running
+from windrow.operators.ordered import Axis, attach_row, with_position, with_running
 
 
 def correlation(x: str, y: str) -> Column:
@@ -104,7 +104,7 @@ def with_benjamini_hochberg(df: DataFrame, p: str, name: str, tie: list[str], ce
     axis = Axis((), (p, *tie), block)
     ranked = with_position(df.filter(F.col(p).isNotNull()), axis, "_rank")
     size = df.agg(F.count(p).alias("_m"))
-    raw = ranked.crossJoin(F.broadcast(size)).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
+    raw = attach_row(ranked, size).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
     lowest = with_running(raw, axis.reversed(), _adj=("min", "_raw"))
     adjusted = lowest.withColumn(name, F.least(F.greatest(F.col("_adj"), F.lit(0.0)), F.lit(1.0))).drop("_rank", "_m", "_raw", "_adj")
     missing = df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))

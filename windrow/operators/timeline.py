@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from windrow.functions.numbers import min_max
 from windrow.functions.text import title_from_id
 from windrow.operators.biomarkers import fill_zones, merge_tokens
-from windrow.operators.ordered import Axis, join_same, time_axis, with_group_stats, with_position
+from windrow.operators.ordered import Axis, attach_row, join_same, time_axis, with_group_stats, with_position
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -91,8 +91,9 @@ def room_headers(rooms: DataFrame, zones: DataFrame) -> DataFrame:
         F.col("row").alias("row"), F.col("col").alias("col"), F.col("zone_id").alias("zone_id"), title_from_id("zone_id").alias("display_name"),
         F.array(*[F.struct((F.col("col") + dx).cast("double").alias("x"), (F.col("row") + dy).cast("double").alias("y")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1))]).alias("polygon"),
     )
+    # the zone configuration: a handful of rows
     layout = zones.agg(F.array_sort(F.collect_list(cell)).alias("zones"))
-    return rooms.select("room_id").filter("room_id is not null and room_id <> ''").distinct().crossJoin(F.broadcast(layout))
+    return attach_row(rooms.select("room_id").filter("room_id is not null and room_id <> ''").distinct(), layout)
 
 
 def to_json_lines(frames: DataFrame) -> DataFrame:

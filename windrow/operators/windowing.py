@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from windrow.functions.text import combine_warnings
-from windrow.functions.times import shift_iso
-from windrow.settings import WindowSettings
+from windrow.functions.times import iso_text, local_time, micros_ntz, ntz_micros, offset_text
+from windrow.session import spread
+from windrow.settings import MICROS, WindowSettings
 
 _CHUNK = 8_192
 
@@ -15,9 +16,8 @@ def _explode_index(media: DataFrame, count: Column, key: str) -> DataFrame:
     """One row per window index. Long recordings are first split into chunks that are spread over tasks."""
     counted = media.withColumn("_n", count).filter(F.col("_n") > 0)
     chunks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(_CHUNK).cast("bigint"))))
-    spread = chunks.repartition(F.col(key), F.col("_from"))
     upto = F.least(F.col("_from") + _CHUNK, F.col("_n")) - 1
-    return spread.withColumn("window_index", F.explode(F.sequence(F.col("_from"), upto))).drop("_from", "_n")
+    return spread(chunks, key, "_from").withColumn("window_index", F.explode(F.sequence(F.col("_from"), upto))).drop("_from", "_n")
 
 
 def full_window_count(duration: Column, window: float, stride: float, slack: float) -> Column:
@@ -26,6 +26,15 @@ def full_window_count(duration: Column, window: float, stride: float, slack: flo
     ).otherwise(F.lit(0).cast("bigint"))
 
 
+def _with_clock(media: DataFrame) -> DataFrame:
+    """Start of a recording read once, before its row is multiplied."""
+    return media.withColumns({"_wall": ntz_micros(local_time("start_time")), "_zone": offset_text("start_time")})
+
+
+def _clock_at(seconds: Column) -> Column:
+    return F.concat(iso_text(micros_ntz(F.col("_wall") + F.round(seconds * MICROS).cast("bigint"))), F.col("_zone"))
+
+
 def sliding_windows(media: DataFrame, settings: WindowSettings = WindowSettings()) -> DataFrame:
     """Window index with one partial window for short media and one nominal window for unknown length.
 
@@ -35,7 +44,7 @@ def sliding_windows(media: DataFrame, settings: WindowSettings = WindowSettings(
     w, s = float(settings.window_seconds), float(settings.stride_seconds)
     length = F.coalesce(F.col("duration_seconds").cast("double"), F.lit(0.0))
     count = F.greatest(full_window_count(length, w, s, 1e-9), F.lit(1).cast("bigint"))
-    rows = _explode_index(media.withColumn("_len", length), count, "media_id")
+    rows = _explode_index(_with_clock(media).withColumn("_len", length), count, "media_id")
     offset = F.round(F.col("window_index") * s, 6)
     effective = F.when(F.col("_len") <= 0, F.lit(w)).otherwise(
         F.least(F.lit(w), F.greatest(F.col("_len") - offset, F.lit(0.0)))
@@ -48,32 +57,32 @@ def sliding_windows(media: DataFrame, settings: WindowSettings = WindowSettings(
     return rows.withColumns(
         {
             "window_id": _window_id(),
-            "end_time": F.coalesce(shift_iso("start_time", F.col("_off") + F.col("_eff")), F.lit("")),
-            "start_time": F.coalesce(shift_iso("start_time", F.col("_off")), F.lit("")),
+            "end_time": F.coalesce(_clock_at(F.col("_off") + F.col("_eff")), F.lit("")),
+            "start_time": F.coalesce(_clock_at(F.col("_off")), F.lit("")),
             "duration_seconds": F.col("_eff"),
             "video_start_offset_sec": F.col("_off"),
             "has_audio": F.coalesce(F.col("has_audio"), F.lit(False)),
             "quality_status": F.when((F.col("_len") <= 0) & (status == "ok"), F.lit("warning")).otherwise(status),
             "warnings": combine_warnings("warnings", "_note"),
         }
-    ).drop("_len", "_off", "_eff", "_note")
+    ).drop("_len", "_off", "_eff", "_note", "_wall", "_zone")
 
 
 def full_windows(media: DataFrame, settings: WindowSettings = WindowSettings()) -> DataFrame:
     """Window index with complete windows only (one millisecond of slack); rows without start or length vanish."""
     w, s = float(settings.window_seconds), float(settings.stride_seconds)
     known = media.filter(F.col("duration_seconds").isNotNull() & (F.coalesce(F.col("start_time"), F.lit("")) != ""))
-    rows = _explode_index(known, full_window_count(F.col("duration_seconds").cast("double"), w, s, 1e-3), "media_id")
+    rows = _explode_index(_with_clock(known), full_window_count(F.col("duration_seconds").cast("double"), w, s, 1e-3), "media_id")
     offset = F.round(F.col("window_index") * s, 3)
     return rows.withColumn("_off", offset).withColumns(
         {
             "window_id": _window_id(),
-            "end_time": shift_iso("start_time", F.col("_off") + w),
-            "start_time": shift_iso("start_time", F.col("_off")),
+            "end_time": _clock_at(F.col("_off") + w),
+            "start_time": _clock_at(F.col("_off")),
             "duration_seconds": F.lit(round(w, 3)),
             "video_start_offset_sec": F.col("_off"),
         }
-    ).drop("_off")
+    ).drop("_off", "_wall", "_zone")
 
 
 def _window_id() -> Column:

@@ -15,6 +15,7 @@ from windrow.models.states import GMM, HMM, sequence_axis
 from windrow.operators import events as ev, stats
 from windrow.operators.climate import attach_climate
 from windrow.operators.merge import join_with_fallback
+from windrow.operators.ordered import attach_row
 from windrow.operators.sequences import risk_level, risk_level_binned, with_sustained_flag
 from windrow.session import cut_lineage
 from windrow.settings import AUDIO_FEATURES, EventSettings, ModelSettings
@@ -84,7 +85,7 @@ def compare_models(df: DataFrame, models: dict[str, tuple[str, ...]], settings:
             summary = rk.with_labels(rk.with_semantic_risk(summary), rk.semantic_label())
         else:
             summary = rk.with_context_risk(summary)
-        scored = placed.crossJoin(F.broadcast(rk.weight_vector(summary, k))).withColumn("risk_score", rk.row_risk(F.col("posterior"), F.col("_weights"))).drop("_weights")
+        scored = attach_row(placed, rk.weight_vector(summary, k)).withColumn("risk_score", rk.row_risk(F.col("posterior"), F.col("_weights"))).drop("_weights")
         level = risk_level if rules == "semantic" else risk_level_binned
         scored = scored.withColumn("risk_level", level(F.col("risk_score")))
         if rules == "semantic":
@@ -127,7 +128,7 @@ def run_semantic(biomarkers: DataFrame, audio: DataFrame, climate: DataFrame, ev
     both = compare_models(labelled, {"semantic_video_only": SEMANTIC_VIDEO, "semantic_multimodal": SEMANTIC_MULTIMODAL}, model, "semantic")
     primary = both.sequences.filter(F.col("model_name") == "semantic_multimodal")
     labels = both.summaries.filter(F.col("model_name") == "semantic_multimodal").select("state_id", "state_label")
-    primary = primary.join(F.broadcast(labels), "state_id", "left")
+    primary = primary.join(labels, "state_id", "left")
     names = [c for c in (*SEMANTIC_VIDEO, "risk_score") if c in primary.columns]
     summary = ev.phase_summary(primary, {f"{c}_mean": c for c in names}, {"mobility_index_max": "mobility_index", "risk_score_max": "risk_score"}, "state_label")
     return {
