@@ -216,3 +216,10 @@ def test_marked_image():
     assert config["zones"][0]["polygon"] == zn.rectangle_polygon(12, 7, 28, 13) and config["zones"][1]["polygon"] == zn.rectangle_polygon(37, 22, 53, 33)
     with pytest.raises(ValueError, match="red"):
         zn.config_from_images("room_1", plain, plain)
+
+
+def test_shrinking_averages_areas():
+    frame = np.arange(16, dtype=float).reshape(4, 4)
+    assert video.shrink(frame, 2) == pytest.approx(frame.reshape(2, 2, 2, 2).mean(axis=(1, 3)))
+    assert video.shrink(np.full((5, 7), 0.3), 3) == pytest.approx(np.full((2, 3), 0.3))
+    assert video.grey(np.full((1, 1, 3), 255.0)) == pytest.approx(np.ones((1, 1)))

@@ -321,3 +321,24 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps({"model": {"nope": 1}}))
     with pytest.raises(ValueError, match="nope"):
         cli.load_settings(str(tmp_path / "bad.json"))
+
+
+def test_decoding_streams_the_program_output(spark, tmp_path):
+    (tmp_path / "a.raw").write_bytes(np.array([0, 16384, -32768, 8192, 1], dtype="<i2").tobytes())
+    df = spark.createDataFrame([("m1", str(tmp_path / "a.raw"), 4, 2), ("m2", str(tmp_path / "none"), 4, 2)], "media_id string, file_path string, width int, height int")
+    got = sm.decode_audio(df, 2, command="cat {path}").orderBy("media_id", "chunk_start").collect()
+    assert [(r["media_id"], r["chunk_start"], r["issue"]) for r in got] == [("m1", 0, None), ("m1", 2, None), ("m1", 4, None), ("m2", 0, "ffmpeg_decode_failed")]
+    assert got[0]["samples"] == [0.0, 0.5] and got[1]["samples"] == [-1.0, 0.25]
+    (tmp_path / "a.raw").write_bytes(bytes([0, 255] * 4 + [51] * 2))
+    frames = sm.decode_frames(df, 2, command="cat {path}").orderBy("media_id", "frame_time_sec").collect()
+    assert [(r["frame_time_sec"], r["height"], r["issue"]) for r in frames][:5] == [(float(t), 1, None) for t in (0, 2, 4, 6, 8)]
+    assert frames[0]["pixels"] == [0.0, 1.0] and frames[-1]["issue"] == "opencv_open_failed"
+
+
+def test_refresh_rule(spark):
+    from windrow.operators.stats import source_summary
+
+    index = spark.createDataFrame([(f"w{i}",) for i in range(5)], "window_id string")
+    features = spark.createDataFrame([("w1", "m", "t1"), ("w1", "m", "t1"), ("w2", "m", "t2")], "window_id string, media_id string, start_time string")
+    row = source_summary(features, index)
+    assert row.first()["covered_pct"] == 40.0 and twin.needs_more_windows(row, 30) and not twin.needs_more_windows(row, 2)

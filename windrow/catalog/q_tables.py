@@ -249,3 +249,37 @@ def twin_frames(spark, sf):
     frames = tl.twin_timeline(zones, windows, states, time_axis((), "start_us", "window_id"))
     top = F.array_max(F.transform("zones", lambda z: z["overlay_intensity"]))
     return rounded(frames.select("frame_index", "window_id", "metrics.activity_mean", "state.state_id", F.size("zones").alias("zones"), top.alias("top_overlay"), "event.event_phase"))
+
+
+@query("first_warning", f"""WITH {tb.SEMANTIC_ROWS},
+x AS (SELECT room_id, start_us, zone_id, CASE WHEN activity_mean < 2 THEN 'no_interval_overlap' WHEN activity_mean > 200 THEN 'loud;no_interval_overlap' END AS w FROM sq)
+SELECT r.room_id, f.w AS warnings FROM (SELECT DISTINCT room_id FROM x) r LEFT JOIN (SELECT room_id, w FROM x WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY start_us, zone_id) = 1) f USING (room_id)""")
+def first_warning(spark, sf):
+    return st.first_warning(tb.semantic_rows(spark, sf), ["room_id"], ["start_us", "zone_id"])
+
+
+@query("source_summary", f"""WITH {tb.ZONE_ROWS}, {tb.SLOTS1}
+SELECT (SELECT count(*) FROM zr) AS feature_rows, (SELECT count(DISTINCT window_id) FROM zr) AS feature_windows, (SELECT count(DISTINCT room_id) FROM zr) AS feature_media, (SELECT min(session_id) FROM zr) AS first_start,
+(SELECT max(session_id) FROM zr) AS last_start, (SELECT count(DISTINCT window_id) FROM slots1) AS index_rows, (SELECT count(DISTINCT window_id) FROM slots1) AS index_windows,
+round(100.0 * (SELECT count(DISTINCT window_id) FROM zr) / (SELECT count(DISTINCT window_id) FROM slots1), 6) AS covered_pct""")
+def source_summary(spark, sf):
+    features = tb.zone_rows(spark, sf).withColumns({"media_id": F.col("room_id"), "start_time": F.col("session_id")})
+    return rounded(st.source_summary(features, tb.hour_windows(spark, sf)))
+
+
+@query("sequence_counts_by_zone", f"""WITH {tb.ZONE_ROWS} SELECT zone_id, session_id, count(*) AS n FROM zr GROUP BY 1, 2""")
+def sequence_counts_by_zone(spark, sf):
+    return st.count_by(tb.zone_rows(spark, sf), "zone_id", "session_id")
+
+
+@query("cache_pending", """SELECT o_orderkey AS media_id FROM orders WHERE o_orderstatus = 'P' OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def cache_pending(spark, sf):
+    """Recordings whose cached fingerprint differs (changed status) or is absent."""
+    from windrow.sources.cache import fingerprint, split_by_cache
+
+    orders = tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("media_id"), "o_orderstatus", "o_totalprice")
+    now = orders.select("media_id", fingerprint({"status": F.col("o_orderstatus"), "price": F.col("o_totalprice")}).alias("fingerprint"))
+    old_status = F.when(F.col("o_orderstatus") == "P", F.lit("O")).otherwise(F.col("o_orderstatus"))
+    measured = tb.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("media_id")).distinct()
+    cached = orders.select("media_id", fingerprint({"status": old_status, "price": F.col("o_totalprice")}).alias("fingerprint")).join(measured, "media_id", "left_semi")
+    return split_by_cache(now, cached)[0].select("media_id")

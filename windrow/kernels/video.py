@@ -28,6 +28,20 @@ def grey(frame: np.ndarray) -> np.ndarray:
     return (frame[..., 0] * 0.114 + frame[..., 1] * 0.587 + frame[..., 2] * 0.299) / 255.0
 
 
+def shrink(frame: np.ndarray, width: int) -> np.ndarray:
+    """Area-averaged copy of a grey frame with the given width; the aspect ratio is kept."""
+    height = max(1, round(frame.shape[0] * width / frame.shape[1]))
+
+    def weights(n: int, m: int) -> np.ndarray:
+        edges = np.linspace(0, n, m + 1)
+        cells = np.arange(n)
+        cover = np.minimum(edges[1:, None], cells[None, :] + 1) - np.maximum(edges[:-1, None], cells[None, :])
+        cover = np.clip(cover, 0, None)
+        return cover / cover.sum(axis=1, keepdims=True)
+
+    return weights(frame.shape[0], height) @ frame @ weights(frame.shape[1], width).T
+
+
 def frame_pairs(frames: DataFrame, block_seconds: int = 60) -> DataFrame:
     """Each frame next to the one before it in its recording."""
     axis = Axis(("media_id",), ("frame_time_sec",), F.floor(F.col("frame_time_sec") / block_seconds))

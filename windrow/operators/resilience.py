@@ -95,48 +95,47 @@ def evaluate_events(
     )
     k, m = settings.baseline_windows, settings.max_recovery_windows
     around = peaks.withColumn("_pos", F.explode(F.sequence(F.greatest(F.col("_peak") - k, F.lit(1)), F.col("_peak") + m)))
-    near = around.join(slim, ["room_id", "_pos"])
-    before = F.col("_pos") < F.col("_peak")
-    base = near.groupBy("event_id", "room_id").agg(
-        F.avg(F.when(before, F.col("_a"))).alias("_base"), F.count(F.when(before, 1)).alias("baseline_window_count"),
-        F.max("_pos").alias("_lastpos"),
-        F.max(F.when(F.col("_pos") == F.col("_peak"), F.col("duration_seconds"))).alias("_dur"),
-        F.max(F.when(F.col("_pos") == F.col("_peak"), F.col("window_id"))).alias("peak_window_id"),
-        F.max(F.when(F.col("_pos") == F.col("_peak"), F.col("start_us"))).alias("peak_start_us"),
-        F.max(F.when(F.col("_pos") == F.col("_peak"), F.col("end_us"))).alias("_peak_end"),
+    row = F.struct("_pos", "_a", "window_id", "start_us", "end_us", "duration_seconds")
+    # at most baseline + 1 + recovery rows per event: the rest is array arithmetic on one row
+    near = around.join(slim, ["room_id", "_pos"]).groupBy("event_id", "room_id", "_peak", "peak_activity").agg(
+        F.array_sort(F.collect_list(row)).alias("_rows")
     )
-    near = near.join(base, ["event_id", "room_id"]).withColumn("baseline_activity", F.coalesce("_base", "peak_activity"))
-    excess = F.greatest(F.col("peak_activity") - F.col("baseline_activity"), F.lit(0.0))
-    near = near.withColumn("_excess", excess)
-    threshold = F.col("baseline_activity") + settings.recovery_fraction * F.col("_excess")
-    calm = (F.col("_pos") > F.col("_peak")) & (F.col("_a") <= threshold)
-    ends = near.groupBy("event_id", "room_id").agg(F.min(F.when(calm, F.col("_pos"))).alias("_calm"))
-    near = near.join(ends, ["event_id", "room_id"]).withColumn("_end", F.coalesce("_calm", "_lastpos"))
-    curve = near.filter((F.col("_pos") >= F.col("_peak")) & (F.col("_pos") <= F.col("_end")))
-    at_end = F.col("_pos") == F.col("_end")
-    keep = ["peak_activity", "baseline_activity", "baseline_window_count", "peak_window_id", "peak_start_us", "_peak", "_end", "_calm", "_dur", "_peak_end"]
-    measures = curve.groupBy("event_id", "room_id").agg(
-        *[F.first(c).alias(c) for c in keep],
-        F.sum(F.greatest(F.col("_a") - F.col("baseline_activity"), F.lit(0.0))).alias("_area"),
-        F.max(F.when(at_end, F.col("end_us"))).alias("recovery_end_us"),
-        F.max(F.when(at_end, F.col("_a"))).alias("_last"),
+    peak, activity = F.col("_peak"), F.col("peak_activity")
+    near = near.withColumns(
+        {
+            "_before": F.filter("_rows", lambda r: r["_pos"] < peak),
+            "_top": F.element_at(F.filter("_rows", lambda r: r["_pos"] == peak), 1),
+        }
     )
-    steps = F.col("_end") - F.col("_peak")
-    seconds = F.coalesce((F.col("recovery_end_us") - F.col("_peak_end")) / float(MICROS), F.col("_dur") * steps)
-    summary = measures.withColumns(
+    total = F.aggregate("_before", F.lit(0.0), lambda acc, r: acc + r["_a"])
+    near = near.withColumns(
         {
-            "recovery_time_windows": steps,
-            "recovery_time_seconds": seconds,
-            "recovery_slope": F.when(seconds > 0, (F.col("_last") - F.col("peak_activity")) / seconds).otherwise(F.lit(0.0)),
-            "area_under_recovery_curve": F.col("_area") * F.col("_dur"),
-            "recovered_flag": F.col("_calm").isNotNull(),
+            "baseline_window_count": F.size("_before").cast("bigint"),
+            "baseline_activity": F.coalesce(F.try_divide(total, F.size("_before")), activity),
         }
-    ).drop("_peak", "_end", "_calm", "_dur", "_peak_end", "_area", "_last")
-
-    phase = F.when(before, "baseline").when(F.col("_pos") == F.col("_peak"), "during").otherwise("recovery")
-    pressure = F.greatest(F.col("_a") - F.col("baseline_activity"), F.lit(0.0)) / F.when(F.col("_excess") > 0, F.col("_excess")).otherwise(1.0)
-    notes = near.filter(F.col("_pos") <= F.col("_end")).select(
-        "event_id", "room_id", "window_id", phase.alias("event_phase"), clip(pressure, 0.0, 1.5).alias("resilience_pressure_index")
+    )
+    near = near.withColumn("_excess", F.greatest(activity - F.col("baseline_activity"), F.lit(0.0)))
+    limit = F.col("baseline_activity") + settings.recovery_fraction * F.col("_excess")
+    near = near.withColumn("_calm", F.try_element_at(F.filter("_rows", lambda r: (r["_pos"] > peak) & (r["_a"] <= limit)), F.lit(1)))
+    near = near.withColumn("_end", F.coalesce("_calm", F.element_at("_rows", -1)))
+    steps, length = F.col("_end._pos") - peak, F.col("_top.duration_seconds")
+    seconds = F.coalesce((F.col("_end.end_us") - F.col("_top.end_us")) / float(MICROS), length * steps)
+    base, last = F.col("baseline_activity"), F.col("_end._pos")
+    curve = F.filter("_rows", lambda r: (r["_pos"] >= peak) & (r["_pos"] <= last))
+    area = F.aggregate(curve, F.lit(0.0), lambda acc, r: acc + F.greatest(r["_a"] - base, F.lit(0.0)))
+    summary = near.select(
+        "event_id", "room_id", F.col("_top.window_id").alias("peak_window_id"), F.col("_top.start_us").alias("peak_start_us"),
+        "baseline_activity", "peak_activity", "baseline_window_count", steps.alias("recovery_time_windows"), seconds.alias("recovery_time_seconds"),
+        F.when(seconds > 0, (F.col("_end._a") - activity) / seconds).otherwise(F.lit(0.0)).alias("recovery_slope"),
+        (area * length).alias("area_under_recovery_curve"), F.col("_calm").isNotNull().alias("recovered_flag"),
+        F.col("_end.end_us").alias("recovery_end_us"),
+    )
+    touched = near.withColumn("_r", F.explode(F.filter("_rows", lambda r: r["_pos"] <= last)))
+    position = F.col("_r._pos")
+    phase = F.when(position < peak, "baseline").when(position == peak, "during").otherwise("recovery")
+    pressure = F.greatest(F.col("_r._a") - base, F.lit(0.0)) / F.when(F.col("_excess") > 0, F.col("_excess")).otherwise(1.0)
+    notes = touched.select(
+        "event_id", "room_id", F.col("_r.window_id").alias("window_id"), phase.alias("event_phase"), clip(pressure, 0.0, 1.5).alias("resilience_pressure_index")
     )
     return summary, notes
 

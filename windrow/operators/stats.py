@@ -175,3 +175,19 @@ def zone_stats(df: DataFrame, value: str = "activity_mean") -> DataFrame:
     return df.groupBy("zone_id").agg(
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.max(value).alias("max")
     )
+
+
+def first_warning(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """First non-blank warning text per group."""
+    text = F.when(F.trim("warnings") != "", F.col("warnings"))
+    return df.groupBy(*by).agg(F.min_by(text, F.when(text.isNotNull(), F.struct(*order))).alias("warnings"))
+
+
+def source_summary(features: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: how much of the window index the features cover."""
+    have = features.agg(
+        F.count(F.lit(1)).alias("feature_rows"), F.countDistinct("window_id").alias("feature_windows"),
+        F.countDistinct("media_id").alias("feature_media"), F.min("start_time").alias("first_start"), F.max("start_time").alias("last_start"),
+    )
+    known = index.agg(F.count(F.lit(1)).alias("index_rows"), F.countDistinct("window_id").alias("index_windows"))
+    return attach_row(have, known).withColumn("covered_pct", 100.0 * F.try_divide(F.col("feature_windows"), F.col("index_windows")))

@@ -28,6 +28,12 @@ def canonical_zones(features: DataFrame, selected: DataFrame, index: DataFrame,
     return with_time_columns(with_activity_proxy(canonical)), sources
 
 
+def needs_more_windows(coverage: DataFrame, minimum: int = 30) -> bool:
+    """Whether measured windows are too few for a model while the index holds more (from :func:`source_summary`)."""
+    row = coverage.select("feature_windows", "index_windows").first()
+    return row["feature_windows"] < minimum and row["index_windows"] > row["feature_windows"]
+
+
 def event_frame(log: DataFrame, zone: str | None = None) -> DataFrame:
     """Normalised event log with instants, numbered in order."""
     named = normalize_event_log(log)

@@ -7,6 +7,7 @@ import json
 import shutil
 import subprocess
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -94,6 +95,62 @@ FFPROBE = ["ffprobe", "-v", "error", "-show_streams", "-show_format", "-print_fo
 EXIFTOOL = ["exiftool", "-j", "-api", "QuickTimeUTC=1"]
 
 
+# How recordings are decoded, mono sound and grey frames as raw bytes on standard output.
+FFMPEG_AUDIO = "ffmpeg -v error -i {path} -vn -ac 1 -ar {rate} -f s16le -"
+FFMPEG_FRAMES = "ffmpeg -v error -i {path} -an -vf fps=1/{period},scale={width}:{height} -pix_fmt gray -f rawvideo -"
+
+
+def _stream(command: str, size: int, **values):
+    """Standard output of a program in pieces of ``size`` bytes, the last one shorter; never the whole of it."""
+    words = [w.format(**values) for w in command.split()]
+    with subprocess.Popen(words, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as process:
+        while piece := process.stdout.read(size):
+            yield piece
+        if process.wait() != 0:
+            raise OSError(f"{words[0]} failed")
+
+
+def decode_audio(media: DataFrame, sample_rate: int, frame_seconds: float = 1.0, command: str = FFMPEG_AUDIO) -> DataFrame:
+    """Sound as rows of one frame each (``media_id, chunk_start, samples``); recordings that fail give one row with ``issue``."""
+    step = max(1, round(sample_rate * frame_seconds))
+
+    def run(batches):
+        for pdf in batches:
+            for media_id, path in zip(pdf["media_id"], pdf["file_path"]):
+                start, issue = 0, "no_audio_samples"
+                try:
+                    for piece in _stream(command, 2 * step, path=path, rate=sample_rate):
+                        samples = np.frombuffer(piece[: len(piece) // 2 * 2], dtype="<i2") / 32768.0
+                        issue = None
+                        yield pd.DataFrame({"media_id": [media_id], "chunk_start": [start], "samples": [samples.tolist()], "issue": [None]})
+                        start += step
+                except OSError:
+                    issue = "ffmpeg_decode_failed"
+                if issue:
+                    yield pd.DataFrame({"media_id": [media_id], "chunk_start": [start], "samples": [[]], "issue": [issue]})
+
+    return media.select("media_id", "file_path").mapInPandas(run, "media_id string, chunk_start bigint, samples array<double>, issue string")
+
+
+def decode_frames(media: DataFrame, width: int, period: float = 2.0, command: str = FFMPEG_FRAMES) -> DataFrame:
+    """Grey frames every ``period`` seconds as rows, scaled to ``width``; needs ``width`` and ``height`` in ``media``."""
+    def run(batches):
+        for pdf in batches:
+            for media_id, path, w, h in zip(pdf["media_id"], pdf["file_path"], pdf["width"], pdf["height"]):
+                height, index = max(1, round(h * width / w)), 0
+                try:
+                    for piece in _stream(command, width * height, path=path, period=period, width=width, height=height):
+                        if len(piece) == width * height:
+                            grey = np.frombuffer(piece, dtype=np.uint8) / 255.0
+                            yield pd.DataFrame({"media_id": [media_id], "frame_time_sec": [index * period], "height": [height], "width": [width], "pixels": [grey.tolist()], "issue": [None]})
+                        index += 1
+                except OSError:
+                    yield pd.DataFrame({"media_id": [media_id], "frame_time_sec": [index * period], "height": [height], "width": [width], "pixels": [[]], "issue": ["opencv_open_failed"]})
+
+    ddl = "media_id string, frame_time_sec double, height int, width int, pixels array<double>, issue string"
+    return media.select("media_id", "file_path", "width", "height").mapInPandas(run, ddl)
+
+
 def read_sidecars(spark: SparkSession, folder: str, output: str = "probe") -> DataFrame:
     """Saved metadata texts, one file per media id (``<media_id>.json``)."""
     raw = spark.read.option("wholetext", True).text(folder)
