@@ -56,7 +56,6 @@ def label_windows(
     settings: EventSettings = EventSettings(),
     blank_room: str = "all",
     bin_seconds: int = 3_600,
-    key: str = "window_id",
 ) -> DataFrame:
     """Label each window relative to the events of its room.
 
@@ -72,9 +71,10 @@ def label_windows(
     ).select("room_id", "event_start_us", "event_end_us", "_e.*")
     before = F.lit(settings.baseline_minutes * 60 * MICROS)
     after = F.lit(settings.recovery_minutes * 60 * MICROS)
-    spans = windows.select(F.col(key).alias("_key"), "room_id", "start_us", "end_us").filter(
-        F.col("start_us").isNotNull() & F.col("end_us").isNotNull()
-    )
+    # windows over one span of a room share their label, so pairs are formed once per span
+    spans = windows.filter(F.col("start_us").isNotNull() & F.col("end_us").isNotNull()).select(
+        "room_id", "start_us", "end_us", F.col("room_id").alias("_room")
+    ).distinct()
     reach = (F.col("event_start_us") - before, F.col("event_end_us") + after)
 
     def pairs_for(events_part: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,8 +95,10 @@ def label_windows(
         "event_start_us", "event_end_us", "event_overlap_seconds",
         (F.col("_pri") == 3).alias("overlaps_event"),
     )
-    best = pairs.groupBy("_key").agg(F.max_by(payload, F.struct("_pri", -F.col("event_seq"))).alias("_b"))
-    labelled = windows.join(best.withColumnRenamed("_key", key), key, "left")
+    best = pairs.groupBy(F.col("_room").alias("room_id"), "start_us", "end_us").agg(
+        F.max_by(payload, F.struct("_pri", -F.col("event_seq"))).alias("_b")
+    )
+    labelled = join_same(windows, best, ["room_id", "start_us", "end_us"])
     fields = ["event_id", "event_type", "seconds_from_event_start", "seconds_from_event_end", "event_start_us", "event_end_us"]
     return labelled.withColumns(
         {
