@@ -144,9 +144,10 @@ def measured(spark):
 def test_preparation_run(spark):
     from windrow.operators.climate import normalize_climate
 
-    index = preparation.index_recordings(prep_files(spark))
+    store = lambda name, df: cut_lineage(df)
+    index = preparation.index_recordings(prep_files(spark), store=store)
     metrics, areas, frames, sheet = measured(spark)
-    out = preparation.prepare(index["media_manifest"], index["video_window_index"], metrics, areas, frames, normalize_climate(sheet, "room_1"))
+    out = preparation.prepare(index["media_manifest"], index["video_window_index"], metrics, areas, frames, normalize_climate(sheet, "room_1"), store=store)
     merged = {r["window_id"]: r for r in out["processed_multimodal_window_table"].collect()}
     assert len(merged) == 5
     good, bad = merged["media_000001_w0001"], merged["media_000002_w0001"]

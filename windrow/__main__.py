@@ -90,45 +90,63 @@ def climate_of(folder: Folder) -> DataFrame | None:
     return normalize_climate(folder.raw("climate_sheet")) if folder.has("climate_sheet") else None
 
 
-def run_clean(folder: Folder, args, settings) -> dict[str, DataFrame]:
+class Store:
+    """Writes each finished table once and hands back the written table; in a dry run it hands back the plan."""
+
+    def __init__(self, spark: SparkSession, folder: str, csv: bool, dry: bool):
+        self.spark, self.folder, self.csv, self.dry = spark, folder.rstrip("/"), csv, dry
+        self.done: set[str] = set()
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        if self.dry or name in self.done:
+            return df
+        self.done.add(name)
+        if name == "timeline":
+            write_timeline(df, {"metadata": {"title": "window twin timeline"}}, f"{self.folder}/timeline")
+            return df
+        write_table(df, f"{self.folder}/{name}", csv=self.csv)
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def run_clean(folder: Folder, args, settings, store: Store) -> dict[str, DataFrame]:
     mapping = f"{folder.path}/path_mapping.csv"
     rules = read_mapping(folder.spark, mapping) if path_exists(folder.spark, mapping) else None
-    return cleaning.clean_recordings(folder.raw("files"), rules, settings["timezone"], settings["windowing"])
+    return cleaning.clean_recordings(folder.raw("files"), rules, settings["timezone"], settings["windowing"], store)
 
 
-def run_prepare(folder: Folder, args, settings) -> dict[str, DataFrame]:
+def run_prepare(folder: Folder, args, settings, store: Store) -> dict[str, DataFrame]:
     steps = preparation.STAGES[args.stage]
     out: dict[str, DataFrame] = {}
     if "index" in steps:
         files = folder.raw("files")
         if args.max_media is not None:
             files = files.orderBy(F.lower("relative_path"), "media_id").limit(args.max_media)
-        out |= preparation.index_recordings(files, settings["windowing"], {"total": args.max_windows})
+        out |= preparation.index_recordings(files, settings["windowing"], {"total": args.max_windows}, store)
     manifest, windows = out.get("media_manifest"), out.get("video_window_index")
     climate = climate_of(folder) if "env" in steps else None
     if steps & {"video", "audio"}:
         out |= preparation.prepare(
             manifest, windows, folder.maybe("interval_metrics") if "video" in steps else None, folder.maybe("zone_areas") if "zones" in steps else None,
-            folder.maybe("audio_frames") if "audio" in steps else None, climate, settings["windowing"],
+            folder.maybe("audio_frames") if "audio" in steps else None, climate, settings["windowing"], store=store,
         )
     elif climate is not None:
         out["env_daily"] = climate
     return out
 
 
-def run_heatmap(folder: Folder, args, settings) -> dict[str, DataFrame]:
-    selected = heatmap.select(folder.raw("video_window_index"), k=args.max_windows, skip_bad=True)
+def run_heatmap(folder: Folder, args, settings, store: Store) -> dict[str, DataFrame]:
+    selected = store("selected_windows", heatmap.select(folder.raw("video_window_index"), k=args.max_windows, skip_bad=True))
     features = heatmap.measure(selected, folder.raw("media_manifest"), folder.raw("interval_metrics"), folder.raw("sample_times"), folder.raw("zones"), settings["windowing"])
     return {"selected_windows": selected, "video_zone_features": features}
 
 
-def run_twin(folder: Folder, args, settings) -> dict[str, DataFrame]:
+def run_twin(folder: Folder, args, settings, store: Store) -> dict[str, DataFrame]:
     zones, _ = twin.canonical_zones(folder.raw("video_zone_features"), folder.raw("selected_windows"), folder.raw("video_window_index"), folder.raw("media_manifest"))
     log = folder.maybe("event_log")
     return twin.run(zones, log, {"total": args.max_windows}, settings["events"], settings["resilience"], settings["model"], settings["mobility"])
 
 
-def run_context(folder: Folder, args, settings) -> dict[str, DataFrame]:
+def run_context(folder: Folder, args, settings, store: Store) -> dict[str, DataFrame]:
     biomarkers = with_time_columns(folder.raw("biomarker_window_table"))
     events = twin.event_frame(folder.raw("event_log"))
     plan = context.run_semantic if args.run == "semantic" else context.run
@@ -143,17 +161,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.appName(f"windrow {args.run}").getOrCreate()
     settings = load_settings(args.config)
     folder = Folder(spark, args.input)
-    tables = RUNS[args.run](folder, args, settings)
+    store = Store(spark, args.output, args.csv, args.dry_run)
+    tables = RUNS[args.run](folder, args, settings, store)
     if args.dry_run:
         for name, df in tables.items():
             print(name, ", ".join(df.columns))
         return tables
-    for name, df in tables.items():
-        if name == "timeline":
-            write_timeline(df, {"metadata": {"title": "window twin timeline"}}, f"{args.output}/timeline")
-        else:
-            write_table(df, f"{args.output}/{name}", csv=args.csv)
-    written = {n: spark.read.parquet(f"{args.output}/{n}.parquet") for n in tables if n != "timeline"}
+    written = {n: store(n, df) for n, df in tables.items()}
     if args.run == "clean":
         write_text(spark, report_lines("Recording clean-up", **cleaning.summarise(written)), f"{args.output}/report")
     elif "processed_multimodal_window_table" in written:

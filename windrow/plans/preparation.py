@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from windrow.functions.media import preparation_manifest
@@ -27,15 +29,28 @@ STAGES = {
 }
 
 
-def index_recordings(files: DataFrame, settings: WindowSettings = WindowSettings(), caps: dict[str, int | None] | None = None) -> dict[str, DataFrame]:
-    """Manifest and window index; ``caps`` limits windows per media, per room and overall."""
-    manifest = preparation_manifest(files)
+Store = Callable[[str, DataFrame], DataFrame]
+
+
+def keep_plan(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
+def index_recordings(
+    files: DataFrame, settings: WindowSettings = WindowSettings(), caps: dict[str, int | None] | None = None, store: Store = keep_plan
+) -> dict[str, DataFrame]:
+    """Manifest and window index; ``caps`` limits windows per media, per room and overall.
+
+    ``store`` may write a finished table and hand back the written one, so that
+    later steps read it instead of computing it again.
+    """
+    manifest = store("media_manifest", preparation_manifest(files))
     windows = sliding_windows(manifest, settings)
     caps = caps or {}
     limits = [(["media_id"], caps.get("per_media")), (["room_id"], caps.get("per_room")), ([], caps.get("total"))]
     if any(n is not None for _, n in limits):
         windows = cap_groups(windows, limits, ["room_id", "session_id", "start_time", "window_id"])
-    return {"media_manifest": manifest, "video_window_index": windows}
+    return {"media_manifest": manifest, "video_window_index": store("video_window_index", windows)}
 
 
 def failed_rows(rows: DataFrame, stage: str, issue: DataFrame | str = "no_interval_overlap") -> DataFrame:
@@ -51,30 +66,37 @@ def prepare(
     climate: DataFrame | None,
     settings: WindowSettings = WindowSettings(),
     frame_seconds: float = 1.0,
+    store: Store = keep_plan,
 ) -> dict[str, DataFrame]:
-    """Feature tables and the merged window table from measured intervals, audio frames and daily climate."""
+    """Feature tables and the merged window table from measured intervals, audio frames and daily climate.
+
+    Each finished table goes through ``store`` (see :func:`index_recordings`).
+    """
     timed = with_time_columns(windows)
     out: dict[str, DataFrame] = {}
     failed = []
     if interval_metrics is not None and zone_areas is not None:
-        zones = zone_features(timed, interval_metrics, manifest, zone_areas, settings)
+        zones = store("semantic_zone_video_features", zone_features(timed, interval_metrics, manifest, zone_areas, settings))
         out["semantic_zone_video_features"] = zones
-        out["semantic_biomarker_window_table"] = semantic_biomarkers(zones, ("room_id",))
+        out["semantic_biomarker_window_table"] = store("semantic_biomarker_window_table", semantic_biomarkers(zones, ("room_id",)))
         failed.append(failed_rows(zones.filter("frame_count_used = 0"), "video_features"))
     if audio_frames is not None:
         audio = audio_windows(audio_frames, manifest, windows, frame_seconds, settings=settings).withColumn("warnings", F.lit(""))
+        audio = store("audio_window_features", audio)
         out["audio_window_features"] = audio
         failed.append(audio.filter("not audio_available").select(F.lit("audio_features").alias("stage"), "window_id", "media_id", "room_id", F.col("audio_quality_flag").alias("issue")))
     if climate is not None:
+        climate = store("env_daily", climate)
         out["env_daily"] = climate
     if "semantic_biomarker_window_table" in out:
         keep = ["window_id", "media_id", "room_id", "session_id", "start_time", "end_time"]
         audio_part = None
         if "audio_window_features" in out:
             audio_part = out["audio_window_features"].select(*keep, *[c for c in out["audio_window_features"].columns if c.startswith("audio_")], "warnings")
-        out["processed_multimodal_window_table"] = merge_modalities(timed, out["semantic_biomarker_window_table"], audio_part, climate)
+        merged = merge_modalities(timed, out["semantic_biomarker_window_table"], audio_part, climate)
+        out["processed_multimodal_window_table"] = store("processed_multimodal_window_table", merged)
     if failed:
-        out["failed_windows"] = combine_failed(*failed)
+        out["failed_windows"] = store("failed_windows", combine_failed(*failed))
     return out
 
 
