@@ -297,3 +297,14 @@ def test_axis_with_value_blocks(spark):
     df = spark.createDataFrame([(float(x),) for x in (5, 1, 1, 9, 3)], "v double").withColumn("i", F.monotonically_increasing_id())
     got = sorted((r["v"], r["n"]) for r in with_position(df, Axis((), ("v", "i"), F.floor("v")), "n").collect())
     assert got == [(1.0, 1), (1.0, 2), (3.0, 3), (5.0, 4), (9.0, 5)]
+
+
+def test_rows_without_time_come_last(spark):
+    data = [("r", None, "w0", 0, 1.0), ("r", 5 * MICROS, "w1", 0, 2.0), ("r", 1 * MICROS, "w2", 0, 3.0), ("r", None, "w3", 0, 4.0)]
+    df = spark.createDataFrame(data, DDL)
+    axis = time_axis(KEYS, seconds=2)
+    assert collect(with_position(df, axis), "position") == {"w2": 1, "w1": 2, "w0": 3, "w3": 4}
+    near = collect(with_neighbours(df, axis, before={"pv": "value"}), "pv")
+    assert near == {"w2": None, "w1": 3.0, "w0": 2.0, "w3": 1.0}
+    back = collect(with_running(df, axis.reversed(), n=("count", F.lit(1))), "n")
+    assert back == {"w3": 1, "w0": 2, "w1": 3, "w2": 4}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from windrow.functions.times import overlap_seconds
 from windrow.operators.ordered import Axis, join_same, time_block, with_neighbours, with_running
 from windrow.operators.quantiles import exact_percentiles, long_values
+from windrow.session import cut_lineage
 from windrow.settings import BASELINE, DURING, MICROS, OUTSIDE, PHASES, RECOVERY, EventSettings
 
 _PHASE_ORDER = {p: i for i, p in enumerate(PHASES)}
@@ -169,7 +170,9 @@ def phase_summary(labelled: DataFrame, means: dict[str, str], maxes: dict[str, s
 def phase_metrics_long(labelled: DataFrame, metrics: list[str]) -> DataFrame:
     """Phase × metric: count, mean, median, max, sample std, and change against the baseline mean."""
     part = labelled.filter(F.col("event_phase").isin(*PHASES) & F.col("event_id").isNotNull())
-    long = long_values(part.withColumnRenamed("event_phase", "phase"), ["phase"], metrics)
+    # the labelled part is small next to its input and is read by every aggregate below
+    slim = cut_lineage(part.select(F.col("event_phase").alias("phase"), *metrics))
+    long = long_values(slim, ["phase"], metrics)
     keys = ["phase", "metric"]
     stats = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_windows"), F.avg("value").alias("mean"), F.max("value").alias("max"), F.stddev_samp("value").alias("std")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from windrow.settings import MICROS
 
 _BLOCK = "_blk"
+_LAST = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,8 @@ class Axis:
     def prepare(self, df: DataFrame) -> DataFrame:
         """Add non-null text keys (so joins and windows share one partitioning) and the block."""
         extra = {g: F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for g, k in zip(self.groups, self.keys)}
-        block = F.coalesce(self.block.cast("bigint"), F.lit(-1).cast("bigint"))
+        # rows without an order value come last, as in the ordering itself
+        block = F.coalesce(self.block.cast("bigint"), F.lit(_LAST).cast("bigint"))
         return df.withColumns({**extra, _BLOCK: -block if self.descending else block})
 
     def inside(self):
