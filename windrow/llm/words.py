@@ -16,6 +16,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NO_LETTER = np.ones(256, bool)  # ASCII other than letters and digits; bytes of longer characters count as letters
+NO_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -50,13 +52,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of some texts: ``hash`` of each, ``begin`` and ``end`` byte in ``data``, ``first`` word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, gaps: np.ndarray = SPACE):
         if lower:
             data = LOWER[data]
         self.data, self.offsets = data, offsets
         n = len(data)
         word = np.zeros(n + 2, bool)
-        word[1:-1] = ~SPACE[data]
+        word[1:-1] = ~gaps[data]
         cuts = offsets[1:-1]
         # a text's first byte starts a word even if the byte before, of another text, is not white space
         edge = np.zeros(n + 1, bool)
@@ -80,7 +82,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def slices(texts: pa.Array, size: int = 1_000_000, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def slices(texts: pa.Array, size: int = 1_000_000, lower: bool = False, gaps: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """Words of consecutive texts of about ``size`` bytes together (a longer text comes alone), with their range."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -94,7 +96,7 @@ def slices(texts: pa.Array, size: int = 1_000_000, lower: bool = False) -> Itera
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     cuts = np.flatnonzero(np.diff((offsets[1:] - offsets[0]) // size)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
-        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower, gaps)
 
 
 def chained(hashes: np.ndarray, n: int) -> np.ndarray:
