@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, exact_dedup, fingerprints, mixing, toxicity, url_filter
+from windrow.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKS)
 
 
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bucket = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    out = lm_score.score(docs, bucket != 2)
+    return out.select("doc_id", (bucket == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def toxicity_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Index:
     """Index over the documents whose labels may be learnt from."""
     return toxicity.fit(docs, table(spark, sf_dir, "labels"), F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
