@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, toxicity, url_filter
+from windrow.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, phrase_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +108,25 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query(
+    "op8_phrase_dedup",
+    r"""
+    WITH words AS (
+        SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+    ), windows AS (
+        SELECT d, s, list_aggregate(w[s : s + 34], 'string_agg', ' ') AS k FROM (SELECT d, w, unnest(range(1, len(w) - 33)) AS s FROM words WHERE len(w) >= 35)
+    ), again AS (SELECT d, s FROM windows JOIN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1) USING (k)),
+    gone AS (SELECT DISTINCT d, unnest(range(s, s + 35)) AS p FROM again),
+    places AS (SELECT d, doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM words),
+    kept AS (SELECT d, string_agg(w[p], ' ' ORDER BY p) AS t, count(*) AS n FROM places ANTI JOIN gone USING (d, p) GROUP BY d)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (d)
+    """,
+)
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_dedup.deduplicated(table(spark, sf_dir, "documents"), size=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op10_exact_dedup",
     r"""
