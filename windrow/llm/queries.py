@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, phrase_dedup, toxicity, url_filter
+from windrow.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, near_dedup, phrase_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,6 +127,34 @@ def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query(
+    "op9_near_dedup",
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+                            ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+    ), numbered AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+    terms AS (SELECT c, n, unnest(s) AS t FROM numbered),
+    rare AS (SELECT t, count(*) AS df FROM terms GROUP BY t),
+    ranked AS (SELECT c, n, t, row_number() OVER (PARTITION BY c ORDER BY df, t) AS r FROM terms JOIN rare USING (t)),
+    prefix AS (SELECT * FROM ranked WHERE r <= n - ceil(n * 0.8) + 1),
+    pairs AS (SELECT DISTINCT a.c AS a, b.c AS b, a.n AS an, b.n AS bn FROM prefix a JOIN prefix b ON a.t = b.t AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+    links AS (
+        SELECT a, b FROM (SELECT a, b, an, bn, count(*) AS i FROM pairs JOIN terms x ON x.c = a JOIN terms y ON y.c = b AND y.t = x.t GROUP BY ALL)
+        WHERE 100 * i >= 80 * (an + bn - i)
+    ), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(a, b) AS (SELECT c, c FROM numbered UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+    least AS (SELECT a AS c, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, len(s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+    FROM sets LEFT JOIN numbered USING (s) LEFT JOIN least USING (c)
+    """,
+)
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=2, similarity=(80, 100))
+
+
 @query(
     "op10_exact_dedup",
     r"""
