@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from windrow.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, near_dedup, phrase_dedup, secret_scan, toxicity, url_filter
 
@@ -101,11 +101,16 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoding_digests() -> list[Column]:
+    """SHA-256 of ``ids`` (decimal, joined by a space) and of ``decoded``."""
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return [F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents"), word_vocabulary())
-    joined = F.array_join(out["ids"].cast("array<string>"), " ")
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), *encoding_digests())
 
 
 @query("op7_secret_scan")

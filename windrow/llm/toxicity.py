@@ -224,7 +224,7 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: np.ndarray) -> t
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, evidence: int = 5, keep: list[str] | None = None) -> DataFrame:
-    """``doc_id``, ``score``, ``predicted`` and ``evidence`` of every row; with ``keep``, those columns of ``docs`` and ``score``.
+    """``doc_id``, ``score``, ``predicted`` and ``evidence`` of every row; with ``keep``, those columns of ``docs`` as ``column_0`` on and ``score``.
 
     ``evidence`` has the nearest examples as (doc_id, cosine, toxic). Only the text shapes a score.
 
@@ -234,9 +234,10 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(text.alias("_scored_text"), *([docs[id_col].alias("doc_id")] if keep is None else [docs[c] for c in keep]))
+    kept = [docs[id_col].alias("doc_id")] if keep is None else [docs[c].alias(f"column_{k}") for k, c in enumerate(keep)]
+    rows = docs.select(text.alias("text"), *kept)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    extra = ["_score double"] if keep is not None else ["score double", "predicted int", "evidence array<struct<doc_id:string,cosine:float,toxic:int>>"]
+    extra = ["score double"] if keep is not None else ["score double", "predicted int", "evidence array<struct<doc_id:string,cosine:float,toxic:int>>"]
     near = pa.list_(pa.struct([("doc_id", pa.string()), ("cosine", pa.float32()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,3 +255,9 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *[e.split(" ")[0] for e in extra]])
 
     return rows.mapInArrow(run, ", ".join(fields + extra))
+
+
+def without_toxic(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
+    scored = score(docs, index, text_col=text_col, keep=docs.columns).filter(F.col("score") < threshold)
+    return scored.select(*[F.col(f"column_{k}").alias(c) for k, c in enumerate(docs.columns)])
