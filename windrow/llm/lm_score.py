@@ -121,7 +121,7 @@ class Model:
 
 
 def item(grams: np.ndarray, step: int) -> np.ndarray:
-    return mix(grams + _U(step) * _U(0xD6E8FEB86659FD93))
+    return mix(grams + _U(step * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,10 +48,10 @@ def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
         if b - a >= width:
             yield np.unique(runs[a : b - width + 1])
         elif b > a:
-            short = h[a]
+            short = h[a : a + 1]
             for k in range(a + 1, b):
-                short = mix(np.array([short * _GOLD + h[k]], np.uint64))[0]
-            yield np.array([mix(np.array([short], np.uint64) + _U(b - a))[0]], np.uint64)
+                short = mix(short * _GOLD + h[k : k + 1])
+            yield mix(short + _U(b - a))
         else:
             yield np.zeros(0, np.uint64)
 

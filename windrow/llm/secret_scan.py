@@ -96,8 +96,8 @@ def battery(token: Column) -> Column:
 def _measured(x: Column) -> Column:
     s, a = x["s"], x["a"]
     count = lambda c: F.pow((F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"), F.lit(2.0))
-    squares = F.aggregate(F.split(a, "(?!^)"), F.lit(0.0), lambda acc, c: acc + count(c))
-    places = F.transform(F.split(s, "(?!^)"), lambda c: F.instr(a, c).cast("double") - 1)
+    squares = F.aggregate(F.split(a, ""), F.lit(0.0), lambda acc, c: acc + count(c))
+    places = F.transform(F.split(s, ""), lambda c: F.instr(a, c).cast("double") - 1)
     return F.struct(F.length(s).cast("double").alias("n"), F.length(a).cast("double").alias("k"), x["u"].alias("u"), squares.alias("squares"), places.alias("v"))
 
 
