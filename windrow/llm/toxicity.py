@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         index.blocks.append(matrix[:, : len(part)])
     chosen_checks = {str(i) for i in checks}
     tests = [r for r in rows if r["doc_id"] in chosen_checks]
-    index.prior = float(np.mean([r["toxic"] for r in tests]))
+    index.prior = float(np.mean([r["toxic"] for r in tests] or [0.0]))
     votes = np.array([index.vote(*index.nearest(*index.vector(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)), but=r["doc_id"])) for r in tests])
     truth = np.array([float(r["toxic"]) for r in tests])
     usable = ~np.isnan(votes) if len(votes) else np.zeros(0, bool)
