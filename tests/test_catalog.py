@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
+from windrow import catalog  # noqa: E402
 from check_queries import TABLES, rows_of  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -37,8 +38,9 @@ def test_query_matches_sql(spark, connection, name):
 
 
 def test_registry():
-    queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(queries) and len(queries) > 100
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    queries, sql = catalog.QUERIES, catalog.ORACLES
+    assert len(queries) > 100
     assert set(queries) - set(sql) == {"correlation_table", "hmm_states", "gmm_states"}
 
 

@@ -12,7 +12,7 @@ from windrow.functions.times import with_time_columns
 from windrow.kernels import zones as zn
 from windrow.models.states import GMM
 from windrow.operators.biomarkers import room_biomarkers
-from windrow.operators.selection import Strategy, first_mapping, greedy_picks
+from windrow.operators.selection import first_mapping, spaced_extremes
 from windrow.operators.windowing import sliding_windows
 from windrow.plans import cleaning, context, heatmap, preparation, twin
 from windrow.session import cut_lineage
@@ -208,7 +208,10 @@ def test_sinks(spark, tmp_path):
     sinks.write_timeline(df, {"metadata": {}}, str(tmp_path / "tl"))
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "tl/frames")).orderBy("value").collect()]
     assert lines[0] == {"k": "a", "v": None, "arr": [1]}
-    assert "| k | v |" in sinks.report_lines("T", rows=df.select("k", "v"))
+    sinks.write_report(str(tmp_path / "report"), "T", rows=df.select("k", "v"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "report/index")).collect()]
+    assert lines[0] == "# T" and "rows: 2 rows" in lines[-1]
+    assert spark.read.parquet(str(tmp_path / "report/rows.parquet")).count() == 2
     sinks.copy_tables({"x": df}, str(tmp_path / "copy"))
     assert spark.read.option("header", True).csv(str(tmp_path / "copy/x.csv")).count() == 2
 
@@ -294,7 +297,7 @@ def test_heatmap_run(spark):
 def test_evidence_picks(spark):
     rows = [(f"w{i:02d}", i * 600 * MICROS, 6 + i % 12, float(i % 7) / 7, float((i * 3) % 11)) for i in range(30)]
     df = spark.createDataFrame(rows, "window_id string, start_us bigint, local_hour int, activity_mean double, metric double")
-    got = greedy_picks(df, (Strategy("a", "metric"), Strategy("b", "metric"), Strategy("c", "activity_mean", ascending=True, min_activity=0.1))).collect()
+    got = spaced_extremes(df, [{"name": "a", "metric": "metric"}, {"name": "b", "metric": "metric"}, {"name": "c", "metric": "activity_mean", "lowest": True, "floors": {"activity_mean": 0.1}}]).collect()
     taken, want = [], []
     for key, col, asc, floor in (("a", 4, False, None), ("b", 4, False, None), ("c", 3, True, 0.1)):
         pool = [r for r in rows if 7 <= r[2] < 17 and (floor is None or r[3] >= floor) and all(abs(r[1] - t) >= 1_200 * MICROS for t in taken)]

@@ -17,7 +17,7 @@ from windrow.functions.times import with_time_columns
 from windrow.operators.climate import normalize_climate
 from windrow.plans import cleaning, context, heatmap, preparation, twin
 from windrow.settings import EventSettings, ModelSettings, MobilityWeights, ResilienceSettings, WindowSettings
-from windrow.sources.sinks import report_lines, write_table, write_text, write_timeline
+from windrow.sources.sinks import write_report, write_table, write_timeline
 from windrow.sources.tables import path_exists, read_mapping, read_table
 
 
@@ -124,10 +124,12 @@ def run_prepare(folder: Folder, args, settings, store: Store) -> dict[str, DataF
         out |= preparation.index_recordings(files, settings["windowing"], {"total": args.max_windows}, store)
     manifest, windows = out.get("media_manifest"), out.get("video_window_index")
     climate = climate_of(folder) if "env" in steps else None
-    if steps & {"video", "audio"}:
+    if args.stage == "zones":
+        out["zone_configuration"] = preparation.zone_configuration(folder.raw("zone_areas"), folder.maybe("rooms"))
+    elif steps & {"video", "audio"}:
         out |= preparation.prepare(
             manifest, windows, folder.maybe("interval_metrics") if "video" in steps else None, folder.maybe("zone_areas") if "zones" in steps else None,
-            folder.maybe("audio_frames") if "audio" in steps else None, climate, settings["windowing"], store=store,
+            folder.maybe("audio_frames") if "audio" in steps else None, climate, settings["windowing"], store=store, steps=steps,
         )
     elif climate is not None:
         out["env_daily"] = climate
@@ -169,9 +171,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         return tables
     written = {n: store(n, df) for n, df in tables.items()}
     if args.run == "clean":
-        write_text(spark, report_lines("Recording clean-up", **cleaning.summarise(written)), f"{args.output}/report")
+        write_report(f"{args.output}/report", "Recording clean-up", **cleaning.summarise(written))
     elif "processed_multimodal_window_table" in written:
-        write_text(spark, report_lines("Hand-off", **preparation.summarise(written)), f"{args.output}/report")
+        write_report(f"{args.output}/report", "Hand-off", **preparation.summarise(written))
     return written
 
 

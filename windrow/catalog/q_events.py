@@ -23,7 +23,7 @@ def event_phase_labels(spark, sf):
 
 
 @query("event_labels_any_room", f"WITH {tb.HOURS}" + """,
-wide AS (SELECT CAST(event_id AS VARCHAR) AS event_id, epoch_us(ts) AS event_start_us, epoch_us(ts) + 3600000000 AS event_end_us, event_id AS event_seq FROM events WHERE event_type = 'error' AND value >= 250),
+wide AS (SELECT CAST(event_id AS VARCHAR) AS event_id, epoch_us(ts) AS event_start_us, epoch_us(ts) + 3600000000 AS event_end_us, event_id AS event_seq FROM events WHERE event_type = 'error' AND value >= 100),
 s AS (SELECT w.window_id, e.event_id, e.event_seq, CASE WHEN (least(w.end_us, e.event_end_us) - greatest(w.start_us, e.event_start_us)) / 1e6 >= 1 THEN 3
              WHEN w.end_us <= e.event_start_us AND w.end_us > e.event_start_us - 7200000000 THEN 2 WHEN w.start_us >= e.event_end_us AND w.start_us < e.event_end_us + 7200000000 THEN 1 END AS pri FROM hw w, wide e),
 b AS (SELECT * FROM s WHERE pri IS NOT NULL QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY pri DESC, event_seq) = 1)
@@ -32,7 +32,7 @@ def event_labels_any_room(spark, sf):
     """Events without a room label the windows of every room."""
     from windrow.settings import EventSettings
 
-    log = tb.event_log(spark, sf, floor=250.0).withColumn("room_id", F.lit(""))
+    log = tb.event_log(spark, sf).withColumn("room_id", F.lit(""))
     df = ev.label_windows(tb.hour_windows(spark, sf), log, EventSettings(baseline_minutes=120, recovery_minutes=120))
     priority = F.when(F.col("event_phase") == PHASES[1], 3).when(F.col("event_phase") == PHASES[0], 2).when(F.col("event_phase") == PHASES[2], 1).otherwise(0)
     return rounded(df.select("window_id", "event_id", priority.alias("priority")))

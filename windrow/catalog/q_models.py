@@ -89,13 +89,13 @@ def semantic_state_labels(spark, sf):
     return rounded(rk.with_labels(summary, rk.semantic_label()).select("state_id", "state_risk_weight", "state_label"))
 
 
-@query("row_risk", """WITH p AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE))) AS v, label FROM embeddings), q AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS v, label FROM p)
-SELECT vec_id, round(least(greatest(v[1] * 0.1 + v[2] * 0.35 + v[3] * 0.6 + v[4] * 0.9, 0), 1), 6) AS risk, round(list_max(v), 6) AS state_probability_max FROM q""")
+@query("row_risk", """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings), q AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS v FROM p)
+SELECT vec_id, round(least(greatest(list_sum(list_transform(v, lambda x, i: x * [0.1, 0.35, 0.6, 0.9][(i - 1) % 4 + 1])), 0), 1), 6) AS risk, round(list_max(v), 6) AS state_probability_max FROM q""")
 def row_risk(spark, sf):
-    """Posteriors from the first four coordinates, weighed by fixed state risks."""
-    first = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")))
-    df = tb.table(spark, sf, "embeddings").select("vec_id", first.alias("v")).withColumn("v", arrays.distribution(F.col("v")))
-    weights = F.array(*[F.lit(w) for w in (0.1, 0.35, 0.6, 0.9)])
+    """Posteriors from all coordinates, weighed by state risks that repeat along them."""
+    df = tb.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v")).withColumn("v", arrays.distribution(F.col("v")))
+    levels = F.array(*[F.lit(w) for w in (0.1, 0.35, 0.6, 0.9)])
+    weights = F.transform("v", lambda _, i: F.get(levels, i % 4))
     return rounded(df.select("vec_id", rk.row_risk(F.col("v"), weights).alias("risk"), F.array_max("v").alias("state_probability_max")))
 
 
@@ -126,8 +126,7 @@ def _biomarkers(spark, sf):
 def hmm_states(spark, sf):
     """Sequence model over the window biomarkers (an iterative fit; no SQL form)."""
     df = _biomarkers(spark, sf)
-    settings = ModelSettings(max_iterations=8)
-    result = fit_states(df, settings, kind=HMM)
+    result = fit_states(df, ModelSettings(), kind=HMM)
     return rounded(result.sequence.select("window_id", "state_id", "state_label", "state_run_length", "state_probability_max", "welfare_risk_score", "risk_level", "sustained_risk_flag"), 4)
 
 

@@ -8,7 +8,7 @@ from windrow.catalog import testbed as tb
 from windrow.catalog.registry import query, rounded
 from windrow.operators import events as ev, resilience as rs, sequences as sq
 from windrow.operators.ordered import time_axis, with_position
-from windrow.operators.selection import Strategy, greedy_picks
+from windrow.operators.selection import spaced_extremes
 
 _ROOM = ("room_id",)
 _H = f"WITH {tb.HOURS}"
@@ -168,28 +168,28 @@ def risk_levels(spark, sf):
     return df.select("window_id", sq.risk_level(F.col("r")).alias("risk_level"), sq.risk_level_binned(F.col("r")).alias("risk_level_binned"))
 
 
-_PICKS = (
-    Strategy("activity_peak", "activity_mean"),
-    Strategy("second_peak", "k_mean", min_activity=40.0),
-    Strategy("calm", "activity_mean", ascending=True, daylight_only=False),
-    Strategy("spread", "activity_total", min_activity=20.0, min_metric=100.0),
-)
+_PICKS = [
+    {"name": "activity_peak", "metric": "activity_mean"},
+    {"name": "second_peak", "metric": "k_mean", "floors": {"activity_mean": 40.0}},
+    {"name": "calm", "metric": "activity_mean", "lowest": True, "any_hour": True},
+    {"name": "spread", "metric": "activity_total", "floors": {"activity_mean": 20.0, "activity_total": 100.0}},
+]
 
 
-def _greedy_sql() -> str:
+def _picks_sql() -> str:
     parts, gaps = [f"WITH {tb.HOURS}", "x AS (SELECT *, (start_us // 3600000000) % 24 AS local_hour FROM hw)"], ""
-    for i, s in enumerate(_PICKS):
-        where = "TRUE" + (" AND local_hour >= 7 AND local_hour < 17" if s.daylight_only else "")
-        where += f" AND activity_mean >= {s.min_activity}" if s.min_activity is not None else ""
-        where += f" AND {s.metric} >= {s.min_metric}" if s.min_metric is not None else ""
-        parts.append(f"p{i} AS (SELECT '{s.key}' AS selection_key, window_id, start_us, {s.metric} AS v, (SELECT count(*) FROM x b WHERE b.{s.metric} < a.{s.metric}) + 1 AS r FROM x a WHERE {where}{gaps} ORDER BY {s.metric} {'ASC' if s.ascending else 'DESC'}, start_us, window_id LIMIT 1)")
+    for i, rule in enumerate(_PICKS):
+        metric = rule["metric"]
+        where = "TRUE" + ("" if rule.get("any_hour") else " AND local_hour >= 7 AND local_hour < 17")
+        where += "".join(f" AND {c} >= {least}" for c, least in rule.get("floors", {}).items())
+        parts.append(f"p{i} AS (SELECT '{rule['name']}' AS selection_key, window_id, start_us, {metric} AS v, (SELECT count(*) FROM x b WHERE b.{metric} < a.{metric}) + 1 AS r FROM x a WHERE {where}{gaps} ORDER BY {metric} {'ASC' if rule.get('lowest') else 'DESC'}, start_us, window_id LIMIT 1)")
         gaps += f" AND abs(start_us - (SELECT start_us FROM p{i})) >= 1200000000"
     union = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(_PICKS)))
     return ", ".join(parts) + f" SELECT selection_key, window_id, round(v, 6) AS selection_value, round(r / (SELECT CAST(count(*) AS DOUBLE) FROM x), 6) AS selection_rank_pct FROM ({union})"
 
 
-@query("greedy_evidence", _greedy_sql())
+@query("greedy_evidence", _picks_sql())
 def greedy_evidence(spark, sf):
-    """One extreme window per strategy, each far enough from the picks before it."""
+    """One extreme window per rule, each far enough from the picks before it."""
     df = tb.hour_windows(spark, sf).withColumn("local_hour", (F.floor(F.col("start_us") / tb.HOUR_US) % 24).cast("int"))
-    return rounded(greedy_picks(df, _PICKS).select("selection_key", "window_id", "selection_value", "selection_rank_pct"))
+    return rounded(spaced_extremes(df, _PICKS).select("selection_key", "window_id", "selection_value", "selection_rank_pct"))

@@ -98,7 +98,8 @@ def flow_metrics(pairs: DataFrame, masks: dict[str, np.ndarray], motion_threshol
 def zone_features(windows: DataFrame, metrics: DataFrame, media: DataFrame, areas: DataFrame, settings: WindowSettings = WindowSettings(), keep_media_status: bool = True) -> DataFrame:
     """Interval metrics → one row per window and zone, with status, warnings and the zone's part of the activity.
 
-    A window without intervals is ``failed``; with ``keep_media_status`` a media
+    ``areas`` with a ``room_id`` is a configuration per room; a window of a room without one is a single failed row without a
+    zone. A window without intervals is ``failed``; with ``keep_media_status`` a media
     status other than ``ok`` is shown instead.
     """
     measured = aggregate_points(
@@ -115,7 +116,7 @@ def zone_features(windows: DataFrame, metrics: DataFrame, media: DataFrame, area
         {
             "frame_count_used": F.coalesce("frame_count_used", F.lit(0)),
             "quality_status": status,
-            "warnings": combine_warnings("warnings", F.when(none, F.lit("no_interval_overlap"))),
+            "warnings": combine_warnings("warnings", F.when(F.col("zone_id").isNull(), F.lit("missing_semantic_zone_config")).when(none, F.lit("no_interval_overlap"))),
         }
     )
     return activity_share(df)

@@ -265,12 +265,12 @@ def _any_long(packed: DataFrame) -> bool:
     return packed.filter("_chunks > 1").limit(1).count() > 0
 
 
-def initial_model(df: DataFrame, k: int, features: str, seed: int) -> GaussianHmm:
-    """Uniform start and transitions, k-means centres, overall variances."""
+def initial_model(df: DataFrame, k: int, features: str, seed: int, centre_steps: int = 300) -> GaussianHmm:
+    """Uniform start and transitions, k-means centres (to convergence, or ``centre_steps``), overall variances."""
     vectors = df.select(array_to_vector(features).alias("features"))
     d = len(df.select(features).first()[0])
     spread = df.agg(*[F.var_pop(F.col(features)[i]).alias(f"v{i}") for i in range(d)]).first()
-    centres = np.array(KMeans(k=k, seed=seed, maxIter=20).fit(vectors).clusterCenters(), dtype=float)
+    centres = np.array(KMeans(k=k, seed=seed, maxIter=centre_steps).fit(vectors).clusterCenters(), dtype=float)
     # fewer distinct points than states: spread copies a little so that states can part
     while len(centres) < k:
         centres = np.vstack([centres, centres[len(centres) % max(len(centres), 1)] + 1e-3 * (len(centres) + 1)])

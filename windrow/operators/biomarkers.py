@@ -210,12 +210,15 @@ def activity_share(zones: DataFrame, window: str = "window_id", value: str = "ac
 def fill_zones(windows: DataFrame, zones: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """One row per window and configured zone; zones without features are null rows.
 
-    ``zones`` is the zone configuration (a handful of rows): it becomes one
-    array, and each window is repeated once per entry.
+    With a ``room_id`` in ``zones`` (the zone configuration) a window has the zones of its room, and a window of a room without
+    configuration is one row with a null zone. Without it one layout serves all rooms.
     """
-    layout = zones.agg(F.collect_list(F.struct(*zones.columns)).alias("_layout"))
-    grid = attach_row(windows, layout).withColumn("_z", F.explode("_layout"))
-    grid = grid.select(*windows.columns, *[F.col("_z")[c].alias(c) for c in zones.columns])
+    if "room_id" in zones.columns and "room_id" in windows.columns:
+        grid = join_same(windows, zones, ["room_id"])
+    else:
+        layout = zones.agg(F.collect_list(F.struct(*zones.columns)).alias("_layout"))
+        grid = attach_row(windows, layout).withColumn("_z", F.explode("_layout"))
+        grid = grid.select(*windows.columns, *[F.col("_z")[c].alias(c) for c in zones.columns])
     return join_same(grid, features, [*keys, "zone_id"])
 
 

@@ -275,8 +275,7 @@ def even_spread(df: DataFrame, axis: Axis, k: int, name: str = "selection_rank")
             (F.col("_i") + 1).cast("bigint").alias(name),
         )
     )
-    # exactly k rows; beyond a size that fits everywhere the join is left to the planner
-    picked = placed.join(F.broadcast(spots) if k <= 100_000 else spots, "_pos").drop("_pos")
+    picked = placed.join(spots, "_pos").drop("_pos")
     everything = (
         attach_row(placed, size).filter(F.col("_size") <= k)
         .withColumn(name, F.col("_pos").cast("bigint")).drop("_pos", "_size")

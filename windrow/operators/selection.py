@@ -61,80 +61,62 @@ def select_windows(windows: DataFrame, axis: Axis, k: int | None = None, per_gro
 def first_mapping(files: DataFrame, mapping: DataFrame, path: str = "file_path", key: str = "media_id") -> DataFrame:
     """First mapping rule whose pattern is found in the path, and how many rules matched.
 
-    ``mapping``: ``map_order, pattern, …``. Each file is tested against each
-    rule, which is what the rule means; Spark broadcasts the rules while they
-    are below its size limit.
+    ``mapping``: ``map_order, pattern, …``, a configuration. The rules travel as one array, so each
+    file is tested in place and nothing is shuffled.
     """
-    values = [c for c in mapping.columns if c not in ("pattern",)]
-    rules = mapping.filter(F.coalesce(F.col("pattern"), F.lit("")) != "").select(F.struct(*values).alias("_rule"), "pattern")
-    hits = files.select(key, path).join(rules, F.expr(f"rlike({path}, concat('(?i)', pattern))"))
-    best = hits.groupBy(key).agg(F.min_by("_rule", "_rule.map_order").alias("_m"), F.count(F.lit(1)).alias("match_count"))
-    return files.join(best, key, "left").select(
+    values = [c for c in mapping.columns if c != "pattern"]
+    rules = mapping.filter(F.coalesce(F.col("pattern"), F.lit("")) != "").select(F.struct("map_order", "pattern", *[c for c in values if c != "map_order"]).alias("_rule"))
+    listed = attach_row(files, rules.agg(F.array_sort(F.collect_list("_rule")).alias("_rules")))
+    met = F.filter("_rules", lambda r: F.regexp_like(F.col(path), F.concat(F.lit("(?i)"), r["pattern"])))
+    found = listed.withColumn("_met", met).withColumn("_m", F.get("_met", F.lit(0)))
+    return found.select(
         *files.columns, *[F.col(f"_m.{v}").alias(f"mapped_{v}" if v != "map_order" else v) for v in values],
-        F.coalesce("match_count", F.lit(0)).alias("match_count"),
+        F.greatest(F.size("_met"), F.lit(0)).cast("bigint").alias("match_count"),
     )
 
 
-@dataclass(frozen=True)
-class Strategy:
-    """One evidence pick: the extreme of a metric under floors and daylight hours."""
+# The published picks, each the extreme of a metric among windows that reach the floors.
+EVIDENCE = [
+    {"name": "feeding_peak", "metric": "feeding_activity_fraction"},
+    {"name": "drinking_peak", "metric": "drinking_activity_fraction"},
+    {"name": "general_day_peak", "metric": "general_activity_fraction", "floors": {"activity_mean": 0.00014}},
+    {"name": "transition_peak", "metric": "semantic_transition_proxy", "floors": {"activity_mean": 0.005, "semantic_transition_proxy": 0.12}},
+    {"name": "mobility_peak", "metric": "mobility_index", "floors": {"activity_mean": 0.01}},
+]
 
-    key: str
-    metric: str
-    ascending: bool = False
-    daylight_only: bool = True
-    min_activity: float | None = None
-    min_metric: float | None = None
-    window_id: str | None = None
 
+def spaced_extremes(df: DataFrame, rules: list[dict] = EVIDENCE, gap_seconds: int = 1_200, daylight: tuple[int, int] = (7, 17)) -> DataFrame:
+    """One window per rule, in the order of the rules, none closer than ``gap_seconds`` to one picked before.
 
-# The published picks.
-STRATEGIES = (
-    Strategy("feeding_peak", "feeding_activity_fraction"),
-    Strategy("drinking_peak", "drinking_activity_fraction"),
-    Strategy("general_day_peak", "general_activity_fraction", min_activity=0.00014),
-    Strategy("transition_peak", "semantic_transition_proxy", min_activity=0.005, min_metric=0.12),
-    Strategy("mobility_peak", "mobility_index", min_activity=0.01),
-)
+    A rule has ``name`` and ``metric``, and may have ``floors`` (least values of columns), ``lowest`` (the smallest value instead
+    of the largest) and ``any_hour`` (else the local hour lies in ``daylight``). Equal values go to the earlier window, then the
+    smaller id.
 
-
-def greedy_picks(df: DataFrame, strategies: tuple[Strategy, ...] = STRATEGIES, gap_seconds: int = 1_200, daylight: tuple[int, int] = (7, 17)) -> DataFrame:
-    """One window per strategy, each at least ``gap_seconds`` from the picks before it.
-
-    Each step is a top-1 over the whole table. The start of a pick and its
-    metric are two numbers that the next steps need as constants.
+    The picks so far are one row, an array that an aggregate extends by the next best window; so the plan is
+    a chain with one scan for each rule and one for the ranks, and no step on the driver. A rule that no window meets ends the run with an error.
     """
-    chosen: list[DataFrame] = []
-    taken: list[int] = []
-    for s in strategies:
-        rows = df
-        if s.daylight_only:
-            rows = rows.filter((F.col("local_hour") >= daylight[0]) & (F.col("local_hour") < daylight[1]))
-        if s.min_activity is not None:
-            rows = rows.filter(F.col("activity_mean") >= s.min_activity)
-        if s.min_metric is not None:
-            rows = rows.filter(F.col(s.metric) >= s.min_metric)
-        if s.window_id is not None:
-            rows = rows.filter(F.col("window_id") == s.window_id)
-        for start in taken:
-            rows = rows.filter(F.abs(F.col("start_us") - F.lit(start)) >= gap_seconds * MICROS)
-        direction: Column = F.col(s.metric).asc_nulls_last() if s.ascending else F.col(s.metric).desc_nulls_last()
-        best = rows.orderBy(direction, F.col("start_us"), F.col("window_id")).limit(1)
-        pick = best.select("window_id", "start_us", s.metric).first()
-        if pick is None:
-            raise ValueError(f"no window matches {s.key}")
-        taken.append(pick["start_us"])
-        value = F.lit(pick[s.metric])
-        below = df.filter(F.col(s.metric).isNotNull()).agg(
-            ((F.sum((F.col(s.metric) < value).cast("bigint")) + 1) / F.count(F.lit(1))).alias("selection_rank_pct")
-        )
-        row = df.filter((F.col("window_id") == pick["window_id"]) & (F.col("start_us") == pick["start_us"]))
-        chosen.append(
-            attach_row(row, below).withColumns(
-                {"selection_key": F.lit(s.key), "selection_metric": F.lit(s.metric), "selection_value": F.col(s.metric)}
-            )
-        )
-    union = chosen[0]
-    for more in chosen[1:]:
-        union = union.unionByName(more)
-    return union
+    spark = df.sparkSession
+    kind = df.select(F.struct(F.lit("").alias("rule"), F.lit(0.0).alias("value"), *df.columns).alias("pick")).schema["pick"].dataType.simpleString()
+    picks = spark.range(1).select(F.array().cast(f"array<{kind}>").alias("_picks"))
+    for rule in rules:
+        value = F.col(rule["metric"]).cast("double")
+        fits = value.isNotNull()
+        if not rule.get("any_hour"):
+            fits &= (F.col("local_hour") >= daylight[0]) & (F.col("local_hour") < daylight[1])
+        for column, least in rule.get("floors", {}).items():
+            fits &= F.col(column) >= least
+        apart = ~F.exists("_picks", lambda pick: F.abs(pick["start_us"] - F.col("start_us")) < gap_seconds * MICROS)
+        row = F.struct(F.lit(rule["name"]).alias("rule"), value.alias("value"), *df.columns)
+        place = F.struct(value if rule.get("lowest") else -value, "start_us", "window_id")
+        best = attach_row(df.filter(fits), picks).filter(apart).agg(F.min_by(row, place).alias("_best"), F.first("_picks").alias("_before"))
+        known = F.when(F.col("_best").isNull(), F.raise_error(F.lit(f"no window matches {rule['name']}")).cast(kind)).otherwise(F.col("_best").cast(kind))
+        picks = best.select(F.concat("_before", F.array(known)).alias("_picks"))
+    below = [F.count_if(F.col(r["metric"]) < F.col("_picks")[k]["value"]) for k, r in enumerate(rules)]
+    share = [((b + 1) / F.count(r["metric"])).alias(r["name"]) for b, r in zip(below, rules)]
+    ranks = attach_row(df, picks).agg(F.first("_picks").alias("_picks"), F.array(*share).alias("_shares"))
+    rows = ranks.select(F.posexplode("_picks").alias("_at", "_pick"), "_shares")
+    metric = F.array(*[F.lit(r["metric"]) for r in rules])
+    return rows.select(
+        *[F.col(f"_pick.{c}").alias(c) for c in df.columns], F.get("_shares", "_at").alias("selection_rank_pct"),
+        F.col("_pick.rule").alias("selection_key"), F.get(metric, F.col("_at")).alias("selection_metric"), F.col("_pick.value").alias("selection_value"),
+    )

@@ -57,20 +57,20 @@ def pair_correlations(daily: DataFrame, left: list[str], right: list[str], left_
     )
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
+def _incomplete_beta(a: float, b: float, x: float, steps: int = 100_000) -> float:
+    """Regularised incomplete beta function by its continued fraction (modified Lentz); an error if it does not converge."""
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _incomplete_beta(b, a, 1.0 - x)
+        return 1.0 - _incomplete_beta(b, a, 1.0 - x, steps)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     f = d
-    for m in range(1, 500):
+    for m in range(1, steps):
         for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + k * d
             d = 1.0 / (d if abs(d) > tiny else tiny)
@@ -78,8 +78,8 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             f *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * f
+            return front * f
+    raise ArithmeticError(f"the incomplete beta function did not converge for {a}, {b}, {x}")
 
 
 @F.pandas_udf(DoubleType())

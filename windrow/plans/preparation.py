@@ -53,7 +53,18 @@ def index_recordings(
     return {"media_manifest": manifest, "video_window_index": store("video_window_index", windows)}
 
 
-def failed_rows(rows: DataFrame, stage: str, issue: DataFrame | str = "no_interval_overlap") -> DataFrame:
+def zone_configuration(areas: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
+    """Per room, the number of zones and a status; ``rooms`` (``room_id``) adds rooms without zones."""
+    if "room_id" not in areas.columns:
+        areas = areas.withColumn("room_id", F.lit(None).cast("string"))
+    sums = areas.groupBy("room_id").agg(F.countDistinct("zone_id").alias("zone_count"), F.count(F.lit(1)).alias("_rows"))
+    if rooms is not None:
+        sums = rooms.select("room_id").distinct().join(sums, "room_id", "full")
+    status = F.when(F.col("zone_count").isNull(), F.lit("missing_semantic_zone_config")).when(F.col("zone_count") < F.col("_rows"), F.lit("repeated_zone")).otherwise(F.lit("ok"))
+    return sums.select("room_id", F.coalesce("zone_count", F.lit(0)).alias("zone_count"), status.alias("status"))
+
+
+def failed_rows(rows: DataFrame, stage: str, issue: str = "no_interval_overlap") -> DataFrame:
     return rows.select(F.lit(stage).alias("stage"), "window_id", "media_id", "room_id", F.lit(issue).alias("issue")).distinct()
 
 
@@ -67,10 +78,12 @@ def prepare(
     settings: WindowSettings = WindowSettings(),
     frame_seconds: float = 1.0,
     store: Store = keep_plan,
+    steps: set[str] | frozenset[str] = frozenset(STAGES["all"]),
 ) -> dict[str, DataFrame]:
     """Feature tables and the merged window table from measured intervals, audio frames and daily climate.
 
-    Each finished table goes through ``store`` (see :func:`index_recordings`).
+    Each finished table goes through ``store`` (see :func:`index_recordings`). The merged table and the list of failed
+    windows belong to the step ``merge``; other stages leave those of an earlier run alone.
     """
     timed = with_time_columns(windows)
     out: dict[str, DataFrame] = {}
@@ -78,8 +91,10 @@ def prepare(
     if interval_metrics is not None and zone_areas is not None:
         zones = store("semantic_zone_video_features", zone_features(timed, interval_metrics, manifest, zone_areas, settings))
         out["semantic_zone_video_features"] = zones
-        out["semantic_biomarker_window_table"] = store("semantic_biomarker_window_table", semantic_biomarkers(zones, ("room_id",)))
-        failed.append(failed_rows(zones.filter("frame_count_used = 0"), "video_features"))
+        out["semantic_biomarker_window_table"] = store("semantic_biomarker_window_table", semantic_biomarkers(zones.filter("zone_id is not null"), ("room_id",)))
+        lacking = zones.filter("zone_id is null")
+        failed.append(failed_rows(lacking, "video_features", "missing_semantic_zone_config"))
+        failed.append(failed_rows(zones.filter("zone_id is not null and frame_count_used = 0"), "video_features"))
     if audio_frames is not None:
         audio = audio_windows(audio_frames, manifest, windows, frame_seconds, settings=settings).withColumn("warnings", F.lit(""))
         audio = store("audio_window_features", audio)
@@ -88,14 +103,14 @@ def prepare(
     if climate is not None:
         climate = store("env_daily", climate)
         out["env_daily"] = climate
-    if "semantic_biomarker_window_table" in out:
+    if "merge" in steps and "semantic_biomarker_window_table" in out:
         keep = ["window_id", "media_id", "room_id", "session_id", "start_time", "end_time"]
         audio_part = None
         if "audio_window_features" in out:
             audio_part = out["audio_window_features"].select(*keep, *[c for c in out["audio_window_features"].columns if c.startswith("audio_")], "warnings")
         merged = merge_modalities(timed, out["semantic_biomarker_window_table"], audio_part, climate)
         out["processed_multimodal_window_table"] = store("processed_multimodal_window_table", merged)
-    if failed:
+    if failed and "merge" in steps:
         out["failed_windows"] = store("failed_windows", combine_failed(*failed))
     return out
 

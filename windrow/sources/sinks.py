@@ -41,14 +41,13 @@ def write_model(spark: SparkSession, description: dict, path: str) -> None:
     write_text(spark, json.dumps(description), path)
 
 
-def report_lines(title: str, **frames: DataFrame) -> str:
-    """Markdown report of small summary frames; at most 50 rows of each are shown."""
-    out = [f"# {title}", ""]
+def write_report(path: str, title: str, **frames: DataFrame) -> None:
+    """Summary tables in full below ``path``, and an index with the number of rows of each."""
+    lines = [f"# {title}", ""]
     for name, frame in frames.items():
-        rows = frame.limit(50).collect()
-        out += [f"## {name.replace('_', ' ').capitalize()}", "", "| " + " | ".join(frame.columns) + " |", "|" + " --- |" * len(frame.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows] + [""]
-    return "\n".join(out)
+        write_table(frame, f"{path}/{name}", csv=True)
+        lines.append(f"{name}: {frame.sparkSession.read.parquet(f'{path}/{name}.parquet').count()} rows")
+    write_text(next(iter(frames.values())).sparkSession, "\n".join(lines), f"{path}/index")
 
 
 def copy_tables(tables: dict[str, DataFrame], folder: str, csv: bool = True) -> None:
@@ -57,4 +56,4 @@ def copy_tables(tables: dict[str, DataFrame], folder: str, csv: bool = True) ->
         write_table(df, f"{folder}/{name}", parquet=not csv, csv=csv)
 
 
-__all__ = ["write_table", "write_media_partitions", "write_timeline", "write_text", "write_model", "report_lines", "copy_tables"]
+__all__ = ["write_table", "write_media_partitions", "write_timeline", "write_text", "write_model", "write_report", "copy_tables"]
