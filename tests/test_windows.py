@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrow.operators import windowing as wn
-from windrow.operators.ordered import Axis, even_spread
+from windrow.operators.ordered import Axis, even_spread, range_position
 from windrow.operators.selection import cap_groups, select_windows
 from windrow.plans import heatmap
 
@@ -113,3 +113,12 @@ def test_select_without_limit_ranks_all(spark, rows):
     df = spark.createDataFrame(INDEX, INDEX_DDL)
     got = rows(select_windows(df, Axis((), ("start_time",), F.lit(0))), "selection_rank")
     assert [r["selection_rank"] for r in got] == list(range(1, 11))
+
+
+def test_positions_follow_rows_not_the_calendar(spark):
+    """All rows share one day: no partition has many more rows than the others, and positions are whole."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("x"), F.lit(0).alias("start_us"))
+    placed = range_position(df, [F.col("start_us"), F.col("x")], "n")
+    assert placed.filter(F.col("n") != F.col("x") + 1).count() == 0
+    parts = df.repartitionByRange(4, "start_us", "x").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert parts < 2 * 20_000 / 4

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from windrow.functions.text import path_key, room_id_from_path
 from windrow.operators.climate import SHEET_COLUMNS
-from windrow.operators.ordered import Axis, with_position
+from windrow.operators.ordered import range_position
 
 
 def scan_media(spark: SparkSession, root: str, pattern: str = "*.[mM][pP]4") -> DataFrame:
@@ -43,10 +43,8 @@ def with_media_ids(files: DataFrame, prefix: str = "media", positional: bool = F
     """
     if not positional:
         return files.withColumn("media_id", F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(path_key("relative_path"), 256), 1, 12)))
-    # blocks follow the first two characters of the path, which never decrease along it
     keyed = files.withColumn("_key", path_key("relative_path"))
-    block = F.ascii(F.substring("_key", 1, 1)) * 256 + F.ascii(F.substring("_key", 2, 1))
-    placed = with_position(keyed, Axis((), ("_key", "file_path"), block), "_n")
+    placed = range_position(keyed, [F.col("_key"), F.col("file_path")], "_n")
     return placed.withColumn("media_id", F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("_n").cast("string"), 6, "0"))).drop("_key", "_n")
 
 
