@@ -11,7 +11,7 @@ from windrow.functions.media import cleaning_manifest, preparation_manifest
 from windrow.functions.times import with_time_columns
 from windrow.kernels import zones as zn
 from windrow.models.states import GMM
-from windrow.operators.biomarkers import room_biomarkers
+from windrow.operators.biomarkers import fill_zones, room_biomarkers
 from windrow.operators.selection import first_mapping, spaced_extremes
 from windrow.operators.windowing import sliding_windows
 from windrow.plans import cleaning, context, heatmap, preparation, twin
@@ -346,3 +346,30 @@ def test_refresh_rule(spark):
     features = spark.createDataFrame([("w1", "m", "t1"), ("w1", "m", "t1"), ("w2", "m", "t2")], "window_id string, media_id string, start_time string")
     row = source_summary(features, index)
     assert row.first()["covered_pct"] == 40.0 and twin.needs_more_windows(row, 30) and not twin.needs_more_windows(row, 2)
+
+
+def test_zones_belong_to_rooms(spark):
+    windows = spark.createDataFrame([("w1", "r1"), ("w2", "r2"), ("w3", "r3")], "window_id string, room_id string")
+    zones = spark.createDataFrame([("r1", "a"), ("r2", "b")], "room_id string, zone_id string")
+    features = spark.createDataFrame([("w1", "a", 1.0), ("w2", "a", 2.0)], "window_id string, zone_id string, activity double")
+    got = fill_zones(windows, zones, features, ["window_id"])
+    assert got.columns == ["window_id", "room_id", "zone_id", "activity"]
+    assert sorted(map(tuple, got.collect())) == [("w1", "r1", "a", 1.0), ("w2", "r2", "b", None), ("w3", "r3", None, None)]
+    checked = {r["room_id"]: r["status"] for r in preparation.zone_configuration(zones, windows).collect()}
+    assert checked == {"r1": "ok", "r2": "ok", "r3": "missing_semantic_zone_config"}
+
+
+def test_video_stage_leaves_the_merged_table_alone(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    prep_files(spark).write.parquet(str(source / "files.parquet"))
+    metrics, areas, frames, _ = measured(spark)
+    for name, df in (("interval_metrics", metrics), ("zone_areas", areas), ("audio_frames", frames)):
+        df.write.parquet(str(source / f"{name}.parquet"))
+    whole = cli.main(["prepare", "--input", str(source), "--output", str(target)], spark)
+    path = str(target / "processed_multimodal_window_table.parquet")
+    before = sorted(map(str, spark.read.parquet(path).collect()))
+    part = cli.main(["prepare", "--input", str(source), "--output", str(target), "--stage", "video_features"], spark)
+    assert "processed_multimodal_window_table" in whole and "processed_multimodal_window_table" not in part and "failed_windows" not in part
+    assert sorted(map(str, spark.read.parquet(path).collect())) == before
+    zones = cli.main(["prepare", "--input", str(source), "--output", str(tmp_path / "z"), "--stage", "zones"], spark)
+    assert zones["zone_configuration"].count() == 1

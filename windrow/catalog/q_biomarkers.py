@@ -196,3 +196,19 @@ def missing_zone_rows(spark, sf):
     config = spark.range(1).select(F.explode(F.array(*[F.lit(z) for z in tb.ZONES])).alias("zone_id"))
     grid = bm.fill_zones(zones.select("window_id").distinct(), config, zones, ["window_id"])
     return rounded(grid.withColumn("frame_count", F.coalesce("frame_count", F.lit(0))))
+
+
+@query("zone_config_by_room", """WITH z AS (SELECT n_nationkey AS room_id, unnest(range(1, n_nationkey % 4 + 1)) AS zone_id FROM nation WHERE n_nationkey % 4 > 0),
+f AS (SELECT o_custkey AS window_id, o_orderkey % 4 AS zone_id, count(*) AS activity FROM orders GROUP BY 1, 2)
+SELECT c_custkey AS window_id, c_nationkey AS room_id, z.zone_id, f.activity, CASE WHEN z.zone_id IS NULL THEN 'missing_semantic_zone_config' WHEN f.activity IS NULL THEN 'no_interval_overlap' ELSE '' END AS issue
+FROM customer LEFT JOIN z ON c_nationkey = room_id LEFT JOIN f ON f.window_id = c_custkey AND f.zone_id = z.zone_id""")
+def zone_config_by_room(spark, sf):
+    """Windows get the zones of their room; a room without configuration gives one row without a zone."""
+    rooms = tb.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("room_id"))
+    count = F.col("room_id") % 4
+    config = rooms.filter(count > 0).select("room_id", F.explode(F.sequence(F.lit(1).cast("bigint"), count)).alias("zone_id"))
+    windows = tb.table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("window_id"), F.col("c_nationkey").cast("bigint").alias("room_id"))
+    orders = tb.table(spark, sf, "orders").select(F.col("o_custkey").cast("bigint").alias("window_id"), (F.col("o_orderkey") % 4).cast("bigint").alias("zone_id"))
+    measured = orders.groupBy("window_id", "zone_id").agg(F.count(F.lit(1)).alias("activity"))
+    issue = F.when(F.col("zone_id").isNull(), "missing_semantic_zone_config").when(F.col("activity").isNull(), "no_interval_overlap").otherwise("")
+    return bm.fill_zones(windows, config, measured, ["window_id"]).withColumn("issue", issue)
