@@ -82,7 +82,7 @@ def located(docs: DataFrame, size: int, gram: int, shard_pieces: int, max_filter
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words in slices(batch.column(0), size=4_000_000):
+            for _, _, words in slices(batch.column(0)):
                 h, n = np.unique(pieces(words, size, gram)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -197,6 +197,31 @@ def matched(open_pieces: DataFrame, size: int, shard_pieces: int) -> DataFrame:
     return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(locate, "h bigint, c bigint, `from` int, `to` int")
 
 
+SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+
+def stripped(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts (columns doc_id, text, spans) without the words in their spans."""
+    n_words, n_removed, kept, merged = [], [], [], []
+    for text, covered in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+        words, out, at, cuts = text.split(), [], 0, []
+        for span in sorted(covered or [], key=lambda s: (s["begin"], s["end"])):
+            if cuts and span["begin"] <= cuts[-1]["end"]:
+                cuts[-1]["end"] = max(cuts[-1]["end"], span["end"])
+            else:
+                cuts.append(dict(span))
+        for span in cuts:
+            out += words[at : span["begin"]]
+            at = span["end"]
+        out += words[at:]
+        n_words.append(len(words))
+        n_removed.append(len(words) - len(out))
+        kept.append(b" ".join(out).decode())
+        merged.append(cuts)
+    columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(merged, SPANS), pa.array(kept, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "spans", "kept"])
+
+
 def deduplicated(docs: DataFrame, size: int = 35, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = 2000, max_filter: int = 64 << 20) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_removed``, ``spans`` (of removed words) and ``kept`` (the other words, one space between).
 
@@ -214,24 +239,8 @@ def deduplicated(docs: DataFrame, size: int = 35, gram: int = 8, id_col: str = "
     joined = rows.join(covers, F.expr("key = _key and doc_id <=> _id"), "left").select("doc_id", "text", "spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            n_words, n_removed, kept, merged = [], [], [], []
-            for text, covered in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                words, out, at, cuts = text.split(), [], 0, []
-                for span in sorted(covered or [], key=lambda s: (s["begin"], s["end"])):
-                    if cuts and span["begin"] <= cuts[-1]["end"]:
-                        cuts[-1]["end"] = max(cuts[-1]["end"], span["end"])
-                    else:
-                        cuts.append(dict(span))
-                for span in cuts:
-                    out += words[at : span["begin"]]
-                    at = span["end"]
-                out += words[at:]
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(out))
-                kept.append(b" ".join(out).decode())
-                merged.append(cuts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(merged, near), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+            for a in range(0, batch.num_rows, 256):
+                yield stripped(batch.slice(a, 256))
 
     return joined.mapInArrow(strip, f"doc_id {kind}, n_words bigint, n_removed bigint, spans array<struct<begin:int,end:int>>, kept string")

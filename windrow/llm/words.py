@@ -82,7 +82,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def slices(texts: pa.Array, size: int = 1_000_000, lower: bool = False, gaps: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
+def slices(texts: pa.Array, size: int = 900_000, lower: bool = False, gaps: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """Words of consecutive texts of about ``size`` bytes together (a longer text comes alone), with their range."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
