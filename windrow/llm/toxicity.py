@@ -47,6 +47,29 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@dataclass(frozen=True)
+class Taught:
+    """A labelled document as a bag of words."""
+
+    name: str
+    toxic: int
+    terms: np.ndarray
+    counts: np.ndarray
+
+
+def _taught(table: pa.Table) -> list[Taught]:
+    """Rows of :data:`TERMS` as views of flat arrays, in an order of their own."""
+    table = table.combine_chunks()
+    if not table.num_rows:
+        return []
+    names, toxic = table.column(0).to_pylist(), table.column(1).to_pylist()
+    terms, counts = table.column(2).chunk(0), table.column(3).chunk(0)
+    cuts = terms.offsets.to_numpy().tolist()
+    words, times = terms.values.to_numpy(), counts.values.to_numpy()
+    rows = [Taught(n, y, words[a:b], times[a:b]) for n, y, a, b in zip(names, toxic, cuts, cuts[1:])]
+    return sorted(rows, key=lambda r: (r.name, len(r.terms), int(r.terms.sum()) if len(r.terms) else 0))
+
+
 @dataclass
 class Index:
     """Examples in blocks, their largest weights, and the calibration curve."""
@@ -148,20 +171,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType
     wanted = spark.createDataFrame([(i,) for i in ids], f"doc_id {kind.simpleString()}").join(marks, "doc_id")
     texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
-    rows = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text").mapInArrow(_vectors, TERMS).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
+    rows = _taught(texts.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text").mapInArrow(_vectors, TERMS).toArrow())
     known = {str(i) for i in inside}
-    chosen = [r for r in rows if r["doc_id"] in known]
-    chosen.sort(key=lambda r: (r["toxic"], len(r["terms"])))  # like with like in a block
-    bag = [(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in chosen]
+    chosen = sorted((r for r in rows if r.name in known), key=lambda r: (r.toxic, len(r.terms)))  # like with like in a block
+    bag = [(r.terms, r.counts) for r in chosen]
     every = np.concatenate([t for t, _ in bag]) if bag else np.zeros(0, np.int64)
     terms, shared = np.unique(every, return_counts=True)
     terms = terms[shared >= 2]
-    toxic = np.array([float(r["toxic"]) for r in chosen])
+    toxic = np.array([float(r.toxic) for r in chosen])
 
     total, frequency = document_frequencies(docs, text_col, terms)
     weight = np.log((1 + total) / (1 + frequency)) * relevance(terms, [t for t, _ in bag], toxic)
-    index = Index(terms, weight, np.zeros((0, 0)), [], np.zeros((0, 0)), toxic, [r["doc_id"] for r in chosen], k, softness)
+    index = Index(terms, weight, np.zeros((0, 0)), [], np.zeros((0, 0)), toxic, [r.name for r in chosen], k, softness)
     vectors = [index.vector(*b) for b in bag]
     parts = range(0, len(vectors), block)
     index.rows, index.peaks = np.full((len(parts), len(terms)), -1, np.int32), np.zeros((len(terms), len(parts)), np.float32)
@@ -175,10 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         index.peaks[own, n] = matrix.max(axis=1, initial=0)
         index.blocks.append(matrix[:, : len(part)])
     chosen_checks = {str(i) for i in checks}
-    tests = [r for r in rows if r["doc_id"] in chosen_checks]
-    index.prior = float(np.mean([r["toxic"] for r in tests] or [0.0]))
-    votes = np.array([index.vote(*index.nearest(*index.vector(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)), but=r["doc_id"])) for r in tests])
-    truth = np.array([float(r["toxic"]) for r in tests])
+    tests = [r for r in rows if r.name in chosen_checks]
+    index.prior = float(np.mean([r.toxic for r in tests] or [0.0]))
+    votes = np.array([index.vote(*index.nearest(*index.vector(r.terms, r.counts), but=r.name)) for r in tests])
+    truth = np.array([float(r.toxic) for r in tests])
     usable = ~np.isnan(votes) if len(votes) else np.zeros(0, bool)
     if usable.any():
         index.curve = monotone(votes[usable], truth[usable])
