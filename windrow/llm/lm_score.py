@@ -65,11 +65,17 @@ def count_of(step: np.ndarray, least: int) -> np.ndarray:
     return np.where(step > 0, (low + np.maximum(low, low * STEP - 1)) / 2, 0.0)
 
 
+def first_place(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of an item start and how far apart they are; the upper bits are the place in a segment."""
+    return mix(items ^ _U(0x2545F4914F6CDD1D)), items | _U(1)
+
+
 def places(items: np.ndarray) -> Iterator[np.ndarray]:
     """Bits of an item inside its segment, one probe after the other."""
-    a, b = mix(items ^ _U(0x2545F4914F6CDD1D)), items | _U(1)
-    for k in range(PROBES):
-        yield (a + _U(k) * b) >> _U(64 - 23)
+    at, stride = first_place(items)
+    for _ in range(PROBES):
+        yield at >> _U(64 - 23)
+        at = at + stride
 
 
 @dataclass
@@ -90,12 +96,15 @@ class Model:
         out = np.zeros(len(grams), bool)
         if not len(self.bits):
             return out
-        base = (grams.view(np.int64) % len(self.bits)) * (SEGMENT_BITS // 8)
         flat, alive = self.bits.reshape(-1), np.arange(len(grams))
-        for place in places(item(grams, step)):
-            at = place[alive].astype(np.int64)
-            hit = (flat[base[alive] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1
-            alive = alive[hit != 0]
+        base = (grams.view(np.int64) % len(self.bits)) * (SEGMENT_BITS // 8)
+        at, stride = first_place(item(grams, step))
+        for k in range(PROBES):
+            place = (at >> _U(64 - 23)).astype(np.int64)
+            hit = (flat[base + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 != 0
+            # the next probe concerns those that are still in
+            alive, base, stride = alive[hit], base[hit], stride[hit]
+            at = at[hit] + stride
             if not len(alive):
                 break
         out[alive] = True
@@ -113,11 +122,13 @@ class Model:
         """Places in ``words``, -1 for unknown ones."""
         if not len(self.words):
             return np.full(len(hashes), -1)
-        spot = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[spot] == hashes, spot, -1)
+        # in sorted order, neighbouring searches touch the same memory
+        distinct, back = np.unique(hashes, return_inverse=True)
+        spot = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
+        return np.where(self.words[spot] == distinct, spot, -1)[back]
 
     def looked_up(self, values: np.ndarray, spot: np.ndarray) -> np.ndarray:
-        return np.where(spot >= 0, values[spot], 0) if len(values) else np.zeros(len(spot))
+        return np.where(spot >= 0, values[spot].astype(float), 0.0) if len(values) else np.zeros(len(spot))
 
 
 def item(grams: np.ndarray, step: int) -> np.ndarray:
@@ -127,7 +138,7 @@ def item(grams: np.ndarray, step: int) -> np.ndarray:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words (kind 0) and bigrams (kind 1) of training rows with their counts in a slice."""
     for batch in batches:
-        for a, b, words in slices(batch.column(0), size=4_000_000, lower=True):
+        for a, b, words in slices(batch.column(0), lower=True):
             token, context, _ = tokens(words, b - a)
             for kind, values in ((0, token), (1, bigrams(context, token))):
                 found, n = np.unique(values, return_counts=True)
@@ -193,13 +204,14 @@ def built(stats: Statistics, docs: DataFrame, learn: Column, text_col: str) -> M
     hashes, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
     hashes, counts = np.append(hashes, BEGIN), np.append(counts, stats.rows)  # texts as often as they begin
     order = np.argsort(hashes)
+    counts = counts.astype(np.min_scalar_type(int(counts.max())))
     model = Model(bits, hashes[order], counts[order], np.zeros(len(order), np.float32), stats.total, stats.distinct, stats.least, stats.discount)
     shared = spark.sparkContext.broadcast(model)
 
     def mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b, words in slices(batch.column(0), size=4_000_000, lower=True):
+            for a, b, words in slices(batch.column(0), lower=True):
                 token, context, _ = tokens(words, b - a)
                 count = m.quantised(bigrams(context, token))
                 spot = m.places_of(context[count > 0])
