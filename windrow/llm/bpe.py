@@ -10,8 +10,8 @@ For every word that a task meets for the first time:
 3. Only words with a failing pair are merged exactly.
 
 A text is cut at white space first; no token and no normal form crosses it, so a piece
-always gives the same ids. Pieces are remembered by a task up to ``remember`` (then the
-memory starts anew; results do not depend on it). The vocabulary file is read on the executors
+always gives the same ids. Pieces are remembered by a task up to ``remember`` (then, and at
+its end, the memory starts anew; results do not depend on it). The vocabulary file is read on the executors
 from the path given; its normaliser and its splitting rule are used as the file states them.
 Nothing is shuffled.
 """
@@ -222,16 +222,19 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            sizes = np.array([len(t) for t in texts.to_pylist()] if len(texts) < 2 else np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]))
-            part = np.cumsum(sizes) // slice_bytes
-            for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(texts)]]).tolist())):
-                if a == b:
-                    continue
-                ids, per_text, decoded = bpe.batch(texts.slice(a, b - a).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        try:
+            for batch in batches:
+                keys, texts = batch.column(0), batch.column(1)
+                sizes = np.array([len(t) for t in texts.to_pylist()] if len(texts) < 2 else np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]))
+                part = np.cumsum(sizes) // slice_bytes
+                for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(texts)]]).tolist())):
+                    if a == b:
+                        continue
+                    ids, per_text, decoded = bpe.batch(texts.slice(a, b - a).to_pylist())
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        finally:
+            bpe.forget()  # the worker may go on to tasks that need its memory
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
