@@ -32,6 +32,7 @@ from windrow.llm.components import components
 from windrow.llm.hash_filter import built
 from windrow.llm.store import saved
 from windrow.llm.words import Words, mix, slices
+from windrow.session import spread
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -123,7 +124,7 @@ def near_groups(
             for a in range(0, batch.num_rows, 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(keyed(batch.slice(a, 2000))[0].view(np.int64))], ["h"])
 
-    plain = classes.select("id", "n", "halves")
+    plain = spread(classes.select("id", "n", "halves"), "id")  # each row becomes side * side keys
     shared = saved(plain.mapInArrow(lone, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("h"), "keys")
     passing = spark.sparkContext.broadcast(built(shared, shared.count(), max_filter))
 
