@@ -38,7 +38,7 @@ LATIN = "\u0250"  # below it no letter composes with another one, and letters an
 class Bpe:
     """Encoder and decoder of one vocabulary file with word-end marks."""
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 150_000):
         import regex
         from tokenizers import Tokenizer
 
