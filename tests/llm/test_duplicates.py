@@ -145,3 +145,16 @@ def test_pipeline_takes_awkward_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     docs.limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_groups_of_loose_variants(spark):
+    """Pairs above the similarity whose entries belong to hubs that are like neither of them."""
+    import random
+
+    pick, rows = random.Random(4), []
+    for k in range(300):
+        one = [f"w{x}" if pick.random() < 0.9 else f"v{k}x{x}" for x in range(80)]
+        two = [f"u{k}x{x}" if x < 8 else w for x, w in enumerate(one)]
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    got = near_dedup.near_groups(table(spark, [(i, t, None) for i, t in rows]), shingle=1, near=0.75).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == plain_groups(rows, 1)

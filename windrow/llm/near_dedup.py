@@ -14,9 +14,13 @@ half key of a collection agrees, so they are missed with a probability of at mos
 4. Links give components. A member may be like another member though not like its hub: components joined by pairs
    with a similarity of ``near`` or more form a family, and inside a family every class outside the largest component is
    compared with all classes of other components, in blocks of bounded size, on the full sets.
-5. The components of both kinds of links are final.
+5. Members of an entry that are still in several components, whatever their similarity to the hub, meet in a join of rare-shingle
+   prefixes, which holds every linked pair of them; its pairs are compared on the full sets.
+6. The components of all three kinds of links are final.
 
-So the pairs made grow with the classes, not with the square of a group.
+So two linked classes that share a table entry end in one component: either both are linked to its hub (or one is the hub), or
+they are in several components and step 5 compares them. Pairs of classes are made with hubs, outside
+the largest component of a family, and for shared rare shingles between components.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from windrow.session import spread
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 ORDERS = 3
+SKETCH_BITS = 21
 
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -139,11 +144,12 @@ def near_groups(
 
     entries = saved(plain.mapInArrow(entered, "k bigint, id bigint, n int, turn int"), "entries")
     hubs = entries.groupBy("k").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id", "turn").alias("place"), F.col("id").alias("id"), F.col("n").alias("n"))).alias("hub")).filter("members > 1")
-    hubs = saved(hubs.select("k", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    hubs = saved(hubs.select("k", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), (F.col("members") > 2).alias("crowded")), "hubs")
     alike = F.least("n", "hub_n") >= near * F.greatest("n", "hub_n")
-    pairs = saved(entries.join(hubs, "k").filter((F.col("id") != F.col("hub")) & alike).groupBy("id", "hub", "n", "hub_n").agg(F.lit(0).alias("_")).drop("_"), "pairs")
+    met = entries.join(hubs, "k").filter((F.col("id") != F.col("hub")) & (alike | F.col("crowded")))
+    pairs = saved(met.groupBy("id", "hub", "n", "hub_n").agg(F.max("crowded").alias("crowded")), "pairs")
 
-    ids = saved(pairs.select("id").union(pairs.select("hub")).distinct(), "paired")
+    ids = saved(pairs.select("id").union(pairs.filter(alike).select("hub")).distinct(), "paired")
     chosen = spark.sparkContext.broadcast(built(ids.select(F.col("id").alias("h")), ids.count(), max_filter))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +164,7 @@ def near_groups(
     sets = saved(sets.join(ids, "id"), "sets")
     hub_sets = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles"))
     common = F.size(F.array_intersect("shingles", "hub_shingles"))
-    compared = pairs.join(sets, "id").join(hub_sets, "hub").select("id", "hub", common.alias("both"), (F.col("n") + F.col("hub_n")).alias("sum"))
+    compared = pairs.filter(alike).join(sets, "id").join(hub_sets, "hub").select("id", "hub", common.alias("both"), (F.col("n") + F.col("hub_n")).alias("sum"))
     compared = saved(compared.filter(F.col("both") >= near * (F.col("sum") - F.col("both"))), "compared")
     links = compared.filter(whole * F.col("both") >= part * (F.col("sum") - F.col("both"))).select(F.col("id").alias("u"), F.col("hub").alias("v"))
     labels = components(links)
@@ -170,9 +176,16 @@ def near_groups(
     across = compared.select("id", "hub").join(of("id", "u"), "id").join(of("hub", "v"), "hub").filter("u != v").select("u", "v").distinct()
     across = saved(across, "across")
     if across.limit(1).count():
-        more = within_families(named, components(across), sets, part, whole, block)
-        final = components(more)
-        named = saved(named.join(final.select(F.col("id").alias("component"), F.col("component").alias("last")), "component", "left").select("id", F.coalesce("last", "component").alias("component")), "named")
+        named = united(named, within_families(named, components(across), sets, part, whole, block))
+
+    # members of an entry that its hub leaves in several components, whatever their similarity to it
+    seated = pairs.filter("crowded").select("id", "hub").join(named, "id")
+    split = seated.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("hub")
+    parted = saved(seated.join(split, "hub").select("id", "component").distinct(), "parted")
+    count = parted.count()
+    if count:
+        open_ids = spark.sparkContext.broadcast(built(parted.select(F.col("id").alias("h")), count, max_filter))
+        named = united(named, by_prefixes(parted, sets, open_ids, part, whole))
 
     firsts = classes.select("id", "first").join(named, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     firsts = saved(firsts, "firsts")
@@ -184,6 +197,79 @@ def near_groups(
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def united(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` (``id``, ``component``) with components joined by ``links`` (``u``, ``v``) between them."""
+    final = components(links).select(F.col("id").alias("component"), F.col("component").alias("last"))
+    return saved(named.join(final, "component", "left").select("id", F.coalesce("last", "component").alias("component")), "named")
+
+
+def prefixes(shingles: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the ``shingles`` of consecutive sets belong to the prefixes, as indexes, and their places in the order of their set.
+
+    The order is by the sketch's count, then by value. Sets that are linked share ``ceil(n * part / whole)`` or more of the ``n`` shingles of
+    either, so they share one among the first ``n - ceil(n * part / whole) + 1``. A shingle that the sketch counts once is in no other set.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    count = sketch[slots(shingles)]
+    order = np.lexsort((shingles, count, owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    longest = sizes - -(-sizes * part // whole) + 1
+    take = (place < longest[owner]) & (count[order] > 1)
+    return order[take], place[take]
+
+
+def slots(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles ^ _GOLD) >> _U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def by_prefixes(parted: DataFrame, sets: DataFrame, open_ids, part: int, whole: int) -> DataFrame:
+    """All links (``u``, ``v``) between the components of ``parted`` (``id``, ``component``), by a join of rare-shingle prefixes.
+
+    Shingles are ordered by a sketch of their counts of fixed size; another order would only make more pairs, not lose one.
+    ``open_ids`` is a filter of the ids (what it lets pass by chance is dropped by the join).
+    """
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                piece = batch.slice(a, 2000)
+                piece = piece.filter(pa.array(open_ids.value.passing(piece.column(0).to_numpy().view(np.uint64))))
+                if piece.num_rows:
+                    yield piece.column(0).to_numpy(), np.diff(piece.column(1).offsets.to_numpy()).astype(np.int64), piece.column(1).flatten().to_numpy().view(np.uint64)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SKETCH_BITS, np.int64)
+        for _, _, shingles in chosen(batches):
+            np.add.at(n, slots(shingles), 1)
+        at = np.flatnonzero(n)
+        for a in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000].astype(np.int32)), pa.array(n[at[a : a + 100_000]])], ["slot", "n"])
+
+    plain = sets.select("id", "shingles")
+    found = plain.mapInArrow(counted, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2 ** SKETCH_BITS rows at most
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.uint32).max).astype(np.uint32))
+
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, shingles in chosen(batches):
+            at, place = prefixes(shingles, sizes, shared.value, part, whole)
+            row = np.repeat(np.arange(len(sizes)), sizes)[at]
+            columns = [shingles[at].view(np.int64), ids[row], sizes[row].astype(np.int32), place.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "id", "n", "place"])
+
+    rows = saved(plain.mapInArrow(prefixed, "shingle bigint, id bigint, n int, place int").join(parted, "id"), "prefixes")
+    other = rows.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "place", "component")])
+    # the first shingle that a linked pair shares leaves room for all the others that it must share
+    room = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    sure = (F.col("component") < F.col("other_component")) & ((whole + part) * room >= part * (F.col("n") + F.col("other_n")))
+    open_pairs = saved(rows.join(other, "shingle").filter(sure).select("id", "other_id", "component", "other_component").distinct(), "open")
+    other_sets = sets.select(F.col("id").alias("other_id"), F.col("shingles").alias("other"))
+    both, all_of = F.size(F.array_intersect("shingles", "other")), F.size("shingles") + F.size("other")
+    judged = open_pairs.join(sets, "id").join(other_sets, "other_id").select(F.col("component").alias("u"), F.col("other_component").alias("v"), both.alias("both"), all_of.alias("sum"))
+    return judged.filter(whole * F.col("both") >= part * (F.col("sum") - F.col("both"))).select("u", "v").distinct()
+
+
 def within_families(named: DataFrame, families: DataFrame, sets: DataFrame, part: int, whole: int, block: int) -> DataFrame:
     """Links (``u``, ``v``) between components of one family, from all comparisons that hubs left open.
 
