@@ -176,6 +176,21 @@ def test_scores(spark, limit):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-7)
 
 
+def test_scores_agree_on_a_full_filter(spark):
+    """Broadcast or asked by segments, a filter filled to its bits an item gives the same scores, false positives included."""
+    pick = np.random.default_rng(6)
+    data = [(k, " ".join(f"w{x}" for x in pick.integers(0, 4000, 2000)), None) for k in range(460)]
+    docs, learn = table(spark, data), F.col("doc_id") < 410
+    stats = lm_score.train(docs, learn, least=1)
+    assert 0.9 < stats.items * lm_score.BITS_PER_ITEM / (stats.segments * lm_score.SEGMENT_BITS) <= 1
+    one, two = ({r.doc_id: r for r in lm_score.score(docs, learn, least=1, max_broadcast=limit).collect()} for limit in (400_000_000, 0))
+    assert one.keys() == two.keys()
+    for k, r in one.items():
+        s = two[k]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (s.n_tokens, s.n_known, s.train_tokens)
+        assert (r.base_score, r.score) == pytest.approx((s.base_score, s.score), rel=1e-6)
+
+
 def test_scores_without_rows(spark):
     assert lm_score.score(table(spark, []), F.lit(True)).count() == 0
     r = lm_score.score(table(spark, [(1, "a b", None)]), F.lit(False)).collect()[0]

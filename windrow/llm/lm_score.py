@@ -13,7 +13,8 @@ leaves ``P(w)``. A text starts in a context of its own and ends with an end toke
 How it runs: one scan counts words and bigrams by 64-bit hashes, first inside each slice, then over a shuffle; the
 filter is made of segments (by hash, each of ``SEGMENT_BITS`` bits), built where Spark puts their bigrams; a second scan sums
 ``D(v)``. Segments and word counts grow with the corpus, so they are broadcast only while they fit in ``max_broadcast`` bytes.
-Beyond that the same quantised counts are joined to the words' places, which needs no broadcast and has no false positives.
+Beyond that the same filter is asked segment by segment: distinct bigrams go to the segment of their hash in a shuffle, and the counts
+read there are joined to the words' places. Both ways ask the same bits, so they have the same false positives.
 """
 
 from __future__ import annotations
@@ -169,6 +170,10 @@ class Statistics:
     least: int
     discount: float
 
+    @property
+    def segments(self) -> int:
+        return -(-self.items * BITS_PER_ITEM // SEGMENT_BITS)
+
     @property
     def bytes(self) -> int:
         return 20 * self.distinct + self.items * BITS_PER_ITEM // 8
@@ -191,14 +196,43 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", least: int = 2
     return Statistics(words, grams, total or 0, distinct, items or 0, ends or 0, least, discount)
 
 
+def filter_segments(stats: Statistics) -> DataFrame:
+    """The filter as rows ``segment`` and ``bits``; a segment without bigrams has none."""
+    rows = stats.grams.select("h", "step", F.pmod("h", F.lit(max(1, stats.segments))).alias("segment"))
+    return rows.groupBy("segment").applyInPandas(_segment, "segment bigint, bits binary")
+
+
+def probed(grams: DataFrame, stats: Statistics, asked: int = 500_000) -> DataFrame:
+    """``g`` and ``count`` of the distinct ``grams`` (``g``) that the filter has, read where its segments lie.
+
+    A segment is sent to as many groups as it takes for each to have about ``asked`` bigrams.
+    """
+    if not stats.segments:
+        return grams.select("g", F.lit(0.0).alias("count")).limit(0)
+    least = stats.least
+    parts = max(1, -(-grams.count() // (stats.segments * asked)))
+    deal = grams.select("g", F.pmod("g", F.lit(stats.segments)).alias("segment"), F.pmod(F.xxhash64("g"), F.lit(parts)).alias("part"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
+    bits = saved(filter_segments(stats), "segments").withColumn("part", F.explode(every))
+
+    def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"g": np.zeros(0, np.int64), "count": np.zeros(0)})
+        one = np.frombuffer(right["bits"].iloc[0], np.uint8).reshape(1, -1)
+        none = np.zeros(0, np.uint64)
+        count = Model(one, none, none, none, 0, 0, least, 0.0).quantised(left["g"].to_numpy(np.int64).view(np.uint64))
+        return pd.DataFrame({"g": left["g"].to_numpy()[count > 0], "count": count[count > 0]})
+
+    keys = ["segment", "part"]
+    return deal.groupBy(*keys).cogroup(bits.groupBy(*keys)).applyInPandas(ask, "g bigint, count double")
+
+
 def built(stats: Statistics, docs: DataFrame, learn: Column, text_col: str) -> Model:
     """The model for broadcasting: filter segments, sorted words and the stored mass of each context."""
     spark = docs.sparkSession
-    segments = max(1, -(-stats.items * BITS_PER_ITEM // SEGMENT_BITS)) if stats.items else 0
-    bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    if segments:
-        by_segment = stats.grams.select("h", "step", F.pmod("h", F.lit(segments)).alias("segment")).groupBy("segment")
-        for r in by_segment.applyInPandas(_segment, "segment bigint, bits binary").toLocalIterator():
+    bits = np.zeros((stats.segments, SEGMENT_BITS // 8), np.uint8)
+    if stats.segments:
+        for r in filter_segments(stats).toLocalIterator():
             bits[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     found = stats.words.toArrow()
     hashes, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
@@ -277,7 +311,7 @@ def mixture(single: np.ndarray, times: np.ndarray, kept: np.ndarray, count: np.n
 
 
 def joined(docs: DataFrame, stats: Statistics, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same scores by joins on hashes, for statistics too large to broadcast."""
+    """The same scores from the same filter, for statistics too large to broadcast: it is asked by segments, and counts are joined on hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +329,7 @@ def joined(docs: DataFrame, stats: Statistics, learn: Column, id_col: str = "doc
 
     base = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(learn, F.lit(False)).alias("learn"), texts_of(docs, text_col))
     pairs = saved(base.mapInArrow(spread, f"doc_id {kind}, row bigint, learn boolean, w bigint, v bigint, g bigint, n bigint"), "pairs")
-    low = F.lit(float(stats.least)) * F.pow(F.lit(STEP), F.col("step") - 1)
-    grams = stats.grams.select(F.col("h").alias("g"), ((low + F.greatest(low, low * STEP - 1)) / 2).alias("count"))
+    grams = saved(probed(pairs.select("g").distinct(), stats), "probed")
     begin = docs.sparkSession.createDataFrame([(int(BEGIN.view(np.int64)), stats.rows)], "h bigint, n bigint")
     placed = saved(pairs.join(grams, "g", "left").withColumn("count", F.coalesce("count", F.lit(0.0))), "counted")
     mass = placed.filter("learn and count > 0").groupBy("v").agg(F.sum(F.col("n") * (1 - stats.discount / F.col("count"))).alias("mass"))
