@@ -191,6 +191,21 @@ def test_scores_agree_on_a_full_filter(spark):
         assert (r.base_score, r.score) == pytest.approx((s.base_score, s.score), rel=1e-6)
 
 
+def test_query_stores_bigrams_met_once(spark, tmp_path):
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2]
+    learnt = [k for k in range(200) if k not in held]
+    rows = [(learnt[0], "alpha beta gamma", None), (learnt[1], "delta", None), (held[0], "beta gamma", None), (held[1], "gamma beta", None)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    by_id = {r.doc_id: r for r in queries.op2_lm_score(spark, str(tmp_path)).collect()}
+    assert by_id[held[0]].base_score == pytest.approx(by_id[held[1]].base_score)
+    assert by_id[held[0]].score > by_id[held[1]].score + 0.1
+
+
+def test_whole_counts_of_steps():
+    count = np.array([1, 2, 3, 4, 5])
+    assert lm_score.count_of(lm_score.step_of(count, 1), 1).tolist() == [1, 2, 3, 4.5, 4.5]
+
+
 def test_scores_without_rows(spark):
     assert lm_score.score(table(spark, []), F.lit(True)).count() == 0
     r = lm_score.score(table(spark, [(1, "a b", None)]), F.lit(False)).collect()[0]

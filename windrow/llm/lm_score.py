@@ -61,9 +61,9 @@ def step_of(count: np.ndarray, least: int) -> np.ndarray:
 
 
 def count_of(step: np.ndarray, least: int) -> np.ndarray:
-    """The middle of a step's counts."""
-    low = least * STEP ** (step - 1)
-    return np.where(step > 0, (low + np.maximum(low, low * STEP - 1)) / 2, 0.0)
+    """The middle of a step's whole counts."""
+    low = np.ceil(least * STEP ** (step - 1) - 1e-9)
+    return np.where(step > 0, (low + np.maximum(low, np.ceil(least * STEP**step - 1e-9) - 1)) / 2, 0.0)
 
 
 def first_place(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

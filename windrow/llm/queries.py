@@ -67,7 +67,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bucket = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
-    out = lm_score.score(docs, bucket != 2)
+    out = lm_score.score(docs, bucket != 2, least=1)
     return out.select("doc_id", (bucket == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
