@@ -52,6 +52,19 @@ def test_encoding_matches_the_library(spark):
     assert [r.decoded == r.again for r in bpe.decode(spark.createDataFrame(got), VOCABULARY, out_col="again").collect()] == [True] * len(got)
 
 
+def test_random_parts_of_tokens(spark):
+    import random
+
+    pick, signs = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(pick.choice(signs) for _ in range(40)) for _ in range(40)]
+    around = ["see https://host.example/the/international/settings/path/{} now", "configuration-of-the-production-environment-name-{} x"]
+    data = [(k, around[k % 2].format(key), None) for k, key in enumerate(keys)] + [(100, "international/settings-of-the/antidisestablishmentarianism/production-environment", None)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.random] for r in secret_scan.scan(table(spark, data)).collect()}
+    texts_of = {i: t for i, t, _ in data}
+    assert sum(got[k] == [(texts_of[k].index(key), texts_of[k].index(key) + 40)] for k, key in enumerate(keys)) >= 35
+    assert not got[100]
+
+
 def test_speculation_is_verified():
     machine = bpe.Bpe(VOCABULARY, remember=10)
     letters = words(5, 3000, 10**9)

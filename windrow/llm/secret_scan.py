@@ -5,7 +5,9 @@ Every step is a column expression; texts are not shuffled.
 *Fixed kinds* are found with regular expressions. Positions come from the pieces between the hits: a hit starts
 after all pieces and hits before it.
 
-*Random tokens* are runs of ``least`` or more characters of the base64 alphabets. The encoding of a token is
+*Random tokens* are runs of ``least`` or more characters of the base64 alphabets, and the parts of such runs between ``/``, ``-`` and
+``_`` that are as long; a part inside a run that is reported is not reported again. Shorter tokens, such as the parts of a
+UUID, are not judged: that is the limit of the tests. The encoding of a token is
 inferred from its characters (the smallest alphabet that has them all). A battery of three tests asks whether its
 symbols are independent and uniform: chi-squared over the alphabet, runs above and below the alphabet's middle,
 and serial correlation. A token that none of them rejects at ``reject`` is a candidate, but a
@@ -149,7 +151,8 @@ def scan(docs: DataFrame, least: int = 20, reject: float = 0.001, rate: float =
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     base = F.array_sort(F.concat(spans(text, ASSIGN, 0, 2, ASSIGN_LEAST), spans(text, ACCESS, 1), spans(text, HEX, 2)))
     token = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % least
-    tokens = spans(text, token, 3)
+    part = r"[A-Za-z0-9+]{%d,}={0,2}" % least
+    tokens = F.array_distinct(F.concat(spans(text, token, 3), spans(text, part, 3)))
     both = rows.select("doc_id", "_text", base.alias("base"), tokens.alias("tokens"))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     judge = lambda t: F.struct(t.alias("span"), battery(F.substring(F.col("_text"), (t["start"] + 1).cast("int"), (t["end"] - t["start"]).cast("int"))).alias("p"))
@@ -157,5 +160,7 @@ def scan(docs: DataFrame, least: int = 20, reject: float = 0.001, rate: float =
 
     passes = lambda j: (j["p"]["even"] >= reject) & (j["p"]["runs"] >= reject) & (j["p"]["serial"] >= reject)
     cut = cut_of(judged.select(F.explode("judged").alias("j")).select(F.col("j.p.natural").alias("p")), rate)
-    random = F.transform(F.filter("judged", lambda j: passes(j) & (j["p"]["natural"] <= cut)), lambda j: j["span"])
-    return judged.select("doc_id", "base", random.alias("random"))
+    hits = F.transform(F.filter("judged", lambda j: passes(j) & (j["p"]["natural"] <= cut)), lambda j: j["span"])
+    found = judged.select("doc_id", "base", hits.alias("hits"))
+    inside = lambda t: F.exists("hits", lambda o: (o["start"] <= t["start"]) & (t["end"] <= o["end"]) & (o != t))
+    return found.select("doc_id", "base", F.array_sort(F.filter("hits", lambda t: ~inside(t))).alias("random"))
