@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, exact_dedup, fingerprints, lm_score, mixing, near_dedup, phrase_dedup, secret_scan, toxicity, url_filter
+from windrow.llm import bpe, divergence, exact_dedup, fingerprints, lm_score, mixing, near_dedup, phrase_dedup, secret_scan, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +182,36 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(exact_dedup.normalised(docs["text"]), 256)
     out = exact_dedup.exact_groups(docs, carry={"text_sha256": digest})
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op13_source_divergence",
+    r"""
+    WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    words AS (
+        SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+    ), kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+    uses AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    langs AS (SELECT lang, coalesce(sum(total), 0) + 5 * count(term) AS size FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+    groups AS (
+        SELECT lang, source, coalesce(sum(n), 0) + 5 * any_value(v) AS size
+        FROM (SELECT DISTINCT lang, source FROM docs) JOIN (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang) USING (lang)
+             LEFT JOIN uses USING (lang, source) GROUP BY lang, source
+    ), rates AS (
+        SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)) // g.size AS p, 1 + (1000000000 * (total + 5)) // l.size AS q
+        FROM groups g JOIN kept USING (lang) JOIN langs l USING (lang) LEFT JOIN uses USING (lang, source, term)
+    ), pairs AS (
+        SELECT a.lang, a.source, b.source AS item, coalesce(v, 0) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+             LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS v FROM rates x JOIN rates y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) t
+                    ON t.lang = a.lang AND t.source = a.source AND t.other = b.source
+    ), ranked AS (
+        SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+        UNION ALL
+        SELECT * FROM (SELECT lang, source, 'term', term, p - q AS value, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank FROM rates WHERE n > 0 AND p > q) WHERE rank <= 50
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked
+    """,
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
