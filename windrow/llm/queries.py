@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, divergence, exact_dedup, fingerprints, lm_score, mixing, near_dedup, phrase_dedup, secret_scan, toxicity, url_filter
+from windrow.llm import bpe, conversations, divergence, exact_dedup, fingerprints, lm_score, mixing, near_dedup, phrase_dedup, secret_scan, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +215,55 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+@query(
+    "op11_conversation_repair",
+    r"""
+    WITH RECURSIVE named AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+    ), fated AS (
+        SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(k, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                                  lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 20 AS fate FROM named
+    ), damaged AS (
+        SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy
+        FROM fated WHERE fate <> 0
+    ), placed AS (
+        SELECT coalesce(conv_id::VARCHAR, 'null') AS c, turn, role, text, left(role, 1) AS r,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+               CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 2
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault
+        FROM damaged
+    ), inserts(a, b, letters, lines, price) AS (
+        VALUES ('E', 'E', '', []::VARCHAR[], 0), ('S', 'S', '', [], 0), ('U', 'U', '', [], 0), ('A', 'A', '', [], 0), ('E', 'U', 'I', ['user:'], 5), ('S', 'U', 'I', ['user:'], 5),
+               ('U', 'A', 'I', ['assistant:'], 5), ('A', 'U', 'I', ['user:'], 5), ('E', 'A', 'II', ['user:', 'assistant:'], 10), ('S', 'A', 'II', ['user:', 'assistant:'], 10)
+    ), arcs(a, b, letter, role, r, price) AS (
+        VALUES ('E', 'E', 'D', NULL, NULL, 2), ('S', 'S', 'D', NULL, NULL, 2), ('U', 'U', 'D', NULL, NULL, 2), ('A', 'A', 'D', NULL, NULL, 2),
+               ('E', 'S', 'K', NULL, 's', 0), ('E', 'U', 'K', NULL, 'u', 0), ('S', 'U', 'K', NULL, 'u', 0), ('A', 'U', 'K', NULL, 'u', 0), ('U', 'A', 'K', NULL, 'a', 0),
+               ('E', 'U', 'R', 'user', NULL, 1), ('S', 'U', 'R', 'user', NULL, 1), ('A', 'U', 'R', 'user', NULL, 1), ('U', 'A', 'R', 'assistant', NULL, 1)
+    ), best AS (
+        SELECT DISTINCT c, 0::BIGINT AS i, 'E' AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM placed
+        UNION ALL
+        SELECT c, i, state, m.cost, m.audit, m.lines FROM (
+            SELECT p.c, p.i, arcs.b AS state, min({'cost': t.cost + inserts.price + arcs.price + CASE WHEN fault = 3 AND letter <> 'D' THEN 5 ELSE 0 END, 'audit': t.audit || letters || letter,
+                   'lines': list_concat(t.lines, inserts.lines, CASE WHEN letter = 'D' THEN [] ELSE [coalesce(arcs.role, p.role) || ':' || p.text] END)}) AS m
+            FROM best t JOIN placed p ON p.c = t.c AND p.i = t.i + 1 JOIN inserts ON inserts.a = t.state JOIN arcs ON arcs.a = inserts.b
+            WHERE (letter = 'D' OR fault NOT IN (1, 2)) AND (letter <> 'K' OR arcs.r = p.r)
+            GROUP BY p.c, p.i, arcs.b
+        )
+    ), ended AS (
+        SELECT c, min({'cost': cost + price, 'audit': audit || letters, 'lines': list_concat(best.lines, inserts.lines)}) AS m
+        FROM best JOIN (SELECT c, max(i) AS i FROM placed GROUP BY c) USING (c, i) JOIN inserts ON inserts.a = state AND inserts.b IN ('E', 'A') GROUP BY c
+    ), totals AS (
+        SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated FROM placed GROUP BY c
+    ), joints AS (SELECT c, count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT c, r, lag(r) OVER (PARTITION BY c ORDER BY i) AS before FROM placed) WHERE before IS NOT NULL GROUP BY c)
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(m.cost, 0)::BIGINT AS cost, coalesce(m.audit, '') AS audit, sha256(coalesce(array_to_string(m.lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'null') AS c FROM conversations) LEFT JOIN ended USING (c) LEFT JOIN totals USING (c) LEFT JOIN joints USING (c)
+    """,
+)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.audited(conversations.damaged(turns), names=turns)
