@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, conversations, divergence, exact_dedup, fingerprints, lm_score, mixing, near_dedup, phrase_dedup, secret_scan, toxicity, url_filter
+from windrow.llm import bpe, conversations, divergence, embeddings, exact_dedup, fingerprints, lm_score, mixing, near_dedup, phrase_dedup, secret_scan, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -267,3 +267,20 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return conversations.audited(conversations.damaged(turns), names=turns)
+
+
+@query(
+    "op12_embedding_near_dedup",
+    r"""
+    WITH RECURSIVE rows AS (SELECT row_number() OVER () AS n, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    sound AS (
+        SELECT * FROM rows WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+    ), links AS (SELECT a.n AS a, b.n AS b FROM sound a JOIN sound b ON a.label = b.label AND a.n <> b.n AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+    reach(a, b) AS (SELECT n, n FROM rows UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    least AS (SELECT reach.a AS n, min(rows.vec_id) AS component_id FROM reach JOIN rows ON rows.n = reach.b GROUP BY reach.a),
+    counts AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM rows JOIN least USING (n) LEFT JOIN counts USING (n)
+    """,
+)
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
