@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrow.kernels import audio, video, zones as zn
-from windrow.models import gmm, hmm, metrics as mm, preprocess as pp, risk as rk
+from windrow.models import gmm, hmm, lockstep, metrics as mm, preprocess as pp, risk as rk, states
 from windrow.models.states import GMM, HMM, fit_states
 from windrow.operators.ordered import time_axis
 from windrow.operators.windowing import sliding_windows
@@ -85,6 +85,56 @@ def test_decoding_against_enumeration(spark):
         assert list(got["state_id"]) == list(paths[int(np.argmax(score))]) and np.stack(got["posterior"]) == pytest.approx(post)
 
 
+def plain_messages(model, x, entry, end, first):
+    """Forward and backward messages and the best path of one chunk, a row at a time."""
+    log_b = model.log_emission(x)
+    b = np.exp(log_b)
+    alpha, message, loglik = [], entry, 0.0
+    for t in range(len(x)):
+        message = (message if t == 0 and first else message @ model.transition) * b[t]
+        loglik += np.log(message.sum())
+        message = message / message.sum()
+        alpha.append(message)
+    beta = [end]
+    for t in range(len(x) - 1, 0, -1):
+        beta.insert(0, model.transition @ (b[t] * beta[0]))
+    gamma = np.array(alpha) * np.array(beta)
+    pairs = np.zeros_like(model.transition)
+    for t in range(1 if first else 0, len(x)):
+        joint = (alpha[t - 1] if t else entry)[:, None] * model.transition * (b[t] * beta[t])
+        pairs += joint / joint.sum()
+    return gamma / gamma.sum(axis=1, keepdims=True), pairs, loglik
+
+
+def test_lockstep_equals_one_chunk_at_a_time():
+    draw = np.random.default_rng(3)
+    k, d = 3, 2
+    model = hmm.GaussianHmm(draw.dirichlet(np.ones(k)), draw.dirichlet(np.ones(k), size=k), draw.normal(size=(k, d)), draw.uniform(0.3, 2, size=(k, d)))
+    chunks = [draw.normal(size=(n, d)) for n in (9, 9, 5, 1, 1)]
+    first = np.array([True, False, False, True, False])
+    entry, end = draw.dirichlet(np.ones(k), size=5), draw.uniform(0.1, 1, size=(5, k))
+    entry[first] = model.start
+    step = lockstep.Lockstep(model, chunks, first)
+    gamma, pairs, loglik = step.smoothed(entry, end)
+    want = [plain_messages(model, *args) for args in zip(chunks, entry, end, first)]
+    assert gamma == pytest.approx(np.concatenate([w[0] for w in want])) and pairs == pytest.approx(sum(w[1] for w in want)) and loglik == pytest.approx([w[2] for w in want])
+    alone = [lockstep.Lockstep(model, [c], np.array([f])) for c, f in zip(chunks, first)]
+    assert step.products() == pytest.approx(np.concatenate([s.products() for s in alone])) and step.best() == pytest.approx(np.concatenate([s.best() for s in alone]))
+    before, last = np.array([-1, 2, 0, -1, 1]), np.array([1, -1, 2, -1, -1])
+    assert list(step.paths(before, last)) == [s for one, b, x in zip(alone, before, last) for s in one.paths(np.array([b]), np.array([x]))]
+    parts = list(lockstep.slabs(np.array([3, 50, 7, 7, 1]), cells=21))
+    assert [list(p) for p in parts] == [[1], [2, 3, 0], [4]]
+
+
+def test_mixture_takes_over_when_the_sequence_model_fails(observed, monkeypatch):
+    def broken(*args):
+        raise np.linalg.LinAlgError("no convergence")
+
+    monkeypatch.setattr(states, "fit_hmm", broken)
+    result = fit_states(observed, ModelSettings(max_iterations=2), kind=HMM)
+    assert result.model_type == GMM and "no convergence" in result.note and result.sequence.count() == 301
+
+
 def test_mixture(observed):
     model = gmm.fit_gmm(with_vectors(observed), 2, ModelSettings())
     assert all(b >= a - 1e-9 for a, b in zip(model.history, model.history[1:])) and model.weights.sum() == pytest.approx(1)

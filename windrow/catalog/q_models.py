@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from windrow.catalog import testbed as tb
 from windrow.catalog.registry import query, rounded
 from windrow.functions import arrays
-from windrow.models import metrics as mm, preprocess as pp, risk as rk
+from windrow.models import gmm, hmm, metrics as mm, preprocess as pp, risk as rk
 from windrow.models.states import GMM, HMM, fit_states
 from windrow.operators import biomarkers as bm
+from windrow.operators.ordered import time_axis
 from windrow.settings import ModelSettings
 
 
@@ -122,6 +124,135 @@ def _biomarkers(spark, sf):
     return bm.semantic_biomarkers(tb.semantic_rows(spark, sf).drop("warnings"))
 
 
+# --- one step and one decoding of models with given parameters, which SQL can repeat ---------------
+
+_START = [0.5, 0.3, 0.2]
+_MOVE = [[0.7, 0.2, 0.1], [0.15, 0.7, 0.15], [0.1, 0.25, 0.65]]
+_MEANS_F = [[0.3, 0.5], [0.9, 1.0], [2.2, 1.4]]
+_VARS_F = [[0.1, 0.3], [0.2, 0.4], [1.1, 0.5]]
+FIXED_HMM = hmm.GaussianHmm(np.array(_START), np.array(_MOVE), np.array(_MEANS_F), np.array(_VARS_F))
+FIXED_MIXTURE = gmm.DiagonalMixture(np.array(_START), np.array(_MEANS_F), np.array(_VARS_F), float("-inf"), 0)
+
+
+def _pairs_of_features(spark, sf):
+    hours = tb.hour_windows(spark, sf)
+    return hours.select("window_id", "room_id", "start_us", F.array(F.col("activity_mean") / 50, F.coalesce("k_mean", F.lit(50.0)) / 50).alias("features"))
+
+
+def _fixed_packed(spark, sf):
+    """Chunks of twenty rows, so that messages cross chunks in every sequence."""
+    return hmm.pack_sequences(_pairs_of_features(spark, sf), time_axis(("room_id",)), "window_id", chunk_rows=20)
+
+
+def _log_b(j, x0="x0", x1="x1"):
+    (m0, m1), (v0, v1) = _MEANS_F[j], _VARS_F[j]
+    return f"(-0.5 * (ln(2 * pi() * {v0}) + ln(2 * pi() * {v1}) + ({x0} - {m0}) * ({x0} - {m0}) / {v0} + ({x1} - {m1}) * ({x1} - {m1}) / {v1}))"
+
+
+_three = range(3)
+_ROWS_F = f"""{tb.HOURS},
+xs AS (SELECT window_id, room_id, activity_mean / 50 AS x0, coalesce(k_mean, 50.0) / 50 AS x1, row_number() OVER (PARTITION BY room_id ORDER BY start_us, window_id) AS t, count(*) OVER (PARTITION BY room_id) AS n FROM hw),
+em AS (SELECT *, {", ".join(f"{_log_b(j)} AS l{j}" for j in _three)} FROM xs),
+pr AS (SELECT *, greatest(l0, l1, l2) AS top, {", ".join(f"exp(l{j} - greatest(l0, l1, l2)) AS b{j}" for j in _three)} FROM em)"""
+
+# forward and backward messages by recursion over the rows of all rooms at once, scaled to a sum of one
+_MESSAGES_F = f"""fw AS (
+  SELECT room_id, t, {", ".join(f"{_START[j]} * b{j} / ({' + '.join(f'{_START[i]} * b{i}' for i in _three)}) AS a{j}" for j in _three)}, ln({" + ".join(f"{_START[i]} * b{i}" for i in _three)}) + top AS ll FROM pr WHERE t = 1
+  UNION ALL
+  SELECT room_id, t, {", ".join(f"g{j} / (g0 + g1 + g2) AS a{j}" for j in _three)}, ln(g0 + g1 + g2) + top AS ll FROM (
+    SELECT p.room_id, p.t, p.top, {", ".join(f"({' + '.join(f'f.a{i} * {_MOVE[i][j]}' for i in _three)}) * p.b{j} AS g{j}" for j in _three)} FROM fw f JOIN pr p ON p.room_id = f.room_id AND p.t = f.t + 1)),
+bw AS (
+  SELECT room_id, t, 1.0::DOUBLE AS z0, 1.0::DOUBLE AS z1, 1.0::DOUBLE AS z2 FROM pr WHERE t = n
+  UNION ALL
+  SELECT room_id, t, {", ".join(f"h{i} / (h0 + h1 + h2) AS z{i}" for i in _three)} FROM (
+    SELECT room_id, p.t - 1 AS t, {", ".join(f"({' + '.join(f'{_MOVE[i][j]} * p.b{j} * q.z{j}' for j in _three)}) AS h{i}" for i in _three)} FROM bw q JOIN pr p USING (room_id, t) WHERE p.t > 1)),
+po AS (SELECT p.*, f.a0, f.a1, f.a2, f.ll, q.z0, q.z1, q.z2, {", ".join(f"a{j} * z{j} / (a0 * z0 + a1 * z1 + a2 * z2) AS c{j}" for j in _three)} FROM pr p JOIN fw f USING (room_id, t) JOIN bw q USING (room_id, t))"""
+
+
+def _argmax(values, results):
+    return f"CASE WHEN {values[0]} >= greatest({values[1]}, {values[2]}) THEN {results[0]} WHEN {values[1]} >= {values[2]} THEN {results[1]} ELSE {results[2]} END"
+
+
+_SCORES = [[f"v.s{i} + ln({_MOVE[i][j]})" for i in _three] for j in _three]
+
+
+@query("hmm_decode_fixed", f"""WITH RECURSIVE {_ROWS_F}, {_MESSAGES_F},
+vt AS (
+  SELECT room_id, t, {", ".join(f"ln({_START[j]}) + l{j} AS s{j}" for j in _three)}, {", ".join(f"[{j}] AS p{j}" for j in _three)} FROM pr WHERE t = 1
+  UNION ALL
+  SELECT p.room_id, p.t, {", ".join(f"greatest({', '.join(_SCORES[j])}) + p.l{j} AS s{j}" for j in _three)},
+         {", ".join(f"list_append({_argmax(_SCORES[j], [f'v.p{i}' for i in _three])}, {j}) AS p{j}" for j in _three)}
+  FROM vt v JOIN pr p ON p.room_id = v.room_id AND p.t = v.t + 1),
+ends AS (SELECT room_id, {_argmax(["s0", "s1", "s2"], ["p0", "p1", "p2"])} AS path FROM vt JOIN (SELECT room_id, max(t) AS t FROM pr GROUP BY 1) USING (room_id, t))
+SELECT window_id, CAST(path[t] AS BIGINT) AS state_id, round(c0, 5) AS posterior_0, round(c1, 5) AS posterior_1, round(c2, 5) AS posterior_2 FROM po JOIN ends USING (room_id)""")
+def hmm_decode_fixed(spark, sf):
+    """Most likely states and posteriors of all hours of a room under a model with given parameters."""
+    states = hmm.decode(_fixed_packed(spark, sf), FIXED_HMM, "window_id")
+    return rounded(states.select("window_id", "state_id", *[F.col("posterior")[j].alias(f"posterior_{j}") for j in _three]), 5)
+
+
+def _parameters(spark, model, start):
+    """Parameters as rows: ``parameter``, ``i``, ``j``, ``value``."""
+    table = [(start[0], i, 0, float(v)) for i, v in enumerate(start[1])]
+    for name, values in (("mean", model.means), ("variance", model.variances)):
+        table += [(name, i, j, float(v)) for i, row in enumerate(values) for j, v in enumerate(row)]
+    return table, "parameter string, i bigint, j bigint, value double"
+
+
+def _moments(weight, prior, floor):
+    """SQL rows of new means and variances from rows with weights ``weight(j)``."""
+    out = []
+    for j in _three:
+        for d in (0, 1):
+            mean = f"sum({weight(j)} * x{d}) / sum({weight(j)})"
+            scatter = f"sum({weight(j)} * x{d} * x{d}) - 2 * ({mean}) * sum({weight(j)} * x{d}) + ({mean}) * ({mean}) * sum({weight(j)})"
+            out.append(f"SELECT 'mean' AS parameter, {j} AS i, {d} AS j, {mean} AS value FROM po")
+            out.append(f"SELECT 'variance', {j}, {d}, ({prior} + {scatter}) / sum({weight(j)}) + {floor} FROM po")
+    return " UNION ALL ".join(out)
+
+
+def _joint(i, j):
+    """Expected moves from state i at t - 1 to j at t."""
+    total = " + ".join(f"l.a{x} * {_MOVE[x][y]} * r.b{y} * r.z{y}" for x in _three for y in _three)
+    return f"sum(l.a{i} * {_MOVE[i][j]} * r.b{j} * r.z{j} / ({total}))"
+
+
+@query("hmm_step_fixed", f"""WITH RECURSIVE {_ROWS_F}, {_MESSAGES_F},
+mv AS (SELECT {", ".join(f"{_joint(i, j)} AS m{i}{j}" for i in _three for j in _three)} FROM po l JOIN po r ON r.room_id = l.room_id AND r.t = l.t + 1),
+pa AS (
+  {" UNION ALL ".join(f"SELECT 'start' AS parameter, {j} AS i, 0 AS j, avg(c{j}) AS value FROM po WHERE t = 1" for j in _three)} UNION ALL
+  {" UNION ALL ".join(f"SELECT 'transition', {i}, {j}, m{i}{j} / (m{i}0 + m{i}1 + m{i}2) FROM mv" for i in _three for j in _three)} UNION ALL
+  {_moments(lambda j: f"c{j}", hmm.VARIANCE_PRIOR, 0)} UNION ALL
+  SELECT 'log_likelihood', 0, 0, sum(ll) / count(*) FROM po)
+SELECT parameter, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(value, 5) AS value FROM pa""")
+def hmm_step_fixed(spark, sf):
+    """Parameters after one step of expectation and maximisation from given ones, and the log-likelihood a row."""
+    packed = _fixed_packed(spark, sf)
+    model = hmm.stepped(packed, FIXED_HMM)
+    table, shape = _parameters(spark, model, ("start", model.start))
+    table += [("transition", i, j, float(v)) for i, row in enumerate(model.transition) for j, v in enumerate(row)]
+    size = packed.agg(F.sum(F.size("ids")).alias("n")).first()["n"]
+    return rounded(spark.createDataFrame([*table, ("log_likelihood", 0, 0, model.log_likelihood / size)], shape), 5)
+
+
+_JOINT_M = [f"({_START[j]} * exp({_log_b(j)}))" for j in _three]
+
+
+@query("gmm_step_fixed", f"""WITH {tb.HOURS},
+xs AS (SELECT activity_mean / 50 AS x0, coalesce(k_mean, 50.0) / 50 AS x1 FROM hw),
+jo AS (SELECT *, {", ".join(f"{_JOINT_M[j]} AS g{j}" for j in _three)} FROM xs),
+po AS (SELECT *, {", ".join(f"g{j} / (g0 + g1 + g2) AS c{j}" for j in _three)}, ln(g0 + g1 + g2) AS ll FROM jo),
+pa AS (
+  {" UNION ALL ".join(f"SELECT 'weight' AS parameter, {j} AS i, 0 AS j, avg(c{j}) AS value FROM po" for j in _three)} UNION ALL
+  {_moments(lambda j: f"c{j}", 0, gmm.REGULARISER)} UNION ALL SELECT 'log_likelihood', 0, 0, avg(ll) FROM po)
+SELECT parameter, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(value, 5) AS value FROM pa""")
+def gmm_step_fixed(spark, sf):
+    """Mixture parameters after one step from given ones, and the mean log-likelihood."""
+    model = gmm.stepped(_pairs_of_features(spark, sf).select("features"), FIXED_MIXTURE)
+    table, shape = _parameters(spark, model, ("weight", model.weights))
+    return rounded(spark.createDataFrame([*table, ("log_likelihood", 0, 0, model.mean_log_likelihood)], shape), 5)
+
+
 @query("hmm_states")
 def hmm_states(spark, sf):
     """Sequence model over the window biomarkers (an iterative fit; no SQL form)."""

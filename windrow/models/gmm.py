@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -69,28 +69,32 @@ def _sums(model: DiagonalMixture, hard: bool):
     return run
 
 
+def stepped(data: DataFrame, model: DiagonalMixture, hard: bool = False) -> DiagonalMixture:
+    """The mixture after one step over ``features``, with the mean log-likelihood before it. ``hard`` assigns rows to the nearest mean."""
+    k, d = model.means.shape
+    sums = data.mapInPandas(_sums(model, hard), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(len(sums))
+    for row in sums:
+        flat[row["i"]] = row["v"]
+    weight, m1, m2 = flat[:k], flat[k : k + k * d].reshape(k, d), flat[k + k * d : k + 2 * k * d].reshape(k, d)
+    filled = (weight + 1e-15)[:, None]
+    means = np.where(weight[:, None] > 0, m1 / filled, model.means)
+    variances = np.maximum(m2 / filled - means * means, 0.0) + REGULARISER
+    mean_ll = float("-inf") if hard else float(flat[-2] / flat[-1])
+    return DiagonalMixture(weight / weight.sum(), means, variances, mean_ll, model.iterations + (not hard), model.history)
+
+
 def fit_gmm(df: DataFrame, k: int, settings: ModelSettings = ModelSettings(), features: str = "features", max_iterations: int = MAX_ITERATIONS) -> DiagonalMixture:
     data = cut_lineage(spread(df.select(F.col(features).alias("features"))))
     start = initial_model(data, k, "features", settings.seed)
-    model = DiagonalMixture(np.full(k, 1.0 / k), start.means, start.variances, float("-inf"), 0)
-    previous, history = float("-inf"), []
-    for step in range(max_iterations + 1):
-        sums = data.mapInPandas(_sums(model, hard=step == 0), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        flat = np.zeros(len(sums))
-        for row in sums:
-            flat[row["i"]] = row["v"]
-        d = model.means.shape[1]
-        weight, m1, m2 = flat[:k], flat[k : k + k * d].reshape(k, d), flat[k + k * d : k + 2 * k * d].reshape(k, d)
-        mean_ll = float(flat[-2] / flat[-1]) if step else float("-inf")
-        filled = (weight + 1e-15)[:, None]
-        means = np.where(weight[:, None] > 0, m1 / filled, model.means)
-        variances = np.maximum(m2 / filled - means * means, 0.0) + REGULARISER
-        if step:
-            history.append(mean_ll)
-        model = DiagonalMixture(weight / weight.sum(), means, variances, mean_ll, step, tuple(history))
-        if step > 1 and abs(mean_ll - previous) < TOLERANCE:
+    model = stepped(data, DiagonalMixture(np.full(k, 1.0 / k), start.means, start.variances, float("-inf"), 0), hard=True)
+    previous = float("-inf")
+    for step in range(1, max_iterations + 1):
+        model = stepped(data, model)
+        model = replace(model, history=(*model.history, model.mean_log_likelihood))
+        if step > 1 and abs(model.mean_log_likelihood - previous) < TOLERANCE:
             break
-        previous = mean_ll
+        previous = model.mean_log_likelihood
     return model
 
 

@@ -16,6 +16,7 @@ Decoding works alike with (max, +) in place of (+, ×).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from windrow.models.lockstep import Lockstep, slabs
 from windrow.operators.ordered import Axis, with_position
 from windrow.session import cut_lineage, spread
 from windrow.settings import ModelSettings
@@ -75,41 +77,26 @@ def pack_sequences(df: DataFrame, axis: Axis, row_id: str, features: str = "feat
     return packed.join(sizes, "_seq")
 
 
-def _steps(model: GaussianHmm, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Emission rows scaled to a maximum of one, and the logs of the scales."""
-    log_b = model.log_emission(x)
-    top = log_b.max(axis=1)
-    return np.exp(log_b - top[:, None]), top
+def _matrix(values, d: int) -> np.ndarray:
+    return np.asarray(values, dtype=float).reshape(-1, d)
 
 
-def _chunk_product(model: GaussianHmm, x: np.ndarray, first: bool) -> np.ndarray:
-    """Product of the chunk's step matrices, up to a factor."""
-    b, _ = _steps(model, x)
-    matrix = np.eye(model.n_states)
-    for t in range(len(b)):
-        matrix = matrix * b[t] if (t == 0 and first) else (matrix @ model.transition) * b[t]
-        matrix /= matrix.sum()
-    return matrix
-
-
-def _chunk_best(model: GaussianHmm, x: np.ndarray, first: bool) -> np.ndarray:
-    log_b, log_a = model.log_emission(x), np.log(model.transition + 1e-300)
-    best = np.where(np.eye(model.n_states) > 0, 0.0, -np.inf)
-    for t in range(len(log_b)):
-        best = best + log_b[t] if (t == 0 and first) else (best[:, :, None] + log_a[None, :, :]).max(axis=1) + log_b[t]
-    return best
+def _laid(model: GaussianHmm, pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Lockstep]]:
+    """The chunks of a batch in slabs, each with its rows of the batch in the order of the slab."""
+    d = model.means.shape[1]
+    sizes = pdf["x"].map(len).to_numpy() // d
+    for part in slabs(sizes):
+        rows = pdf.iloc[part]
+        yield rows, Lockstep(model, [_matrix(x, d) for x in rows["x"]], (rows["_chunk"] == 0).to_numpy())
 
 
 def _summaries(model: GaussianHmm, decode: bool):
     def run(batches):
-        d = model.means.shape[1]
         for pdf in batches:
-            out = []
-            for seq, chunk, x in zip(pdf["_seq"], pdf["_chunk"], pdf["x"]):
-                data = np.asarray(x, dtype=float).reshape(-1, d)
-                best = _chunk_best(model, data, chunk == 0).ravel() if decode else np.zeros(0)
-                out.append((seq, chunk, _chunk_product(model, data, chunk == 0).ravel(), best))
-            yield pd.DataFrame(out, columns=["_seq", "_chunk", "matrix", "best"])
+            for rows, step in _laid(model, pdf):
+                matrices = step.products().reshape(len(rows), -1)
+                best = step.best().reshape(len(rows), -1) if decode else np.zeros((len(rows), 0))
+                yield pd.DataFrame({"_seq": rows["_seq"], "_chunk": rows["_chunk"], "matrix": list(matrices), "best": list(best)})
 
     return run
 
@@ -152,35 +139,12 @@ def _scan_sequence(model: GaussianHmm, decode: bool):
     return run
 
 
-def _forward_backward(model: GaussianHmm, x: np.ndarray, entry: np.ndarray, end: np.ndarray, first: bool):
-    """Posteriors, pairwise sums and log-likelihood of one chunk between known messages."""
-    b, top = _steps(model, x)
-    n, k = b.shape
-    alpha, beta, sizes = np.empty((n, k)), np.empty((n, k)), np.empty(n)
-    message = entry
-    for t in range(n):
-        message = (message if (t == 0 and first) else message @ model.transition) * b[t]
-        sizes[t] = message.sum()
-        message = message / sizes[t]
-        alpha[t] = message
-    beta[-1] = end
-    for t in range(n - 2, -1, -1):
-        back = model.transition @ (b[t + 1] * beta[t + 1])
-        beta[t] = back / back.sum()
-    gamma = alpha * beta
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    left = alpha[:-1] if first else np.vstack([entry[None, :], alpha[:-1]])
-    right = (b * beta)[1:] if first else b * beta
-    joint = left[:, :, None] * model.transition[None, :, :] * right[:, None, :]
-    pairs = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-    return gamma, pairs, float(np.log(sizes).sum() + top.sum())
-
-
-def _ends(model: GaussianHmm, entry, end) -> tuple[np.ndarray, np.ndarray]:
-    """Messages at both ends; a sequence of one chunk starts and ends by itself."""
-    if entry is None:
-        return model.start, np.ones(model.n_states)
-    return np.asarray(entry, dtype=float), np.asarray(end, dtype=float)
+def _ends(model: GaussianHmm, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Messages at both ends of chunks; a sequence of one chunk starts and ends by itself."""
+    k = model.n_states
+    entry = [model.start if e is None else e for e in rows["entry"]]
+    end = [np.ones(k) if e is None else e for e in rows["exit"]]
+    return np.array(entry, dtype=float).reshape(-1, k), np.array(end, dtype=float).reshape(-1, k)
 
 
 def _statistics(model: GaussianHmm):
@@ -191,16 +155,14 @@ def _statistics(model: GaussianHmm):
         weight, first_moment, second_moment = np.zeros(k), np.zeros((k, d)), np.zeros((k, d))
         loglik, seen = 0.0, False
         for pdf in batches:
-            for chunk, x, entry, end in zip(pdf["_chunk"], pdf["x"], pdf["entry"], pdf["exit"]):
-                data = np.asarray(x, dtype=float).reshape(-1, d)
-                gamma, joint, part = _forward_backward(model, data, *_ends(model, entry, end), chunk == 0)
-                if chunk == 0:
-                    start += gamma[0]
+            for rows, step in _laid(model, pdf):
+                gamma, joint, part = step.smoothed(*_ends(model, rows))
+                start += gamma[(step.step == 0) & step.first[step.chunk]].sum(axis=0)
                 pairs += joint
                 weight += gamma.sum(axis=0)
-                first_moment += gamma.T @ data
-                second_moment += gamma.T @ (data * data)
-                loglik += part
+                first_moment += gamma.T @ step.rows
+                second_moment += gamma.T @ (step.rows * step.rows)
+                loglik += part.sum()
                 seen = True
         if seen:
             flat = np.concatenate([start, pairs.ravel(), weight, first_moment.ravel(), second_moment.ravel(), [loglik]])
@@ -209,38 +171,13 @@ def _statistics(model: GaussianHmm):
     return run
 
 
-def _viterbi(model: GaussianHmm, x: np.ndarray, before: int, last: int, first: bool) -> np.ndarray:
-    log_b, log_a = model.log_emission(x), np.log(model.transition + 1e-300)
-    n, k = log_b.shape
-    came = np.zeros((n, k), dtype=int)
-    score = (np.log(model.start + 1e-300) if first else log_a[before]) + log_b[0]
-    for t in range(1, n):
-        options = score[:, None] + log_a
-        came[t] = options.argmax(axis=0)
-        score = options.max(axis=0) + log_b[t]
-    path = np.empty(n, dtype=int)
-    path[-1] = last if last >= 0 else score.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
-    return path
-
-
 def _decoded(model: GaussianHmm):
     def run(batches):
-        d = model.means.shape[1]
         for pdf in batches:
-            all_ids, paths, gammas = [], [], []
-            for chunk, ids, x, entry, end, before, last in zip(
-                pdf["_chunk"], pdf["ids"], pdf["x"], pdf["entry"], pdf["exit"], pdf["first_state"], pdf["last_state"]
-            ):
-                data = np.asarray(x, dtype=float).reshape(-1, d)
-                gamma, _, _ = _forward_backward(model, data, *_ends(model, entry, end), chunk == 0)
-                path = _viterbi(model, data, int(before), int(last), chunk == 0)
-                all_ids.extend(ids)
-                paths.append(path)
-                gammas.extend(gamma)
-            if all_ids:
-                yield pd.DataFrame({"_id": all_ids, "state_id": np.concatenate(paths), "posterior": gammas})
+            for rows, step in _laid(model, pdf):
+                gamma = step.smoothed(*_ends(model, rows))[0]
+                path = step.paths(rows["first_state"].to_numpy(), rows["last_state"].to_numpy())
+                yield pd.DataFrame({"_id": np.concatenate(rows["ids"].to_list()), "state_id": path, "posterior": list(gamma)})
 
     return run
 
@@ -293,6 +230,22 @@ def maximise(model: GaussianHmm, flat: np.ndarray) -> GaussianHmm:
     return replace(model, start=start / start.sum(), transition=transition, means=means, variances=(VARIANCE_PRIOR + scatter) / filled)
 
 
+def expected(packed: DataFrame, model: GaussianHmm, any_long: bool) -> np.ndarray:
+    """Summed statistics of one expectation step, in the order that ``maximise`` reads; the last is the log-likelihood."""
+    parts = _with_messages(packed, model, False, any_long).select("_chunk", "x", "entry", "exit")
+    sums = parts.mapInPandas(_statistics(model), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(len(sums))
+    for row in sums:
+        flat[row["i"]] = row["v"]
+    return flat
+
+
+def stepped(packed: DataFrame, model: GaussianHmm) -> GaussianHmm:
+    """The model after one step of expectation and maximisation, with the log-likelihood before it."""
+    flat = expected(packed, model, _any_long(packed))
+    return replace(maximise(model, flat), log_likelihood=float(flat[-1]), iterations=model.iterations + 1)
+
+
 def fit_hmm(
     df: DataFrame, axis: Axis, row_id: str, k: int, settings: ModelSettings = ModelSettings(), features: str = "features", chunk_rows: int = 2_048
 ) -> tuple[GaussianHmm, DataFrame]:
@@ -302,11 +255,7 @@ def fit_hmm(
     any_long = _any_long(packed)
     previous, history = float("-inf"), []
     for step in range(settings.max_iterations):
-        parts = _with_messages(packed, model, False, any_long).select("_chunk", "x", "entry", "exit")
-        sums = parts.mapInPandas(_statistics(model), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        flat = np.zeros(len(sums))
-        for row in sums:
-            flat[row["i"]] = row["v"]
+        flat = expected(packed, model, any_long)
         history.append(float(flat[-1]))
         model = replace(maximise(model, flat), log_likelihood=float(flat[-1]), iterations=step + 1, history=tuple(history))
         if flat[-1] - previous < settings.tolerance:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
+from math import isfinite
 
 from pyspark.sql import DataFrame
 
@@ -14,6 +16,8 @@ from windrow.operators.ordered import Axis, time_axis
 from windrow.session import cut_lineage
 from windrow.settings import ModelSettings
 
+log = logging.getLogger(__name__)
+
 HMM, GMM = "gaussian_hmm", "fallback_gmm_state_model"
 
 
@@ -25,6 +29,7 @@ class StateResult:
     n_states: int
     scaling: Scaling
     model: object
+    note: str = ""
 
 
 def sequence_axis(df: DataFrame) -> Axis:
@@ -32,33 +37,51 @@ def sequence_axis(df: DataFrame) -> Axis:
     return time_axis(tuple(c for c in ("room_id", "session_id") if c in df.columns))
 
 
-def fit_states(df: DataFrame, settings: ModelSettings = ModelSettings(), features: list[str] | None = None, kind: str = HMM, n_windows: int | None = None) -> StateResult:
-    """Fit, decode, label and score. ``kind`` chooses the sequence model or the mixture.
+@dataclass(frozen=True)
+class Assigned:
+    """States and posteriors of the rows, the model that gave them, and why it was not the sequence model."""
+
+    kind: str
+    model: object
+    states: DataFrame
+    log_likelihood: float
+    note: str = ""
+
+
+def assigned(ready: DataFrame, axis: Axis, k: int, settings: ModelSettings = ModelSettings(), kind: str = HMM, row_id: str = "window_id") -> Assigned:
+    """Fit the model of ``kind`` to ``features``. Whatever ends the fit of the sequence model, the mixture takes over.
 
-    If the sequence model fails to converge to finite numbers the mixture takes over.
+    ``log_likelihood`` is the total over the rows.
     """
+    note = ""
+    if kind == HMM:
+        try:
+            model, packed = fit_hmm(ready, axis, row_id, k, settings)
+            if not isfinite(model.log_likelihood):
+                raise ArithmeticError(f"log-likelihood {model.log_likelihood}")
+            # decoding is part of the fit: a model that cannot decode its own rows is none
+            return Assigned(HMM, model, cut_lineage(decode(packed, model, row_id)), model.log_likelihood)
+        except Exception as error:  # noqa: BLE001
+            note = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:300]
+            log.warning("sequence model failed, mixture used: %s", note)
+    mixture = fit_gmm(ready, k, settings)
+    return Assigned(GMM, mixture, assign(ready, mixture, row_id), mixture.mean_log_likelihood * ready.count(), note)
+
+
+def fit_states(df: DataFrame, settings: ModelSettings = ModelSettings(), features: list[str] | None = None, kind: str = HMM, n_windows: int | None = None) -> StateResult:
+    """Fit, decode, label and score. ``kind`` chooses the sequence model or the mixture, which also stands in when the former fails."""
     # read many times below: medians, scaling, starting centres, every iteration
     df = cut_lineage(df)
     names = features or twin_features(df)
     axis = sequence_axis(df)
     scaling = fit_scaling(df, names, settings.missing_indicators)
     k = state_count(df.count() if n_windows is None else n_windows, settings)
-    ready = with_features(df, scaling)
-    model, states = None, None
-    if kind == HMM:
-        model, packed = fit_hmm(ready, axis, "window_id", k, settings)
-        if model.log_likelihood == model.log_likelihood and abs(model.log_likelihood) != float("inf"):
-            states = decode(packed, model, "window_id")
-    used = HMM
-    if states is None:
-        used = GMM
-        model = fit_gmm(ready, k, settings)
-        placed = cut_lineage(df.join(assign(ready, model, "window_id"), "window_id"))
-        sequence = cut_lineage(smoothed_one_hot(placed, axis, k))
-    else:
-        sequence = cut_lineage(df.join(states, "window_id"))
-    scored, summary = score_sequence(sequence, axis, k, settings)
-    return StateResult(with_posterior_columns(scored, max(settings.max_states, k)).drop("posterior"), summary, used, k, scaling, model)
-
-
-__all__ = ["HMM", "GMM", "StateResult", "fit_states", "sequence_axis"]
+    done = assigned(with_features(df, scaling), axis, k, settings, kind)
+    sequence = df.join(done.states, "window_id")
+    if done.kind == GMM:
+        sequence = smoothed_one_hot(cut_lineage(sequence), axis, k)
+    scored, summary = score_sequence(cut_lineage(sequence), axis, k, settings)
+    return StateResult(with_posterior_columns(scored, max(settings.max_states, k)).drop("posterior"), summary, done.kind, k, scaling, done.model, done.note)
+
+
+__all__ = ["HMM", "GMM", "Assigned", "StateResult", "assigned", "fit_states", "sequence_axis"]

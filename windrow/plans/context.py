@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from windrow.functions.times import with_time_columns
 from windrow.models import metrics as mm, risk as rk
-from windrow.models.gmm import assign, fit_gmm
-from windrow.models.hmm import decode, fit_hmm
 from windrow.models.preprocess import MULTIMODAL_FEATURES, VIDEO_FEATURES, fit_scaling, state_count, with_features
-from windrow.models.states import GMM, HMM, sequence_axis
+from windrow.models.states import HMM, assigned, sequence_axis
 from windrow.operators import events as ev, stats
 from windrow.operators.climate import attach_climate
 from windrow.operators.merge import join_with_fallback
@@ -72,12 +70,8 @@ def compare_models(df: DataFrame, models: dict[str, tuple[str, ...]], settings:
     for name, wanted in models.items():
         features = [c for c in wanted if c in df.columns]
         ready = with_features(df, fit_scaling(df, features, indicators=False))
-        if kind == HMM:
-            model, packed = fit_hmm(ready, axis, "window_id", k, settings)
-            states, loglik, used = decode(packed, model, "window_id"), model.log_likelihood / max(size, 1), HMM
-        else:
-            mixture = fit_gmm(ready, k, settings)
-            states, loglik, used = assign(ready, mixture, "window_id"), mixture.mean_log_likelihood, GMM
+        done = assigned(ready, axis, k, settings, kind)
+        states, loglik, used = done.states, done.log_likelihood / max(size, 1), done.kind
         placed = cut_lineage(df.join(states, "window_id"))
         means = [*dict.fromkeys((*SEMANTIC_MULTIMODAL, *MULTIMODAL_FEATURES)), "state_probability_max"]
         summary = rk.state_summary(placed, means)
