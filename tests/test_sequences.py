@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from windrow.operators import events as ev, resilience as rs, sequences as sq, stats as st
+from windrow.operators import events as ev, nearby, resilience as rs, sequences as sq, stats as st
 from windrow.operators.ordered import Axis, time_axis, with_neighbours, with_position, with_running
 from windrow.settings import MICROS, EventSettings, ResilienceSettings
 
@@ -230,6 +230,30 @@ def test_recovery_against_sequential_rule(spark):
     assert annotated.filter("event_phase = 'normal'").agg(F.max("resilience_pressure_index")).first()[0] == 0.0
 
 
+def test_events_are_told_apart_by_sequence_and_meet_or_take_the_nearest(spark):
+    draw = random.Random(6)
+    spans = []
+    for i in range(120):
+        start = draw.randrange(300)
+        spans.append((draw.choice(["a", "b", None]), start * MICROS, (start + draw.choice([1, 5, 40])) * MICROS, f"w{i:03d}"))
+    log = [("same", draw.choice(["a", "b", None, "nowhere"]), at * MICROS, (at + draw.choice([0, 3, -2])) * MICROS, i) for i, at in enumerate(draw.choices(range(-50, 400), k=60))]
+    windows = spark.createDataFrame(spans, "room_id string, start_us bigint, end_us bigint, window_id string")
+    events = spark.createDataFrame(log, "event_id string, room_id string, event_start_us bigint, event_end_us bigint, event_seq int")
+    want = set()
+    for _, room, lo, hi, seq in log:
+        here = [w for w in spans if w[0] == room]
+        hits = [(seq, w[3], "overlap") for w in here if lo <= hi and w[1] <= hi and w[2] >= lo]
+        nearest = sorted(here, key=lambda w: (abs(w[1] - lo), w[1], w[3]))[:1]
+        want.update(hits or [(seq, w[3], "nearest") for w in nearest])
+    for bins, blocks in ((7, 11), (1_000, 60)):
+        got = nearby.met_or_nearest(events, windows, bin_seconds=bins, block_seconds=blocks).collect()
+        assert len(got) == len(want) and {(r["event_seq"], r["window_id"], r["matched"]) for r in got} == want
+    measured = windows.withColumns({"activity_mean": F.lit(1.0), "duration_seconds": F.lit(1.0)})
+    summary, notes = rs.evaluate_events(measured, events)
+    assert sorted(r["event_seq"] for r in summary.collect()) == sorted({w[0] for w in want})
+    assert rs.overlay_annotations(measured, notes, events).count() == len(spans)
+
+
 def label(data, log, s):
     """Sequential restatement of the labelling rule."""
     state = {w[2]: (0, None, "outside_event_window", 0.0) for w in data}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from windrow.catalog import testbed as tb
 from windrow.catalog.registry import query, rounded
-from windrow.operators import events as ev, resilience as rs, sequences as sq
+from windrow.operators import events as ev, nearby, resilience as rs, sequences as sq
 from windrow.operators.ordered import time_axis, with_position
 from windrow.operators.selection import spaced_extremes
 
@@ -101,7 +101,7 @@ def _late_events(spark, sf):
 @query("nearest_event_fallback", _NEAREST + " SELECT event_id, window_id, matched FROM matched")
 def nearest_event_fallback(spark, sf):
     """Windows meeting each event; an event that meets none takes the nearest window start."""
-    return ev.nearest_or_overlapping(_late_events(spark, sf), tb.hour_windows(spark, sf), bin_seconds=86_400).select("event_id", "window_id", "matched")
+    return nearby.met_or_nearest(_late_events(spark, sf), tb.hour_windows(spark, sf), bin_seconds=86_400).select("event_id", "window_id", "matched")
 
 
 _RECOVERY = _NEAREST + """,

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from windrow.functions.times import overlap_seconds
-from windrow.operators.ordered import Axis, join_same, time_block, with_neighbours, with_running
+from windrow.operators.ordered import Axis, join_same, with_neighbours
 from windrow.operators.quantiles import exact_percentiles, long_values
 from windrow.session import cut_lineage
 from windrow.settings import BASELINE, DURING, MICROS, OUTSIDE, PHASES, RECOVERY, EventSettings
@@ -245,43 +245,6 @@ def recovery_time(labelled: DataFrame, metric: str, by: list[str]) -> DataFrame:
     )
 
 
-def nearest_or_overlapping(events: DataFrame, windows: DataFrame, bin_seconds: int = 3_600, block_seconds: int = 86_400) -> DataFrame:
-    """Windows that meet each event; for an event that meets none, the window with the nearest start.
-
-    Output: the event columns plus ``window_id``, ``start_us``, ``end_us`` and ``matched`` (``overlap`` or ``nearest``).
-    Nearest is a two-sided as-of scan along time, not a comparison of all pairs.
-    """
-    ev = events.select("event_id", "room_id", "event_start_us", "event_end_us")
-    spans = windows.select("room_id", "window_id", "start_us", "end_us")
-    hits = interval_pairs(
-        spans, ev, ["room_id"], (F.col("start_us"), F.col("end_us")), (F.col("event_start_us"), F.col("event_end_us")), bin_seconds
-    )
-    lonely = ev.join(hits.select("event_id").distinct(), "event_id", "left_anti")
-    starts = spans.groupBy("room_id", "start_us").agg(F.min(F.struct("window_id", "end_us")).alias("_w"))
-    stops = starts.select(
-        "room_id", F.col("start_us").alias("_t"), F.lit(0).alias("_kind"), F.lit("").alias("event_id"),
-        F.struct(F.col("start_us"), F.col("_w.window_id").alias("window_id"), F.col("_w.end_us").alias("end_us")).alias("_win"),
-    )
-    asks = lonely.select(
-        "room_id", F.col("event_start_us").alias("_t"), F.lit(1).alias("_kind"), "event_id", F.lit(None).cast(stops.schema["_win"].dataType).alias("_win"),
-    )
-    axis = Axis(("room_id",), ("_t", "_kind", "event_id"), time_block("_t", block_seconds))
-    line = stops.unionByName(asks)
-    past = with_running(line, axis, _before=("last", "_win")).filter("_kind = 1").select("event_id", "_before")
-    future = with_running(line, axis.reversed(), _after=("last", "_win")).filter("_kind = 1").select("event_id", "_after")
-    found = lonely.join(past, "event_id").join(future, "event_id")
-    gap_before = F.col("event_start_us") - F.col("_before.start_us")
-    gap_after = F.col("_after.start_us") - F.col("event_start_us")
-    use_before = F.col("_after").isNull() | (gap_before <= gap_after)
-    chosen = F.when(F.col("_before").isNotNull() & use_before, F.col("_before")).otherwise(F.col("_after"))
-    nearest = found.withColumn("_c", chosen).filter("_c is not null").select(
-        "event_id", "room_id", "event_start_us", "event_end_us",
-        F.col("_c.window_id").alias("window_id"), F.col("_c.start_us").alias("start_us"), F.col("_c.end_us").alias("end_us"),
-        F.lit("nearest").alias("matched"),
-    )
-    return hits.select(*ev.columns, "window_id", "start_us", "end_us", F.lit("overlap").alias("matched")).unionByName(nearest)
-
-
 def change_points(df: DataFrame, axis: Axis, label: str) -> DataFrame:
     """Rows at which the label differs from the row before (the first row counts)."""
     scanned = with_neighbours(df, axis, before={"_pl": label})

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from windrow.functions.numbers import clip
-from windrow.operators.events import nearest_or_overlapping
-from windrow.operators.ordered import Axis, first_per, join_same, time_axis, with_group_stats, with_neighbours, with_position
+from windrow.operators.nearby import highest_met
+from windrow.operators.ordered import Axis, first_per, time_axis, with_group_stats, with_neighbours, with_position
 from windrow.settings import MICROS, ResilienceSettings
 
 
@@ -74,79 +74,50 @@ def _text_axis() -> Axis:
 
 
 def evaluate_events(
-    windows: DataFrame, events: DataFrame, settings: ResilienceSettings = ResilienceSettings(), block_seconds: int = 86_400
+    windows: DataFrame, events: DataFrame, settings: ResilienceSettings = ResilienceSettings(), block_seconds: int = 86_400, bin_seconds: int = 3_600
 ) -> tuple[DataFrame, DataFrame]:
-    """Peak, baseline, recovery and curve measures per event, and the annotated neighbourhood rows.
+    """Peak, baseline, recovery and curve measures per event (``event_seq``), and the annotated neighbourhood rows.
 
-    Positions in the room's sequence come from a two-level scan; each event then
-    meets only the ``baseline + 1 + recovery`` positions around its peak through
-    an equi-join on (room, position), so the work is linear in the events.
+    An event carries at most ``baseline + 1 + recovery`` windows, so the measures are array arithmetic on one row.
     """
-    axis = time_axis(("room_id",), seconds=block_seconds)
-    placed = with_position(windows.withColumn("_a", activity_or_total(windows)), axis, "_pos")
-    slim = placed.select("room_id", "window_id", "start_us", "end_us", F.coalesce("duration_seconds", F.lit(0.0)).alias("duration_seconds"), "_a", "_pos")
-
-    matched = nearest_or_overlapping(events, windows, block_seconds=block_seconds)
-    scored = matched.select("event_id", "room_id", "window_id").join(
-        slim.select("room_id", "window_id", "_a", "_pos"), ["room_id", "window_id"]
-    )
-    peaks = scored.groupBy("event_id", "room_id").agg(F.max_by(F.struct("_pos", "_a"), F.struct("_a", -F.col("_pos"))).alias("_p")).select(
-        "event_id", "room_id", F.col("_p._pos").alias("_peak"), F.col("_p._a").alias("peak_activity")
-    )
-    k, m = settings.baseline_windows, settings.max_recovery_windows
-    around = peaks.withColumn("_pos", F.explode(F.sequence(F.greatest(F.col("_peak") - k, F.lit(1)), F.col("_peak") + m)))
-    row = F.struct("_pos", "_a", "window_id", "start_us", "end_us", "duration_seconds")
-    # at most baseline + 1 + recovery rows per event: the rest is array arithmetic on one row
-    near = around.join(slim, ["room_id", "_pos"]).groupBy("event_id", "room_id", "_peak", "peak_activity").agg(
-        F.array_sort(F.collect_list(row)).alias("_rows")
-    )
-    peak, activity = F.col("_peak"), F.col("peak_activity")
-    near = near.withColumns(
-        {
-            "_before": F.filter("_rows", lambda r: r["_pos"] < peak),
-            "_top": F.element_at(F.filter("_rows", lambda r: r["_pos"] == peak), 1),
-        }
-    )
-    total = F.aggregate("_before", F.lit(0.0), lambda acc, r: acc + r["_a"])
-    near = near.withColumns(
-        {
-            "baseline_window_count": F.size("_before").cast("bigint"),
-            "baseline_activity": F.coalesce(F.try_divide(total, F.size("_before")), activity),
-        }
-    )
+    near = highest_met(events, windows, activity_or_total(windows), settings.baseline_windows, settings.max_recovery_windows, bin_seconds, block_seconds)
+    activity = F.col("top._a")
+    total = F.aggregate("prev", F.lit(0.0), lambda acc, r: acc + r["_a"])
+    near = near.withColumn("baseline_activity", F.coalesce(F.try_divide(total, F.size("prev")), activity))
     near = near.withColumn("_excess", F.greatest(activity - F.col("baseline_activity"), F.lit(0.0)))
     limit = F.col("baseline_activity") + settings.recovery_fraction * F.col("_excess")
-    near = near.withColumn("_calm", F.try_element_at(F.filter("_rows", lambda r: (r["_pos"] > peak) & (r["_a"] <= limit)), F.lit(1)))
-    near = near.withColumn("_end", F.coalesce("_calm", F.element_at("_rows", -1)))
-    steps, length = F.col("_end._pos") - peak, F.col("_top.duration_seconds")
-    seconds = F.coalesce((F.col("_end.end_us") - F.col("_top.end_us")) / float(MICROS), length * steps)
-    base, last = F.col("baseline_activity"), F.col("_end._pos")
-    curve = F.filter("_rows", lambda r: (r["_pos"] >= peak) & (r["_pos"] <= last))
-    area = F.aggregate(curve, F.lit(0.0), lambda acc, r: acc + F.greatest(r["_a"] - base, F.lit(0.0)))
+    near = near.withColumn("_calm", F.array_position(F.transform("next", lambda r: r["_a"] <= limit), F.lit(True)))
+    near = near.withColumn("_steps", F.when(F.col("_calm") > 0, F.col("_calm")).otherwise(F.size("next").cast("bigint")))
+    near = near.withColumns({"_after": F.slice("next", F.lit(1), F.col("_steps").cast("int")), "_end": F.when(F.col("_steps") > 0, F.get("next", (F.col("_steps") - 1).cast("int"))).otherwise(F.col("top"))})
+    length = F.coalesce("top._length", F.lit(0.0))
+    seconds = F.coalesce((F.col("_end._end") - F.col("top._end")) / float(MICROS), length * F.col("_steps"))
+    base = F.col("baseline_activity")
+    area = F.aggregate(F.concat(F.array("top"), F.col("_after")), F.lit(0.0), lambda acc, r: acc + F.greatest(r["_a"] - base, F.lit(0.0)))
     summary = near.select(
-        "event_id", "room_id", F.col("_top.window_id").alias("peak_window_id"), F.col("_top.start_us").alias("peak_start_us"),
-        "baseline_activity", "peak_activity", "baseline_window_count", steps.alias("recovery_time_windows"), seconds.alias("recovery_time_seconds"),
+        F.col("about.id").alias("event_id"), "event_seq", "room_id", F.col("top._about.id").alias("peak_window_id"), F.col("top._t").alias("peak_start_us"),
+        "baseline_activity", activity.alias("peak_activity"), F.size("prev").cast("bigint").alias("baseline_window_count"), F.col("_steps").alias("recovery_time_windows"), seconds.alias("recovery_time_seconds"),
         F.when(seconds > 0, (F.col("_end._a") - activity) / seconds).otherwise(F.lit(0.0)).alias("recovery_slope"),
-        (area * length).alias("area_under_recovery_curve"), F.col("_calm").isNotNull().alias("recovered_flag"),
-        F.col("_end.end_us").alias("recovery_end_us"),
+        (area * length).alias("area_under_recovery_curve"), (F.col("_calm") > 0).alias("recovered_flag"), F.col("_end._end").alias("recovery_end_us"),
     )
-    touched = near.withColumn("_r", F.explode(F.filter("_rows", lambda r: r["_pos"] <= last)))
-    position = F.col("_r._pos")
-    phase = F.when(position < peak, "baseline").when(position == peak, "during").otherwise("recovery")
-    pressure = F.greatest(F.col("_r._a") - base, F.lit(0.0)) / F.when(F.col("_excess") > 0, F.col("_excess")).otherwise(1.0)
+    phase = lambda rows, name: F.transform(rows, lambda r: F.struct(r["_about"]["id"].alias("window_id"), r["_a"].alias("a"), F.lit(name).alias("phase")))
+    touched = near.withColumn("_r", F.explode(F.concat(phase(F.col("prev"), "baseline"), phase(F.array("top"), "during"), phase(F.col("_after"), "recovery"))))
+    pressure = F.greatest(F.col("_r.a") - base, F.lit(0.0)) / F.when(F.col("_excess") > 0, F.col("_excess")).otherwise(1.0)
     notes = touched.select(
-        "event_id", "room_id", F.col("_r.window_id").alias("window_id"), phase.alias("event_phase"), clip(pressure, 0.0, 1.5).alias("resilience_pressure_index")
+        F.col("about.id").alias("event_id"), "event_seq", "room_id", F.col("_r.window_id").alias("window_id"), F.col("_r.phase").alias("event_phase"),
+        clip(pressure, 0.0, 1.5).alias("resilience_pressure_index"), F.col("about.type").alias("event_type"), F.col("about.source").alias("candidate_event_source"),
     )
     return summary, notes
 
 
 def overlay_annotations(windows: DataFrame, notes: DataFrame, events: DataFrame) -> DataFrame:
-    """Attach event annotations; where several events touch a window the later one stays."""
+    """Attach event annotations; where several events touch a window the later one (``event_seq``) stays."""
     extra = [c for c in ("event_type", "candidate_event_source") if c in events.columns]
-    numbered = notes.join(events.select("event_id", "event_seq", *extra), "event_id")
     payload = F.struct("event_id", "event_phase", "resilience_pressure_index", *extra)
-    latest = numbered.groupBy("room_id", "window_id").agg(F.max_by(payload, F.struct("event_seq", "event_id")).alias("_n"))
-    joined = join_same(windows.drop("event_id", "event_phase", "event_type", "candidate_event_source", "resilience_pressure_index"), latest, ["room_id", "window_id"])
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
+    latest = notes.select(key("room_id").alias("_kr"), key("window_id").alias("_kw"), payload.alias("_n"), F.struct("event_seq", "event_id").alias("_o"))
+    latest = latest.groupBy("_kr", "_kw").agg(F.max_by("_n", "_o").alias("_n"))
+    plain = windows.drop("event_id", "event_phase", "event_type", "candidate_event_source", "resilience_pressure_index")
+    joined = plain.withColumns({"_kr": key("room_id"), "_kw": key("window_id")}).join(latest, ["_kr", "_kw"], "left").drop("_kr", "_kw")
     columns = {
         "event_id": F.col("_n.event_id"),
         "event_phase": F.coalesce("_n.event_phase", F.lit("normal")),
