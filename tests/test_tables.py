@@ -155,7 +155,8 @@ def test_guards(spark):
 
 
 @pytest.mark.parametrize("kind", ["uniform", "constant", "heavy", "negative", "tiny"])
-def test_percentiles_are_exact(spark, kind):
+@pytest.mark.parametrize("accuracy", [5, 20_000])
+def test_percentiles_are_exact(spark, kind, accuracy):
     rng = random.Random(1)
     make = {
         "uniform": lambda: rng.uniform(0, 1), "constant": lambda: 4.25, "heavy": lambda: rng.paretovariate(0.3), "negative": lambda: rng.gauss(-1e9, 1e8),
@@ -163,7 +164,7 @@ def test_percentiles_are_exact(spark, kind):
     }[kind]
     data = [(rng.choice(["a", "b", None]), make()) for _ in range(501)] + [("one", 3.0), ("a", None), ("a", float("nan")), ("none", None)]
     df = spark.createDataFrame(data, "g string, v double")
-    got = {r["g"]: (r["q1"], r["q5"], r["q9"]) for r in qt.exact_percentiles(df, ["g"], "v", {"q1": 0.1, "q5": 0.5, "q9": 0.99}, cells=64).collect()}
+    got = {r["g"]: (r["q1"], r["q5"], r["q9"]) for r in qt.exact_percentiles(df, ["g"], "v", {"q1": 0.1, "q5": 0.5, "q9": 0.99}, accuracy=accuracy).collect()}
     groups = {g: [v for k, v in data if k == g and v is not None and v == v] for g in {k for k, _ in data}}
     want = {g: tuple(np.percentile(v, [10, 50, 99])) for g, v in groups.items() if v}
     assert set(got) == set(want)
@@ -213,3 +214,17 @@ def test_fallback_join_runs_only_when_nothing_matched(spark):
     join = lambda right: {r["window_id"]: r["v"] for r in mg.join_with_fallback(left, right, ["window_id"], ["room_id", "start_time"], "v", [F.col("v")]).collect()}
     assert join(other) == {"w1": 1.0, "w2": 3.0}
     assert join(other.withColumn("window_id", F.when(F.col("v") == 1.0, "w1").otherwise("z"))) == {"w1": 1.0, "w2": None}
+
+
+def test_few_values_are_ordered_whatever_their_range(spark):
+    """One outlier, and many equal values at the very rank: the selected cells stay near rows / accuracy."""
+    rows, accuracy = 40_000, 1_000
+    draw = np.random.default_rng(1)
+    values = {"outlier": np.append(draw.normal(size=rows - 1), 1e12), "equal": np.where(np.arange(rows) % 2 == 0, 0.0, draw.normal(size=rows)), "tiny": draw.uniform(size=rows) * 1e-12}
+    df = spark.createDataFrame([(g, float(x)) for g, v in values.items() for x in v], "g string, v double")
+    asked = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    placed, extent = qt._placed(df, ["g"], "v", asked, accuracy)
+    sizes = qt._inside(placed, qt._wanted(placed, extent, ["g"], asked), ["g"]).groupBy("g", "_cell").count().collect()
+    assert max(r["count"] for r in sizes) <= 8 * rows / accuracy
+    got = {r["g"]: (r["q1"], r["q2"], r["q3"]) for r in qt.exact_percentiles(df, ["g"], "v", asked, accuracy).collect()}
+    assert all(got[g] == pytest.approx(np.percentile(v, [25, 50, 75]), rel=1e-12, abs=1e-30) for g, v in values.items())
