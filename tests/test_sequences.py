@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from windrow.operators import events as ev, nearby, resilience as rs, sequences as sq, stats as st
+from windrow.operators import events as ev, nearby, ordered, resilience as rs, sequences as sq, stats as st
 from windrow.operators.ordered import Axis, time_axis, with_neighbours, with_position, with_running
 from windrow.settings import MICROS, EventSettings, ResilienceSettings
 
@@ -163,6 +163,20 @@ def test_benjamini_hochberg(spark):
         assert got[1] is None and got[0] == pytest.approx(0.9) and got[2] == got[3] == pytest.approx(0.3)
 
 
+def test_adjustment_of_tiny_and_equal_values_uses_every_partition(spark):
+    draw = np.random.default_rng(2)
+    p = np.concatenate([draw.uniform(size=400) * 1e-12, np.full(200, 3e-13), draw.uniform(size=100) * 1e-300, [0.0, 1.0]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, p double").repartition(5)
+    out = st.with_benjamini_hochberg(df, "p", "q", ["i"])
+    order = np.argsort(p, kind="stable")
+    want = np.empty(len(p))
+    want[order] = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1].clip(0, 1)
+    got = {r["i"]: r["q"] for r in out.collect()}
+    assert [got[i] for i in range(len(p))] == pytest.approx(want, rel=1e-12, abs=0) and out.columns == ["i", "p", "q"]
+    ranks = ordered.range_placed(df, [F.col("p"), F.col("i")], "_rank").groupBy("_part").count().collect()
+    assert len(ranks) == 4 and max(r["count"] for r in ranks) < len(p) / 2
+
+
 def test_rank_percent_takes_the_lowest_rank(spark):
     values = [3.0, 1.0, 3.0, None, 7.0, 1.0]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")

@@ -228,3 +228,19 @@ def test_few_values_are_ordered_whatever_their_range(spark):
     assert max(r["count"] for r in sizes) <= 8 * rows / accuracy
     got = {r["g"]: (r["q1"], r["q2"], r["q3"]) for r in qt.exact_percentiles(df, ["g"], "v", asked, accuracy).collect()}
     assert all(got[g] == pytest.approx(np.percentile(v, [25, 50, 75]), rel=1e-12, abs=1e-30) for g, v in values.items())
+
+
+def test_p_values_of_correlations(spark):
+    """Against numerical integration of the density, down to tiny values."""
+    cases = [(r, n) for n in (3, 4, 5, 8, 9, 60, 61, 400) for r in (0.0, 0.05, 0.3, -0.6, 0.9, 0.999, 1.0, -1.0)] + [(None, 9), (0.5, 2), (0.5, None), (float("nan"), 9)]
+    df = spark.createDataFrame(cases, "r double, n bigint")
+    got = [row[0] for row in df.select(st.correlation_p_value(F.col("r"), F.col("n"))).collect()]
+    assert got[-4:] == [None] * 4
+
+    def tail(r, v):
+        # t = r * sqrt(v / (1 - r * r)): under r = sin(a) the density is cos(a) ** (v - 1)
+        whole, part = np.linspace(0, np.pi / 2, 400_001), np.linspace(np.arcsin(abs(r)), np.pi / 2, 400_001)
+        return np.trapezoid(np.cos(part) ** (v - 1), part) / np.trapezoid(np.cos(whole) ** (v - 1), whole)
+
+    want = [tail(r, n - 2) for r, n in cases[:-4]]
+    assert got[:-4] == pytest.approx(want, rel=1e-5, abs=1e-300)

@@ -105,10 +105,26 @@ def daily_corr(spark, sf):
     return rounded(st.pair_correlations(_daily(spark, sf), _ENV, _AUDIO), 5)
 
 
-@query("correlation_table")
+def _within(r):
+    """SQL: probability within ``r`` of Student's t with v = n - 2 degrees of freedom, by the finite sums for whole v."""
+    odd = f"2 / pi() * (asin(least(abs({r}), 1.0)) + abs({r}) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * pow(1 - {r} * {r}, j + 0.5))), 0))"
+    even = f"abs({r}) * list_sum(list_transform(range(0, (n - 2) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * pow(1 - {r} * {r}, j)))"
+    return f"CASE WHEN n % 2 = 1 THEN {odd} ELSE {even} END"
+
+
+def _adjusted(p):
+    return f"least(greatest(min({p} * m / place_{p}) OVER (ORDER BY {p}, env_feature, audio_feature ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0), 1)"
+
+
+@query("correlation_table", _DAILY + f""",
+co AS (SELECT env_feature, audio_feature, count(*) AS n, corr(x, y) AS r, corr(rx, ry) AS s FROM rk GROUP BY 1, 2),
+pp AS (SELECT *, greatest(1 - {_within("r")}, 0) AS p, greatest(1 - {_within("s")}, 0) AS q FROM co),
+pl AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, env_feature, audio_feature) AS place_p, row_number() OVER (ORDER BY q, env_feature, audio_feature) AS place_q FROM pp)
+SELECT env_feature, audio_feature, n AS n_samples, round(r, 5) AS pearson_r, round(s, 5) AS spearman_rho, round(p, 5) AS pearson_p, round(q, 5) AS spearman_p,
+       round({_adjusted("p")}, 5) AS pearson_fdr_bh, round({_adjusted("q")}, 5) AS spearman_fdr_bh FROM pl""")
 def correlation_table(spark, sf):
-    """With p-values and their adjustment (Student's t has no plain SQL form)."""
-    return rounded(st.correlation_table(_daily(spark, sf), _ENV, _AUDIO))
+    """With p-values and their adjustment."""
+    return rounded(st.correlation_table(_daily(spark, sf), _ENV, _AUDIO), 5)
 
 
 @query("strongest_association", _DAILY + " SELECT env_feature, audio_feature, round(corr(x, y), 5) AS pearson_r FROM rk GROUP BY 1, 2 ORDER BY abs(corr(x, y)) DESC NULLS LAST, 1, 2 LIMIT 1")

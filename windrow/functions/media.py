@@ -41,6 +41,7 @@ PATH_LAYOUTS = (
     ("room_id", "session_id", "modality"),
     ("modality", "room_id", "session_id"),
 )
+# Fields that a layout gives.
 CONTEXT_FIELDS = ("system_id", "room_id", "session_id", "modality", "source_type")
 
 

@@ -203,11 +203,11 @@ def with_running(df: DataFrame, axis: Axis, **measures: tuple[str, Column | str]
     return axis.clean(out, *local, *carried)
 
 
-def range_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Row number from 1 along ``order`` over the whole frame: range partitions, rows of each, offsets.
+def range_placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their number from 1 along ``order`` over the whole frame and their range ``_part`` (ranges follow the order).
 
     Ranges follow the rows, not the calendar, so a day (or a value) with most rows is many partitions. The placed rows
-    are materialised, because ranges are sampled and counts and rows must see the same ones.
+    are written, because ranges are sampled and counts and rows must see the same ones.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut_lineage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_seat", F.monotonically_increasing_id()))
@@ -215,7 +215,12 @@ def range_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = placed.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     place = F.col("_offset") + F.col("_seat").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(name, place.cast("bigint")).drop("_part", "_seat", "_offset")
+    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(name, place.cast("bigint")).drop("_seat", "_offset")
+
+
+def range_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Row number from 1 along ``order`` over the whole frame."""
+    return range_placed(df, order, name).drop("_part")
 
 
 def with_position(df: DataFrame, axis: Axis, name: str = "position") -> DataFrame:

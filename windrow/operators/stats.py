@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
 
-from windrow.operators.ordered import Axis, attach_row, with_position, with_running
+from windrow.operators.ordered import attach_row, range_placed
 
 
 def correlation(x: str, y: str) -> Column:
@@ -57,56 +55,55 @@ def pair_correlations(daily: DataFrame, left: list[str], right: list[str], left_
     )
 
 
-def _incomplete_beta(a: float, b: float, x: float, steps: int = 100_000) -> float:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz); an error if it does not converge."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _incomplete_beta(b, a, 1.0 - x, steps)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    f = d
-    for m in range(1, steps):
-        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + k * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + k / c
-            c = c if abs(c) > tiny else tiny
-            f *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            return front * f
-    raise ArithmeticError(f"the incomplete beta function did not converge for {a}, {b}, {x}")
-
-
-@F.pandas_udf(DoubleType())
-def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p-value of a correlation from Student's t with n − 2 degrees of freedom."""
-    def one(value: float, count: float) -> float | None:
-        if value is None or math.isnan(value) or count < 3:
-            return None
-        rest = max(1.0 - value * value, 0.0)
-        return _incomplete_beta((count - 2) / 2.0, 0.5, rest)
-
-    return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="float64")
-
-
-def with_benjamini_hochberg(df: DataFrame, p: str, name: str, tie: list[str], cells: int = 4_096) -> DataFrame:
+def correlation_p_value(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation from Student's t with ``n - 2`` degrees of freedom; null below three samples.
+
+    For whole degrees of freedom v, with ``x = 1 - r * r``, the probability within ``|r|`` is ``|r|`` times a finite sum of
+    v / 2 terms (and an angle where v is odd), and the probability beyond is ``|r|`` times the terms that would follow. Each
+    term comes from the one before, so both are folds over a sequence. The tail is summed itself where it is small, so that tiny p-values keep their
+    digits. The cost grows with v, the number of samples (days).
+    """
+    size = F.abs(r.cast("double"))
+    x = F.greatest(1.0 - size * size, F.lit(0.0))
+    v = n.cast("int") - 2
+    odd = v % 2
+
+    def fold(first: Column, last: Column, start: Column, factor) -> Column:
+        """Sum of terms: ``start``, then each times ``factor`` of its number."""
+        empty = F.array().cast("array<int>")
+        numbers = F.when(last >= first, F.sequence(first, last)).otherwise(empty)
+        state = F.struct(start.alias("term"), start.alias("total"))
+        step = lambda s, i: F.struct((s["term"] * factor(i)).alias("term"), (s["total"] + s["term"] * factor(i)).alias("total"))
+        return F.aggregate(numbers, state, step, lambda s: s["total"])
+
+    ratio = lambda i: x * (2 * i - 1 + odd) / (2 * i + odd)
+    # odd: angle + sum over (v - 1) / 2 terms; even: v / 2 terms
+    terms = F.floor(v / 2).cast("int")
+    inner = size * fold(F.lit(1), terms - 1, F.when(odd == 1, F.sqrt(x)).otherwise(F.lit(1.0)), ratio)
+    within = F.when(odd == 1, 2 / math.pi * (F.asin(F.least(size, F.lit(1.0))) + F.when(terms > 0, inner).otherwise(0.0))).otherwise(inner)
+    # the term at which the inner sum stops is where the tail begins, reached in logarithms
+    logs = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.ln((2 * i - 1 + odd) / (2 * i + odd)))
+    begin = F.exp(logs + v / 2 * F.ln(x)) * F.when(odd == 1, F.lit(2 / math.pi)).otherwise(1.0)
+    more = F.least(F.ceil(40 / F.greatest(size * size, F.lit(1e-9))), F.lit(10_000_000)).cast("int")
+    beyond = size * fold(F.lit(0), more, begin, lambda i: x * (v + 2 * i + 1) / (v + 2 * i + 2))
+    p = F.when(x == 0.0, F.lit(0.0)).when(size * size * v >= 8.0, beyond).otherwise(F.greatest(1.0 - within, F.lit(0.0)))
+    return F.when(r.isNotNull() & ~F.isnan(r.cast("double")) & (n >= 3), p)
+
+
+def with_benjamini_hochberg(df: DataFrame, p: str, name: str, tie: list[str]) -> DataFrame:
     """False-discovery-rate adjusted p-values over the whole frame; missing p stays missing.
 
-    Rank from below and running minimum from above are two-level scans over
-    blocks of the p range.
+    Ranks and the running minimum from above are taken in range partitions along p; each partition carries
+    the minimum of all later ones, so equal or tiny values crowd no task.
     """
-    block = F.floor(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)) * cells)
-    axis = Axis((), (p, *tie), block)
-    ranked = with_position(df.filter(F.col(p).isNotNull()), axis, "_rank")
-    size = df.agg(F.count(p).alias("_m"))
+    ranked = range_placed(df.filter(F.col(p).isNotNull()), [F.col(p), *[F.col(c) for c in tie]], "_rank")
+    size = ranked.agg(F.max("_rank").alias("_m"))
     raw = attach_row(ranked, size).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
-    lowest = with_running(raw, axis.reversed(), _adj=("min", "_raw"))
-    adjusted = lowest.withColumn(name, F.least(F.greatest(F.col("_adj"), F.lit(0.0)), F.lit(1.0))).drop("_rank", "_m", "_raw", "_adj")
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    carried = raw.groupBy("_part").agg(F.min("_raw").alias("_least")).select("_part", F.min("_least").over(later).alias("_least"))
+    here = F.min("_raw").over(Window.partitionBy("_part").orderBy(F.desc("_rank")))
+    lowest = raw.withColumn("_here", here).join(carried, "_part").withColumn("_adj", F.least("_here", "_least"))
+    adjusted = lowest.withColumn(name, F.least(F.greatest(F.col("_adj"), F.lit(0.0)), F.lit(1.0))).select(*df.columns, name)
     missing = df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
     return adjusted.unionByName(missing)
 
@@ -127,8 +124,8 @@ def correlation_table(daily: DataFrame, left: list[str], right: list[str]) -> Da
     table = pair_correlations(daily, left, right)
     table = table.withColumns(
         {
-            "pearson_p": correlation_p_value("pearson_r", F.col("n_samples").cast("double")),
-            "spearman_p": correlation_p_value("spearman_rho", F.col("n_samples").cast("double")),
+            "pearson_p": correlation_p_value(F.col("pearson_r"), F.col("n_samples")),
+            "spearman_p": correlation_p_value(F.col("spearman_rho"), F.col("n_samples")),
         }
     )
     ids = ["env_feature", "audio_feature"]

@@ -7,8 +7,9 @@ everything here only fills in what is unset.
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "windrow") -> SparkSession:
@@ -48,12 +49,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that several readers see one evaluation."""
+    """Write ``df`` as Parquet to the shared folder and read it back, so that several readers see one evaluation.
+
+    A table, not an RDD checkpoint: later readers take only the columns and row groups they need.
+    """
     spark = df.sparkSession
-    directory = checkpoint_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(directory)
-    return df.checkpoint(eager=True)
+    void = [name for name, kind in df.dtypes if kind == "void"]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/windrow/{spark.sparkContext.applicationId}/{uuid4().hex}"
+    written = df.withColumns({name: F.lit(None).cast("string") for name in void})
+    written.write.parquet(path)
+    return spark.read.schema(written.schema).parquet(path)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
