@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from windrow.catalog import testbed as tb
 from windrow.catalog.registry import query, rounded
+from windrow.settings import PHASES
 from windrow.operators import diagnostics as dg, merge as mg, quantiles as qt, stats as st, timeline as tl
 from windrow.operators.ordered import join_same, time_axis
 
@@ -65,6 +66,38 @@ def fallback_unused(spark, sf):
     return rounded(mg.join_with_fallback(customers, right, ["wid"], ["room"], "v", [F.col("wid")]).select("c_custkey", "v"))
 
 
+@query("validated_join", "SELECT c_custkey AS key, c_name AS name, n.total, n.orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) n ON o_custkey = c_custkey")
+def validated_join(spark, sf):
+    """Customers and their order totals, one row each by a check inside the join."""
+    totals = tb.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    customers = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return rounded(mg.join_one_to_one(customers, totals, ["key"]))
+
+
+@query("inner_override", f"""WITH {tb.HOURS},
+b AS (SELECT window_id, min(room_id) AS room_id, min(session_id) AS session_id, min(start_us) + 1 AS start_us FROM hw WHERE n_rows > 1 GROUP BY 1)
+SELECT window_id, b.room_id || '!' AS room_id, b.session_id, b.start_us, round(hw.activity_mean, 6) AS activity_mean FROM hw JOIN b USING (window_id)""")
+def inner_override(spark, sf):
+    """Windows that the other table knows, with its room, session and start."""
+    hours = tb.hour_windows(spark, sf)
+    other = hours.filter("n_rows > 1").select("window_id", F.concat("room_id", F.lit("!")).alias("room_id"), "session_id", (F.col("start_us") + 1).alias("start_us"))
+    other = other.unionByName(other.withColumn("room_id", F.concat("room_id", F.lit("?"))))  # the later row of a key is not used
+    mine = hours.select("window_id", "room_id", "session_id", "start_us", "activity_mean")
+    return rounded(mg.inner_override(mine, other, "window_id", ["room_id", "session_id", "start_us"], [F.col("room_id")]))
+
+
+@query("matrix_pivots", f"""WITH {tb.LABELLED},
+long AS (SELECT event_phase, unnest(['activity_mean', 'k_mean']) AS metric, unnest([activity_mean, k_mean]) AS value FROM lab WHERE event_id IS NOT NULL),
+ph AS (SELECT * FROM (VALUES (0, 'pre_entry_baseline'), (1, 'during_entry'), (2, 'post_entry_recovery'), (3, 'not_a_phase')) v(position, phase))
+SELECT CAST(position AS BIGINT) AS position, phase, round(avg(value) FILTER (metric = 'activity_mean'), 6) AS activity_mean, round(avg(value) FILTER (metric = 'k_mean'), 6) AS k_mean
+FROM ph LEFT JOIN long ON event_phase = phase GROUP BY 1, 2""")
+def matrix_pivots(spark, sf):
+    """Phase by metric in a fixed order of rows, present or not."""
+    labelled = tb.labelled_hours(spark, sf).filter("event_id IS NOT NULL")
+    long = qt.long_values(labelled, ["event_phase"], ["activity_mean", "k_mean"]).groupBy(F.col("event_phase").alias("phase"), "metric").agg(F.avg("value").alias("value"))
+    return rounded(st.matrix(long, "phase", [*PHASES, "not_a_phase"], "metric", ["activity_mean", "k_mean"], "value"))
+
+
 @query("semi_pending", "SELECT o_orderkey AS window_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def semi_pending(spark, sf):
     done = tb.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("window_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from windrow.functions.times import overlap_seconds
 from windrow.operators.ordered import Axis, join_same, with_neighbours
 from windrow.operators.quantiles import exact_percentiles, long_values
+from windrow.operators.timetree import least_at, least_meeting
 from windrow.session import cut_lineage
 from windrow.settings import BASELINE, DURING, MICROS, OUTSIDE, PHASES, RECOVERY, EventSettings
 
@@ -77,40 +78,53 @@ def label_windows(
         "room_id", "start_us", "end_us", F.col("room_id").alias("_room")
     ).distinct()
     reach = (F.col("event_start_us") - before, F.col("event_end_us") + after)
-
-    def pairs_for(events_part: DataFrame, keys: list[str]) -> DataFrame:
-        right = events_part if keys else events_part.drop("room_id")
-        return interval_pairs(spans, right, keys, (F.col("start_us"), F.col("end_us")), reach, bin_seconds).drop("room_id")
-
-    pairs = pairs_for(known.filter("room_id <> ''"), ["room_id"])
-    if blank_room == "all":
-        pairs = pairs.unionByName(pairs_for(known.filter("room_id = ''"), []))
-    priority, shared = phase_of(F.col("start_us"), F.col("end_us"), F.col("event_start_us"), F.col("event_end_us"), settings)
-    pairs = pairs.withColumns({"_pri": priority, "event_overlap_seconds": shared}).filter(F.col("_pri").isNotNull())
-    mid = F.col("start_us") + (F.col("end_us") - F.col("start_us")) / 2
-    payload = F.struct(
-        "event_id", "event_type",
-        F.when(F.col("_pri") == 3, DURING).when(F.col("_pri") == 2, BASELINE).otherwise(RECOVERY).alias("event_phase"),
-        ((mid - F.col("event_start_us")) / MICROS).alias("seconds_from_event_start"),
-        ((mid - F.col("event_end_us")) / MICROS).alias("seconds_from_event_end"),
-        "event_start_us", "event_end_us", "event_overlap_seconds",
-        (F.col("_pri") == 3).alias("overlaps_event"),
-    )
-    best = pairs.groupBy(F.col("_room").alias("room_id"), "start_us", "end_us").agg(
-        F.max_by(payload, F.struct("_pri", -F.col("event_seq"))).alias("_b")
-    )
+    pairs = interval_pairs(spans, known.filter("room_id <> ''"), ["room_id"], (F.col("start_us"), F.col("end_us")), reach, bin_seconds).drop("room_id")
+    priority, _ = phase_of(F.col("start_us"), F.col("end_us"), F.col("event_start_us"), F.col("event_end_us"), settings)
+    pairs = pairs.withColumn("_pri", priority).filter(F.col("_pri").isNotNull())
+    event = F.struct("event_seq", "event_id", "event_type", "event_start_us", "event_end_us")
+    # the highest priority, then the first event: both as a least value
+    best = pairs.groupBy(F.col("_room").alias("room_id"), "start_us", "end_us").agg(F.min(F.struct((-F.col("_pri")).alias("rank"), event.alias("event"))).alias("_b"))
     labelled = join_same(windows, best, ["room_id", "start_us", "end_us"])
-    fields = ["event_id", "event_type", "seconds_from_event_start", "seconds_from_event_end", "event_start_us", "event_end_us"]
+    if blank_room == "all":
+        anywhere = _anywhere(spans, known.filter("room_id = ''"), settings)
+        labelled = join_same(labelled, anywhere, ["start_us", "end_us"]).withColumn("_b", F.least("_b", "_any")).drop("_any")
+    chosen, start, end = F.col("_b.event"), F.col("start_us"), F.col("end_us")
+    mid = start + (end - start) / 2
+    rank = -F.col("_b.rank")
+    shared = overlap_seconds(start, end, chosen["event_start_us"], chosen["event_end_us"])
     return labelled.withColumns(
         {
-            **{f: F.col(f"_b.{f}") for f in fields},
-            "event_phase": F.coalesce("_b.event_phase", F.lit(OUTSIDE)),
-            "event_overlap_seconds": F.coalesce("_b.event_overlap_seconds", F.lit(0.0)),
-            "overlaps_event": F.coalesce("_b.overlaps_event", F.lit(False)),
+            **{f: chosen[f] for f in ("event_id", "event_type", "event_start_us", "event_end_us")},
+            "seconds_from_event_start": (mid - chosen["event_start_us"]) / MICROS,
+            "seconds_from_event_end": (mid - chosen["event_end_us"]) / MICROS,
+            "event_phase": F.when(rank == 3, DURING).when(rank == 2, BASELINE).when(rank == 1, RECOVERY).otherwise(OUTSIDE),
+            "event_overlap_seconds": F.when(rank.isNotNull(), shared).otherwise(F.lit(0.0)),
+            "overlaps_event": F.coalesce(rank == 3, F.lit(False)),
         }
     ).drop("_b")
 
 
+def _anywhere(spans: DataFrame, events: DataFrame, settings: EventSettings) -> DataFrame:
+    """``start_us``, ``end_us`` and ``_any`` (rank and event) of the spans near an event that belongs to no room.
+
+    Rooms play no part, so spans are reduced over all rooms first, and each asks the time tree instead of meeting events.
+    """
+    least = round(settings.min_overlap_seconds * MICROS)
+    before, after = settings.baseline_minutes * 60 * MICROS, settings.recovery_minutes * 60 * MICROS
+    keys = ["start_us", "end_us"]
+    span = spans.select(*keys).distinct()
+    marks = events.withColumn("_e", F.struct("event_seq", "event_id", "event_type", "event_start_us", "event_end_us"))
+    start, end = F.col("event_start_us"), F.col("event_end_us")
+    # sharing `least` or more is meeting, once both the event and the span end that much earlier
+    long = marks.filter(end - start >= least)
+    during = least_meeting(span, keys, F.col("start_us"), F.col("end_us") - least, long, start, end - least, "_e").withColumnRenamed("_e", "_during")
+    ahead = least_at(span, "end_us", marks, start - before + 1, start, "_e").withColumnRenamed("_e", "_ahead")
+    behind = least_at(span, "start_us", marks, end, end + after - 1, "_e").withColumnRenamed("_e", "_behind")
+    ranked = span.join(during, keys, "left").join(ahead, "end_us", "left").join(behind, "start_us", "left")
+    one = lambda rank, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(-rank).alias("rank"), F.col(c).alias("event")))
+    return ranked.select(*keys, F.coalesce(one(3, "_during"), one(2, "_ahead"), one(1, "_behind")).alias("_any")).filter("_any IS NOT NULL")
+
+
 def event_from_media(media: DataFrame, path_or_name: str, event_id: str, event_type: str, entry_seconds: float, exit_seconds: float) -> DataFrame:
     """Event row at fixed offsets into the earliest media file whose path or name matches."""
     wanted = path_or_name.replace("\\", "/").lower()

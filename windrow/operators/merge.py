@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from windrow.functions.text import combine_warnings
 from windrow.operators.climate import attach_climate
-from windrow.operators.ordered import attach_row, first_per, join_same
+from windrow.operators.ordered import first_per, join_same
 
 KEYS = ["window_id", "media_id", "room_id", "session_id", "start_time", "end_time"]
 
@@ -110,22 +110,50 @@ def outer_metadata(selected: DataFrame, index: DataFrame, manifest: DataFrame) -
 def join_with_fallback(left: DataFrame, right: DataFrame, primary: list[str], fallback: list[str], probe: str, order: list[Column]) -> DataFrame:
     """Left join on ``primary``; only if that matches nothing at all, on ``fallback``.
 
-    Both joins run side by side; one row computed from the keys says which
-    result counts.
+    A job that ends at the first match decides, so the plan that comes back holds the one join that counts.
     """
     columns = [c for c in right.columns if c not in {*primary, *fallback}]
 
-    def unique(keys: list[str], tag: str) -> DataFrame:
-        return first_per(right, keys, order).select(*keys, *[F.col(c).alias(f"_{tag}_{c}") for c in columns])
+    def joined(keys: list[str]) -> DataFrame:
+        return join_same(left, first_per(right, keys, order).select(*keys, *columns), keys)
 
-    named = unique(primary, "p").filter(F.col(f"_p_{probe}").isNotNull())
-    hits = join_same(left.select(*primary), named.select(*primary, F.lit(1).alias("_one")), primary, "inner")
-    verdict = hits.agg((F.count("_one") > 0).alias("_hit"))
-    both = join_same(join_same(left, unique(primary, "p"), primary), unique(fallback, "f"), fallback)
-    chosen = attach_row(both, verdict).withColumns(
-        {c: F.when(F.col("_hit"), F.col(f"_p_{c}")).otherwise(F.col(f"_f_{c}")) for c in columns}
-    )
-    return chosen.drop("_hit", *[f"_{t}_{c}" for t in "pf" for c in columns])
+    first = joined(primary)
+    return joined(fallback) if first.filter(F.col(probe).isNotNull()).isEmpty() else first
+
+
+def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Key columns that are never null, so that windows and the join on them share one partitioning."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    return df.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for n, k in zip(names, keys)}), names
+
+
+def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], suffix: str = "_right") -> DataFrame:
+    """Left join that raises, when it runs, as soon as a key occurs twice on either side (missing keys count as equal).
+
+    The check numbers the rows of a key where the join has brought them together, so it costs no scan and no shuffle of its own.
+    """
+    def checked(df: DataFrame, side: str) -> tuple[DataFrame, list[str]]:
+        rows, names = _keyed(df, keys)
+        again = F.row_number().over(Window.partitionBy(*names).orderBy(*names)) > 1
+        message = F.concat(F.lit(f"{side} side has more than one row for {'/'.join(keys)} "), F.concat_ws("/", *names))
+        rows = rows.withColumn("_again", again)
+        return rows.filter(F.when(F.col("_again"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("_again"), names
+
+    (one, names), (two, _) = checked(left, "left"), checked(right, "right")
+    renamed = {c: c + suffix for c in right.columns if c in left.columns and c not in keys}
+    return one.join(two.drop(*keys).withColumnsRenamed(renamed), names, "left").drop(*names)
+
+
+def inner_override(left: DataFrame, right: DataFrame, key: str, columns: list[str], order: list[Column]) -> DataFrame:
+    """Rows of ``left`` that ``right`` knows too, one per key, with ``columns`` as the right side (its first row of a key) has them.
+
+    Columns that only the right side has are added; other columns and their order are those of the left side.
+    """
+    source = first_per(right, [key], order).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    own = first_per(left, [key], [F.col(c).asc_nulls_last() for c in left.columns])
+    joined = own.join(source, key)
+    kept = [F.col(f"_new_{c}").alias(c) if c in columns else F.col(c) for c in left.columns]
+    return joined.select(*kept, *[F.col(f"_new_{c}").alias(c) for c in columns if c not in left.columns])
 
 
 def combine_failed(*frames: DataFrame) -> DataFrame:

@@ -133,6 +133,13 @@ def correlation_table(daily: DataFrame, left: list[str], right: list[str]) -> Da
     return with_benjamini_hochberg_small(table, "spearman_p", "spearman_fdr_bh", ids)
 
 
+def matrix(long: DataFrame, row: str, rows: list[str], column: str, columns: list[str], value: str) -> DataFrame:
+    """Long form to a matrix: ``position``, ``row`` and one column per name, with every row of ``rows`` in that order, filled or not."""
+    grid = long.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(r) for r in rows])).alias("position", row))
+    cells = long.filter(F.col(row).isin(*rows)).groupBy(row).agg(*[F.first(F.when(F.col(column) == c, F.col(value)), ignorenulls=True).alias(c) for c in columns])
+    return grid.join(cells, row, "left").select("position", row, *columns)
+
+
 def strongest_association(table: DataFrame, column: str) -> DataFrame:
     """The pair with the largest absolute coefficient."""
     return table.orderBy(F.abs(F.col(column)).desc_nulls_last(), "env_feature", "audio_feature").limit(1)
