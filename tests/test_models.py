@@ -183,21 +183,51 @@ def test_first_detection_is_first_in_order(spark):
     assert got["event_detection_contrast"] == pytest.approx(0.65 - 0.15) and got["state_purity_by_event_phase"] == 1.0
 
 
+def pcm(wave):
+    return np.round(np.asarray(wave) * 32768).clip(-32768, 32767).astype("<i2").tobytes()
+
+
 def test_sine_features(spark):
     rate = 22_050
     t = np.arange(2 * rate) / rate
-    wave = (0.5 * np.sin(2 * np.pi * 440 * t)).tolist()
-    df = spark.createDataFrame([("m", wave)], "media_id string, samples array<double>")
-    got = audio.audio_frames(audio.frame_samples(df, rate), rate).orderBy("frame_start_sec").toPandas()
+    df = spark.createDataFrame([("m", pcm(0.5 * np.sin(2 * np.pi * 440 * t)))], "media_id string, pcm binary")
+    got = audio.audio_frames(df, rate).orderBy("frame_start_sec").toPandas()
     assert list(got["frame_center_sec"]) == [0.5, 1.5] and got["audio_rms"].to_numpy() == pytest.approx([0.5 / np.sqrt(2)] * 2, abs=1e-3)
     assert (got["audio_spectral_centroid"] > 100).all() and got["audio_zero_crossing_rate"].to_numpy() == pytest.approx([880 / rate] * 2, abs=1e-3)
     assert got["audio_spectral_rolloff"].to_numpy() == pytest.approx([440, 440], abs=2) and (got["audio_short_time_energy"] > 0.12).all()
 
 
-def test_short_last_frame_is_padded(spark):
-    df = spark.createDataFrame([("m", [1.0, 1.0, 1.0, 1.0, 1.0]), ("e", [])], "media_id string, samples array<double>")
-    got = [(r["media_id"], r["frame_start_sec"], r["frame"]) for r in audio.frame_samples(df, 4).orderBy("frame_start_sec").collect()]
-    assert got == [("m", 0.0, [1.0] * 4), ("m", 1.0, [1.0, 0.0, 0.0, 0.0])]
+@pytest.mark.parametrize(("hop", "block"), [(None, 256), (0.5, 3), (0.25, 1), (0.75, 2)])
+def test_frames_overlap_across_rows_and_blocks(spark, hop, block):
+    """A recording in many rows of odd lengths, over several Arrow batches, against frames cut from the whole."""
+    rate, draw = 8, np.random.default_rng(4)
+    sounds = {m: np.round(draw.uniform(-1, 1, n) * 32000) / 32768 for m, n in (("long", 3_001), ("short", 5), ("one", 1), ("even", 16))}
+    rows = [("none", 0, b"")]
+    for m, sound in sounds.items():
+        at = 0
+        while at < len(sound):
+            n = int(draw.integers(1, 9))
+            rows.append((m, at, pcm(sound[at : at + n])))
+            at += n
+    draw.shuffle(rows)
+    df = spark.createDataFrame([(m, int(a), bytes(p)) for m, a, p in rows], "media_id string, chunk_start bigint, pcm binary").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {(r["media_id"], r["frame_start_sec"]): r for r in audio.audio_frames(df, rate, 1.0, hop, block).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    step = round(rate * (hop or 1.0))
+    want = {}
+    for m, sound in sounds.items():
+        for i in range(len(sound)):
+            if i == 0 or i * step + rate - step < len(sound):
+                frame = np.zeros((1, rate))
+                part = sound[i * step : i * step + rate]
+                frame[0, : len(part)] = part
+                want[m, i * step / rate] = {k: float(v[0]) for k, v in audio.spectral_features(frame, rate).items()}
+    assert got.keys() == want.keys()
+    assert all(got[key][n] == pytest.approx(v, abs=1e-12) for key, values in want.items() for n, v in values.items())
 
 
 def grid(n=2):
@@ -209,9 +239,9 @@ def test_frame_differences(spark):
     for i, level in enumerate((0.0, 1.0, 128 / 255)):
         image = np.zeros((20, 20))
         image[10:, 10:] = level
-        frames.append(("m", i * 2.0, 20, 20, image.ravel().tolist()))
-    df = spark.createDataFrame(frames, "media_id string, frame_time_sec double, height int, width int, pixels array<double>")
-    metrics = video.interval_metrics(video.frame_pairs(df, block_seconds=2), zn.grid_masks(grid(), 20, 20))
+        frames.append(("m", i * 2.0, 20, 20, np.round(image * 255).astype(np.uint8).tobytes()))
+    df = spark.createDataFrame(frames, "media_id string, frame_time_sec double, height int, width int, pixels binary")
+    metrics = video.frame_differences(df, {None: zn.grid_masks(grid(), 20, 20)}, block_seconds=2)
     got = {(r["interval_center_sec"], r["zone_id"]): r for r in metrics.collect()}
     assert got[1.0, "zone_D"]["activity_mean"] == pytest.approx(1.0) and got[1.0, "zone_A"]["activity_mean"] == 0.0
     assert got[3.0, "zone_D"]["activity_mean"] == pytest.approx(127 / 255) and got[3.0, "zone_D"]["activity_sum"] == pytest.approx(100 * 127 / 255)
@@ -225,6 +255,32 @@ def test_frame_differences(spark):
     assert (failed["quality_status"] == "failed").all() and (failed["warnings"] == "no_interval_overlap").all() and failed["activity_norm"].to_numpy() == pytest.approx([0.25] * 4)
 
 
+@pytest.mark.parametrize(("block", "slab"), [(3, 64), (10_000, 2)])
+def test_frame_differences_use_the_masks_of_the_room(spark, block, slab):
+    draw = np.random.default_rng(8)
+    halves, quarters = np.zeros((4, 6), bool), zn.grid_masks(grid(), 6, 4)
+    halves[:, :3] = True
+    masks = {"r1": {"left": halves, "right": ~halves, "nothing": np.zeros((4, 6), bool)}, None: quarters}
+    rows, rooms = [], {"a": "r1", "b": "r2", "c": None, "d": "r1"}
+    for m, n in (("a", 9), ("b", 5), ("c", 1), ("d", 4)):
+        size = 24 if m != "d" else 12  # no mask fits the small frames
+        rows += [(m, rooms[m], float(i * 1.5), draw.integers(0, 256, size).astype(np.uint8).tobytes()) for i in range(n)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame([(m, r, float(t), bytes(p)) for m, r, t, p in rows], "media_id string, room_id string, frame_time_sec double, pixels binary").repartition(3)
+    got = {(r["media_id"], r["interval_start_sec"], r["zone_id"]): r for r in video.frame_differences(df, masks, 0.3, block, slab).collect()}
+    want = {}
+    for m in ("a", "b"):
+        frames = sorted((float(t), np.frombuffer(p, np.uint8) / 255.0) for k, _, t, p in rows if k == m)
+        for (t0, f0), (_, f1) in zip(frames, frames[1:]):
+            for zone, mask in masks["r1" if m == "a" else None].items():
+                part = np.abs(f1 - f0)[mask.ravel()]
+                want[m, t0, zone] = (part.mean(), part.std(), part.sum(), (part > 0.3).mean()) if len(part) else (None,) * 4
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        r = got[key]
+        assert (r["activity_mean"], r["activity_std"], r["activity_sum"], r["motion_ratio"]) == (values if values[0] is None else pytest.approx(values))
+
+
 CONFIG = {
     "room_id": "room_1", "zone_config_id": "c", "image_width": 10, "image_height": 10,
     "zones": [

@@ -14,10 +14,11 @@ from windrow.models.states import GMM
 from windrow.operators.biomarkers import fill_zones, room_biomarkers
 from windrow.operators.selection import first_mapping, spaced_extremes
 from windrow.operators.windowing import sliding_windows
-from windrow.plans import cleaning, context, heatmap, preparation, twin
+from windrow.plans import cleaning, context, heatmap, measuring, preparation, twin
 from windrow.session import cut_lineage
 from windrow.settings import MICROS, ModelSettings
 from windrow.sources import cache, media as sm, sinks, tables
+from windrow.sources.recordings import RecordingTable
 from windrow.streaming.incremental import index_pending, stream_manifests
 
 PROBE = json.dumps(
@@ -72,6 +73,8 @@ def test_sidecars(spark, tmp_path):
     assert {r["media_id"] for r in side.collect()} == {"m1", "m2"}
     active = spark.createDataFrame([("m1",)], "media_id string")
     assert [r["media_id"] for r in sm.stale_sidecars(side, active).collect()] == ["m2"]
+    assert sm.prune_sidecars(spark, str(tmp_path), active, dry_run=True) == 1 and (tmp_path / "m2.json").exists()
+    assert sm.prune_sidecars(spark, str(tmp_path), active) == 1 and sorted(f.name for f in tmp_path.glob("*.json")) == ["m1.json"]
     tags = spark.createDataFrame([('[{"CreateDate": "2026:05:12 15:21:00", "Duration": 4}]',)], "t string").select(sm.exif_tags(F.col("t")).alias("m")).first()["m"]
     assert tags["CreateDate"] == "2026:05:12 15:21:00"
     with pytest.raises(FileNotFoundError, match="no_such_tool"):
@@ -181,6 +184,73 @@ def test_cache_notices_changes(spark):
     assert [r[0] for r in pending.collect()] == ["w1"] and [r[0] for r in kept.collect()] == ["w2"]
 
 
+def tone(path, seconds, level):
+    path.write_bytes(np.full(8 * seconds, level, dtype="<i2").tobytes())
+
+
+def test_second_run_measures_what_changed(spark, tmp_path):
+    """Recordings are replaced one by one, across buckets, forgotten with their file, and tried again when they failed."""
+    folder = tmp_path / "media"
+    folder.mkdir()
+    for i in range(5):
+        tone(folder / f"room_{i}_a.mp4", 2 + i, 1000 * (i + 1))
+    (folder / "broken.mp4").write_bytes(b"x")
+    settings = measuring.MeasureSettings(sample_rate=8, batches=2, audio_command="cat {path}")
+    table = RecordingTable(spark, str(tmp_path / "table"), buckets=2)
+    listed = lambda: measuring.listed(spark, [str(folder), str(folder)])
+    seconds = lambda: {r["media_id"]: r["n"] for r in table.rows().groupBy("media_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    media = listed()
+    ids = {r["relative_path"]: r["media_id"] for r in media.collect()}
+    assert len(ids) == 6
+    assert measuring.measure_audio(table, media, settings) == 6
+    assert seconds() == {ids[f"room_{i}_a.mp4"]: 2 + i for i in range(5)}
+    assert measuring.measure_audio(table, listed(), settings) == 1  # the one that failed
+    before = {r["media_id"]: r["audio_rms"] for r in table.rows().collect()}
+    tone(folder / "room_3_a.mp4", 9, 20_000)
+    assert [r["media_id"] for r in table.pending(listed().withColumn("fingerprint", cache.audio_fingerprint(8, 1.0))).collect()].count(ids["room_3_a.mp4"]) == 1
+    assert measuring.measure_audio(table, listed(), settings) == 2
+    assert seconds() == {ids[f"room_{i}_a.mp4"]: 9 if i == 3 else 2 + i for i in range(5)}
+    after = {r["media_id"]: r["audio_rms"] for r in table.rows().collect()}
+    assert {m for m in after if after[m] != before[m]} == {ids["room_3_a.mp4"]}
+    (folder / "room_0_a.mp4").unlink()
+    assert measuring.measure_audio(table, listed(), settings) == 1 and ids["room_0_a.mp4"] not in seconds()
+    assert measuring.measure_audio(table, listed(), settings, force=True) == 5
+    assert measuring.measure_audio(table, listed(), measuring.MeasureSettings(sample_rate=4, audio_command="cat {path}")) == 5
+    assert seconds()[ids["room_1_a.mp4"]] == 6
+
+
+def test_rows_count_once_their_recording_is_finished(spark, tmp_path):
+    """A run that stops between rows and log leaves the table as it was."""
+    table = RecordingTable(spark, str(tmp_path / "t"), buckets=1)
+    media = spark.createDataFrame([("a", "f1"), ("b", "f1")], "media_id string, fingerprint string")
+    work = lambda part: part.select("media_id", F.lit(1).alias("v"))
+    assert table.rows() is None and table.update(media, work) == 2
+    newer = media.withColumn("fingerprint", F.lit("f2"))
+    finish, table._written = table._written, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("stopped"))
+    with pytest.raises(RuntimeError):
+        table.replace(newer.filter("media_id = 'a'"), newer.filter("media_id = 'a'").select("media_id", "fingerprint", F.lit(2).alias("v")))
+    table._written = finish
+    assert {(r["media_id"], r["v"]) for r in table.rows().collect()} == {("b", 1)} and {r["media_id"] for r in table.pending(newer).collect()} == {"a", "b"}
+    assert table.update(newer, lambda part: part.select("media_id", F.lit(3).alias("v"))) == 2
+    assert {(r["media_id"], r["v"]) for r in table.rows().collect()} == {("a", 3), ("b", 3)}
+
+
+def test_video_is_measured_with_the_zones_of_its_room(spark, tmp_path):
+    folder = tmp_path / "media"
+    folder.mkdir()
+    (folder / "room_1_x.mp4").write_bytes(bytes([0] * 8 + [255] * 8))
+    (folder / "room_2_x.mp4").write_bytes(bytes([0] * 8 + [51] * 8))
+    configs = [{"room_id": f"room_{r}", "zone_config_id": "c", "image_width": 4, "image_height": 2, "zones": [{"zone_id": f"z{r}", "polygon": zn.rectangle_polygon(0, 0, 2, 2)}]} for r in (1, 2)]
+    settings = measuring.MeasureSettings(resize_width=4, frames_command="cat {path}")
+    table = RecordingTable(spark, str(tmp_path / "t"))
+    media = measuring.listed(spark, [str(folder)]).withColumns({"width": F.lit(4), "height": F.lit(2)})
+    assert measuring.measure_video(table, media, configs, settings) == 2
+    got = {(r["zone_id"], round(r["activity_mean"], 3)) for r in table.rows().collect()}
+    assert got == {("z1", 1.0), ("general_zone", 1.0), ("z2", 0.2), ("general_zone", 0.2)}
+    configs[1]["zones"][0]["polygon"] = zn.rectangle_polygon(0, 0, 1, 2)
+    assert measuring.measure_video(table, media, configs, settings) == 1
+
+
 def test_streamed_index_is_incremental(spark, tmp_path):
     def add(name, media_id, seconds):
         row = spark.createDataFrame([(media_id, "room_1", "s", "2025-08-16T06:00:00-03:00", seconds, "v.mp4", True, "ok", "")], "media_id string, room_id string, session_id string, start_time string, duration_seconds double, video_path string, has_audio boolean, quality_status string, warnings string")
@@ -322,21 +392,61 @@ def test_command_line(spark, tmp_path):
     assert (target / "report").exists() and (target / "env_daily.csv").exists()
     only = cli.main(["prepare", "--input", str(source), "--output", str(tmp_path / "o2"), "--stage", "index", "--max-media", "1"], spark)
     assert set(only) == {"media_manifest", "video_window_index"} and only["media_manifest"].count() == 1
+    copied = cli.main(["prepare", "--input", str(source), "--output", str(tmp_path / "o3"), "--stage", "index", "--handoff", str(tmp_path / "copy")], spark)
+    assert spark.read.option("header", True).csv(str(tmp_path / "copy" / "media_manifest.csv")).count() == copied["media_manifest"].count() and (tmp_path / "copy" / "readme").exists()
     (tmp_path / "bad.json").write_text(json.dumps({"model": {"nope": 1}}))
     with pytest.raises(ValueError, match="nope"):
         cli.load_settings(str(tmp_path / "bad.json"))
 
 
+def header_of(spark, path):
+    return json.loads("\n".join(r[0] for r in spark.read.text(str(path)).collect()))
+
+
+def test_measure_heatmap_and_twin_from_the_command_line(spark, tmp_path):
+    media, source, target = tmp_path / "media", tmp_path / "in", tmp_path / "out"
+    media.mkdir()
+    tone(media / "room_1_a.mp4", 3, 5_000)
+    (tmp_path / "m.json").write_text(json.dumps({"measure": {"sample_rate": 8, "audio_command": "cat {path}"}}))
+    source.mkdir()
+    got = cli.main(["measure", "--input", str(source), "--media", str(media), "--output", str(target), "--config", str(tmp_path / "m.json")], spark)
+    assert got["files"].count() == 1 and got["audio_frames"].count() == 3
+
+    index = sliding_windows(spark.createDataFrame([("m1", "room_1", "s", "2025-08-16T06:00:00-03:00", 400.0, "v.mp4", True, "ok", "")], "media_id string, room_id string, session_id string, start_time string, duration_seconds double, video_path string, has_audio boolean, quality_status string, warnings string"))
+    manifest = spark.createDataFrame([("m1", "room_1", "s", "2025-08-16T06:00:00-03:00", 400.0, "v.mp4", True, "ok", "")], "media_id string, room_id string, session_id string, start_time string, duration_seconds double, video_path string, has_audio boolean, quality_status string, warnings string")
+    metrics = spark.createDataFrame([("m1", float(t), z, 0.1 * i + (t % 7) / 20, 0.2) for t in range(1, 400) for i, z in enumerate(("A", "B"), 1)], "media_id string, interval_end_sec double, zone_id string, activity_mean double, motion_ratio double")
+    samples = spark.createDataFrame([("m1", float(t)) for t in range(400)], "media_id string, sample_sec double")
+    zones = spark.createDataFrame([("A", 0, 0), ("B", 0, 1)], "zone_id string, row int, col int")
+    for name, df in (("video_window_index", index), ("media_manifest", manifest), ("interval_metrics", metrics), ("sample_times", samples), ("zones", zones)):
+        df.write.parquet(str(source / f"{name}.parquet"))
+    heat = cli.main(["heatmap", "--input", str(source), "--output", str(tmp_path / "heat"), "--max-windows", "12"], spark)
+    assert heat["selected_windows"].count() == 12 and spark.read.text(str(tmp_path / "heat/timeline/frames")).count() == 12
+    assert [z["zone_id"] for z in header_of(spark, tmp_path / "heat/timeline/header")["zones"]] == ["A", "B"]
+    report = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "heat/report/index")).collect())
+    assert "first 25 rows by room_id" in report and "zones: 2 rows" in report
+
+    for name in ("selected_windows", "video_zone_features"):
+        heat[name].write.parquet(str(source / f"{name}.parquet"))
+    (tmp_path / "t.json").write_text(json.dumps({"model": {"max_iterations": 2}}))
+    made = cli.main(["twin", "--input", str(source), "--output", str(tmp_path / "twin"), "--config", str(tmp_path / "t.json"), "--refresh"], spark)
+    assert made["biomarker_window_table"].count() == index.count() > 12  # too few windows, so all were measured
+    header = header_of(spark, tmp_path / "twin/timeline/header")
+    assert [r["room_id"] for r in header["rooms"]] == ["room_1"] and [z["zone_id"] for z in header["rooms"][0]["zones"]] == ["A", "B"]
+    model = header_of(spark, tmp_path / "twin/model")
+    assert model["model_type"] in ("gaussian_hmm", "fallback_gmm_state_model") and len(model["parameters"]["means"]) == model["n_states"]
+    assert {r["canonical_column"]: r["source_column"] for r in made["schema_mapping"].collect()}["activity_mean"] == "activity_mean"
+
+
 def test_decoding_streams_the_program_output(spark, tmp_path):
     (tmp_path / "a.raw").write_bytes(np.array([0, 16384, -32768, 8192, 1], dtype="<i2").tobytes())
     df = spark.createDataFrame([("m1", str(tmp_path / "a.raw"), 4, 2), ("m2", str(tmp_path / "none"), 4, 2)], "media_id string, file_path string, width int, height int")
     got = sm.decode_audio(df, 2, command="cat {path}").orderBy("media_id", "chunk_start").collect()
     assert [(r["media_id"], r["chunk_start"], r["issue"]) for r in got] == [("m1", 0, None), ("m1", 2, None), ("m1", 4, None), ("m2", 0, "ffmpeg_decode_failed")]
-    assert got[0]["samples"] == [0.0, 0.5] and got[1]["samples"] == [-1.0, 0.25]
+    assert np.frombuffer(got[0]["pcm"], "<i2").tolist() == [0, 16384] and np.frombuffer(got[1]["pcm"], "<i2").tolist() == [-32768, 8192]
     (tmp_path / "a.raw").write_bytes(bytes([0, 255] * 4 + [51] * 2))
     frames = sm.decode_frames(df, 2, command="cat {path}").orderBy("media_id", "frame_time_sec").collect()
     assert [(r["frame_time_sec"], r["height"], r["issue"]) for r in frames][:5] == [(float(t), 1, None) for t in (0, 2, 4, 6, 8)]
-    assert frames[0]["pixels"] == [0.0, 1.0] and frames[-1]["issue"] == "opencv_open_failed"
+    assert list(frames[0]["pixels"]) == [0, 255] and frames[-1]["issue"] == "opencv_open_failed"
 
 
 def test_refresh_rule(spark):

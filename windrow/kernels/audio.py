@@ -1,15 +1,20 @@
 """Audio frame features.
 
-Input is one row per frame of samples, so a recording of any length is spread
-over tasks; :func:`frame_samples` cuts longer sample arrays into frames.
+Sound comes as rows of 16-bit samples (``media_id, chunk_start, pcm``: index of the first sample, little-endian bytes), a
+recording in any number of rows. It is dealt out in blocks of frames, each row going to the block that it
+lies in and its first samples to the block before, as far as frames overlap; so a recording of any length is many tasks, and a task holds one block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from windrow.kernels.streams import grouped
 from windrow.settings import AUDIO_FEATURES
 
 # Guard against logarithm of zero, and the roll-off share.
@@ -38,36 +43,41 @@ def spectral_features(frames: np.ndarray, sample_rate: int) -> dict[str, np.ndar
     }
 
 
-def frame_samples(recordings: DataFrame, sample_rate: int, frame_seconds: float = 1.0, samples: str = "samples") -> DataFrame:
-    """Sample arrays → one row per frame, the last one padded with zeros.
+def audio_frames(recordings: DataFrame, sample_rate: int, frame_seconds: float = 1.0, hop_seconds: float | None = None, block_frames: int = 256) -> DataFrame:
+    """Features of every frame: ``media_id, frame_start_sec, frame_center_sec`` and seven measures.
 
-    A recording may come in several rows (``chunk_start`` = index of the first
-    sample of the row, a multiple of the frame size), so that no row is large.
+    Frames start every ``hop_seconds`` (a whole frame by default). The last one is padded with zeros; a frame that would hold
+    no sample which the one before lacks is left out. Rows of a recording must not overlap; gaps between them are silence.
     """
     size = max(1, round(sample_rate * frame_seconds))
-    base = F.coalesce("chunk_start", F.lit(0)) if "chunk_start" in recordings.columns else F.lit(0)
-    count = F.ceil(F.size(samples) / size).cast("int")
-    rows = recordings.filter(F.size(samples) > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), count - 1)))
-    piece = F.slice(F.col(samples), F.col("_i") * size + 1, size)
-    padded = F.concat(piece, F.array_repeat(F.lit(0.0), size - F.size(piece)))
-    index = (base / size).cast("bigint") + F.col("_i")
-    return rows.select(
-        "media_id", (index * frame_seconds).alias("frame_start_sec"), (index * frame_seconds + frame_seconds / 2).alias("frame_center_sec"), padded.alias("frame")
-    )
-
+    hop = size if hop_seconds is None else max(1, min(size, round(sample_rate * hop_seconds)))
+    span, more = block_frames * hop, size - hop
+    begin = F.coalesce("chunk_start", F.lit(0)).cast("bigint") if "chunk_start" in recordings.columns else F.lit(0).cast("bigint")
+    chunks = recordings.select("media_id", begin.alias("_lo"), (begin + F.floor(F.length("pcm") / 2)).alias("_hi"), "pcm").filter("_hi > _lo")
+    # block k wants samples from k * span to (k + 1) * span + more
+    first, last = F.floor((F.col("_lo") - more) / F.lit(span)), F.floor((F.col("_hi") - 1) / F.lit(span))
+    dealt = chunks.withColumn("_block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    lo, hi = F.greatest(F.col("_lo"), F.col("_block") * span), F.least(F.col("_hi"), (F.col("_block") + 1) * span + more)
+    parts = dealt.withColumns({"_a": lo, "_b": hi}).filter("_b > _a")
+    piece = F.substring("pcm", ((F.col("_a") - F.col("_lo")) * 2 + 1).cast("int"), ((F.col("_b") - F.col("_a")) * 2).cast("int"))
+    parts = parts.select("media_id", "_block", F.col("_a").alias("at"), piece.alias("pcm"))
+    schema = f"media_id string, frame_start_sec double, frame_center_sec double, {_SCHEMA}"
 
-def audio_frames(frames: DataFrame, sample_rate: int, batch_frames: int = 64) -> DataFrame:
-    """Features per frame row (``media_id, frame_start_sec, frame_center_sec, frame``)."""
-    def run(batches):
-        for pdf in batches:
-            for begin in range(0, len(pdf), batch_frames):
-                part = pdf.iloc[begin : begin + batch_frames]
-                matrix = np.stack([np.asarray(f, dtype=np.float64) for f in part["frame"]])
-                yield pd.DataFrame(
-                    {
-                        "media_id": part["media_id"].to_numpy(), "frame_start_sec": part["frame_start_sec"].to_numpy(),
-                        "frame_center_sec": part["frame_center_sec"].to_numpy(), **spectral_features(matrix, sample_rate),
-                    }
-                )
+    def emit(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+        media, block = key
+        sound, end = np.zeros(span + more), 0
+        for row in rows:
+            samples = np.frombuffer(row["pcm"][: len(row["pcm"]) // 2 * 2], "<i2") / 32768.0
+            at = row["at"] - block * span
+            sound[at : at + len(samples)] = samples
+            end = max(end, at + len(samples))
+        count = min(block_frames, -(-max(end - more, 1 if block == 0 else 0) // hop))
+        for i in range(0, count, 64):
+            starts = np.arange(i, min(i + 64, count)) * hop
+            measures = spectral_features(sound[starts[:, None] + np.arange(size)], sample_rate)
+            seconds = (starts + block * span) / sample_rate
+            for j, t in enumerate(seconds):
+                yield (media, float(t), float(t + size / sample_rate / 2), *[float(measures[n][j]) for n in AUDIO_FEATURES])
 
-    return frames.mapInPandas(run, f"media_id string, frame_start_sec double, frame_center_sec double, {_SCHEMA}")
+    ordered = parts.repartition("media_id", "_block").sortWithinPartitions("media_id", "_block", "at")
+    return ordered.mapInArrow(grouped(emit, ["media_id", "_block"], to_arrow_schema(StructType.fromDDL(schema))), schema)

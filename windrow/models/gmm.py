@@ -30,6 +30,9 @@ class DiagonalMixture:
     iterations: int
     history: tuple[float, ...] = ()
 
+    def to_dict(self) -> dict:
+        return {"weights": self.weights.tolist(), "means": self.means.tolist(), "variances": self.variances.tolist(), "mean_log_likelihood": self.mean_log_likelihood, "iterations": self.iterations}
+
     def log_joint(self, x: np.ndarray) -> np.ndarray:
         gap = x[:, None, :] - self.means[None, :, :]
         density = -0.5 * (np.log(2 * np.pi * self.variances).sum(axis=1)[None, :] + (gap * gap / self.variances[None, :, :]).sum(axis=2))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from math import isfinite
 
 from pyspark.sql import DataFrame
@@ -31,6 +31,10 @@ class StateResult:
     model: object
     note: str = ""
 
+    def description(self) -> dict:
+        """What is needed to apply the model again: kind, scaling and parameters."""
+        return {"model_type": self.model_type, "n_states": self.n_states, "note": self.note, "scaling": asdict(self.scaling), "parameters": self.model.to_dict()}
+
 
 def sequence_axis(df: DataFrame) -> Axis:
     """A sequence is a room, or a room and session where sessions are known."""

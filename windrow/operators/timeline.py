@@ -96,6 +96,18 @@ def room_headers(rooms: DataFrame, zones: DataFrame) -> DataFrame:
     return attach_row(rooms.select("room_id").filter("room_id is not null and room_id <> ''").distinct(), layout)
 
 
+#: Entries of a header document, which is one text.
+MOST_HEADER_ROWS = 10_000
+
+
+def header_rows(entries: DataFrame, *order: str) -> list[dict]:
+    """Rows of a header as dicts in order; an error beyond ``MOST_HEADER_ROWS``."""
+    rows = entries.orderBy(*order).limit(MOST_HEADER_ROWS + 1).collect()
+    if len(rows) > MOST_HEADER_ROWS:
+        raise ValueError(f"a header holds at most {MOST_HEADER_ROWS} entries")
+    return [r.asDict(recursive=True) for r in rows]
+
+
 def to_json_lines(frames: DataFrame) -> DataFrame:
     """One JSON text per frame, nulls written out."""
     return frames.select(F.to_json(F.struct("*"), _KEEP_NULLS).alias("value"))

@@ -8,7 +8,7 @@ from windrow.functions.text import combine_warnings
 from windrow.operators.biomarkers import fill_zones
 from windrow.operators.ordered import Axis
 from windrow.operators.selection import select_windows
-from windrow.operators.timeline import grid_timeline
+from windrow.operators.timeline import grid_timeline, header_rows
 from windrow.operators.windowing import aggregate_points
 from windrow.settings import WindowSettings
 
@@ -44,6 +44,6 @@ def measure(windows: DataFrame, media: DataFrame, metrics: DataFrame, samples: D
 
 def timeline(features: DataFrame, zones: DataFrame, normalize: bool = True) -> tuple[DataFrame, dict]:
     """Frames and the header document."""
-    layout = [r.asDict() for r in zones.select("zone_id", "row", "col").orderBy("row", "col").collect()]
+    layout = header_rows(zones.select("zone_id", "row", "col"), "row", "col")
     header = {"metadata": {"title": "zone activity timeline", "activity_normalized": normalize}, "zones": layout}
     return grid_timeline(features, zones, normalize), header

@@ -12,7 +12,7 @@ from windrow.operators.merge import outer_metadata
 from windrow.operators.ordered import join_same
 from windrow.operators.resilience import compute_resilience, normalize_event_log
 from windrow.operators.selection import cap_groups
-from windrow.operators.timeline import twin_timeline
+from windrow.operators.timeline import header_rows, room_headers, twin_timeline
 from windrow.session import cut_lineage
 from windrow.settings import EventSettings, ModelSettings, MobilityWeights, ResilienceSettings
 from windrow.sources.tables import canonical_columns
@@ -52,8 +52,14 @@ def run(
     model: ModelSettings = ModelSettings(),
     weights: MobilityWeights = MobilityWeights(),
     kind: str = HMM,
+    exports: dict | None = None,
+    layout: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All tables of the run. The labelled window table is materialised once, because every later step reads it."""
+    """All tables of the run. The labelled window table is materialised once, because every later step reads it.
+
+    ``exports`` receives what is not a table: the ``model`` description and the ``header`` of the timeline, with
+    the rooms and (from ``layout``: ``zone_id, row, col``) their zones.
+    """
     caps = caps or {}
     windows = room_biomarkers(zones, weights)
     windows = cap_groups(
@@ -80,6 +86,13 @@ def run(
     sequence = cut_lineage(states.sequence)
     diagnostics.require_valid_sequence(sequence)
     score = ["window_id", "room_id", "state_id", "state_label", "state_probability_max", "welfare_risk_score", "risk_level", "sustained_risk_flag"]
+    if exports is not None:
+        cells = zones.select("zone_id").distinct().withColumns({"row": F.lit(0), "col": F.lit(0)}) if layout is None else layout
+        exports["model"] = states.description()
+        exports["header"] = {
+            "metadata": {"title": "window twin timeline", "model_type": states.model_type, "n_states": states.n_states},
+            "rooms": header_rows(room_headers(labelled, cells), "room_id"),
+        }
     merged = join_same(labelled, sequence.select(*score), ["window_id", "room_id"])
     # Output names of the phase measures.
     means = {

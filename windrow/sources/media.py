@@ -7,7 +7,6 @@ import json
 import shutil
 import subprocess
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -109,7 +108,7 @@ def _stream(command: str, size: int, **values):
 
 
 def decode_audio(media: DataFrame, sample_rate: int, frame_seconds: float = 1.0, command: str = FFMPEG_AUDIO) -> DataFrame:
-    """Sound as rows of one frame each (``media_id, chunk_start, samples``); recordings that fail give one row with ``issue``."""
+    """Sound as rows of one frame each (``media_id, chunk_start, pcm``, 16-bit samples); recordings that fail give one row with ``issue``."""
     step = max(1, round(sample_rate * frame_seconds))
 
     def run(batches):
@@ -118,35 +117,36 @@ def decode_audio(media: DataFrame, sample_rate: int, frame_seconds: float = 1.0,
                 start, issue = 0, "no_audio_samples"
                 try:
                     for piece in _stream(command, 2 * step, path=path, rate=sample_rate):
-                        samples = np.frombuffer(piece[: len(piece) // 2 * 2], dtype="<i2") / 32768.0
+                        if len(piece) < 2:
+                            continue
                         issue = None
-                        yield pd.DataFrame({"media_id": [media_id], "chunk_start": [start], "samples": [samples.tolist()], "issue": [None]})
+                        yield pd.DataFrame({"media_id": [media_id], "chunk_start": [start], "pcm": [piece[: len(piece) // 2 * 2]], "issue": [None]})
                         start += step
                 except OSError:
                     issue = "ffmpeg_decode_failed"
                 if issue:
-                    yield pd.DataFrame({"media_id": [media_id], "chunk_start": [start], "samples": [[]], "issue": [issue]})
+                    yield pd.DataFrame({"media_id": [media_id], "chunk_start": [start], "pcm": [b""], "issue": [issue]})
 
-    return media.select("media_id", "file_path").mapInPandas(run, "media_id string, chunk_start bigint, samples array<double>, issue string")
+    return media.select("media_id", "file_path").mapInPandas(run, "media_id string, chunk_start bigint, pcm binary, issue string")
 
 
 def decode_frames(media: DataFrame, width: int, period: float = 2.0, command: str = FFMPEG_FRAMES) -> DataFrame:
     """Grey frames every ``period`` seconds as rows, scaled to ``width``; needs ``width`` and ``height`` in ``media``."""
     def run(batches):
         for pdf in batches:
-            for media_id, path, w, h in zip(pdf["media_id"], pdf["file_path"], pdf["width"], pdf["height"]):
+            for media_id, room, path, w, h in zip(pdf["media_id"], pdf["room_id"], pdf["file_path"], pdf["width"], pdf["height"]):
                 height, index = max(1, round(h * width / w)), 0
                 try:
                     for piece in _stream(command, width * height, path=path, period=period, width=width, height=height):
                         if len(piece) == width * height:
-                            grey = np.frombuffer(piece, dtype=np.uint8) / 255.0
-                            yield pd.DataFrame({"media_id": [media_id], "frame_time_sec": [index * period], "height": [height], "width": [width], "pixels": [grey.tolist()], "issue": [None]})
+                            yield pd.DataFrame({"media_id": [media_id], "room_id": [room], "frame_time_sec": [index * period], "height": [height], "width": [width], "pixels": [piece], "issue": [None]})
                         index += 1
                 except OSError:
-                    yield pd.DataFrame({"media_id": [media_id], "frame_time_sec": [index * period], "height": [height], "width": [width], "pixels": [[]], "issue": ["opencv_open_failed"]})
+                    yield pd.DataFrame({"media_id": [media_id], "room_id": [room], "frame_time_sec": [index * period], "height": [height], "width": [width], "pixels": [b""], "issue": ["opencv_open_failed"]})
 
-    ddl = "media_id string, frame_time_sec double, height int, width int, pixels array<double>, issue string"
-    return media.select("media_id", "file_path", "width", "height").mapInPandas(run, ddl)
+    ddl = "media_id string, room_id string, frame_time_sec double, height int, width int, pixels binary, issue string"
+    room = F.col("room_id") if "room_id" in media.columns else F.lit(None)
+    return media.select("media_id", room.cast("string").alias("room_id"), "file_path", "width", "height").mapInPandas(run, ddl)
 
 
 def read_sidecars(spark: SparkSession, folder: str, output: str = "probe") -> DataFrame:
@@ -161,6 +161,22 @@ def stale_sidecars(sidecars: DataFrame, active: DataFrame) -> DataFrame:
     return sidecars.join(active.select("media_id"), "media_id", "left_anti")
 
 
+def prune_sidecars(spark: SparkSession, folder: str, active: DataFrame, dry_run: bool = False) -> int:
+    """Delete the sidecars of recordings that are not ``active`` (``media_id``); returns how many there were.
+
+    Names come to the driver one partition at a time.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("media_id"), "path")
+    count = 0
+    for row in stale_sidecars(names, active).select("path").toLocalIterator():
+        count += 1
+        if not dry_run:
+            files.delete(hadoop(row["path"]), False)
+    return count
+
+
 def exif_tags(text) -> "F.Column":
     """Tag document (a list with one object) as a map of texts."""
     return F.coalesce(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from windrow.operators.timeline import to_json_lines
@@ -41,13 +41,24 @@ def write_model(spark: SparkSession, description: dict, path: str) -> None:
     write_text(spark, json.dumps(description), path)
 
 
-def write_report(path: str, title: str, **frames: DataFrame) -> None:
-    """Summary tables in full below ``path``, and an index with the number of rows of each."""
+#: Rows of a listing in a report; the tables next to it are whole.
+SAMPLE_ROWS = 25
+
+
+def write_report(path: str, title: str, samples: dict[str, tuple[DataFrame, list[str]]] | None = None, **frames: DataFrame) -> None:
+    """Summary tables in full below ``path``, and an index with the number of rows of each.
+
+    ``samples`` are tables of which the index lists the first ``SAMPLE_ROWS`` rows in the order of the named columns.
+    """
     lines = [f"# {title}", ""]
     for name, frame in frames.items():
         write_table(frame, f"{path}/{name}", csv=True)
         lines.append(f"{name}: {frame.sparkSession.read.parquet(f'{path}/{name}.parquet').count()} rows")
-    write_text(next(iter(frames.values())).sparkSession, "\n".join(lines), f"{path}/index")
+    for name, (frame, order) in (samples or {}).items():
+        known = [c for c in order if c in frame.columns]
+        lines += ["", f"## {name}: first {SAMPLE_ROWS} rows by {', '.join(known)}", "", "| " + " | ".join(frame.columns) + " |", "|" + "---|" * len(frame.columns)]
+        lines += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in frame.orderBy(*[F.col(c).asc_nulls_last() for c in known]).limit(SAMPLE_ROWS).collect()]
+    write_text(next(iter({**frames, **{n: f for n, (f, _) in (samples or {}).items()}}.values())).sparkSession, "\n".join(lines), f"{path}/index")
 
 
 def copy_tables(tables: dict[str, DataFrame], folder: str, csv: bool = True) -> None:

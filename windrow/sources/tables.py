@@ -140,3 +140,8 @@ def canonical_columns(df: DataFrame, candidates: dict[str, tuple[str, ...]] = CA
         sources[field] = chosen or "(missing)"
         columns.append((F.col(f"`{chosen}`").try_cast(kind) if chosen else F.lit(None).cast(kind)).alias(field))
     return df.select(*columns), sources
+
+
+def mapping_table(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
+    """Canonical column, source column and whether it was found, in the order of the columns."""
+    return spark.createDataFrame([(i, field, source, source != "(missing)") for i, (field, source) in enumerate(sources.items())], "position int, canonical_column string, source_column string, found boolean")
