@@ -5,4 +5,4 @@ from windrow.catalog.registry import ORACLES, QUERIES  # noqa: F401
 
 def load() -> None:
     """Import every query module so that the registry is filled."""
-    from windrow.catalog import q_audio_climate, q_biomarkers, q_events, q_media, q_models, q_sequences, q_tables, q_windows  # noqa: F401
+    from windrow.catalog import q_audio_climate, q_biomarkers, q_events, q_media, q_models, q_recordings, q_sequences, q_tables, q_windows  # noqa: F401
