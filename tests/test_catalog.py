@@ -41,7 +41,7 @@ def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     queries, sql = catalog.QUERIES, catalog.ORACLES
     assert len(queries) > 100
-    assert set(queries) - set(sql) == {"correlation_table", "hmm_states", "gmm_states"}
+    assert set(queries) - set(sql) == {"hmm_states", "gmm_states"}
 
 
 def test_flagship(spark):
