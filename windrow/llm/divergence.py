@@ -30,7 +30,6 @@ group stay below 9 * 10**15.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
