@@ -65,15 +65,64 @@ def test_random_parts_of_tokens(spark):
     assert not got[100]
 
 
+def plainly_merged(machine, symbols):
+    """Lowest rank first, leftmost of equals, one merge at a time."""
+    ids, rank = machine.bare(symbols).tolist(), dict(zip(machine.pairs.tolist(), machine.rank.tolist()))
+    while True:
+        found = [(rank[key], k) for k, key in enumerate(a * machine.width + b for a, b in zip(ids, ids[1:])) if key in rank]
+        if not found:
+            return ids
+        low, k = min(found)
+        ids[k : k + 2] = [int(machine.results[low])]
+
+
 def test_speculation_is_verified():
+    import numpy as np
+
     machine = bpe.Bpe(VOCABULARY, remember=10)
     letters = words(5, 3000, 10**9)
-    made = [bytes(97 + b % 26 for b in sha256(w.encode()).digest()[: 3 + len(w) % 9]).decode() for w in letters]
-    proposals = [machine.proposed(w + bpe.END) for w in made]
-    exact = [machine.merged([machine.vocab[s] for s in machine._symbols(w + bpe.END)]) for w in made]
-    good = machine.verified(proposals)
+    made = [bytes(97 + b % 26 for b in sha256(w.encode()).digest()[: 3 + len(w) % 9]).decode() for w in letters] + ["x" * 90, "abc" * 40, "a"]
+    marked = [w[:-1] + chr(ord(w[-1]) + bpe.LAST) for w in made]
+    exact = [plainly_merged(machine, w) for w in marked]
+    flat, sizes = machine.proposed(marked)
+    proposals = [p.tolist() for p in np.split(flat, np.cumsum(sizes)[:-1])]
+    longest = set(machine.symbols) - {""}
+    for w, p in zip(marked, proposals):
+        at = 0
+        for t in p:
+            assert machine.symbols[t] == max((w[at:e] for e in range(at + 1, len(w) + 1) if w[at:e] in longest), key=len)
+            at += len(machine.symbols[t])
+        assert at == len(w)
+    good = machine.verified(flat, sizes)
     assert good.tolist() == [p == e for p, e in zip(proposals, exact)] and 0 < good.mean() < 1
-    assert machine.encoded(made) == exact
+    ids, sizes = machine.merged(machine.bare("".join(marked)), np.array([len(w) for w in marked]))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == exact
+    assert [machine.merged_long(machine.bare(w).tolist()) for w in marked] == exact
+    assert [np.frombuffer(e, machine.kind).tolist() for e in machine.encoded(made)] == exact
+
+
+def test_memory_of_pieces_is_bounded_and_results_do_not_depend_on_it():
+    small, large = bpe.Bpe(VOCABULARY, remember=20, most_judged=50), bpe.Bpe(VOCABULARY)
+    rows = [(t or "").encode() for _, t, _ in texts()]
+    for k in range(0, len(rows), 7):
+        (a, m), (b, n) = small.batch(rows[k : k + 7]), large.batch(rows[k : k + 7])
+        assert a.tolist() == b.tolist() and m.tolist() == n.tolist()
+    met = max(len(set().union(*[t.split() for t in rows[k : k + 7]])) for k in range(0, len(rows), 7))
+    assert len(small.pieces.young) <= 21 + met
+
+
+def test_one_very_long_word_takes_seconds():
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    pick, library, machine = random.Random(4), Tokenizer.from_file(VOCABULARY), bpe.Bpe(VOCABULARY)
+    for word in ("".join(pick.choice("abcdefghij") for _ in range(3000)), "ab" * 1500, "a" * 3001):
+        assert machine.batch([word.encode()])[0].tolist() == library.encode(word, add_special_tokens=False).ids
+    begin = time.process_time()
+    ids, _ = machine.batch(["".join(pick.choice("etaoinshrdlu") for _ in range(1_000_000)).encode()])
+    assert time.process_time() - begin < 60 and sum(len(machine.symbols[t]) for t in ids.tolist()) == 1_000_000
 
 
 SECRET = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
