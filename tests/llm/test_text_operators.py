@@ -303,23 +303,28 @@ def test_toxicity_search_is_exact_and_learns(spark):
     docs, labels = table(spark, data + texts()), spark.createDataFrame(marks, "doc_id long, toxic int")
     learn = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     index = toxicity.fit(docs, labels, learn, k=7, block=8)
+    by_name = {str(k): t for k, t, _ in data + texts()}
+    taught = [next(iter(toxicity.bags(pa.array([by_name[n] or ""])))) for n in index.names]
+    fewer = toxicity.Index.of(taught, index.terms, index.idf, index.toxic, index.names, 7, index.softness, 8, frequent=3)
+
+    def plain_cosines(spot, weight):
+        whole = np.zeros(len(index.terms))
+        whole[spot] = weight
+        return [float((whole[s] * w).sum()) for s, w in (index.vector(*b) for b in taught)]
+
     names = set(index.names)
     assert all(zlib.crc32(i.encode()) % 3 != 1 for i in names)
     for _, t, _ in data[:40] + texts():
         bag = next(iter(toxicity.bags(pa.array([t or ""]))))
         spot, weight = index.vector(*bag)
-        place, cosine = index.nearest(spot, weight)
-        whole = np.zeros(len(index.terms))
-        whole[spot] = weight
-        every = []
-        for n, matrix in enumerate(index.blocks):
-            for c in range(matrix.shape[1]):
-                column = np.zeros(len(index.terms))
-                have = index.rows[n] >= 0
-                column[have] = matrix[index.rows[n][have], c]
-                every.append(float(whole @ column))
-        best = np.sort(every)[::-1][: len(cosine)]
-        assert np.allclose(best, cosine, atol=1e-5) and (not len(spot) or len(cosine) == 7)
+        every = plain_cosines(spot, weight)
+        for machine in (index, fewer):
+            place, cosine = next(machine.nearest([(spot, weight)]))
+            order = sorted(range(len(every)), key=lambda p: (-round(every[p], 10), p))[: len(cosine)]
+            assert np.allclose([every[p] for p in order], cosine, atol=1e-9) and (not len(spot) or (len(cosine) == 7 and place.tolist() == order))
+    known = [index.vector(*bag) for bag in toxicity.bags(pa.array([t for _, t, _ in data[:150]]))]
+    together = [p.tolist() for p, _ in index.nearest(known)]
+    assert together == [next(index.nearest([v]))[0].tolist() for v in known]
     got = toxicity.score(docs, index).collect()
     assert len(got) == len(data) + len(texts())
     scores = {r.doc_id: r for r in got}

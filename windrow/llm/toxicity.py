@@ -6,16 +6,18 @@ smallest seeded hash. A document is a TF-IDF vector over the words that at least
 cosine over that vocabulary.
 
 The index is inverted and cut into blocks of ``block`` examples. For each block and word it holds the largest
-weight in the block, so one product bounds the cosine to any example of a block. Blocks
-are searched in the order of their bounds, and the search of a document stops at the first block whose bound is
-below its k-th best cosine: what is left cannot change the neighbours.
+weight in the block. The ``frequent`` words that most examples have are a dense matrix instead; one product for a slice of
+documents gives their part of all cosines. The k-th best part is a lower bound of the k-th best cosine, the best part of
+a block plus the largest weights of its other words an upper bound of its cosines, and only the postings of blocks whose upper
+bound reaches the lower one are read: what is left cannot change the neighbours. Cosines are summed in double
+precision and compared to 10 decimals, so they do not depend on the slice.
 
 The k nearest vote with weight ``1 / (1 - cosine + softness)``. Shares of votes become probabilities by a
 monotone fit (pool adjacent violators) on ``calibration`` labelled documents in the classes' natural ratio; one that is
 an example itself does not vote on itself. The neighbours with their cosines are the evidence.
 
 At scale: sampling is a top-n by hash, document frequencies are one scan with partial counts for a fixed vocabulary, the
-index (a few MB to tens of MB, bounded by the sample) is broadcast, and scoring is one scan without a shuffle.
+index (a few MB, bounded by the sample) is broadcast, and scoring is one scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from windrow.llm.words import NO_LETTER, slices
 
+SLICE = 64  # documents of a product
 TERMS = "doc_id string, toxic int, terms array<bigint>, counts array<int>"
 
 
@@ -72,56 +75,96 @@ def _taught(table: pa.Table) -> list[Taught]:
 
 @dataclass
 class Index:
-    """Examples in blocks, their largest weights, and the calibration curve."""
+    """Examples by frequent terms, postings of the other terms by block, the largest weights there, and the calibration curve."""
 
     terms: np.ndarray  # sorted vocabulary
     idf: np.ndarray  # with the relevance factor
-    rows: np.ndarray  # block x term: row in the block's matrix, -1 where the block lacks the term
-    blocks: list[np.ndarray]  # of each block: its terms x its examples
+    column: np.ndarray  # of each term: its row in ``dense``, -1 for other terms
+    dense: np.ndarray  # frequent term x example
+    starts: np.ndarray  # block x term: where its postings begin; one column more
+    place: np.ndarray  # of each posting: the example
+    value: np.ndarray  # and its weight
     peaks: np.ndarray  # term x block: largest weight
     toxic: np.ndarray
     names: list[str | None]
     k: int
     softness: float
+    width: int  # examples of a block
     curve: tuple[np.ndarray, np.ndarray] | None = None
     prior: float = 0.0
 
+    @classmethod
+    def of(cls, bag: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, idf: np.ndarray, toxic: np.ndarray, names: list[str | None], k: int, softness: float, width: int, frequent: int = 256) -> Index:
+        """Index of examples given as bags of words."""
+        count = -(-len(bag) // width)
+        none = np.zeros(0, np.int64)
+        index = cls(terms, idf, np.full(len(terms), -1), np.zeros((0, len(bag))), np.zeros((count, len(terms) + 1), np.int64), none, np.zeros(0), np.zeros((len(terms), count)), toxic, names, k, softness, width)
+        vectors = [index.vector(*b) for b in bag]
+        if not vectors or not len(terms):
+            return index
+        spot, value = (np.concatenate(parts) for parts in zip(*vectors))
+        place = np.repeat(np.arange(len(vectors)), [len(v) for v, _ in vectors])
+        most = np.argsort(-np.bincount(spot, minlength=len(terms)), kind="stable")[:frequent]
+        index.column[most] = np.arange(len(most))
+        index.dense = np.zeros((len(most), len(bag)))
+        common = index.column[spot] >= 0
+        index.dense[index.column[spot[common]], place[common]] = value[common]
+        spot, value, place = spot[~common], value[~common], place[~common]
+        order = np.lexsort((place, spot, place // width))
+        index.place, index.value = place[order], value[order]
+        found = np.bincount(place // width * len(terms) + spot, minlength=count * len(terms)).reshape(count, -1)
+        index.starts[:, 1:] = np.cumsum(found, axis=1)
+        index.starts += (np.cumsum(found.sum(axis=1)) - found.sum(axis=1))[:, None]
+        np.maximum.at(index.peaks, (spot, place // width), value)
+        return index
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary places and unit weights of a bag of words."""
         if not len(self.terms) or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+            return np.zeros(0, np.int64), np.zeros(0)
         spot = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         known = self.terms[spot] == terms
         spot = spot[known]
         weight = (1 + np.log(counts[known])) * self.idf[spot]
         spot, weight = spot[weight > 0], weight[weight > 0]
-        return spot, (weight / (np.sqrt((weight * weight).sum()) or 1.0)).astype(np.float32)
-
-    def nearest(self, spot: np.ndarray, weight: np.ndarray, but: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, of equal ones the first; the example named ``but`` is none."""
-        k = self.k + (but is not None)
-        if not len(spot):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        bound = weight @ self.peaks[spot]
-        order = np.argsort(-bound, kind="stable")
-        width = self.blocks[0].shape[1]
-        names, cosines, least = [], [], 0.0
-        for n, b in enumerate(order.tolist()):
-            # a block below the k-th best cosine cannot hold a neighbour, nor can those after it
-            if bound[b] * 1.00001 + 1e-6 < least:
-                break
-            row = self.rows[b, spot]
-            has = row >= 0
-            found = weight[has] @ self.blocks[b][row[has]]
-            names.append(np.arange(b * width, b * width + len(found)))
-            cosines.append(found)
-            if n % 4 == 0 and sum(map(len, cosines)) >= k:
-                least = float(np.partition(np.concatenate(cosines), -k)[-k])
-        place, cosine = np.concatenate(names), np.concatenate(cosines)
-        best = np.lexsort((place, -cosine))[:k]
+        return spot, (weight / (np.sqrt((weight * weight).sum()) or 1.0))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[str] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector, places and cosines of the k nearest examples, of equal ones the first; the example named in ``but`` is none."""
+        for a in range(0, len(vectors), SLICE):
+            part = vectors[a : a + SLICE]
+            weights = np.zeros((len(part), len(self.dense)))
+            for n, (spot, weight) in enumerate(part):
+                column = self.column[spot]
+                weights[n, column[column >= 0]] = weight[column >= 0]
+            for n, ((spot, weight), known) in enumerate(zip(part, weights @ self.dense)):
+                if len(spot) and len(self.names):
+                    yield self._best(spot, weight, known, None if but is None else but[a + n])
+                else:
+                    yield np.zeros(0, np.int64), np.zeros(0)
+
+    def _best(self, spot: np.ndarray, weight: np.ndarray, known: np.ndarray, but: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`nearest`, for one vector whose part of the cosines is ``known``."""
+        k = min(self.k + (but is not None), len(known))
+        other = self.column[spot] < 0
+        spot, weight = spot[other], weight[other]
+        bound = np.maximum.reduceat(known, np.arange(0, len(known), self.width)) + weight @ self.peaks[spot]
+        blocks = np.flatnonzero(bound + 1e-9 >= np.partition(known, -k)[-k])
+        begin = self.starts[blocks[:, None], spot].ravel()
+        size = self.starts[blocks[:, None], spot + 1].ravel() - begin
+        some = np.flatnonzero(size)
+        begin, size = begin[some], size[some]
+        before = np.cumsum(size) - size
+        at = np.repeat(begin - before, size) + np.arange(size.sum())
+        added = np.bincount(self.place[at], self.value[at] * np.repeat(weight[some % len(weight)], size), minlength=len(known)) if len(at) else 0.0
+        place = (blocks[:, None] * self.width + np.arange(self.width)).ravel()
+        place = place[place < len(known)]
+        cosine = np.round(known + added, 10)[place]
+        close = np.flatnonzero(cosine >= np.partition(cosine, -k)[-k])
+        best = place[close][np.lexsort((place[close], -cosine[close]))][:k]
         if but is not None:
-            best = [p for p in best if self.names[place[p]] != but][: self.k]
-        return place[best], cosine[best]
+            best = np.array([p for p in best.tolist() if self.names[p] != but][: self.k], np.int64)
+        return best, np.round(known + added, 10)[best]
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         """Share of the neighbours' votes for toxic; without neighbours nothing is known."""
@@ -156,7 +199,7 @@ def monotone(votes: np.ndarray, labels: np.ndarray, smooth: float = 1.0) -> tupl
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = 1024, calibration: int = 4096, k: int = 15, block: int = 64, softness: float = 0.05, seed: int = 0) -> Index:
     """Index and calibration from rows of ``labels`` for which ``learn`` (an expression over its ``doc_id``) holds.
 
-    A document with several labels counts as toxic if one says so; labels without a value or a document teach nothing.
+    A document with several labels counts as toxic if one says so; labels without a value or a document teach nothing; of rows that repeat an id the least text teaches.
     """
     marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -167,10 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     ids = sorted(inside | checks)  # at most 2 * examples + calibration
     spark = docs.sparkSession
     if not ids:
-        return Index(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0), np.int32), [], np.zeros((0, 0), np.float32), np.zeros(0), [], k, softness)
+        return Index.of([], np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [], k, softness, block)
     kind = docs.schema[id_col].dataType
     wanted = spark.createDataFrame([(i,) for i in ids], f"doc_id {kind.simpleString()}").join(marks, "doc_id")
     texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # an id that repeats teaches once
     rows = _taught(texts.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text").mapInArrow(_vectors, TERMS).toArrow())
     known = {str(i) for i in inside}
     chosen = sorted((r for r in rows if r.name in known), key=lambda r: (r.toxic, len(r.terms)))  # like with like in a block
@@ -182,23 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     total, frequency = document_frequencies(docs, text_col, terms)
     weight = np.log((1 + total) / (1 + frequency)) * relevance(terms, [t for t, _ in bag], toxic)
-    index = Index(terms, weight, np.zeros((0, 0)), [], np.zeros((0, 0)), toxic, [r.name for r in chosen], k, softness)
-    vectors = [index.vector(*b) for b in bag]
-    parts = range(0, len(vectors), block)
-    index.rows, index.peaks = np.full((len(parts), len(terms)), -1, np.int32), np.zeros((len(terms), len(parts)), np.float32)
-    for n, a in enumerate(parts):
-        part = vectors[a : a + block]
-        own = np.unique(np.concatenate([s for s, _ in part]))
-        matrix = np.zeros((len(own), block if len(part) == block or n == 0 else len(part)), np.float32)
-        for c, (s, w) in enumerate(part):
-            matrix[np.searchsorted(own, s), c] = w
-        index.rows[n, own] = np.arange(len(own))
-        index.peaks[own, n] = matrix.max(axis=1, initial=0)
-        index.blocks.append(matrix[:, : len(part)])
+    index = Index.of(bag, terms, weight, toxic, [r.name for r in chosen], k, softness, block)
     chosen_checks = {str(i) for i in checks}
     tests = [r for r in rows if r.name in chosen_checks]
     index.prior = float(np.mean([r.toxic for r in tests] or [0.0]))
-    votes = np.array([index.vote(*index.nearest(*index.vector(r.terms, r.counts), but=r.name)) for r in tests])
+    votes = np.array([index.vote(*found) for found in index.nearest([index.vector(r.terms, r.counts) for r in tests], [r.name for r in tests])])
     truth = np.array([float(r.toxic) for r in tests])
     usable = ~np.isnan(votes) if len(votes) else np.zeros(0, bool)
     if usable.any():
@@ -259,20 +291,24 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     rows = docs.select(text.alias("text"), *kept)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
     extra = ["score double"] if keep is not None else ["score double", "predicted int", "evidence array<struct<doc_id:string,cosine:float,toxic:int>>"]
-    near = pa.list_(pa.struct([("doc_id", pa.string()), ("cosine", pa.float32()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        names = pa.array(model.names, pa.string())
         for batch in batches:
-            scores, reasons = [], []
-            for terms, counts in bags(batch.column(0)):
-                place, cosine = model.nearest(*model.vector(terms, counts)) if model.blocks else (np.zeros(0, np.int64), np.zeros(0))
+            scores, places, cosines = [], [], []
+            for place, cosine in model.nearest([model.vector(*bag) for bag in bags(batch.column(0))]):
                 scores.append(model.score(model.vote(place, cosine)))
                 if keep is None:
-                    reasons.append([{"doc_id": model.names[p], "cosine": c, "toxic": int(model.toxic[p])} for p, c in zip(place[:evidence].tolist(), cosine[:evidence].tolist())])
+                    places.append(place[:evidence])
+                    cosines.append(cosine[:evidence])
             columns = [pa.array(scores, pa.float64())]
             if keep is None:
-                columns += [pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(reasons, near)]
+                cuts = np.concatenate([[0], np.cumsum([len(p) for p in places], dtype=np.int64)])
+                at, near = (np.concatenate([np.zeros(0), *parts]) for parts in (places, cosines))
+                at = at.astype(np.int64)
+                reasons = pa.StructArray.from_arrays([names.take(pa.array(at)), pa.array(near, pa.float32()), pa.array(model.toxic[at].astype(np.int32))], ["doc_id", "cosine", "toxic"])
+                columns += [pa.array(np.array(scores) >= threshold).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), reasons)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *[e.split(" ")[0] for e in extra]])
 
     return rows.mapInArrow(run, ", ".join(fields + extra))
