@@ -96,6 +96,17 @@ def test_near_groups_of_nothing(spark):
     assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(5, 5, True), (None, None, True), (7, 7, True)])
 
 
+def test_near_stage_drops_what_is_marked_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(200)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (20, 90, 150)]
+    apart = " ".join(f"v{k}" for k in range(80))
+    data = [(5, near[0], "s"), (3, " ".join(base), "s"), (5, apart, "s"), (None, near[1], "s"), (None, "a text of its own without an id", "s"), (7, near[2], None)]
+    kept = corpus_pipeline.drop_near_copies(spark, table(spark, data), SF)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, " ".join(base)), (5, apart), (None, "a text of its own without an id")])
+
+
 def test_tables_from_pairs_of_half_keys():
     halves = near_dedup.half_keys(mix(np.arange(1, 51, dtype=np.uint64)), mix(np.arange(1, 73, dtype=np.uint64)) | np.uint64(1), 3)
     keys = near_dedup.table_keys(np.stack([halves, halves[::-1]]))

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from windrow.llm.components import components
 from windrow.llm.hash_filter import built
@@ -88,9 +88,10 @@ def table_keys(halves: np.ndarray) -> np.ndarray:
 
 
 def near_groups(
-    docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), side: int = 12, half: int = 3, near: float = 0.5, block: int = 512, id_col: str = "doc_id", text_col: str = "text", max_filter: int = 64 << 20
+    docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), side: int = 12, half: int = 3, near: float = 0.5, block: int = 512, id_col: str = "doc_id", text_col: str = "text", max_filter: int = 64 << 20, carry: dict[str, Column] | None = None
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and what ``carry`` adds
+    (further columns, as expressions over ``docs``).
 
     Words are lower-cased (A-Z). Sets with ``similarity[1] * intersection >= similarity[0] * union`` are linked; ``component_id`` is the
     smallest ``doc_id`` reachable over links, and the document of that id is kept.
@@ -103,7 +104,9 @@ def near_groups(
     kind = docs.schema[id_col].dataType.simpleString()
     factors = mix(np.arange(1, 2 * side * half + 1, dtype=np.uint64)) | _U(1)
     part, whole = similarity
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    extra = [f"_carry_{name}" for name in carry or {}]
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *[c.alias(f"_carry_{n}") for n, c in (carry or {}).items()])
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +116,9 @@ def near_groups(
                     names.append(identity(s) if len(s) else None)
                     sizes.append(len(s))
                     halves.append(half_keys(s, factors, half).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(halves, pa.list_(pa.int64()))], ["doc_id", "id", "n", "halves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(halves, pa.list_(pa.int64())), *batch.columns[2:]], ["doc_id", "id", "n", "halves", *extra])
 
-    marks = saved(rows.mapInArrow(marked, f"doc_id {kind}, id bigint, n int, halves array<bigint>"), "marks")
+    marks = saved(rows.mapInArrow(marked, f"doc_id {kind}, id bigint, n int, halves array<bigint>{carried}"), "marks")
     classes = marks.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     classes = saved(classes, "classes")
 
@@ -191,10 +194,10 @@ def near_groups(
     firsts = saved(firsts, "firsts")
     least = saved(firsts.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     groups = saved(firsts.join(least, "component").select("id", "component_id"), "groups")
-    known = marks.filter("id is not null").join(groups, "id").select("doc_id", "n", "component_id")
-    empty = marks.filter("id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    known = marks.filter("id is not null").join(groups, "id").select("doc_id", "n", "component_id", *extra)
+    empty = marks.filter("id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), *extra)
     out = known.unionByName(empty)
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *[F.col(n).alias(n.removeprefix("_carry_")) for n in extra])
 
 
 def united(named: DataFrame, links: DataFrame) -> DataFrame:
