@@ -21,8 +21,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
-    return rows.only(docs, near_dedup.near_groups(docs, shingle=5, similarity=(80, 100)).filter("kept"))
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more).
+
+    Rows are told apart by id and text, so a row that is dropped does not stay because another one with its id, or without an id, is kept.
+    """
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    groups = near_dedup.near_groups(docs, shingle=5, similarity=(80, 100), carry={"digest": digest})
+    return rows.only(docs, groups.filter("kept"), digest=digest)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
