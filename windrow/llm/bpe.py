@@ -57,11 +57,15 @@ class Recent:
         young.update((k, old[k]) for k in new if k in old)
         return [k for k in new if k not in young]
 
+    def shrink(self) -> None:
+        """Keep the younger generation only."""
+        self.old = {}
+
 
 class Bpe:
     """Encoder and decoder of one vocabulary file with word-end marks."""
 
-    def __init__(self, path: str, remember: int = 100_000, most_judged: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 50_000, most_judged: int = 1_000_000):
         import ahocorasick
         import regex
 
@@ -282,6 +286,12 @@ class Bpe:
         counts = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(self.kind).itemsize
         return np.frombuffer(b"".join(raw), self.kind).astype(np.int32), counts
 
+    def rest(self) -> None:
+        """Give back what the next task of this worker may need."""
+        self.pieces.shrink()
+        self.words.shrink()
+        pa.default_memory_pool().release_unused()
+
     def decoded(self, lists: pa.Array) -> pa.Array:
         """Token strings of lists of ids joined by spaces, special tokens included."""
         return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.strings.take(lists.values)), " ")
@@ -292,7 +302,7 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1_000_000) -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and ``decoded`` of every row.
 
     ``vocabulary`` is the path of the vocabulary file on every executor. Texts are encoded in slices of
@@ -315,6 +325,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 ids, per_text = bpe.batch(texts.slice(a, b - a).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists, bpe.decoded(lists)], ["doc_id", "ids", "decoded"])
+        bpe.rest()
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
