@@ -152,7 +152,7 @@ def event_from_media(spark, sf):
     from windrow.functions.times import instant_micros
 
     media = tb.recordings(spark, sf).join(
-        tb.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("media_id"), "o_orderpriority"), "media_id"
+        tb.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("media_id"), "o_orderkey", "o_orderpriority"), "media_id"
     )
     media = media.withColumns({"video_path": F.concat(F.lit("Raw/"), "o_orderpriority"), "start_us": instant_micros("start_time")})
-    return ev.event_from_media(media, "entries/1-URGENT", "entry_1", "entry", 183, 300).select("event_id", "room_id", "event_start_us", "event_end_us")
+    return ev.event_from_media(media, "entries/1-URGENT", "entry_1", "entry", 183, 300, tie="o_orderkey").select("event_id", "room_id", "event_start_us", "event_end_us")

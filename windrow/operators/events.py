@@ -125,13 +125,15 @@ def _anywhere(spans: DataFrame, events: DataFrame, settings: EventSettings) -> D
     return ranked.select(*keys, F.coalesce(one(3, "_during"), one(2, "_ahead"), one(1, "_behind")).alias("_any")).filter("_any IS NOT NULL")
 
 
-def event_from_media(media: DataFrame, path_or_name: str, event_id: str, event_type: str, entry_seconds: float, exit_seconds: float) -> DataFrame:
-    """Event row at fixed offsets into the earliest media file whose path or name matches."""
+def event_from_media(
+    media: DataFrame, path_or_name: str, event_id: str, event_type: str, entry_seconds: float, exit_seconds: float, tie: str = "media_id"
+) -> DataFrame:
+    """Event row at fixed offsets into the earliest media file whose path or name matches; of several the least ``tie``."""
     wanted = path_or_name.replace("\\", "/").lower()
     path = F.lower(F.replace(F.col("video_path"), F.lit("\\"), F.lit("/")))
     match = (path == wanted) | F.endswith(path, F.lit("/" + wanted.split("/")[-1])) | (path == wanted.split("/")[-1])
     first = media.filter(match & F.col("start_us").isNotNull()).agg(
-        F.min_by(F.struct("media_id", "room_id", "session_id", "video_path", "start_us"), F.struct("start_us", "media_id")).alias("m")
+        F.min_by(F.struct("media_id", "room_id", "session_id", "video_path", "start_us"), F.struct("start_us", tie)).alias("m")
     ).filter("m is not null")
     return first.select(
         F.lit(event_id).alias("event_id"), F.lit(event_type).alias("event_type"),
