@@ -44,3 +44,8 @@ def test_event_from_media_ties(spark, tmp_path):
     write(tmp_path, "orders", "SELECT k AS o_orderkey, k * 10 AS o_custkey, 'F' AS o_orderstatus, 1.0::DOUBLE AS o_totalprice, TIMESTAMP '1995-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM (VALUES (10::BIGINT), (9::BIGINT)) v(k)")
     write(tmp_path, "lineitem", "SELECT 9::BIGINT AS l_orderkey, 40.0::DOUBLE AS l_quantity")
     compare(spark, tmp_path, "event_from_media")
+
+
+def test_occupancy_imbalance_without_activity(spark, tmp_path):
+    quiet_events(tmp_path)
+    compare(spark, tmp_path, "occupancy_imbalance", exact=True)

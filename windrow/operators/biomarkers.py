@@ -35,10 +35,18 @@ def merge_tokens(rows: DataFrame, keys: list[str], order: Column, column: str =
     )
 
 
-def window_distribution(zones: DataFrame, keys: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+def window_distribution(
+    zones: DataFrame,
+    keys: list[str] | None = None,
+    carry: list[str] | None = None,
+    fallback_source: str = "uniform_zero_activity_fallback",
+    quiet_uniform: bool = True,
+) -> DataFrame:
     """One row per window: totals, means, the zone→share map and its two indices.
 
-    ``carry`` columns are taken from the window's first zone.
+    ``carry`` columns are taken from the window's first zone. ``fallback_source`` is the ``distribution_source`` of windows
+    without activity; ``distribution_fallback_used`` marks them under any name. Their shares are uniform or, without
+    ``quiet_uniform``, not a number.
 
     Zone rows are combined per zone first, so duplicated rows of one window are
     merged on the map side and the collected map has one entry per zone.
@@ -65,13 +73,12 @@ def window_distribution(zones: DataFrame, keys: list[str] | None = None, carry:
         *[F.min_by(c, "zone_id").alias(c) for c in carry],
     )
     fallback = (F.col("activity_total") <= 0) | (F.col("zone_count") <= 0)
-    share = F.transform_values(
-        "_weights", lambda _, w: F.when(fallback, 1.0 / F.col("zone_count")).otherwise(w / F.col("activity_total"))
-    )
+    quiet = 1.0 / F.col("zone_count") if quiet_uniform else F.lit(float("nan"))
+    share = F.transform_values("_weights", lambda _, w: F.when(fallback, quiet).otherwise(w / F.col("activity_total")))
     windows = windows.withColumns(
         {
             "distribution_fallback_used": fallback,
-            "distribution_source": F.when(fallback, "uniform_zero_activity_fallback").otherwise("activity_proxy_distribution"),
+            "distribution_source": F.when(fallback, fallback_source).otherwise("activity_proxy_distribution"),
             "distribution": share,
         }
     )
@@ -163,11 +170,11 @@ def mobility(activity: Column, transition: Column, weights: MobilityWeights = Mo
     return clip(score, 0.0, 1.0) if bounded else score
 
 
-def room_biomarkers(zones: DataFrame, weights: MobilityWeights = MobilityWeights()) -> DataFrame:
-    """The full window biomarker table from zone rows (any number of zones)."""
+def room_biomarkers(zones: DataFrame, weights: MobilityWeights = MobilityWeights(), quiet_uniform: bool = True) -> DataFrame:
+    """The full window biomarker table from zone rows (any number of zones); ``quiet_uniform`` as in ``window_distribution``."""
     keys = ["room_id", "start_us", "window_id"]
     ids = [c for c in ("media_id", "system_id", "session_id", "start_time", "end_time", "end_us", "duration_seconds", "zone_config_id") if c in zones.columns]
-    windows = window_distribution(zones, keys, ids)
+    windows = window_distribution(zones, keys, ids, quiet_uniform=quiet_uniform)
     if "warnings" in zones.columns:
         merged = merge_tokens(zones, keys, F.col("zone_id"), sep="|", glue=" | ")
         windows = join_same(windows, merged, keys).withColumn("warnings", F.coalesce("warnings", F.lit("")))
