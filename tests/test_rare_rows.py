@@ -5,11 +5,13 @@ from datetime import datetime
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import rows_of  # noqa: E402
+from windrow.operators import nearby, windowing as wn  # noqa: E402
 
 
 def compare(spark, folder, name, exact=False):
@@ -59,3 +61,35 @@ def test_transition_any_zones_without_activity(spark, tmp_path):
 def test_room_biomarkers_without_activity(spark, tmp_path):
     quiet_events(tmp_path)
     compare(spark, tmp_path, "room_biomarkers", exact=True)
+
+
+def parts_of(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_points_spread_by_count(spark):
+    points = spark.createDataFrame([("m", float(i)) for i in range(90)], "media_id string, center_sec double")
+    media = spark.createDataFrame([("m", 90.0)], "media_id string, duration_seconds double")
+    for bounds in ("center", "end", "closed"):
+        assert parts_of(wn.aggregate_points(points, media, {"n": F.count(F.lit(1))}, bounds=bounds, rows=2_500_000)) == 10
+
+
+def test_line_spread_by_count(spark):
+    windows = spark.createDataFrame([("1", 0, 10, "w")], "room_id string, start_us bigint, end_us bigint, window_id string")
+    events = spark.createDataFrame([("1", 5, 6, "e")], "room_id string, event_start_us bigint, event_end_us bigint, event_id string")
+    assert parts_of(nearby._line(windows, events, F.lit(None).cast("double"), 86_400, 1_250_000)) == 10
+    assert [r["matched"] for r in nearby.met_or_nearest(events, windows, count=1_250_000).collect()] == ["overlap"]
+
+
+def many_parts(folder):
+    write(folder, "part", "SELECT i AS p_partkey, CAST(i % 50 + 1 AS INT) AS p_size, 900.0 + i / 100 AS p_retailprice FROM range(200000) r(i)")
+
+
+def test_probe_documents_spread(spark, tmp_path):
+    many_parts(tmp_path)
+    assert parts_of(entry.queries()["probe_shape"](spark, str(tmp_path))) == 10
+
+
+def test_manifest_spread(spark, tmp_path):
+    many_parts(tmp_path)
+    assert parts_of(entry.queries()["manifest_cleaning"](spark, str(tmp_path))) == 10

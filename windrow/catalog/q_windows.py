@@ -42,6 +42,7 @@ def point_in_window(spark, sf):
     df = wn.aggregate_points(
         tb.intervals(spark, sf), tb.recordings(spark, sf),
         {"activity_mean": F.avg("activity"), "activity_sum": F.sum("activity"), "frame_count_used": F.count(F.lit(1))}, by=["zone_id"],
+        rows=tb.row_count(spark, sf, "lineitem"),
     )
     return rounded(df)
 
@@ -53,6 +54,7 @@ def end_in_window(spark, sf):
     df = wn.aggregate_points(
         tb.intervals(spark, sf), tb.recordings(spark, sf),
         {"activity_mean": F.avg("activity"), "activity_std": F.stddev_pop("activity"), "motion_pixel_ratio": F.avg("ratio")}, bounds="end",
+        rows=tb.row_count(spark, sf, "lineitem"),
     )
     return rounded(df)
 
@@ -63,7 +65,7 @@ FROM win w LEFT JOIN pts p ON w.media_id = p.media_id AND p.center_sec >= w.off
 def samples_in_window(spark, sf):
     """Every window is kept; windows without samples count zero."""
     media = tb.recordings(spark, sf)
-    counts = wn.aggregate_points(tb.intervals(spark, sf), media, {"frame_count": F.count(F.lit(1))}, bounds="closed")
+    counts = wn.aggregate_points(tb.intervals(spark, sf), media, {"frame_count": F.count(F.lit(1))}, bounds="closed", rows=tb.row_count(spark, sf, "lineitem"))
     windows = wn.sliding_windows(media).select("media_id", "window_index")
     return windows.join(counts, ["media_id", "window_index"], "left").withColumn("frame_count", F.coalesce("frame_count", F.lit(0)))
 
@@ -85,7 +87,7 @@ def audio_windows(spark, sf):
     frames = tb.intervals(spark, sf).select(
         "media_id", F.col("center_sec").alias("frame_center_sec"), F.col("activity").alias("audio_rms"), F.col("quantity").alias("audio_spectral_centroid")
     )
-    df = build(frames, media, wn.sliding_windows(media), frame_seconds=10.0, features=["audio_rms", "audio_spectral_centroid"], duration="covered")
+    df = build(frames, media, wn.sliding_windows(media), frame_seconds=10.0, features=["audio_rms", "audio_spectral_centroid"], duration="covered", rows=tb.row_count(spark, sf, "lineitem"))
     return rounded(df.select("media_id", "window_index", "audio_available", "audio_rms", "audio_spectral_centroid", "audio_duration_sec", "audio_quality_flag"))
 
 

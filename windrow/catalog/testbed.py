@@ -19,12 +19,18 @@ from windrow.settings import MICROS
 
 ZONES = ["click", "error", "purchase", "signup", "view"]
 HOUR_US = 3_600 * MICROS
+DOCUMENTS_A_TASK = 20_000  # probe documents read by one task
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def row_count(spark: SparkSession, sf: str, name: str) -> int:
+    """Rows of a table, which Spark reads from the footers."""
+    return table(spark, sf, name).count()
+
+
 def _slots(spark: SparkSession, sf: str, hours: int) -> DataFrame:
     us = ntz_micros("ts")
     width = hours * HOUR_US

@@ -16,16 +16,17 @@ def audio_windows(
     features: list[str] | None = None,
     settings: WindowSettings = WindowSettings(),
     duration: str = "window",
+    rows: int | None = None,
 ) -> DataFrame:
     """Mean features of the frames centred in each window; every window keeps a row.
 
     ``duration``: ``window`` reports the window's length, ``covered`` the seconds
     of frames found (zero without sound) and also flags partly covered windows.
-    A media-level ``audio_issue`` column in ``media`` explains missing sound.
+    A media-level ``audio_issue`` column in ``media`` explains missing sound. ``rows`` is the number of frames, when known.
     """
     names = list(features or AUDIO_FEATURES)
     measured = aggregate_points(
-        frames, media, {**{n: F.avg(n) for n in names}, "_frames": F.count(F.lit(1))}, settings, at="frame_center_sec"
+        frames, media, {**{n: F.avg(n) for n in names}, "_frames": F.count(F.lit(1))}, settings, at="frame_center_sec", rows=rows
     )
     df = windows.join(measured, ["media_id", "window_index"], "left")
     if "audio_issue" in media.columns:

@@ -96,6 +96,7 @@ def assign_points(
     settings: WindowSettings = WindowSettings(),
     at: str = "center_sec",
     bounds: str = "center",
+    rows: int | None = None,
 ) -> DataFrame:
     """Points repeated once per window that contains them, with ``window_index``.
 
@@ -104,11 +105,13 @@ def assign_points(
     exact bounds are checked again, which settles partial windows and float
     edges. ``bounds``: ``center`` is ``[start, end)``; ``end`` is
     ``(start + 1e-9, end + 1e-6]``; ``closed`` is ``[start - 1e-9, end + 1e-6]``.
+
+    Points multiply after they met their recording, so they are spread by count (``rows``, when known) and not by their bytes.
     """
     w, s = float(settings.window_seconds), float(settings.stride_seconds)
     t = F.col(at)
     lengths = media.select("media_id", F.coalesce(F.col("duration_seconds").cast("double"), F.lit(0.0)).alias("_len"))
-    joined = points.join(lengths, "media_id")
+    joined = spread(points, "media_id", rows=rows).join(lengths, "media_id")
     last = F.greatest(full_window_count(F.col("_len"), w, s, 1e-9), F.lit(1).cast("bigint")) - 1
     low = F.greatest(F.floor((t - w) / s).cast("bigint") - 1, F.lit(0).cast("bigint"))
     high = F.least(F.floor(t / s).cast("bigint") + 1, last)
@@ -132,7 +135,8 @@ def aggregate_points(
     at: str = "center_sec",
     bounds: str = "center",
     by: list[str] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Per window (and per ``by`` column, e.g. zone) aggregates of the points inside it."""
-    inside = assign_points(points, media, settings, at, bounds)
+    """Per window (and per ``by`` column, e.g. zone) aggregates of the points inside it; ``rows`` is the number of points, when known."""
+    inside = assign_points(points, media, settings, at, bounds, rows)
     return inside.groupBy("media_id", "window_index", *(by or [])).agg(*[c.alias(n) for n, c in measures.items()])

@@ -61,7 +61,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(written.schema).parquet(path)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Spread rows for heavy per-row work: as many partitions as shuffles use, whatever the byte size."""
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def spread(df: DataFrame, *columns: str, rows: int | None = None, each: int = 250_000) -> DataFrame:
+    """Spread rows for heavy per-row work: as many partitions as shuffles use, whatever the byte size.
+
+    With a known number of ``rows`` so many that one holds about ``each``, and one for every core at least: a task then does
+    not grow with the table.
+    """
+    spark = df.sparkSession
+    if rows is None:
+        count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    else:
+        count = max(spark.sparkContext.defaultParallelism, -(-rows // each))
     return df.repartition(count, *columns)
