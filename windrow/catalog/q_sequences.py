@@ -101,7 +101,7 @@ def _late_events(spark, sf):
 @query("nearest_event_fallback", _NEAREST + " SELECT event_id, window_id, matched FROM matched")
 def nearest_event_fallback(spark, sf):
     """Windows meeting each event; an event that meets none takes the nearest window start."""
-    return nearby.met_or_nearest(_late_events(spark, sf), tb.hour_windows(spark, sf), bin_seconds=86_400).select("event_id", "window_id", "matched")
+    return nearby.met_or_nearest(_late_events(spark, sf), tb.hour_windows(spark, sf), bin_seconds=86_400, count=tb.row_count(spark, sf, "events")).select("event_id", "window_id", "matched")
 
 
 _RECOVERY = _NEAREST + """,

@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from windrow.operators.ordered import time_block
+from windrow.session import spread
 from windrow.settings import MICROS
 
 _ROOM, _BLOCK = "_room", "_block"
 _WINDOW, _EVENT = 0, 1
+_EACH = 125_000  # rows of a line in a task
 
 
 def _text(c: str) -> Column:
@@ -31,7 +33,7 @@ def with_sequence(events: DataFrame) -> DataFrame:
     return events.withColumn("event_seq", F.xxhash64(*events.columns))
 
 
-def _line(windows: DataFrame, events: DataFrame, activity: Column, block_seconds: int) -> DataFrame:
+def _line(windows: DataFrame, events: DataFrame, activity: Column, block_seconds: int, count: int | None) -> DataFrame:
     """Both kinds of rows; every column takes part in the order, so all readers need the same columns."""
     optional = lambda df, c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
     about = lambda df, c: F.struct(F.col(c).cast("string").alias("id"), optional(df, "event_type", "string").alias("type"), optional(df, "candidate_event_source", "string").alias("source"))
@@ -47,14 +49,16 @@ def _line(windows: DataFrame, events: DataFrame, activity: Column, block_seconds
     )
     line = spans.unionByName(marks).withColumn("_order", F.struct("_t", "_kind", "_seq", "_about", "_end", "_length", "_a"))
     # said outright, and never null, because the two readers below would else ask for different exchanges
-    return line.withColumn(_BLOCK, F.coalesce(time_block("_t", block_seconds), F.lit(1 << 62))).select(_ROOM, _BLOCK, "_order").repartition(_ROOM, _BLOCK)
+    line = line.withColumn(_BLOCK, F.coalesce(time_block("_t", block_seconds), F.lit(1 << 62))).select(_ROOM, _BLOCK, "_order")
+    # by count: with their neighbours rows grow far beyond the bytes that are shuffled
+    return spread(line, _ROOM, _BLOCK, rows=count, each=_EACH)
 
 
 def _last(rows: Column, n: int) -> Column:
     return F.slice(rows, F.greatest(F.size(rows) - n + 1, F.lit(1)), n)
 
 
-def _placed(line: DataFrame, before: int, after: int) -> DataFrame:
+def _placed(line: DataFrame, before: int, after: int, count: int | None) -> DataFrame:
     """Line rows with ``_prev``, ``_next`` (windows next to a window) and ``_past``, ``_future`` (window starts next to an event)."""
     part, kind = [_ROOM, _BLOCK], F.col("_order._kind")
     is_window = kind == _WINDOW
@@ -70,6 +74,7 @@ def _placed(line: DataFrame, before: int, after: int) -> DataFrame:
         F.max_by(F.when(is_window, _last(F.concat("_prev", own), max(before, 1))), F.col("_w")).alias("_tail"), F.min_by(F.when(is_window, F.slice(F.concat(own, "_next"), 1, max(after, 1))), F.col("_w")).alias("_head"),
         F.max("_lead").alias("_latest"), F.min("_w").alias("_earliest"),
     )
+    edges = spread(edges, _ROOM, rows=count, each=_EACH)
     along, against = Window.partitionBy(_ROOM).orderBy(_BLOCK), Window.partitionBy(_ROOM).orderBy(F.desc(_BLOCK))
     edges = edges.withColumns({
         "_latest": F.last("_latest", True).over(along.rowsBetween(Window.unboundedPreceding, -1)),
@@ -86,12 +91,12 @@ def _placed(line: DataFrame, before: int, after: int) -> DataFrame:
     )
 
 
-def _met(windows: DataFrame, events: DataFrame, activity: Column, before: int, after: int, bin_seconds: int, block_seconds: int) -> DataFrame:
+def _met(windows: DataFrame, events: DataFrame, activity: Column, before: int, after: int, bin_seconds: int, block_seconds: int, count: int | None = None) -> DataFrame:
     """One row per event and bin with the windows of the bin: ``_room``, ``_bin``, ``_e`` (event), ``_ws``.
 
     ``_e.nearest`` says that the event looks for its nearest window, whose bin this is, and not for those it meets.
     """
-    rows = _placed(_line(windows, events, activity, block_seconds), before, after)
+    rows = _placed(_line(windows, events, activity, block_seconds, count), before, after, count)
     order = F.col("_order")
     bin_of = lambda t: F.floor(t / F.lit(bin_seconds * MICROS))
     span = lambda lo, hi: F.sequence(bin_of(lo), F.greatest(bin_of(lo), bin_of(hi)))
@@ -123,10 +128,13 @@ def _room(df: DataFrame, kind: str) -> Column:
     return F.nullif(F.col(_ROOM), F.lit("\u0000")).cast(kind)
 
 
-def met_or_nearest(events: DataFrame, windows: DataFrame, bin_seconds: int = 3_600, block_seconds: int = 86_400) -> DataFrame:
-    """``event_seq``, ``event_id``, ``room_id``, the event's span, ``window_id``, the window's span and ``matched`` (``overlap``, or ``nearest`` for an event that meets none)."""
+def met_or_nearest(events: DataFrame, windows: DataFrame, bin_seconds: int = 3_600, block_seconds: int = 86_400, count: int | None = None) -> DataFrame:
+    """``event_seq``, ``event_id``, ``room_id``, the event's span, ``window_id``, the window's span and ``matched`` (``overlap``, or ``nearest`` for an event that meets none).
+
+    ``count`` is about how many windows and events there are, when known.
+    """
     kind = windows.schema["room_id"].dataType.simpleString()
-    pairs = _met(windows, events, F.lit(None).cast("double"), 0, 0, bin_seconds, block_seconds)
+    pairs = _met(windows, events, F.lit(None).cast("double"), 0, 0, bin_seconds, block_seconds, count)
     pairs = pairs.select(_ROOM, "_bin", "_e", F.explode(_matching(F.col("_e"), F.col("_ws"))).alias("_w"))
     e, w = F.col("_e.row"), F.col("_w.row")
     first = F.when(F.col("_e.nearest"), F.col("_w.first")).otherwise(F.greatest("_e.first", "_w.first"))
@@ -140,14 +148,14 @@ def met_or_nearest(events: DataFrame, windows: DataFrame, bin_seconds: int = 3_6
     return named(hits, "overlap").unionByName(named(alone, "nearest"))
 
 
-def highest_met(events: DataFrame, windows: DataFrame, activity: Column, before: int, after: int, bin_seconds: int = 3_600, block_seconds: int = 86_400) -> DataFrame:
+def highest_met(events: DataFrame, windows: DataFrame, activity: Column, before: int, after: int, bin_seconds: int = 3_600, block_seconds: int = 86_400, count: int | None = None) -> DataFrame:
     """One row per event: the most active window that it meets (or the nearest), ``top``, with the windows around it.
 
     ``event_seq``, ``about`` (id, type, source), ``room_id``, ``top``, ``prev`` and ``next`` (oldest first); a window is a struct of
     ``_about.id``, ``_t``, ``_end``, ``_length`` and ``_a``. Of equally active windows the first counts.
     """
     kind = windows.schema["room_id"].dataType.simpleString()
-    met = _met(windows, events, activity, before, after, bin_seconds, block_seconds)
+    met = _met(windows, events, activity, before, after, bin_seconds, block_seconds, count)
     ranked = lambda w: F.struct((-w["row"]["_a"]).alias("down"), w["row"].alias("row"), w["prev"].alias("prev"), w["next"].alias("next"))
     best = met.select(_ROOM, "_e", F.array_min(F.transform(_matching(F.col("_e"), F.col("_ws")), ranked)).alias("_best")).filter("_best IS NOT NULL")
     chosen = best.groupBy(_ROOM, F.col("_e.row._seq").alias("event_seq")).agg(F.min(F.struct(F.col("_e.nearest").alias("nearest"), F.col("_best").alias("best"))).alias("_c"), F.min("_e.row._about").alias("about"))
