@@ -8,6 +8,7 @@ from windrow.catalog import testbed as tb
 from windrow.catalog.registry import query, rounded
 from windrow.functions import media, numbers, text, times
 from windrow.operators.selection import first_mapping
+from windrow.session import spread
 
 
 @query("room_parse", r"""WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Room ' || p_size || ' ' || p_name WHEN 1 THEN 'cam_room_' || p_size || '.png' WHEN 2 THEN 'ROOM-' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '/x' ELSE 'broom' || p_size END AS s FROM part)
@@ -114,7 +115,9 @@ def probe_shape(spark, sf):
     streams = F.when(F.col("p_size") % 2 == 0, F.array(video, audio)).otherwise(F.array(video))
     length = F.when(F.col("p_size") % 5 == 0, F.lit("unknown")).otherwise(F.col("p_retailprice").cast("string"))
     doc = F.to_json(F.struct(streams.alias("streams"), F.struct(length.alias("duration")).alias("format")))
-    df = tb.table(spark, sf, "part").select("p_partkey", media.probe_fields(doc).alias("p"))
+    parts = tb.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    # few bytes, much work a row: a file of a few splits would be a few tasks
+    df = spread(parts, rows=tb.row_count(spark, sf, "part"), each=tb.DOCUMENTS_A_TASK).select("p_partkey", media.probe_fields(doc).alias("p"))
     return rounded(df.select("p_partkey", "p.width", "p.frame_rate", "p.duration_seconds", "p.has_audio", "p.audio_sample_rate", F.array_join("p.warnings", ";").alias("warnings")))
 
 
