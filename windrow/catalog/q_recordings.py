@@ -14,6 +14,7 @@ from windrow.operators.biomarkers import merge_tokens
 from windrow.operators.ordered import Axis, time_block, with_position
 from windrow.operators.resilience import normalize_event_log
 from windrow.operators.selection import first_mapping
+from windrow.session import spread
 from windrow.sources.tables import canonical_columns, mapping_table
 
 # --- manifests -----------------------------------------------------------------------------------
@@ -67,7 +68,8 @@ def manifest_cleaning(spark, sf):
     path = F.when(F.col("p_size") % 7 == 0, F.lit("x/y.mp4")).otherwise(F.concat(F.lit("Sys"), (F.col("p_size") % 3).cast("string"), F.lit("/Room "), F.col("p_size").cast("string"), F.lit("/s/video/a.mp4")))
     stamp = F.when(F.col("p_partkey") % 3 == 2, F.lit("not a time")).otherwise(_stamp("00", ":", " ", ""))
     tags = F.map_filter(F.create_map(F.lit("CreateDate"), stamp, F.lit("Duration"), F.when(F.col("p_partkey") % 4 == 0, F.lit("58 s"))), lambda k, v: v.isNotNull())
-    files = tb.table(spark, sf, "part").select(
+    parts = spread(tb.table(spark, sf, "part").select("p_partkey", "p_size"), rows=tb.row_count(spark, sf, "part"), each=tb.DOCUMENTS_A_TASK)
+    files = parts.select(
         F.col("p_partkey").alias("media_id"), path.alias("file_path"), path.alias("relative_path"), tags.alias("tags"), _probe().alias("probe"), F.array().cast("array<string>").alias("issues")
     )
     rules = spark.createDataFrame([(1, "^sys0/", "Barn", "", "", "", "", "zone_alpha")], "map_order int, pattern string, system_id string, room_id string, session_id string, modality string, source_type string, zone_config_id string")
