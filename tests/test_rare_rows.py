@@ -1,16 +1,20 @@
 """Queries next to their SQL on rows that the small tables lack."""
 
+import itertools
 import sys
 from datetime import datetime
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import rows_of  # noqa: E402
+from windrow.models import hmm  # noqa: E402
 from windrow.operators import nearby, windowing as wn  # noqa: E402
 
 
@@ -93,3 +97,28 @@ def test_probe_documents_spread(spark, tmp_path):
 def test_manifest_spread(spark, tmp_path):
     many_parts(tmp_path)
     assert parts_of(entry.queries()["manifest_cleaning"](spark, str(tmp_path))) == 10
+
+
+def test_scan_of_many_sequences_at_once():
+    """Sequences of different lengths in one batch: messages and states as of each sequence alone."""
+    rng, k = np.random.default_rng(5), 3
+    model = hmm.GaussianHmm(np.array([0.5, 0.3, 0.2]), np.full((k, k), 1 / k), np.zeros((k, 1)), np.ones((k, 1)))
+    sizes = [2, 5, 3, 2]
+    frame = pd.DataFrame({"_seq": list("abcd"), "chunks": [np.arange(n) for n in sizes], "matrix": [rng.random(n * k * k) for n in sizes], "best": [np.log(rng.random(n * k * k)) for n in sizes]})
+    got = pd.concat(hmm._scan_sequences(model, True)(iter([frame]))).sort_values(["_seq", "_chunk"])
+    assert len(got) == sum(sizes)
+    for _, row in frame.iterrows():
+        part = got[got["_seq"] == row["_seq"]]
+        matrices, best = row["matrix"].reshape(-1, k, k), row["best"].reshape(-1, k, k)
+        message = model.start
+        for i, m in enumerate(matrices):
+            assert np.allclose(part["entry"].iloc[i], message)
+            message = message @ m / (message @ m).sum()
+        back = np.ones(k)
+        for i in range(len(matrices) - 1, -1, -1):
+            assert np.allclose(part["exit"].iloc[i], back)
+            back = matrices[i] @ back / (matrices[i] @ back).sum()
+        paths = list(itertools.product(range(k), repeat=len(best) + 1))
+        score = [np.log(model.start[p[0]]) + sum(best[i][p[i], p[i + 1]] for i in range(len(best))) for p in paths]
+        path = paths[int(np.argmax(score))]
+        assert part["last_state"].tolist() == list(path[1:]) and part["first_state"].tolist() == [-1, *path[1:-1]]

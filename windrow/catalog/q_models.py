@@ -12,6 +12,7 @@ from windrow.models import gmm, hmm, metrics as mm, preprocess as pp, risk as rk
 from windrow.models.states import GMM, HMM, fit_states
 from windrow.operators import biomarkers as bm
 from windrow.operators.ordered import time_axis
+from windrow.session import cut_lineage, spread
 from windrow.settings import ModelSettings
 
 
@@ -140,8 +141,9 @@ def _pairs_of_features(spark, sf):
 
 
 def _fixed_packed(spark, sf):
-    """Chunks of twenty rows, so that messages cross chunks in every sequence."""
-    return hmm.pack_sequences(_pairs_of_features(spark, sf), time_axis(("room_id",)), "window_id", chunk_rows=20)
+    """Chunks of twenty rows, so that messages cross chunks in every sequence; written, because they are read several times."""
+    packed = hmm.pack_sequences(_pairs_of_features(spark, sf), time_axis(("room_id",)), "window_id", chunk_rows=20)
+    return cut_lineage(spread(packed, "_seq", "_chunk"))
 
 
 def _log_b(j, x0="x0", x1="x1"):

@@ -101,38 +101,56 @@ def _summaries(model: GaussianHmm, decode: bool):
     return run
 
 
-def _scan_sequence(model: GaussianHmm, decode: bool):
+def _scan_sequences(model: GaussianHmm, decode: bool):
+    """The scan of many sequences at once, one step per chunk of the longest of a slab."""
     k = model.n_states
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk").reset_index(drop=True)
-        matrices = [np.asarray(m).reshape(k, k) for m in pdf["matrix"]]
-        entries, message = [], model.start.copy()
-        for matrix in matrices:
-            entries.append(message)
-            message = message @ matrix
-            message = message / message.sum()
-        exits, back = [None] * len(pdf), np.ones(k)
-        for i in range(len(pdf) - 1, -1, -1):
-            exits[i] = back
-            back = matrices[i] @ back
-            back = back / back.sum()
-        before, after = [-1] * len(pdf), [-1] * len(pdf)
+    def run(batches):
+        for pdf in batches:
+            sizes = pdf["chunks"].map(len).to_numpy()
+            for part in slabs(sizes):
+                yield scanned(pdf.iloc[part], sizes[part])
+
+    def scanned(rows: pd.DataFrame, sizes: np.ndarray) -> pd.DataFrame:
+        count, steps = len(rows), int(sizes.max())
+        active = np.searchsorted(-sizes, -np.arange(steps), side="left")
+        seq = np.repeat(np.arange(count), sizes)
+        at = (np.arange(len(seq)) - np.repeat(np.cumsum(sizes) - sizes, sizes), seq)
+
+        def laid(name: str) -> np.ndarray:
+            out = np.zeros((steps, count, k, k))
+            out[at] = np.concatenate(rows[name].to_list()).reshape(-1, k, k)
+            return out
+
+        matrices = laid("matrix")
+        entry, end = np.ones((steps, count, k)), np.ones((steps, count, k))
+        message, back = np.tile(np.asarray(model.start, float), (count, 1)), np.ones((count, k))
+        for t, n in enumerate(active):
+            entry[t, :n] = message[:n]
+            moved = np.einsum("ni,nij->nj", message[:n], matrices[t, :n])
+            message[:n] = moved / moved.sum(axis=1, keepdims=True)
+        for t in range(steps - 1, -1, -1):
+            n = active[t]
+            end[t, :n] = back[:n]
+            moved = np.einsum("nij,nj->ni", matrices[t, :n], back[:n])
+            back[:n] = moved / moved.sum(axis=1, keepdims=True)
+        before, after = np.full((steps, count), -1), np.full((steps, count), -1)
         if decode:
-            best = [np.asarray(b).reshape(k, k) for b in pdf["best"]]
-            scores, score = [], np.log(model.start + 1e-300)
-            for matrix in best:
-                scores.append(score)
-                score = (score[:, None] + matrix).max(axis=0)
-            state = int(score.argmax())
-            for i in range(len(pdf) - 1, -1, -1):
-                after[i] = state
-                state = int((scores[i] + best[i][:, state]).argmax())
-                before[i] = state if i else -1
+            best, scores = laid("best"), np.zeros((steps, count, k))
+            score = np.tile(np.log(model.start + 1e-300), (count, 1))
+            for t, n in enumerate(active):
+                scores[t, :n] = score[:n]
+                score[:n] = (score[:n, :, None] + best[t, :n]).max(axis=1)
+            state = score.argmax(axis=1)
+            for t in range(steps - 1, -1, -1):
+                n = active[t]
+                after[t, :n] = state[:n]
+                state[:n] = (scores[t, :n] + best[t][np.arange(n), :, state[:n]]).argmax(axis=1)
+                before[t, :n] = state[:n] if t else -1
         return pd.DataFrame(
             {
-                "_seq": pdf["_seq"], "_chunk": pdf["_chunk"], "entry": entries, "exit": exits,
-                "first_state": before, "last_state": after,
+                "_seq": rows["_seq"].to_numpy()[seq], "_chunk": np.concatenate(rows["chunks"].to_list()), "entry": list(entry[at]), "exit": list(end[at]),
+                "first_state": before[at], "last_state": after[at],
             }
         )
 
@@ -194,7 +212,12 @@ def _with_messages(packed: DataFrame, model: GaussianHmm, decode: bool, any_long
     small = long.select("_seq", "_chunk", "x").mapInPandas(
         _summaries(model, decode), "_seq string, _chunk bigint, matrix array<double>, best array<double>"
     )
-    scanned = small.groupBy("_seq").applyInPandas(_scan_sequence(model, decode), _SCAN)
+    # small matrices of whole sequences as rows, so that Python is called for a batch of sequences and not for each
+    rows = F.array_sort(F.collect_list(F.struct("_chunk", "matrix", "best")))
+    sequences = small.groupBy("_seq").agg(rows.alias("_r")).select(
+        "_seq", F.transform("_r", lambda r: r["_chunk"]).alias("chunks"), *[F.flatten(F.transform("_r", lambda r: r[c])).alias(c) for c in ("matrix", "best")]
+    )
+    scanned = sequences.mapInPandas(_scan_sequences(model, decode), _SCAN)
     return alone.unionByName(long.join(scanned, ["_seq", "_chunk"]))
 
 
