@@ -126,6 +126,25 @@ def test_lockstep_equals_one_chunk_at_a_time():
     assert [list(p) for p in parts] == [[1], [2, 3, 0], [4]]
 
 
+def test_an_expectation_step_reads_few_rows_for_many_sequences(spark):
+    draw = np.random.default_rng(7)
+    k, d = 3, 2
+    model = hmm.GaussianHmm(draw.dirichlet(np.ones(k)), draw.dirichlet(np.ones(k), size=k), draw.normal(size=(k, d)), draw.uniform(0.3, 2, size=(k, d)))
+    sequences = {f"r{i}": draw.normal(size=(int(draw.integers(1, 5)), d)) for i in range(900)} | {"long": draw.normal(size=(30, d))}
+    rows = [(f"{name}_{t}", name, t * MICROS, [float(v) for v in x]) for name, part in sequences.items() for t, x in enumerate(part)]
+    df = spark.createDataFrame(rows, "window_id string, room_id string, start_us bigint, features array<double>")
+    want = np.zeros(k + k * k + k + 2 * k * d + 1)
+    for x in sequences.values():
+        gamma, pairs, loglik = plain_messages(model, x, model.start, np.ones(k), True)
+        want += np.concatenate([gamma[0], pairs.ravel(), gamma.sum(axis=0), (gamma.T @ x).ravel(), (gamma.T @ (x * x)).ravel(), [loglik]])
+    for chunk_rows, alone in ((7, 900), (100, 901)):
+        packed = hmm.pack_sequences(df, time_axis(("room_id",)), "window_id", chunk_rows=chunk_rows).coalesce(2).cache()
+        blocks = hmm.whole_blocks(packed, d)
+        read = blocks.toPandas()
+        assert len(read) <= 4 and sum(len(s) for s in read["sizes"]) == 4 * alone
+        assert hmm.expected(blocks, packed.filter("_chunks > 1") if chunk_rows == 7 else None, model) == pytest.approx(want)
+
+
 def test_mixture_takes_over_when_the_sequence_model_fails(observed, monkeypatch):
     def broken(*args):
         raise np.linalg.LinAlgError("no convergence")

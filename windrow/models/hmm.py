@@ -21,11 +21,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from windrow.models.lockstep import Lockstep, slabs
+from windrow.models.lockstep import Lockstep, by_step, slabs
 from windrow.operators.ordered import Axis, with_position
 from windrow.session import cut_lineage, spread
 from windrow.settings import ModelSettings
@@ -37,6 +38,18 @@ VARIANCE_FLOOR = 1e-3
 _SCAN = "_seq string, _chunk bigint, entry array<double>, exit array<double>, first_state int, last_state int"
 
 
+def log_density(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
+    """Log density of rows under each state, (rows, states), a feature at a time on arrays that are long in the rows."""
+    total = np.tile(np.log(2 * np.pi * variances).sum(axis=1)[:, None], len(x))
+    for column, mean, variance in zip(x.T, means.T, variances.T):
+        gap = column - mean[:, None]
+        gap *= gap
+        gap /= variance[:, None]
+        total += gap
+    total *= -0.5
+    return total.T
+
+
 @dataclass(frozen=True)
 class GaussianHmm:
     start: np.ndarray
@@ -52,8 +65,7 @@ class GaussianHmm:
         return len(self.start)
 
     def log_emission(self, x: np.ndarray) -> np.ndarray:
-        gap = x[:, None, :] - self.means[None, :, :]
-        return -0.5 * (np.log(2 * np.pi * self.variances).sum(axis=1)[None, :] + (gap * gap / self.variances[None, :, :]).sum(axis=2))
+        return log_density(x, self.means, self.variances)
 
     def to_dict(self) -> dict:
         return {
@@ -165,30 +177,63 @@ def _ends(model: GaussianHmm, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarra
     return np.array(entry, dtype=float).reshape(-1, k), np.array(end, dtype=float).reshape(-1, k)
 
 
-def _statistics(model: GaussianHmm):
-    """Per task: one row of summed statistics."""
+def _statistics(model: GaussianHmm, steps):
+    """Per task: one row of summed statistics. ``steps`` gives the slabs of the batches with the messages at their ends."""
     def run(batches):
-        k, d = model.means.shape
-        start, pairs = np.zeros(k), np.zeros((k, k))
-        weight, first_moment, second_moment = np.zeros(k), np.zeros((k, d)), np.zeros((k, d))
-        loglik, seen = 0.0, False
-        for pdf in batches:
-            for rows, step in _laid(model, pdf):
-                gamma, joint, part = step.smoothed(*_ends(model, rows))
-                start += gamma[(step.step == 0) & step.first[step.chunk]].sum(axis=0)
-                pairs += joint
-                weight += gamma.sum(axis=0)
-                first_moment += gamma.T @ step.rows
-                second_moment += gamma.T @ (step.rows * step.rows)
-                loglik += part.sum()
-                seen = True
+        flat, seen = 0.0, False
+        for step, entry, end in steps(batches):
+            gamma, pairs, loglik = step.summed(entry, end)
+            start = gamma[:, : len(step.first)][:, step.first].sum(axis=1)
+            parts = [start, pairs, gamma.sum(axis=1), gamma @ step.rows, gamma @ (step.rows * step.rows), [loglik.sum()]]
+            flat = flat + np.concatenate([np.ravel(p) for p in parts])
+            seen = True
         if seen:
-            flat = np.concatenate([start, pairs.ravel(), weight, first_moment.ravel(), second_moment.ravel(), [loglik]])
-            yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "v"])
 
     return run
 
 
+def _long_steps(model: GaussianHmm):
+    def steps(batches):
+        for batch in batches:
+            for rows, step in _laid(model, batch.to_pandas()):
+                yield step, *_ends(model, rows)
+
+    return steps
+
+
+def _block_steps(model: GaussianHmm):
+    k, d = model.means.shape
+
+    def steps(batches):
+        for batch in batches:
+            for sizes, x in zip(batch.column("sizes"), batch.column("x")):
+                sizes = np.frombuffer(sizes.as_buffer(), np.int32)
+                rows = np.frombuffer(x.as_buffer()).reshape(d, -1).T
+                yield Lockstep(model, rows, np.ones(len(sizes), bool), sizes), np.tile(model.start, (len(sizes), 1)), np.ones((len(sizes), k))
+
+    return steps
+
+
+def whole_blocks(packed: DataFrame, d: int) -> DataFrame:
+    """Sequences of one chunk, many to a row: their ``sizes`` and, feature after feature, their rows by step, as bytes.
+
+    A fit reads its rows once per iteration; as bytes they reach numpy without a Python step per sequence.
+    """
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            sizes = np.diff(lists.offsets.to_numpy()) // d
+            x, begins = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d), np.cumsum(sizes) - sizes
+            for part in slabs(sizes):
+                own = sizes[part]
+                rows = np.repeat(begins[part] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                columns = np.ascontiguousarray(x[rows[by_step(own)]].T)
+                yield pa.RecordBatch.from_arrays([pa.array([own.astype(np.int32).tobytes()], pa.binary()), pa.array([columns.tobytes()], pa.binary())], ["sizes", "x"])
+
+    return packed.filter("_chunks = 1").select("x").mapInArrow(run, "sizes binary, x binary")
+
+
 def _decoded(model: GaussianHmm):
     def run(batches):
         for pdf in batches:
@@ -200,15 +245,8 @@ def _decoded(model: GaussianHmm):
     return run
 
 
-def _with_messages(packed: DataFrame, model: GaussianHmm, decode: bool, any_long: bool) -> DataFrame:
-    """Chunks with the messages at their ends. Only sequences of several chunks take part in the scan."""
-    nothing = F.lit(None).cast("array<double>")
-    alone = packed.filter("_chunks = 1").withColumns(
-        {"entry": nothing, "exit": nothing, "first_state": F.lit(-1), "last_state": F.lit(-1)}
-    )
-    if not any_long:
-        return alone
-    long = packed.filter("_chunks > 1")
+def _with_scanned(long: DataFrame, model: GaussianHmm, decode: bool) -> DataFrame:
+    """Chunks of sequences of several chunks with the messages at their ends."""
     small = long.select("_seq", "_chunk", "x").mapInPandas(
         _summaries(model, decode), "_seq string, _chunk bigint, matrix array<double>, best array<double>"
     )
@@ -217,8 +255,16 @@ def _with_messages(packed: DataFrame, model: GaussianHmm, decode: bool, any_long
     sequences = small.groupBy("_seq").agg(rows.alias("_r")).select(
         "_seq", F.transform("_r", lambda r: r["_chunk"]).alias("chunks"), *[F.flatten(F.transform("_r", lambda r: r[c])).alias(c) for c in ("matrix", "best")]
     )
-    scanned = sequences.mapInPandas(_scan_sequences(model, decode), _SCAN)
-    return alone.unionByName(long.join(scanned, ["_seq", "_chunk"]))
+    return long.join(sequences.mapInPandas(_scan_sequences(model, decode), _SCAN), ["_seq", "_chunk"])
+
+
+def _with_messages(packed: DataFrame, model: GaussianHmm, decode: bool, any_long: bool) -> DataFrame:
+    """Chunks with the messages at their ends. Only sequences of several chunks take part in the scan."""
+    nothing = F.lit(None).cast("array<double>")
+    alone = packed.filter("_chunks = 1").withColumns(
+        {"entry": nothing, "exit": nothing, "first_state": F.lit(-1), "last_state": F.lit(-1)}
+    )
+    return alone.unionByName(_with_scanned(packed.filter("_chunks > 1"), model, decode)) if any_long else alone
 
 
 def _any_long(packed: DataFrame) -> bool:
@@ -253,19 +299,30 @@ def maximise(model: GaussianHmm, flat: np.ndarray) -> GaussianHmm:
     return replace(model, start=start / start.sum(), transition=transition, means=means, variances=(VARIANCE_PRIOR + scatter) / filled)
 
 
-def expected(packed: DataFrame, model: GaussianHmm, any_long: bool) -> np.ndarray:
-    """Summed statistics of one expectation step, in the order that ``maximise`` reads; the last is the log-likelihood."""
-    parts = _with_messages(packed, model, False, any_long).select("_chunk", "x", "entry", "exit")
-    sums = parts.mapInPandas(_statistics(model), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+def expected(whole: DataFrame, long: DataFrame | None, model: GaussianHmm) -> np.ndarray:
+    """Summed statistics of one expectation step, in the order that ``maximise`` reads; the last is the log-likelihood.
+
+    ``whole`` are the ``whole_blocks``, ``long`` the chunks of sequences of several chunks, if any.
+    """
+    kind = "i int, v double"
+    parts = whole.mapInArrow(_statistics(model, _block_steps(model)), kind)
+    if long is not None:
+        messages = _with_scanned(long, model, False).select("_chunk", "x", "entry", "exit")
+        parts = parts.unionByName(messages.mapInArrow(_statistics(model, _long_steps(model)), kind))
+    sums = parts.groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(len(sums))
     for row in sums:
         flat[row["i"]] = row["v"]
     return flat
 
 
+def _long(packed: DataFrame) -> DataFrame | None:
+    return packed.filter("_chunks > 1") if _any_long(packed) else None
+
+
 def stepped(packed: DataFrame, model: GaussianHmm) -> GaussianHmm:
     """The model after one step of expectation and maximisation, with the log-likelihood before it."""
-    flat = expected(packed, model, _any_long(packed))
+    flat = expected(whole_blocks(packed, model.means.shape[1]), _long(packed), model)
     return replace(maximise(model, flat), log_likelihood=float(flat[-1]), iterations=model.iterations + 1)
 
 
@@ -275,10 +332,10 @@ def fit_hmm(
     """Expectation–maximisation until the gain falls below the tolerance; returns the model and the packed data."""
     packed = cut_lineage(spread(pack_sequences(df, axis, row_id, features, chunk_rows), "_seq", "_chunk"))
     model = initial_model(df, k, features, settings.seed)
-    any_long = _any_long(packed)
+    whole, long = cut_lineage(spread(whole_blocks(packed, model.means.shape[1]), rows=packed.filter("_chunks = 1").count())), _long(packed)
     previous, history = float("-inf"), []
     for step in range(settings.max_iterations):
-        flat = expected(packed, model, any_long)
+        flat = expected(whole, long, model)
         history.append(float(flat[-1]))
         model = replace(maximise(model, flat), log_likelihood=float(flat[-1]), iterations=step + 1, history=tuple(history))
         if flat[-1] - previous < settings.tolerance:

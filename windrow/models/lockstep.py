@@ -2,8 +2,10 @@
 
 Chunks differ in length. They are sorted, longest first, so that at step t the chunks that still
 have a row are the first ``active[t]`` ones, and one step of all of them is one array operation on
-(chunks, states). A slab holds a bounded number of cells; what a batch of chunks costs in Python is
+(states, chunks). A slab holds a bounded number of cells; what a batch of chunks costs in Python is
 the number of slabs times the longest chunk, not the number of rows.
+
+Inside, rows lie by step and then by chunk, so the rows of a step, and those they come from, are slices.
 """
 
 from __future__ import annotations
@@ -24,23 +26,41 @@ def slabs(sizes: np.ndarray, cells: int = CELLS) -> Iterator[np.ndarray]:
         yield part
 
 
+def by_step(sizes: np.ndarray) -> np.ndarray:
+    """Rows of chunks (longest first) that lie one after the other, in the order of steps."""
+    active = _active(sizes)
+    step = np.repeat(np.arange(len(active)), active)
+    chunk = np.arange(len(step)) - np.repeat(np.cumsum(active) - active, active)
+    return (np.cumsum(sizes) - sizes)[chunk] + step
+
+
+def _active(sizes: np.ndarray) -> np.ndarray:
+    return np.searchsorted(-sizes, -np.arange(int(sizes.max())), side="left")
+
+
 class Lockstep:
-    """Emissions of a slab of chunks; ``first`` says which chunks begin a sequence."""
-
-    def __init__(self, model, chunks: list[np.ndarray], first: np.ndarray):
-        self.model, self.first = model, np.asarray(first, bool)
-        self.sizes = np.array([len(c) for c in chunks])
-        steps = int(self.sizes.max())
-        self.active = np.searchsorted(-self.sizes, -np.arange(steps), side="left")
-        self.rows = np.concatenate(chunks)
-        self.chunk = np.repeat(np.arange(len(chunks)), self.sizes)
-        self.step = np.arange(len(self.rows)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        log_b = model.log_emission(self.rows)
-        self.log_b = np.zeros((steps, len(chunks), model.n_states))
-        self.log_b[self.step, self.chunk] = log_b
-        self.top = log_b.max(axis=1)
-        self.b = np.exp(self.log_b)  # padding stays 1 and is never read
-        self.b[self.step, self.chunk] = np.exp(log_b - self.top[:, None])
+    """Emissions of a slab of chunks; ``first`` says which chunks begin a sequence.
+
+    ``rows`` are the chunks, or with ``sizes`` one matrix in the order of ``by_step``.
+    """
+
+    def __init__(self, model, rows: np.ndarray | list[np.ndarray], first: np.ndarray, sizes: np.ndarray | None = None):
+        if sizes is None:
+            sizes = np.array([len(c) for c in rows])
+            rows = np.concatenate(rows)[by_step(sizes)]
+        self.model, self.rows, self.sizes, self.first = model, rows, sizes, np.asarray(first, bool)
+        self.active = _active(sizes)
+        ends = np.cumsum(self.active)
+        self.begins = ends - self.active
+        self.step = np.repeat(np.arange(len(self.active)), self.active)
+        self.chunk = np.arange(len(self.step)) - np.repeat(self.begins, self.active)
+        self.log_b = model.log_emission(self.rows).T
+        self.top = self.log_b.max(axis=0)
+        self.b = np.exp(self.log_b - self.top)
+
+    def _at(self, t: int, n: int) -> slice:
+        """The first ``n`` rows of a step."""
+        return slice(self.begins[t], self.begins[t] + n)
 
     def products(self) -> np.ndarray:
         """Product of each chunk's step matrices, up to a factor: (chunks, states, states)."""
@@ -50,7 +70,7 @@ class Lockstep:
             moved = out[:n] @ self.model.transition
             if t == 0:
                 moved[self.first[:n]] = np.eye(k)
-            moved *= self.b[t, :n, None, :]
+            moved *= self.b[:, self._at(t, n)].T[:, None, :]
             out[:n] = moved / moved.sum(axis=(1, 2), keepdims=True)
         return out
 
@@ -63,52 +83,71 @@ class Lockstep:
             moved = (out[:n, :, :, None] + log_a).max(axis=2)
             if t == 0:
                 moved[self.first[:n]] = out[:n][self.first[:n]]
-            out[:n] = moved + self.log_b[t, :n, None, :]
+            out[:n] = moved + self.log_b[:, self._at(t, n)].T[:, None, :]
         return out
 
-    def smoothed(self, entry: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Posteriors of the rows, summed pairs of states, and log-likelihoods of the chunks, between known messages."""
-        steps, count, k = self.b.shape
+    def _messages(self, entry: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Posteriors, the messages ahead of the rows, what comes back to them, and the sizes of the messages: (states, rows)."""
         a = self.model.transition
-        alpha, beta, sizes = np.ones((steps, count, k)), np.ones((steps, count, k)), np.ones((steps, count))
+        left, alpha, beta = np.empty_like(self.b), np.empty_like(self.b), np.empty_like(self.b)
+        sizes = np.empty(self.b.shape[1])
         for t, n in enumerate(self.active):
-            message = (alpha[t - 1, :n] if t else entry[:n]) @ a
+            here = self._at(t, n)
+            left[:, here] = alpha[:, self._at(t - 1, n)] if t else entry.T
+            message = a.T @ left[:, here]
             if t == 0:
-                message[self.first[:n]] = entry[:n][self.first[:n]]
-            message = message * self.b[t, :n]
-            sizes[t, :n] = message.sum(axis=1)
-            alpha[t, :n] = message / sizes[t, :n, None]
-        for t in range(steps - 1, -1, -1):
-            n, more = self.active[t], self.active[t + 1] if t + 1 < steps else 0
-            beta[t, more:n] = end[more:n]
-            back = (self.b[t + 1, :more] * beta[t + 1, :more]) @ a.T if more else np.empty((0, k))
-            beta[t, :more] = back / back.sum(axis=1, keepdims=True)
-        here, forth, back = (self.step, self.chunk), alpha[self.step, self.chunk], beta[self.step, self.chunk]
-        gamma = forth * back
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        left = np.where((self.step > 0)[:, None], alpha[np.maximum(self.step - 1, 0), self.chunk], entry[self.chunk])
-        right = self.b[here] * back
-        size = np.einsum("ni,ij,nj->n", left, a, right)
-        inner = (self.step > 0) | ~self.first[self.chunk]
-        pairs = a * ((left[inner] / size[inner, None]).T @ right[inner])
-        loglik = np.bincount(self.chunk, np.log(sizes[here]) + self.top, count)
+                message[:, self.first] = entry.T[:, self.first]
+            message *= self.b[:, here]
+            sizes[here] = message.sum(axis=0)
+            alpha[:, here] = message / sizes[here]
+        for t in range(len(self.active) - 1, -1, -1):
+            n, more = self.active[t], self.active[t + 1] if t + 1 < len(self.active) else 0
+            beta[:, self.begins[t] + more : self.begins[t] + n] = end[more:n].T
+            if more:
+                after = self._at(t + 1, more)
+                back = a @ (self.b[:, after] * beta[:, after])
+                beta[:, self._at(t, more)] = back / back.sum(axis=0)
+        gamma = alpha * beta
+        gamma /= gamma.sum(axis=0)
+        return gamma, left, self.b * beta, sizes
+
+    def summed(self, entry: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Posteriors by step (states, rows), summed pairs of states, and log-likelihoods of the chunks, between known messages."""
+        a = self.model.transition
+        gamma, left, right, sizes = self._messages(entry, end)
+        # rows that begin a sequence have no pair; those of the first step lie first
+        inner = np.flatnonzero(~self.first)
+        if len(inner):
+            inner = np.concatenate([inner, np.arange(self.active[0], len(self.step))])
+            left, right = left[:, inner], right[:, inner]
+        else:
+            left, right = left[:, self.active[0] :], right[:, self.active[0] :]
+        pairs = a * ((left / ((a.T @ left) * right).sum(axis=0)) @ right.T)
+        return gamma, pairs, np.bincount(self.chunk, np.log(sizes) + self.top, len(self.sizes))
+
+    def smoothed(self, entry: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``summed`` with the posteriors chunk after chunk: (rows, states)."""
+        by_steps, pairs, loglik = self.summed(entry, end)
+        gamma = np.empty(by_steps.shape[::-1])
+        gamma[by_step(self.sizes)] = by_steps.T
         return gamma, pairs, loglik
 
     def paths(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Most likely state of each row; ``before`` is the state ahead of a chunk that does not begin a sequence, ``last`` its last state or -1."""
-        steps, count, k = self.b.shape
+        k = self.model.n_states
         log_a = np.log(self.model.transition + TINY)
-        came = np.zeros((steps, count, k), np.int8 if k < 128 else np.int32)
-        score = np.where(self.first[:, None], np.log(self.model.start + TINY), log_a[np.maximum(before, 0)]) + self.log_b[0]
+        came = np.zeros((len(self.step), k), np.int8 if k < 128 else np.int32)
+        score = np.where(self.first[:, None], np.log(self.model.start + TINY), log_a[np.maximum(before, 0)]) + self.log_b[:, self._at(0, len(self.sizes))].T
         for t, n in enumerate(self.active[1:], 1):
             options = score[:n, :, None] + log_a
-            came[t, :n] = options.argmax(axis=1)
-            score[:n] = options.max(axis=1) + self.log_b[t, :n]
-        out = np.zeros((steps, count), np.int64)
+            came[self._at(t, n)] = options.argmax(axis=1)
+            score[:n] = options.max(axis=1) + self.log_b[:, self._at(t, n)].T
+        out = np.zeros(len(self.step), np.int64)
         state = np.where(last >= 0, last, score.argmax(axis=1))
-        at = np.arange(count)
-        for t in range(steps - 1, -1, -1):
-            n = self.active[t]
-            out[t, :n] = state[:n]
-            state[:n] = came[t, at[:n], state[:n]]
-        return out[self.step, self.chunk]
+        for t in range(len(self.active) - 1, -1, -1):
+            here = self._at(t, self.active[t])
+            out[here] = state[: self.active[t]]
+            state[: self.active[t]] = came[here][np.arange(self.active[t]), state[: self.active[t]]]
+        path = np.empty_like(out)
+        path[by_step(self.sizes)] = out
+        return path
