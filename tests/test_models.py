@@ -162,6 +162,20 @@ def test_mixture(observed):
     assert max(agree, 1 - agree) > 0.97
 
 
+def test_a_mixture_step_reads_few_rows_for_many_vectors(spark):
+    draw = np.random.default_rng(9)
+    k, d, x = 3, 2, draw.normal(size=(2_000, 2))
+    model = gmm.DiagonalMixture(draw.dirichlet(np.ones(k)), draw.normal(size=(k, d)), draw.uniform(0.3, 2, size=(k, d)), float("-inf"), 0)
+    blocks = gmm.row_blocks(spark.createDataFrame([([float(v) for v in row],) for row in x], "features array<double>").coalesce(2))
+    assert 0 < blocks.count() <= 2 and blocks.agg(F.sum("n")).first()[0] == len(x)
+    joint = model.weights * np.exp(-0.5 * ((x[:, None, :] - model.means) ** 2 / model.variances).sum(axis=2)) / np.sqrt((2 * np.pi * model.variances).prod(axis=1))
+    r = joint / joint.sum(axis=1, keepdims=True)
+    means = (r.T @ x) / r.sum(axis=0)[:, None]
+    got = gmm.stepped(blocks, model)
+    assert got.mean_log_likelihood == pytest.approx(np.log(joint.sum(axis=1)).mean()) and got.weights == pytest.approx(r.mean(axis=0))
+    assert got.means == pytest.approx(means) and got.variances == pytest.approx((r.T @ (x * x)) / r.sum(axis=0)[:, None] - means**2 + gmm.REGULARISER)
+
+
 @pytest.mark.parametrize("kind", [HMM, GMM])
 def test_states_end_to_end(observed, kind):
     result = fit_states(observed, ModelSettings(max_iterations=4), kind=kind)

@@ -250,7 +250,7 @@ pa AS (
 SELECT parameter, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(value, 5) AS value FROM pa""")
 def gmm_step_fixed(spark, sf):
     """Mixture parameters after one step from given ones, and the mean log-likelihood."""
-    model = gmm.stepped(_pairs_of_features(spark, sf).select("features"), FIXED_MIXTURE)
+    model = gmm.stepped(gmm.row_blocks(_pairs_of_features(spark, sf)), FIXED_MIXTURE)
     table, shape = _parameters(spark, model, ("weight", model.weights))
     return rounded(spark.createDataFrame([*table, ("log_likelihood", 0, 0, model.mean_log_likelihood)], shape), 5)
 

@@ -6,10 +6,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from windrow.functions.arrays import one_hot
-from windrow.models.hmm import initial_model
+from windrow.models.hmm import initial_model, log_density
 from windrow.operators.ordered import Axis
 from windrow.operators.sequences import with_smoothed
 from windrow.session import cut_lineage, spread
@@ -34,16 +35,28 @@ class DiagonalMixture:
         return {"weights": self.weights.tolist(), "means": self.means.tolist(), "variances": self.variances.tolist(), "mean_log_likelihood": self.mean_log_likelihood, "iterations": self.iterations}
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
-        gap = x[:, None, :] - self.means[None, :, :]
-        density = -0.5 * (np.log(2 * np.pi * self.variances).sum(axis=1)[None, :] + (gap * gap / self.variances[None, :, :]).sum(axis=2))
-        return density + np.log(self.weights + 1e-300)[None, :]
+        return log_density(x, self.means, self.variances) + np.log(self.weights + 1e-300)
 
 
 def _responsibility(model: DiagonalMixture, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    joint = model.log_joint(x)
-    top = joint.max(axis=1, keepdims=True)
-    total = top[:, 0] + np.log(np.exp(joint - top).sum(axis=1))
-    return np.exp(joint - total[:, None]), total
+    joint = model.log_joint(x).T  # arrays that are long in the rows
+    top = joint.max(axis=0)
+    total = top + np.log(np.exp(joint - top).sum(axis=0))
+    return np.exp(joint - total).T, total
+
+
+def row_blocks(df: DataFrame, features: str = "features") -> DataFrame:
+    """The vectors of an Arrow batch as one row of bytes, feature after feature (``x``), with their number (``n``).
+
+    A fit reads its rows once per iteration; as bytes they reach numpy without a Python step per row.
+    """
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                columns = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(batch.num_rows, -1).T
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([columns.tobytes()], pa.binary())], ["n", "x"])
+
+    return df.select(F.col(features)).mapInArrow(run, "n bigint, x binary")
 
 
 def _sums(model: DiagonalMixture, hard: bool):
@@ -51,31 +64,30 @@ def _sums(model: DiagonalMixture, hard: bool):
     def run(batches):
         k, d = model.means.shape
         weight, m1, m2, loglik, rows = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), 0.0, 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack([np.asarray(v, dtype=float) for v in pdf["features"]])
-            if hard:
-                nearest = ((x[:, None, :] - model.means[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-                r, total = np.eye(k)[nearest], np.zeros(len(x))
-            else:
-                r, total = _responsibility(model, x)
-            weight += r.sum(axis=0)
-            m1 += r.T @ x
-            m2 += r.T @ (x * x)
-            loglik += total.sum()
-            rows += len(x)
+        for batch in batches:
+            for block in batch.column("x"):
+                x = np.frombuffer(block.as_buffer()).reshape(d, -1).T
+                if hard:
+                    nearest = ((x[:, None, :] - model.means[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+                    r, total = np.eye(k)[nearest], np.zeros(len(x))
+                else:
+                    r, total = _responsibility(model, x)
+                weight += r.sum(axis=0)
+                m1 += r.T @ x
+                m2 += r.T @ (x * x)
+                loglik += total.sum()
+                rows += len(x)
         if rows:
             flat = np.concatenate([weight, m1.ravel(), m2.ravel(), [loglik, rows]])
-            yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "v"])
 
     return run
 
 
-def stepped(data: DataFrame, model: DiagonalMixture, hard: bool = False) -> DiagonalMixture:
-    """The mixture after one step over ``features``, with the mean log-likelihood before it. ``hard`` assigns rows to the nearest mean."""
+def stepped(blocks: DataFrame, model: DiagonalMixture, hard: bool = False) -> DiagonalMixture:
+    """The mixture after one step over ``row_blocks``, with the mean log-likelihood before it. ``hard`` assigns rows to the nearest mean."""
     k, d = model.means.shape
-    sums = data.mapInPandas(_sums(model, hard), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    sums = blocks.mapInArrow(_sums(model, hard), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(len(sums))
     for row in sums:
         flat[row["i"]] = row["v"]
@@ -90,10 +102,11 @@ def stepped(data: DataFrame, model: DiagonalMixture, hard: bool = False) -> Diag
 def fit_gmm(df: DataFrame, k: int, settings: ModelSettings = ModelSettings(), features: str = "features", max_iterations: int = MAX_ITERATIONS) -> DiagonalMixture:
     data = cut_lineage(spread(df.select(F.col(features).alias("features"))))
     start = initial_model(data, k, "features", settings.seed)
-    model = stepped(data, DiagonalMixture(np.full(k, 1.0 / k), start.means, start.variances, float("-inf"), 0), hard=True)
+    blocks = cut_lineage(spread(row_blocks(data), rows=data.count()))
+    model = stepped(blocks, DiagonalMixture(np.full(k, 1.0 / k), start.means, start.variances, float("-inf"), 0), hard=True)
     previous = float("-inf")
     for step in range(1, max_iterations + 1):
-        model = stepped(data, model)
+        model = stepped(blocks, model)
         model = replace(model, history=(*model.history, model.mean_log_likelihood))
         if step > 1 and abs(model.mean_log_likelihood - previous) < TOLERANCE:
             break
@@ -107,7 +120,7 @@ def assign(df: DataFrame, model: DiagonalMixture, row_id: str, features: str = "
         for pdf in batches:
             if not len(pdf):
                 continue
-            r, _ = _responsibility(model, np.stack([np.asarray(v, dtype=float) for v in pdf["features"]]))
+            r = np.ascontiguousarray(_responsibility(model, np.stack([np.asarray(v, dtype=float) for v in pdf["features"]]))[0])
             yield pd.DataFrame({row_id: pdf[row_id], "state_id": r.argmax(axis=1), "posterior": list(r)})
 
     rows = df.select(row_id, F.col(features).alias("features")).mapInPandas(run, f"{row_id} {kind}, state_id int, posterior array<double>")
