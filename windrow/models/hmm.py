@@ -215,6 +215,16 @@ def _block_steps(model: GaussianHmm):
     return steps
 
 
+def _gathered(lists: pa.ListArray, d: int):
+    """Slabs of the sequences of an Arrow column: sizes, longest first, the places of their rows in the column, and the rows by step."""
+    sizes = np.diff(lists.offsets.to_numpy()) // d
+    x, begins = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d), np.cumsum(sizes) - sizes
+    for part in slabs(sizes):
+        own = sizes[part]
+        rows = np.repeat(begins[part] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        yield own, rows, x[rows[by_step(own)]]
+
+
 def whole_blocks(packed: DataFrame, d: int) -> DataFrame:
     """Sequences of one chunk, many to a row: their ``sizes`` and, feature after feature, their rows by step, as bytes.
 
@@ -222,14 +232,8 @@ def whole_blocks(packed: DataFrame, d: int) -> DataFrame:
     """
     def run(batches):
         for batch in batches:
-            lists = batch.column(0)
-            sizes = np.diff(lists.offsets.to_numpy()) // d
-            x, begins = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d), np.cumsum(sizes) - sizes
-            for part in slabs(sizes):
-                own = sizes[part]
-                rows = np.repeat(begins[part] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-                columns = np.ascontiguousarray(x[rows[by_step(own)]].T)
-                yield pa.RecordBatch.from_arrays([pa.array([own.astype(np.int32).tobytes()], pa.binary()), pa.array([columns.tobytes()], pa.binary())], ["sizes", "x"])
+            for own, _, x in _gathered(batch.column(0), d):
+                yield pa.RecordBatch.from_arrays([pa.array([own.astype(np.int32).tobytes()], pa.binary()), pa.array([x.T.tobytes()], pa.binary())], ["sizes", "x"])
 
     return packed.filter("_chunks = 1").select("x").mapInArrow(run, "sizes binary, x binary")
 
@@ -245,6 +249,24 @@ def _decoded(model: GaussianHmm):
     return run
 
 
+def _decoded_alone(model: GaussianHmm):
+    """States of sequences of one chunk, from the buffers of a batch without a Python step per sequence."""
+    k, d = model.means.shape
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("ids").flatten()
+            for own, rows, x in _gathered(batch.column("x"), d):
+                step = Lockstep(model, x, np.ones(len(own), bool), own)
+                gamma = step.smoothed(np.tile(model.start, (len(own), 1)), np.ones((len(own), k)))[0]
+                unknown = np.full(len(own), -1)
+                path = step.paths(unknown, unknown)
+                posterior = pa.ListArray.from_arrays(np.arange(0, gamma.size + 1, k, dtype=np.int32), pa.array(gamma.ravel()))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(path.astype(np.int32)), posterior], ["_id", "state_id", "posterior"])
+
+    return run
+
+
 def _with_scanned(long: DataFrame, model: GaussianHmm, decode: bool) -> DataFrame:
     """Chunks of sequences of several chunks with the messages at their ends."""
     small = long.select("_seq", "_chunk", "x").mapInPandas(
@@ -258,15 +280,6 @@ def _with_scanned(long: DataFrame, model: GaussianHmm, decode: bool) -> DataFram
     return long.join(sequences.mapInPandas(_scan_sequences(model, decode), _SCAN), ["_seq", "_chunk"])
 
 
-def _with_messages(packed: DataFrame, model: GaussianHmm, decode: bool, any_long: bool) -> DataFrame:
-    """Chunks with the messages at their ends. Only sequences of several chunks take part in the scan."""
-    nothing = F.lit(None).cast("array<double>")
-    alone = packed.filter("_chunks = 1").withColumns(
-        {"entry": nothing, "exit": nothing, "first_state": F.lit(-1), "last_state": F.lit(-1)}
-    )
-    return alone.unionByName(_with_scanned(packed.filter("_chunks > 1"), model, decode)) if any_long else alone
-
-
 def _any_long(packed: DataFrame) -> bool:
     return packed.filter("_chunks > 1").limit(1).count() > 0
 
@@ -346,6 +359,9 @@ def fit_hmm(
 
 def decode(packed: DataFrame, model: GaussianHmm, row_id: str, kind: str = "string") -> DataFrame:
     """Most likely state path and posteriors: ``row_id, state_id, posterior, state_probability_max``."""
-    joined = _with_messages(packed, model, True, _any_long(packed))
-    rows = joined.mapInPandas(_decoded(model), f"_id {kind}, state_id int, posterior array<double>")
+    shape = f"_id {kind}, state_id int, posterior array<double>"
+    rows = packed.filter("_chunks = 1").select("ids", "x").mapInArrow(_decoded_alone(model), shape)
+    long = _long(packed)
+    if long is not None:
+        rows = rows.unionByName(_with_scanned(long, model, True).mapInPandas(_decoded(model), shape))
     return rows.withColumnRenamed("_id", row_id).withColumn("state_probability_max", F.array_max("posterior"))
