@@ -176,6 +176,18 @@ def test_a_mixture_step_reads_few_rows_for_many_vectors(spark):
     assert got.means == pytest.approx(means) and got.variances == pytest.approx((r.T @ (x * x)) / r.sum(axis=0)[:, None] - means**2 + gmm.REGULARISER)
 
 
+def test_the_mixture_brings_states_to_rows_without_a_join(spark):
+    draw = np.random.default_rng(5)
+    model = gmm.DiagonalMixture(draw.dirichlet(np.ones(3)), draw.normal(size=(3, 2)), draw.uniform(0.3, 2, size=(3, 2)), float("-inf"), 0)
+    x = draw.normal(size=(60, 2)) * 3
+    ready = spark.createDataFrame([(f"w{i:02d}", i, [float(v) for v in row]) for i, row in enumerate(x)], "window_id string, at int, features array<double>")
+    rows = states.with_states(ready, states.Assigned(GMM, model, gmm.assign(ready, model, "window_id"), 0.0))
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got, want = rows.orderBy("at").toPandas(), gmm._responsibility(model, x)[0]
+    assert np.stack(got["posterior"]) == pytest.approx(want) and list(got["state_id"]) == list(want.argmax(axis=1))
+    assert list(got.columns) == ["window_id", "at", "state_id", "posterior", "state_probability_max"] and got["state_probability_max"].to_numpy() == pytest.approx(want.max(axis=1))
+
+
 @pytest.mark.parametrize("kind", [HMM, GMM])
 def test_states_end_to_end(observed, kind):
     result = fit_states(observed, ModelSettings(max_iterations=4), kind=kind)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -114,17 +114,23 @@ def fit_gmm(df: DataFrame, k: int, settings: ModelSettings = ModelSettings(), fe
     return model
 
 
-def assign(df: DataFrame, model: DiagonalMixture, row_id: str, features: str = "features", kind: str = "string") -> DataFrame:
-    """Component posteriors and the most likely component per row."""
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            r = np.ascontiguousarray(_responsibility(model, np.stack([np.asarray(v, dtype=float) for v in pdf["features"]]))[0])
-            yield pd.DataFrame({row_id: pdf[row_id], "state_id": r.argmax(axis=1), "posterior": list(r)})
-
-    rows = df.select(row_id, F.col(features).alias("features")).mapInPandas(run, f"{row_id} {kind}, state_id int, posterior array<double>")
-    return rows.withColumn("state_probability_max", F.array_max("posterior"))
+def with_assigned(df: DataFrame, model: DiagonalMixture, features: str = "features") -> DataFrame:
+    """Component posteriors and the most likely component of each row, as columns: no join brings them back to the rows."""
+    joint = []
+    for weight, means, variances in zip(model.weights, model.means, model.variances):
+        gaps = [F.col(features)[i] - F.lit(float(m)) for i, m in enumerate(means)]
+        distance = reduce(lambda a, b: a + b, [g * g / F.lit(float(v)) for g, v in zip(gaps, variances)])
+        joint.append((distance + F.lit(float(np.log(2 * np.pi * variances).sum()))) * -0.5 + F.lit(float(np.log(weight + 1e-300))))
+    rows = df.withColumn("_joint", F.array(*joint)).withColumn("_top", F.array_max("_joint"))
+    total = F.col("_top") + F.ln(F.aggregate("_joint", F.lit(0.0), lambda a, j: a + F.exp(j - F.col("_top"))))
+    rows = rows.withColumn("_total", total).withColumn("posterior", F.transform("_joint", lambda j: F.exp(j - F.col("_total"))))
+    most = F.array_max("posterior")
+    return rows.withColumns({"state_id": (F.array_position("posterior", most) - 1).cast("int"), "state_probability_max": most}).drop("_joint", "_top", "_total")
+
+
+def assign(df: DataFrame, model: DiagonalMixture, row_id: str, features: str = "features") -> DataFrame:
+    """``row_id`` with the component posteriors and the most likely component."""
+    return with_assigned(df, model, features).select(row_id, "state_id", "posterior", "state_probability_max")
 
 
 def smoothed_one_hot(df: DataFrame, axis: Axis, k: int) -> DataFrame:

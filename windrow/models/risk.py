@@ -8,6 +8,7 @@ from windrow.functions import arrays
 from windrow.functions.numbers import clip
 from windrow.operators.ordered import Axis, attach_row
 from windrow.operators.sequences import risk_level, with_run_length, with_sustained_flag
+from windrow.session import cut_lineage
 from windrow.settings import ModelSettings, RiskWeights
 
 
@@ -174,8 +175,9 @@ def weight_vector(summary: DataFrame, n_states: int) -> DataFrame:
 def score_sequence(sequence: DataFrame, axis: Axis, n_states: int, settings: ModelSettings = ModelSettings()) -> tuple[DataFrame, DataFrame]:
     """State rows with posteriors → (scored rows, labelled state summary) by the twin rules."""
     means = ["mobility_index", "spatial_freedom_index", "occupancy_imbalance_index", "activity_mean", "normalized_activity", "resilience_pressure_index", "state_probability_max"]
-    runs = with_run_length(sequence, axis)
-    summary = with_labels(with_twin_risk(state_summary(runs, means), settings.risk), twin_label())
+    # both are read several times below: runs by the summary and twice by the sustained flag, the summary by labels and weights
+    runs = cut_lineage(with_run_length(sequence, axis))
+    summary = cut_lineage(with_labels(with_twin_risk(state_summary(runs, means), settings.risk), twin_label()))
     labelled = runs.join(summary.select("state_id", "state_label"), "state_id", "left")
     scored = attach_row(labelled, weight_vector(summary, n_states)).withColumns(
         {"state_label": F.coalesce("state_label", F.lit("unlabeled_state")), "welfare_risk_score": row_risk(F.col("posterior"), F.col("_weights"))}

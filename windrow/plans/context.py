@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from windrow.functions.times import with_time_columns
 from windrow.models import metrics as mm, risk as rk
 from windrow.models.preprocess import MULTIMODAL_FEATURES, VIDEO_FEATURES, fit_scaling, state_count, with_features
-from windrow.models.states import HMM, assigned, sequence_axis
+from windrow.models.states import HMM, assigned, sequence_axis, with_states
 from windrow.operators import events as ev, stats
 from windrow.operators.climate import attach_climate
 from windrow.operators.merge import join_with_fallback
@@ -71,8 +71,8 @@ def compare_models(df: DataFrame, models: dict[str, tuple[str, ...]], settings:
         features = [c for c in wanted if c in df.columns]
         ready = with_features(df, fit_scaling(df, features, indicators=False))
         done = assigned(ready, axis, k, settings, kind)
-        states, loglik, used = done.states, done.log_likelihood / max(size, 1), done.kind
-        placed = cut_lineage(df.join(states, "window_id"))
+        loglik, used = done.log_likelihood / max(size, 1), done.kind
+        placed = cut_lineage(with_states(ready, done))
         means = [*dict.fromkeys((*SEMANTIC_MULTIMODAL, *MULTIMODAL_FEATURES)), "state_probability_max"]
         summary = rk.state_summary(placed, means)
         if rules == "semantic":
