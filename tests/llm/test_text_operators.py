@@ -286,6 +286,50 @@ def test_filter_has_no_false_negatives_and_few_false_positives():
     assert model.has(hashed.mix(np.arange(10**7, 10**7 + 100_000, dtype=np.uint64)), 1).mean() < 0.02
 
 
+def test_counts_travel_in_blocks_and_are_merged():
+    """A block sends a row for each range of hashes, not for each word and bigram; ranges that several batches hold are summed whole."""
+    pick = np.random.default_rng(3)
+    lines = [" ".join(f"w{x}" for x in pick.integers(0, 3000, 400)) for _ in range(200)] + [""]
+    blocks = [list(lm_score._counted(iter([pa.RecordBatch.from_arrays([pa.array(part)], ["text"])]))) for part in (lines[:90], lines[90:])]
+    assert all(sum(len(b) for b in block) <= 2 * lm_score.RANGES for block in blocks)
+    rows = pa.Table.from_batches([b for block in blocks for b in block]).sort_by("range").to_batches(max_chunksize=700)
+    for least in (1, 3):
+        found = list(lm_score._merged(least)(iter(rows)))
+        want = [Counter(), Counter()]
+        for _, _, words_ in hashed.slices(pa.array(lines), lower=True):
+            token, context, _ = lm_score.tokens(words_, len(words_.first) - 1)
+            want[0].update(token.tolist())
+            want[1].update(lm_score.bigrams(context, token).tolist())
+        want[1] = {k: int(lm_score.step_of(np.array([n]), least)[0]) for k, n in want[1].items() if n >= least}
+        for kind, type_ in ((0, np.int64), (1, np.int8)):
+            own = [b for b in found if b.column("kind")[0].as_py() == kind]
+            keys, n = (np.concatenate([np.frombuffer(b.column(c)[0].as_py(), t) for b in own]) for c, t in (("h", np.uint64), ("n", type_)))
+            assert len(keys) == len(want[kind]) and dict(zip(keys.tolist(), n.tolist())) == want[kind]
+            assert sum(b.column("size")[0].as_py() for b in own) == len(keys)
+        assert sum(b.column("total")[0].as_py() for b in found) == sum(want[0].values())
+        assert sum(b.column("items")[0].as_py() for b in found) == sum(want[1].values())
+        assert sum(b.column("ends")[0].as_py() for b in found) == len(lines)
+
+
+def test_filter_is_asked_once_for_a_distinct_bigram(monkeypatch):
+    import pandas as pd
+
+    grams = hashed.mix(np.arange(2000, dtype=np.uint64))
+    step = 1 + np.arange(2000) % 20
+    bits = np.frombuffer(lm_score._segment(pd.DataFrame({"h": grams.view(np.int64), "step": step, "segment": 0}))["bits"][0], np.uint8).reshape(1, -1)
+    model = lm_score.Model(bits, grams[:0], step[:0], step[:0], 0, 0, 1, 0.75)
+    text = np.concatenate([np.tile(grams, 30), hashed.mix(np.arange(10**6, 10**6 + 500, dtype=np.uint64))])
+    want, asked, real = model.quantised(text), [], lm_score.Model.found
+    monkeypatch.setattr(lm_score.Model, "found", lambda self, g, base, step: asked.append(len(g)) or real(self, g, base, step))
+    reader = lm_score.Reader(model)
+    assert (reader.counts(text) == want).all() and asked[0] <= 2500
+    # frequent ones are not asked again
+    asked.clear()
+    assert (reader.counts(text[::-1]) == want[::-1]).all() and asked[0] <= 1300 and len(asked) <= lm_score.OFTEN + 2
+    monkeypatch.setattr(lm_score, "MEMORY", 100)
+    assert all((lm_score.Reader(model).counts(text) == want).all() for _ in range(2))
+
+
 def test_toxicity_search_is_exact_and_learns(spark):
     import random
 

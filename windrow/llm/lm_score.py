@@ -10,9 +10,11 @@ smoothed single words, as is the discount::
 ``D(v)`` is the sum of ``n(v w) - d`` over the stored bigrams of ``v``; a context that training never met
 leaves ``P(w)``. A text starts in a context of its own and ends with an end token.
 
-How it runs: one scan counts words and bigrams by 64-bit hashes, first inside each slice, then over a shuffle; the
-filter is made of segments (by hash, each of ``SEGMENT_BITS`` bits), built where Spark puts their bigrams; a second scan sums
+How it runs: one scan counts words and bigrams by 64-bit hashes, first inside blocks of texts, then over a shuffle that
+carries the sorted hashes of a block as bytes, one row for each of ``RANGES`` ranges of hashes; the filter is made of segments (by
+ranges of hashes too, each of ``SEGMENT_BITS`` bits), built where Spark puts their bigrams; a second scan sums
 ``D(v)``. Segments and word counts grow with the corpus, so they are broadcast only while they fit in ``max_broadcast`` bytes.
+A scan asks the filter once for each distinct bigram of a slice, and remembers the counts of frequent ones, which take the most steps.
 Beyond that the same filter is asked segment by segment: distinct bigrams go to the segment of their hash in a shuffle, and the counts
 read there are joined to the words' places. Both ways ask the same bits, so they have the same false positives.
 """
@@ -36,6 +38,11 @@ SEGMENT_BITS = 1 << 23
 PROBES = 7
 BITS_PER_ITEM = 10
 STEP = 1.5  # ratio of neighbouring counts on the logarithmic scale
+RANGES = 4096  # of hashes, by their upper bits
+BLOCK = 1 << 22  # tokens that are counted before they are sent
+MERGED = 250_000  # hashes of a row of counts, about
+PLACES = 1 << 18  # words whose stored mass is summed together
+OFTEN, MEMORY = 8, 1 << 20  # a count of at least this step is remembered, and so many of them
 
 
 def tokens(words: Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +75,7 @@ def count_of(step: np.ndarray, least: int) -> np.ndarray:
 
 def first_place(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the probes of an item start and how far apart they are; the upper bits are the place in a segment."""
-    return mix(items ^ _U(0x2545F4914F6CDD1D)), items | _U(1)
+    return items, (items << _U(32)) | (items >> _U(32)) | _U(1)
 
 
 def places(items: np.ndarray) -> Iterator[np.ndarray]:
@@ -79,6 +86,11 @@ def places(items: np.ndarray) -> Iterator[np.ndarray]:
         at = at + stride
 
 
+def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
+    """Segments are ranges of hashes, so sorted bigrams ask one segment after the other."""
+    return ((grams >> _U(32)) * _U(segments) >> _U(32)).astype(np.int64)
+
+
 @dataclass
 class Model:
     """What scoring needs: the filter, single words with their counts and stored mass, and totals."""
@@ -94,75 +106,210 @@ class Model:
 
     def has(self, grams: np.ndarray, step: int) -> np.ndarray:
         """Whether (bigram, step) is in the filter."""
-        out = np.zeros(len(grams), bool)
+        return self.found(grams, segment_of(grams, len(self.bits)) * (SEGMENT_BITS // 8), step)
+
+    def found(self, grams: np.ndarray, base: np.ndarray, step: int) -> np.ndarray:
+        """The same, with the first byte of each bigram's segment."""
         if not len(self.bits):
-            return out
-        flat, alive = self.bits.reshape(-1), np.arange(len(grams))
-        base = (grams.view(np.int64) % len(self.bits)) * (SEGMENT_BITS // 8)
+            return np.zeros(len(grams), bool)
+        flat = self.bits.reshape(-1)
         at, stride = first_place(item(grams, step))
-        for k in range(PROBES):
-            place = (at >> _U(64 - 23)).astype(np.int64)
-            hit = (flat[base + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 != 0
-            # the next probe concerns those that are still in
-            alive, base, stride = alive[hit], base[hit], stride[hit]
-            at = at[hit] + stride
-            if not len(alive):
-                break
-        out[alive] = True
+
+        def bit() -> np.ndarray:
+            place = at >> _U(64 - 23)
+            return flat[base + (place >> _U(3)).view(np.int64)] >> (place & _U(7)).astype(np.uint8)
+
+        hit = bit()
+        for _ in range(2):
+            at = at + stride
+            hit &= bit()
+        # most of what is not stored has met a missing bit by now
+        alive = np.flatnonzero(hit & 1)
+        at, stride, base = at[alive], stride[alive], base[alive]
+        hit = np.ones(len(alive), np.uint8)
+        for _ in range(PROBES - 3):
+            at = at + stride
+            hit &= bit()
+        out = np.zeros(len(grams), bool)
+        out[alive[hit != 0]] = True
         return out
 
     def quantised(self, grams: np.ndarray) -> np.ndarray:
         """Counts read from the filter, 0 for bigrams that are not stored."""
-        step, left = np.zeros(len(grams), np.int64), np.arange(len(grams))
+        return count_of(self.steps(grams), self.least)
+
+    def steps(self, grams: np.ndarray) -> np.ndarray:
+        """The last step that the filter has of each bigram."""
+        out, left = np.zeros(len(grams), np.int64), np.arange(len(grams))
+        base, step = segment_of(grams, len(self.bits)) * (SEGMENT_BITS // 8), 0
         while len(left):
-            left = left[self.has(grams[left], int(step[left[0]]) + 1)]
-            step[left] += 1
-        return count_of(step, self.least)
+            step += 1
+            hit = self.found(grams, base, step)
+            left, grams, base = left[hit], grams[hit], base[hit]
+            out[left] = step
+        return out
 
     def places_of(self, hashes: np.ndarray) -> np.ndarray:
-        """Places in ``words``, -1 for unknown ones."""
+        """Places in ``words`` of sorted hashes, -1 for unknown ones."""
         if not len(self.words):
             return np.full(len(hashes), -1)
         # in sorted order, neighbouring searches touch the same memory
-        distinct, back = np.unique(hashes, return_inverse=True)
-        spot = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
-        return np.where(self.words[spot] == distinct, spot, -1)[back]
+        spot = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[spot] == hashes, spot, -1)
 
     def looked_up(self, values: np.ndarray, spot: np.ndarray) -> np.ndarray:
         return np.where(spot >= 0, values[spot].astype(float), 0.0) if len(values) else np.zeros(len(spot))
 
 
+class Reader:
+    """Counts of bigrams for one task: each distinct one of a slice is asked once, frequent ones are remembered."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.grams, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        distinct, back = np.unique(grams, return_inverse=True)
+        step = np.zeros(len(distinct), np.int64)
+        asked = np.ones(len(distinct), bool)
+        if len(self.grams):
+            spot = np.minimum(np.searchsorted(self.grams, distinct), len(self.grams) - 1)
+            asked = self.grams[spot] != distinct
+            step = np.where(asked, 0, self.known[spot])
+        left = np.flatnonzero(asked)
+        step[left] = self.model.steps(distinct[left])
+        often = left[step[left] >= OFTEN]
+        self.new.append((distinct[often], step[often]))
+        if sum(len(x) for x, _ in self.new) > len(self.grams) // 4:
+            self.remember()
+        return count_of(np.arange(step.max(initial=0) + 1), self.model.least)[step][back]
+
+    def remember(self) -> None:
+        """Sort new ones in; what is too much is dropped and asked again when it comes."""
+        grams, known = (np.concatenate(x) for x in zip((self.grams, self.known), *self.new))
+        self.grams, first = np.unique(grams, return_index=True)
+        self.known, self.new = known[first], []
+        if len(self.grams) > MEMORY:
+            self.grams, self.known = self.grams[:0], self.known[:0]
+
+
+def told_apart(token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, sorted, and for each token the place of its word and of its context there."""
+    distinct, back = np.unique(np.append(token, BEGIN), return_inverse=True)
+    before = np.concatenate([back[-1:], back[:-2]])
+    before[context == BEGIN] = back[-1]
+    return distinct, back[:-1], before
+
+
 def item(grams: np.ndarray, step: int) -> np.ndarray:
     return mix(grams + _U(step * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (kind 0) and bigrams (kind 1) of training rows with their counts in a slice."""
+    """Words (the first ``RANGES`` ranges) and bigrams (the next) of training rows with their counts in a block of texts."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
         for a, b, words in slices(batch.column(0), lower=True):
             token, context, _ = tokens(words, b - a)
-            for kind, values in ((0, token), (1, bigrams(context, token))):
-                found, n = np.unique(values, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "h", "n"])
+            held.append((token, bigrams(context, token)))
+            size += len(token)
+            if size >= BLOCK:
+                yield from _sent(held)
+                held, size = [], 0
+    if held:
+        yield from _sent(held)
+
+
+def _sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct hashes of a block (8 bytes each) and their numbers (4 bytes each), a row for each range of hashes."""
+    for kind in (0, 1):
+        found, n = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
+        n = n.astype(np.uint32)
+        edges = np.searchsorted(found, np.arange(RANGES, dtype=np.uint64) * _U((1 << 64) // RANGES))
+        edges = np.append(edges, len(found))
+        for some in np.array_split(np.flatnonzero(np.diff(edges)), max(1, len(found) // MERGED)):
+            if len(some):
+                cuts = np.append(edges[some], edges[some[-1] + 1])
+                yield pa.RecordBatch.from_arrays([pa.array((kind * RANGES + some).astype(np.int32)), _bytes(found, cuts), _bytes(n, cuts)], ["range", "h", "n"])
+
+
+def _bytes(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The values between neighbouring cuts as bytes."""
+    part = np.ascontiguousarray(values[cuts[0] : cuts[-1]])
+    offsets = ((cuts - cuts[0]) * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(part)])
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of bytes, and where each row's begin and end."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), kind), (offsets - offsets[0]) // size
+
+
+COUNTS = "kind tinyint, h binary, n binary, size bigint, total bigint, items bigint, ends bigint"
+
+
+def _merged(least: int):
+    """Rows of ``_counted`` in order of their ranges to counts: of words with their numbers, of bigrams with their steps."""
+
+    def summed(kind: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        if not len(keys):
+            return
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, n = keys[first], np.add.reduceat(n[order].astype(np.int64), first)
+        if kind:
+            keys, n = keys[n >= least], n[n >= least]
+            step = step_of(n, least).astype(np.int8)
+        total, items, ends = (0, int(step.sum(dtype=np.int64)), 0) if kind else (int(n.sum()), 0, int(n[keys == END].sum()))
+        values = [[kind], [keys.tobytes()], [(step if kind else n).tobytes()], [len(keys)], [total], [items], [ends]]
+        types = [pa.int8(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], ["kind", "h", "n", "size", "total", "items", "ends"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, last, held, size = 0, -1, [], 0
+        for batch in batches:
+            ranges = batch.column(0).to_numpy()
+            (keys, cuts), (n, _) = _values(batch.column(1), np.uint64), _values(batch.column(2), np.uint32)
+            starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(ranges) else []
+            for i, j in zip(starts, [*starts[1:], len(ranges)]):
+                # a range is summed when all its rows are there, small ones together
+                if ranges[i] != last and held and (size >= MERGED or ranges[i] // RANGES != kind):
+                    yield from summed(kind, held)
+                    held, size = [], 0
+                last, kind = ranges[i], ranges[i] // RANGES
+                held.append((keys[cuts[i] : cuts[j]], n[cuts[i] : cuts[j]]))
+                size += int(cuts[j] - cuts[i])
+        if held:
+            yield from summed(kind, held)
+
+    return run
 
 
 def _segment(rows: pd.DataFrame) -> pd.DataFrame:
     """The bits of one segment."""
-    bits = np.zeros(SEGMENT_BITS // 8, np.uint8)
+    bits = np.zeros(SEGMENT_BITS, bool)
     grams, steps = rows["h"].to_numpy(np.int64).view(np.uint64), rows["step"].to_numpy()
     for step in range(1, int(steps.max()) + 1):
-        for place in places(item(grams[steps >= step], step)):
-            at = place.astype(np.int64)
-            np.bitwise_or.at(bits, at >> 3, (np.uint8(1) << (at & 7).astype(np.uint8)))
-    return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "bits": [bits.tobytes()]})
+        grams, steps = grams[steps >= step], steps[steps >= step]
+        for place in places(item(grams, step)):
+            bits[place.view(np.int64)] = True
+    return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
 @dataclass
 class Statistics:
-    """Counts of the training rows as tables: ``words`` (h, n) and ``grams`` (h, n, step)."""
+    """Counts of the training rows as a table of bytes: hashes, with numbers of words and steps of bigrams."""
 
-    words: DataFrame
-    grams: DataFrame
+    counts: DataFrame
     total: int
     distinct: int
     items: int
@@ -178,6 +325,16 @@ class Statistics:
     def bytes(self) -> int:
         return 20 * self.distinct + self.items * BITS_PER_ITEM // 8
 
+    @property
+    def words(self) -> DataFrame:
+        """``h`` and ``n`` of each word."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(_values(column, np.int64)[0]) for column in batch.columns], ["h", "n"])
+
+        return self.counts.filter("kind = 0").select("h", "n").mapInArrow(run, "h bigint, n bigint")
+
 
 def texts_of(docs: DataFrame, text_col: str) -> Column:
     return F.coalesce(docs[text_col], F.lit("")).alias("text")
@@ -185,21 +342,33 @@ def texts_of(docs: DataFrame, text_col: str) -> Column:
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text", least: int = 2, discount: float = 0.75) -> Statistics:
     """Count words and bigrams of the rows for which ``learn`` holds."""
-    rows = docs.filter(learn).select(texts_of(docs, text_col)).mapInArrow(_counted, "kind tinyint, h bigint, n bigint")
-    counts = rows.groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    step = F.when(F.col("kind") == 1, 1 + F.floor(F.log(F.col("n") / least) / F.lit(float(np.log(STEP))) + 1e-9)).cast("int")
-    counts = saved(counts.filter((F.col("kind") == 0) | (F.col("n") >= least)).withColumn("step", step), "counts")
-    words, grams = counts.filter("kind = 0").select("h", "n"), counts.filter("kind = 1").select("h", "n", "step")
-    end = int(END.view(np.int64))
-    total, distinct, ends = words.agg(F.sum("n"), F.count("h"), F.sum(F.when(F.col("h") == end, F.col("n")))).first()
-    items = grams.agg(F.sum("step")).first()[0]
-    return Statistics(words, grams, total or 0, distinct, items or 0, ends or 0, least, discount)
+    rows = docs.filter(learn).select(texts_of(docs, text_col)).mapInArrow(_counted, "range int, h binary, n binary")
+    counts = saved(rows.repartition("range").sortWithinPartitions("range").mapInArrow(_merged(least), COUNTS), "counts")
+    words, grams = F.col("kind") == 0, F.col("kind") == 1
+    total, distinct, items, ends = counts.agg(F.sum("total"), F.sum(F.when(words, F.col("size"))), F.sum(F.when(grams, F.col("items"))), F.sum("ends")).first()
+    return Statistics(counts, total or 0, distinct or 0, items or 0, ends or 0, least, discount)
 
 
 def filter_segments(stats: Statistics) -> DataFrame:
     """The filter as rows ``segment`` and ``bits``; a segment without bigrams has none."""
-    rows = stats.grams.select("h", "step", F.pmod("h", F.lit(max(1, stats.segments))).alias("segment"))
-    return rows.groupBy("segment").applyInPandas(_segment, "segment bigint, bits binary")
+    segments = max(1, stats.segments)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                (keys, _), (steps, _) = _values(batch.column(0).slice(k, 1), np.uint64), _values(batch.column(1).slice(k, 1), np.int8)
+                if len(keys):
+                    segment = segment_of(keys, segments)
+                    first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+                    cuts = np.append(first, len(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(segment[first]), _bytes(keys, cuts), _bytes(steps, cuts)], ["segment", "h", "step"])
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, steps = np.frombuffer(b"".join(rows["h"]), np.int64), np.frombuffer(b"".join(rows["step"]), np.int8)
+        return _segment(pd.DataFrame({"h": keys, "step": steps, "segment": rows["segment"].iloc[0]}))
+
+    rows = stats.counts.filter("kind = 1").select("h", "n").mapInArrow(deal, "segment bigint, h binary, step binary")
+    return rows.groupBy("segment").applyInPandas(fill, "segment bigint, bits binary")
 
 
 def probed(grams: DataFrame, stats: Statistics, asked: int = 500_000) -> DataFrame:
@@ -211,7 +380,8 @@ def probed(grams: DataFrame, stats: Statistics, asked: int = 500_000) -> DataFra
         return grams.select("g", F.lit(0.0).alias("count")).limit(0)
     least = stats.least
     parts = max(1, -(-grams.count() // (stats.segments * asked)))
-    deal = grams.select("g", F.pmod("g", F.lit(stats.segments)).alias("segment"), F.pmod(F.xxhash64("g"), F.lit(parts)).alias("part"))
+    segment = F.shiftrightunsigned(F.shiftrightunsigned("g", 32) * F.lit(stats.segments).cast("bigint"), 32)
+    deal = grams.select("g", segment.alias("segment"), F.pmod(F.xxhash64("g"), F.lit(parts)).alias("part"))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
     bits = saved(filter_segments(stats), "segments").withColumn("part", F.explode(every))
 
@@ -232,10 +402,10 @@ def built(stats: Statistics, docs: DataFrame, learn: Column, text_col: str) -> M
     spark = docs.sparkSession
     bits = np.zeros((stats.segments, SEGMENT_BITS // 8), np.uint8)
     if stats.segments:
-        for r in filter_segments(stats).toLocalIterator():
+        for r in saved(filter_segments(stats), "segments").toLocalIterator():
             bits[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    found = stats.words.toArrow()
-    hashes, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    found = stats.counts.filter("kind = 0").select("h", "n").toArrow().to_batches()
+    hashes, counts = (np.concatenate([np.zeros(0, kind), *[_values(batch.column(k), kind)[0] for batch in found]]) for k, kind in ((0, np.uint64), (1, np.int64)))
     hashes, counts = np.append(hashes, BEGIN), np.append(counts, stats.rows)  # texts as often as they begin
     order = np.argsort(hashes)
     counts = counts.astype(np.min_scalar_type(int(counts.max())))
@@ -244,17 +414,30 @@ def built(stats: Statistics, docs: DataFrame, learn: Column, text_col: str) -> M
 
     def mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        reader, total = Reader(m), np.zeros(len(m.words))
         for batch in batches:
             for a, b, words in slices(batch.column(0), lower=True):
                 token, context, _ = tokens(words, b - a)
-                count = m.quantised(bigrams(context, token))
-                spot = m.places_of(context[count > 0])
-                at, place = np.unique(spot, return_inverse=True)
-                share = np.bincount(place, 1 - m.discount / count[count > 0], len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(share)], ["at", "mass"])
-
-    rows = docs.filter(learn).select(texts_of(docs, text_col)).mapInArrow(mass, "at bigint, mass double").groupBy("at").agg(F.sum("mass").alias("mass")).toArrow()
-    model.stored[rows.column("at").to_numpy()] = rows.column("mass").to_numpy()
+                distinct, _, before = told_apart(token, context)
+                count = reader.counts(bigrams(context, token))
+                share = np.bincount(before[count > 0], 1 - m.discount / count[count > 0], len(distinct))
+                spot = m.places_of(distinct)
+                total[spot[share != 0]] += share[share != 0]
+        for part in range(-(-len(total) // PLACES)):
+            at = np.flatnonzero(total[part * PLACES : (part + 1) * PLACES])
+            if len(at):
+                yield pa.RecordBatch.from_pylist([{"part": part, "at": at.astype(np.int32).tobytes(), "mass": total[part * PLACES + at].tobytes()}])
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(PLACES)
+        for at, mass in zip(rows["at"], rows["mass"]):
+            total[np.frombuffer(at, np.int32)] += np.frombuffer(mass)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "mass": [total.astype(np.float32).tobytes()]})
+
+    rows = docs.filter(learn).select(texts_of(docs, text_col)).mapInArrow(mass, "part bigint, at binary, mass binary")
+    for r in rows.groupBy("part").applyInPandas(summed, "part bigint, mass binary").collect():
+        of = model.stored[r["part"] * PLACES : (r["part"] + 1) * PLACES]
+        of[:] = np.frombuffer(r["mass"], np.float32)[: len(of)]
     shared.unpersist()
     return model
 
@@ -280,20 +463,19 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        reader = Reader(m)
         for batch in batches:
             for a, b, words in slices(batch.column(1), lower=True):
                 token, context, owner = tokens(words, b - a)
-                spot = m.places_of(token)
-                count = m.looked_up(m.counts, spot)
-                single = (count + 1) / (m.total + m.distinct + 1)
-                before = np.concatenate([[-1], spot[:-1]])
-                before[context == BEGIN] = m.places_of(np.array([BEGIN]))[0]
-                times, kept = m.looked_up(m.counts, before), m.looked_up(m.stored, before)
-                chance = mixture(single, times, kept, m.quantised(bigrams(context, token)), m.discount)
+                distinct, of, before = told_apart(token, context)
+                spot = m.places_of(distinct)
+                times, kept = m.looked_up(m.counts, spot), m.looked_up(m.stored, spot)
+                single = (times + 1) / (m.total + m.distinct + 1)
+                chance = mixture(single[of], times[before], kept[before], reader.counts(bigrams(context, token)), m.discount)
                 n = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, n), pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner[spot >= 0], minlength=n)), pa.array(np.bincount(owner, np.log10(single), n)),
+                        batch.column(0).slice(a, n), pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, spot[of] >= 0, n).astype(np.int64)), pa.array(np.bincount(owner, np.log10(single)[of], n)),
                         pa.array(np.bincount(owner, np.log10(chance), n)),
                     ],
                     ["doc_id", "n_tokens", "n_known", "base_score", "score"],
