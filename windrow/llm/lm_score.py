@@ -400,16 +400,20 @@ def probed(grams: DataFrame, stats: Statistics, asked: int = 500_000) -> DataFra
 def built(stats: Statistics, docs: DataFrame, learn: Column, text_col: str) -> Model:
     """The model for broadcasting: filter segments, sorted words and the stored mass of each context."""
     spark = docs.sparkSession
+    # words come a row of counts at a time into arrays of their final size, so that the driver holds them once
+    hashes, counts, at = np.empty(stats.distinct + 1, np.uint64), np.empty(stats.distinct + 1, np.min_scalar_type(stats.total)), 0
+    for r in stats.counts.filter("kind = 0").select("h", "n").toLocalIterator():
+        size = len(r["h"]) // 8
+        hashes[at : at + size], counts[at : at + size] = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int64)
+        at += size
+    hashes[at], counts[at] = BEGIN, stats.rows  # texts as often as they begin
+    counts = counts[np.argsort(hashes)]
+    hashes.sort()
     bits = np.zeros((stats.segments, SEGMENT_BITS // 8), np.uint8)
     if stats.segments:
         for r in saved(filter_segments(stats), "segments").toLocalIterator():
             bits[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    found = stats.counts.filter("kind = 0").select("h", "n").toArrow().to_batches()
-    hashes, counts = (np.concatenate([np.zeros(0, kind), *[_values(batch.column(k), kind)[0] for batch in found]]) for k, kind in ((0, np.uint64), (1, np.int64)))
-    hashes, counts = np.append(hashes, BEGIN), np.append(counts, stats.rows)  # texts as often as they begin
-    order = np.argsort(hashes)
-    counts = counts.astype(np.min_scalar_type(int(counts.max())))
-    model = Model(bits, hashes[order], counts[order], np.zeros(len(order), np.float32), stats.total, stats.distinct, stats.least, stats.discount)
+    model = Model(bits, hashes, counts, np.zeros(len(hashes), np.float32), stats.total, stats.distinct, stats.least, stats.discount)
     shared = spark.sparkContext.broadcast(model)
 
     def mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +442,7 @@ def built(stats: Statistics, docs: DataFrame, learn: Column, text_col: str) -> M
     for r in rows.groupBy("part").applyInPandas(summed, "part bigint, mass binary").collect():
         of = model.stored[r["part"] * PLACES : (r["part"] + 1) * PLACES]
         of[:] = np.frombuffer(r["mass"], np.float32)[: len(of)]
-    shared.unpersist()
+    shared.destroy()
     return model
 
 
