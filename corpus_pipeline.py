@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from windrow.llm import bpe, exact_dedup, mixing, near_dedup, queries, rows, toxicity
 from windrow.llm.store import saved
+from windrow.session import small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.7."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, queries.toxicity_index(spark, docs, sf_dir), threshold=0.7)
 
 
@@ -25,6 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart by id and text, so a row that is dropped does not stay because another one with its id, or without an id, is kept.
     """
+    small_batches(spark)
     digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
     groups = near_dedup.near_groups(docs, shingle=5, similarity=(80, 100), carry={"digest": digest})
     return rows.only(docs, groups.filter("kept"), digest=digest)
@@ -37,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of ids and of the decoded text."""
+    small_batches(spark)
     out = bpe.encode(docs, queries.word_vocabulary())
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", *queries.encoding_digests())
 

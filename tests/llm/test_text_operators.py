@@ -13,7 +13,7 @@ import pytest
 from awkward import split, table, texts, words
 from pyspark.sql import functions as F
 
-from windrow.llm import bpe, fingerprints, lm_score, queries, secret_scan, toxicity
+from windrow.llm import bpe, fingerprints, lm_score, near_dedup, queries, secret_scan, toxicity
 from windrow.llm import words as hashed
 
 VOCABULARY = queries.word_vocabulary()
@@ -399,3 +399,50 @@ def test_toxicity_on_supplied_rows(spark):
     ones = rows["toxic"] == 1
     area = (rank[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
     assert area > 0.85
+
+
+@pytest.mark.parametrize("sets", [toxicity.bags, lambda texts: (s for _, _, w in hashed.slices(texts, near_dedup.SLICE_BYTES, lower=True) for s in near_dedup.shingle_sets(w, 5))])
+def test_hashing_holds_little_beside_the_texts(sets):
+    import tracemalloc
+
+    some = pa.array([" ".join(words(k, 500, 4000)) for k in range(1500)])
+    hashed.powers(1 << 21)
+    tracemalloc.start()
+    assert sum(1 for _ in sets(some)) == len(some)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert some.nbytes > 4_000_000 and most < 15_000_000, (some.nbytes, most)
+
+
+def test_texts_pass_the_filter_once_and_in_slices(spark, monkeypatch):
+    data = [(k, None if k % 50 == 0 else " ".join(words(k, 500, 4000)), "s") for k in range(600)]
+    marks = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)], "doc_id long, toxic int")
+    docs = table(spark, data)
+    index = toxicity.fit(docs, marks, F.lit(True), k=7, block=8)
+    sent = []
+    frame = type(docs)
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: sent.append((self, f)) or plain(self, f, *a, **b))
+    kept = toxicity.without_toxic(docs, index, threshold=2.0)
+    rows, run = sent[-1]
+    assert len(rows.columns) == len(docs.columns)  # a second column of texts would double what a task holds
+    whole = rows.toArrow().combine_chunks().to_batches()[0]
+    out = list(run(iter([whole])))
+    assert sum(b.num_rows for b in out) == len(data) and max(pa.Table.from_batches([b]).nbytes for b in out) < 500_000 < whole.nbytes
+    by_id = {r.doc_id: r.score for r in toxicity.score(docs, index).collect()}
+    assert [by_id[i] for b in out for i in b.column(docs.columns.index("doc_id")).to_pylist()] == [s for b in out for s in b.column(len(docs.columns)).to_pylist()]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))  # null texts stay null
+
+
+def test_stages_bound_the_rows_of_a_batch_unless_the_session_does(spark, tmp_path):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    table(spark, [(k, "some words here", "s") for k in range(20)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for set_to, held in ((None, "1000"), ("77", "77")):
+        own = spark.newSession()
+        if set_to:
+            own.conf.set(key, set_to)
+        corpus_pipeline.drop_toxic(own, own.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        assert own.conf.get(key) == held

@@ -42,6 +42,7 @@ _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 ORDERS = 3
 SKETCH_BITS = 21
+SLICE_BYTES = 300_000  # of texts whose words are held at once; hashing takes some 30 times as much
 
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -111,7 +112,7 @@ def near_groups(
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sizes, halves = [], [], []
-            for _, _, words in slices(batch.column(1), lower=True):
+            for _, _, words in slices(batch.column(1), SLICE_BYTES, lower=True):
                 for s in shingle_sets(words, shingle):
                     names.append(identity(s) if len(s) else None)
                     sizes.append(len(s))
@@ -157,7 +158,7 @@ def near_groups(
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words in slices(batch.column(0), lower=True):
+            for _, _, words in slices(batch.column(0), SLICE_BYTES, lower=True):
                 found = {identity(s): s for s in shingle_sets(words, shingle) if len(s)}
                 names = np.array(list(found), np.int64)
                 take = chosen.value.passing(names.view(np.uint64)) if len(names) else np.zeros(0, bool)

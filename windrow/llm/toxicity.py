@@ -27,19 +27,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from windrow.llm.words import NO_LETTER, slices
 
 SLICE = 64  # documents of a product
+SLICE_BYTES = 300_000  # of texts whose words are held at once; hashing takes some 30 times as much
 TERMS = "doc_id string, toxic int, terms array<bigint>, counts array<int>"
 
 
+def sliced(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """:func:`bags` of consecutive texts of about ``SLICE_BYTES`` together, with their range."""
+    for a, b, words in slices(texts, SLICE_BYTES, lower=True, gaps=NO_LETTER):
+        yield a, b, [np.unique(words.hash[words.first[k] : words.first[k + 1]].view(np.int64), return_counts=True) for k in range(b - a)]
+
+
 def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct words of each text (sorted hashes, as signed) and how often each occurs."""
-    for a, b, words in slices(texts, lower=True, gaps=NO_LETTER):
-        for k in range(b - a):
-            yield np.unique(words.hash[words.first[k] : words.first[k + 1]].view(np.int64), return_counts=True)
+    for _, _, found in sliced(texts):
+        yield from found
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,30 +292,33 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     rows are scored each; an empty table gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    text = F.coalesce(docs[text_col], F.lit(""))
     kept = [docs[id_col].alias("doc_id")] if keep is None else [docs[c].alias(f"column_{k}") for k, c in enumerate(keep)]
-    rows = docs.select(text.alias("text"), *kept)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+    once = keep is not None and text_col in keep and docs.schema[text_col].dataType == T.StringType()  # a text that is kept is not sent a second time
+    rows = docs.select(*kept, *([] if once else [F.coalesce(docs[text_col], F.lit("")).alias("text")]))
+    width = len(kept)
+    at_text = keep.index(text_col) if once else width
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:width]]
     extra = ["score double"] if keep is not None else ["score double", "predicted int", "evidence array<struct<doc_id:string,cosine:float,toxic:int>>"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = pa.array(model.names, pa.string())
         for batch in batches:
-            scores, places, cosines = [], [], []
-            for place, cosine in model.nearest([model.vector(*bag) for bag in bags(batch.column(0))]):
-                scores.append(model.score(model.vote(place, cosine)))
+            for a, b, found in sliced(batch.column(at_text)):
+                scores, places, cosines = [], [], []
+                for place, cosine in model.nearest([model.vector(*bag) for bag in found]):
+                    scores.append(model.score(model.vote(place, cosine)))
+                    if keep is None:
+                        places.append(place[:evidence])
+                        cosines.append(cosine[:evidence])
+                columns = [pa.array(scores, pa.float64())]
                 if keep is None:
-                    places.append(place[:evidence])
-                    cosines.append(cosine[:evidence])
-            columns = [pa.array(scores, pa.float64())]
-            if keep is None:
-                cuts = np.concatenate([[0], np.cumsum([len(p) for p in places], dtype=np.int64)])
-                at, near = (np.concatenate([np.zeros(0), *parts]) for parts in (places, cosines))
-                at = at.astype(np.int64)
-                reasons = pa.StructArray.from_arrays([names.take(pa.array(at)), pa.array(near, pa.float32()), pa.array(model.toxic[at].astype(np.int32))], ["doc_id", "cosine", "toxic"])
-                columns += [pa.array(np.array(scores) >= threshold).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), reasons)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *[e.split(" ")[0] for e in extra]])
+                    cuts = np.concatenate([[0], np.cumsum([len(p) for p in places], dtype=np.int64)])
+                    at, near = (np.concatenate([np.zeros(0), *parts]) for parts in (places, cosines))
+                    at = at.astype(np.int64)
+                    reasons = pa.StructArray.from_arrays([names.take(pa.array(at)), pa.array(near, pa.float32()), pa.array(model.toxic[at].astype(np.int32))], ["doc_id", "cosine", "toxic"])
+                    columns += [pa.array(np.array(scores) >= threshold).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), reasons)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:width]], *columns], [*batch.schema.names[:width], *[e.split(" ")[0] for e in extra]])
 
     return rows.mapInArrow(run, ", ".join(fields + extra))
 

@@ -28,6 +28,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "win
     )
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python gets at most ``rows`` rows at once from here on, unless the session already says how many.
+
+    Executor and Python worker each hold a batch; Spark's 10,000 rows are tens of MB of whole texts in each.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
