@@ -446,3 +446,16 @@ def test_stages_bound_the_rows_of_a_batch_unless_the_session_does(spark, tmp_pat
             own.conf.set(key, set_to)
         corpus_pipeline.drop_toxic(own, own.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
         assert own.conf.get(key) == held
+
+
+def test_index_is_small_and_its_peaks_are_bounds():
+    bags = list(toxicity.bags(pa.array([" ".join(words(k, 200, 3000)) for k in range(200)])))
+    terms = np.unique(np.concatenate([t for t, _ in bags]))
+    index = toxicity.Index.of(bags, terms, np.linspace(0.1, 3.0, len(terms)), np.zeros(200), [str(k) for k in range(200)], 7, 0.05, 8, frequent=20)
+    exact = np.zeros(index.peaks.shape)
+    for n, bag in enumerate(bags):
+        spot, weight = index.vector(*bag)
+        other = index.column[spot] < 0
+        np.maximum.at(exact, (spot[other], n // 8), weight[other])
+    assert (index.peaks >= exact).all() and np.allclose(index.peaks, exact, rtol=1e-6) and (exact > 0).any()
+    assert index.peaks.nbytes + index.starts.nbytes < 8.1 * exact.size  # 16 bytes a term and block before
