@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -253,6 +254,63 @@ def test_scores_agree_on_a_full_filter(spark):
         assert (r.base_score, r.score) == pytest.approx((s.base_score, s.score), rel=1e-6)
 
 
+def test_scores_beyond_a_broadcast_take_little_disk(spark, monkeypatch):
+    """Beyond ``max_broadcast`` what is written apart from the counts is less than the texts, and neither tables nor shuffles are left."""
+    pick = np.random.default_rng(8)
+    lines = [" ".join(f"w{x}" for x in pick.integers(0, 4000, 2000)) for _ in range(400)]
+    jvm, seen, sizes = spark.sparkContext._jvm, [], {}
+    on_disk = lambda: {f.getPath(): f.length() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in f.getName()}
+    files = lambda df: [Path(x.removeprefix("file://")) for x in df.inputFiles()]
+    real = lm_score.saved
+
+    def saved(df, label, *a, **b):
+        out = real(df, label, *a, **b)
+        seen.append((label, files(out)))
+        sizes[label] = sum(f.stat().st_size for f in files(out))
+        return out
+
+    monkeypatch.setattr(lm_score, "saved", saved)
+    before = on_disk()
+    out = lm_score.score(table(spark, [(k, x, None) for k, x in enumerate(lines)]), F.col("doc_id") % 7 != 2, least=1, max_broadcast=0)
+    assert sum(n for label, n in sizes.items() if label != "counts") < sum(map(len, lines))
+    assert [label for label, left in seen if any(f.exists() for f in left)] == ["scores"]
+    for _ in range(50):  # files of shuffles go a little later
+        if (left := sum(n for f, n in on_disk().items() if f not in before)) < 100_000:
+            break
+        time.sleep(0.2)
+    assert left < 100_000
+    assert out.count() == len(lines)
+
+
+def test_scores_of_several_blocks_agree(spark):
+    """Texts of more than one block in a partition, and rows that come out of a shuffle, get the same scores either way."""
+    word = F.concat(F.lit("w"), F.pmod(F.col("x") * F.col("x") * (F.col("id") % 37 + 7), F.lit(5003)).cast("string"))
+    docs = spark.range(0, 60, 1, 1).select("id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(40_000).cast("bigint"))).alias("x")).groupBy("id").agg(F.concat_ws(" ", F.sort_array(F.collect_list(word))).alias("text")).select(F.col("id").alias("doc_id"), "text")
+    path = lm_score.saved(docs.coalesce(1), "several-blocks")
+    assert path.agg(F.sum(F.length("text"))).first()[0] > lm_score.BLOCK_BYTES and path.rdd.getNumPartitions() == 1
+    for rows in (path, path.repartition(3, "doc_id")):
+        one, two = ({r.doc_id: tuple(r) for r in lm_score.score(rows, F.col("doc_id") % 5 != 1, least=1, max_broadcast=limit).collect()} for limit in (400_000_000, 0))
+        assert len(one) == 60 and one.keys() == two.keys()
+        assert all(one[k][:4] == two[k][:4] and one[k][4:] == pytest.approx(two[k][4:], rel=1e-9) for k in one)
+
+
+def test_blocks_depend_on_rows_only(monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 5000)
+    pick = np.random.default_rng(4)
+    rows = pa.table({"p": [3] * 300, "text": ["x" * int(n) for n in [*pick.integers(0, 400, 298), 20_000, 1]]})
+    cuts = [[(p, k, len(b)) for p, k, b in lm_score.blocks(iter(rows.to_batches(max_chunksize=n)))] for n in (1, 7, 64, 300)]
+    assert all(x == cuts[0] for x in cuts) and sum(n for *_, n in cuts[0]) == 300 and [k for _, k, _ in cuts[0]] == list(range(len(cuts[0]))) and len(cuts[0]) > 5
+    assert list(lm_score.blocks(iter(rows.slice(0, 0).to_batches()))) == []
+
+
+@pytest.mark.parametrize("hashes", [[5], [0, 1, 255, 1 << 20], [7, 1 << 63, (1 << 64) - 1], list(range(1000))])
+def test_hashes_travel_as_gaps(hashes):
+    found = np.array(hashes, np.uint64)
+    data = lm_score.squeezed(found)
+    assert lm_score.unsqueezed(data).tolist() == hashes and len(data) <= 9 + 8 * (len(hashes) - 1)
+    assert (lm_score.distinct_of(np.concatenate([found, found])) == found).all()
+
+
 def test_query_stores_bigrams_met_once(spark, tmp_path):
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2]
     learnt = [k for k in range(200) if k not in held]

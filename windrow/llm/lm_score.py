@@ -15,8 +15,10 @@ carries the sorted hashes of a block as bytes, one row for each of ``RANGES`` ra
 ranges of hashes too, each of ``SEGMENT_BITS`` bits), built where Spark puts their bigrams; a second scan sums
 ``D(v)``. Segments and word counts grow with the corpus, so they are broadcast only while they fit in ``max_broadcast`` bytes.
 A scan asks the filter once for each distinct bigram of a slice, and remembers the counts of frequent ones, which take the most steps.
-Beyond that the same filter is asked segment by segment: distinct bigrams go to the segment of their hash in a shuffle, and the counts
-read there are joined to the words' places. Both ways ask the same bits, so they have the same false positives.
+Beyond that the same filter is asked segment by segment, for blocks of about ``BLOCK_BYTES`` of text: the distinct bigrams of a block go
+sorted, as gaps of a few bytes, to where the segment of their hash is, and a byte for each comes back. Stored mass is summed by
+ranges of words and comes back with the counts, 4 bytes and less for each distinct word of a block; then the block's texts meet both and are scored. Both ways
+ask the same bits, so they have the same false positives.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from windrow.llm.store import saved
+from windrow.llm.store import removed, saved
 from windrow.llm.words import Words, mix, slices
 
 _U = np.uint64
@@ -43,6 +46,8 @@ BLOCK = 1 << 22  # tokens that are counted before they are sent
 MERGED = 250_000  # hashes of a row of counts, about
 PLACES = 1 << 18  # words whose stored mass is summed together
 OFTEN, MEMORY = 8, 1 << 20  # a count of at least this step is remembered, and so many of them
+BLOCK_BYTES = 12 << 20  # of text whose distinct bigrams ask the filter together
+ASKED = 1 << 18  # bigrams that are looked up at once
 
 
 def tokens(words: Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,10 +143,11 @@ class Model:
         """Counts read from the filter, 0 for bigrams that are not stored."""
         return count_of(self.steps(grams), self.least)
 
-    def steps(self, grams: np.ndarray) -> np.ndarray:
+    def steps(self, grams: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
         """The last step that the filter has of each bigram."""
-        out, left = np.zeros(len(grams), np.int64), np.arange(len(grams))
-        base, step = segment_of(grams, len(self.bits)) * (SEGMENT_BITS // 8), 0
+        out, left, step = np.zeros(len(grams), np.int64), np.arange(len(grams)), 0
+        if base is None:
+            base = segment_of(grams, len(self.bits)) * (SEGMENT_BITS // 8)
         while len(left):
             step += 1
             hit = self.found(grams, base, step)
@@ -325,16 +331,6 @@ class Statistics:
     def bytes(self) -> int:
         return 20 * self.distinct + self.items * BITS_PER_ITEM // 8
 
-    @property
-    def words(self) -> DataFrame:
-        """``h`` and ``n`` of each word."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(_values(column, np.int64)[0]) for column in batch.columns], ["h", "n"])
-
-        return self.counts.filter("kind = 0").select("h", "n").mapInArrow(run, "h bigint, n bigint")
-
 
 def texts_of(docs: DataFrame, text_col: str) -> Column:
     return F.coalesce(docs[text_col], F.lit("")).alias("text")
@@ -343,7 +339,7 @@ def texts_of(docs: DataFrame, text_col: str) -> Column:
 def train(docs: DataFrame, learn: Column, text_col: str = "text", least: int = 2, discount: float = 0.75) -> Statistics:
     """Count words and bigrams of the rows for which ``learn`` holds."""
     rows = docs.filter(learn).select(texts_of(docs, text_col)).mapInArrow(_counted, "range int, h binary, n binary")
-    counts = saved(rows.repartition("range").sortWithinPartitions("range").mapInArrow(_merged(least), COUNTS), "counts")
+    counts = saved(rows.repartition("range").sortWithinPartitions("range").mapInArrow(_merged(least), COUNTS), "counts", keep_shuffles=False)
     words, grams = F.col("kind") == 0, F.col("kind") == 1
     total, distinct, items, ends = counts.agg(F.sum("total"), F.sum(F.when(words, F.col("size"))), F.sum(F.when(grams, F.col("items"))), F.sum("ends")).first()
     return Statistics(counts, total or 0, distinct or 0, items or 0, ends or 0, least, discount)
@@ -371,32 +367,6 @@ def filter_segments(stats: Statistics) -> DataFrame:
     return rows.groupBy("segment").applyInPandas(fill, "segment bigint, bits binary")
 
 
-def probed(grams: DataFrame, stats: Statistics, asked: int = 500_000) -> DataFrame:
-    """``g`` and ``count`` of the distinct ``grams`` (``g``) that the filter has, read where its segments lie.
-
-    A segment is sent to as many groups as it takes for each to have about ``asked`` bigrams.
-    """
-    if not stats.segments:
-        return grams.select("g", F.lit(0.0).alias("count")).limit(0)
-    least = stats.least
-    parts = max(1, -(-grams.count() // (stats.segments * asked)))
-    segment = F.shiftrightunsigned(F.shiftrightunsigned("g", 32) * F.lit(stats.segments).cast("bigint"), 32)
-    deal = grams.select("g", segment.alias("segment"), F.pmod(F.xxhash64("g"), F.lit(parts)).alias("part"))
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
-    bits = saved(filter_segments(stats), "segments").withColumn("part", F.explode(every))
-
-    def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"g": np.zeros(0, np.int64), "count": np.zeros(0)})
-        one = np.frombuffer(right["bits"].iloc[0], np.uint8).reshape(1, -1)
-        none = np.zeros(0, np.uint64)
-        count = Model(one, none, none, none, 0, 0, least, 0.0).quantised(left["g"].to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({"g": left["g"].to_numpy()[count > 0], "count": count[count > 0]})
-
-    keys = ["segment", "part"]
-    return deal.groupBy(*keys).cogroup(bits.groupBy(*keys)).applyInPandas(ask, "g bigint, count double")
-
-
 def built(stats: Statistics, docs: DataFrame, learn: Column, text_col: str) -> Model:
     """The model for broadcasting: filter segments, sorted words and the stored mass of each context."""
     spark = docs.sparkSession
@@ -411,7 +381,7 @@ def built(stats: Statistics, docs: DataFrame, learn: Column, text_col: str) -> M
     hashes.sort()
     bits = np.zeros((stats.segments, SEGMENT_BITS // 8), np.uint8)
     if stats.segments:
-        for r in saved(filter_segments(stats), "segments").toLocalIterator():
+        for r in saved(filter_segments(stats), "segments", keep_shuffles=False).toLocalIterator():
             bits[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     model = Model(bits, hashes, counts, np.zeros(len(hashes), np.float32), stats.total, stats.distinct, stats.least, stats.discount)
     shared = spark.sparkContext.broadcast(model)
@@ -496,37 +466,285 @@ def mixture(single: np.ndarray, times: np.ndarray, kept: np.ndarray, count: np.n
     return np.where(times > 0, own + (1 - np.minimum(kept / times_or_one, 0.999)) * single, single)
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest takes, which is said first."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widened(data: pa.Buffer | bytes) -> np.ndarray:
+    found = np.frombuffer(data, np.uint8)
+    width = int(found[0])
+    out = np.zeros(((len(found) - 1) // width, 8), np.uint8)
+    out[:, :width] = found[1:].reshape(len(out), width)
+    return out.view(np.uint64).ravel()
+
+
+def squeezed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the first and the gaps between neighbours."""
+    return hashes[:1].tobytes() + narrow(np.diff(hashes))
+
+
+def unsqueezed(data: pa.Buffer | bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], np.uint64), widened(data[8:])]), dtype=np.uint64)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Consecutive rows with about ``BLOCK_BYTES`` of ``text``, with their partition (column ``p``) and a number; the cuts depend on the rows and not on the batches they come in."""
+    held, size, number = [], 0, 0
+
+    def whole() -> tuple[int, int, pa.RecordBatch]:
+        block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return block.column("p")[0].as_py(), number, block
+
+    for batch in batches:
+        # an empty text has an end token too
+        upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+        begin, before = 0, 0
+        while begin < len(upto):
+            end = int(np.searchsorted(upto, before + BLOCK_BYTES - size)) + 1
+            held.append(batch.slice(begin, end - begin))
+            if end > len(upto):
+                size += int(upto[-1]) - before
+                break
+            yield whole()
+            held, size, number, begin, before = [], 0, number + 1, end, int(upto[end - 1])
+    if held:
+        yield whole()
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` of a block, which come slice by slice."""
+    found = []
+    for a, b, words in slices(texts, lower=True):
+        token, context, owner = tokens(words, b - a)
+        found.append((token, context, owner + a))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def distinct_of(hashes: np.ndarray) -> np.ndarray:
+    """The distinct ones, sorted; ``np.unique`` takes many times as long without counts or places."""
+    found = np.sort(hashes)
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+
+def _cuts(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+    return list(zip(first, [*first[1:], len(keys)]))
+
+
+def _told(grams: np.ndarray) -> int:
+    """Tells sets of hashes apart."""
+    return int(np.bitwise_xor.reduce(grams).view(np.int64))
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    """Rows whose columns are named with their types as Spark does."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[kind]) for v, (_, kind) in zip(zip(*rows), fields)], [name for name, _ in fields])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of whole numbers, and of bytes that are not copied."""
+    for batch in batches:
+        columns = [[x.as_buffer() for x in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns]
+        yield from zip(*columns)
+
+
+def _blockwise(rows: Iterator[tuple]) -> Iterator[tuple[int, int, dict[int, list[tuple]]]]:
+    """Rows in order of their blocks: partition and number of a block, and by kind what is there of it."""
+    last, held = None, {}
+    for p, k, kind, _, *values in rows:
+        if (p, k) != last and held:
+            yield *last, held
+            held = {}
+        last = p, k
+        held.setdefault(kind, []).append(values)
+    if held:
+        yield *last, held
+
+
+def _answered(answers: list[tuple], count: int, told: int) -> np.ndarray:
+    """The steps of a block's sorted distinct bigrams."""
+    steps = np.concatenate([np.frombuffer(x, np.int8) for x, _, _ in answers])
+    if len(steps) != count or np.bitwise_xor.reduce(np.array([x for _, _, x in answers], np.int64)) != told:
+        raise RuntimeError("texts were read in another order than before")
+    return steps
+
+
+ASK, ANSWER = "range bigint, part int, p int, k int, h binary", "p int, k int, kind int, at bigint, x binary, y binary, told bigint"
+OF_WORDS = "at bigint, p int, k int, x binary, y binary"
+
+
+def answered(base: DataFrame, stats: Statistics, asked: int = 1 << 26) -> DataFrame:
+    """For each block of texts the steps of its distinct bigrams, read where the filter's segments lie; ``stats.counts`` are removed.
+
+    A block sends a row for each range of segments, ``RANGES`` at most. A range is sent to as many tasks as it takes for each to have about ``asked`` tokens.
+    """
+    segments, least = max(1, stats.segments), stats.least
+    width = -(-segments // RANGES)
+    parts = max(1, stats.total // (segments * asked))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, k, block in blocks(batches):
+            token, context, _ = tokens_of(block.column("text"))
+            grams = distinct_of(bigrams(context, token))
+            key = segment_of(grams, segments) // width
+            yield _batch([(int(key[a]), (p + k) % parts, p, k, squeezed(grams[a:b])) for a, b in _cuts(key)], ASK)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, last, held, size = np.zeros(0, np.uint64), None, [], 0
+        model = Model(np.zeros((width, SEGMENT_BITS // 8), np.uint8), none, none, none, 0, 0, least, 0.0)
+
+        def looked_up() -> pa.RecordBatch:
+            grams = np.concatenate([x for *_, x in held])
+            steps = model.steps(grams, (segment_of(grams, segments) - last[0] * width) * (SEGMENT_BITS // 8)).astype(np.int8)
+            ends = np.cumsum([len(x) for *_, x in held])
+            return _batch([(p, k, 0, last[0], steps[end - len(x) : end].tobytes(), None, _told(x)) for (p, k, x), end in zip(held, ends.tolist())], ANSWER)
+
+        for key, part, p, k, h in _rows(batches):
+            if (key, part) != last or size >= ASKED:
+                if held:
+                    yield looked_up()
+                    held, size = [], 0
+                if (key, part) != last:
+                    last = key, part
+                    model.bits[:] = 0
+            if p < 0:
+                model.bits[k - key * width] = np.frombuffer(h, np.uint8)
+            else:
+                held.append((p, k, unsqueezed(h)))
+                size += len(held[-1][2])
+        if held:
+            yield looked_up()
+
+    bits = saved(filter_segments(stats), "segments", keep_shuffles=False)
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    filters = bits.select(F.floor(F.col("segment") / width).alias("range"), every, F.lit(-1).alias("p"), F.col("segment").cast("int").alias("k"), F.col("bits").alias("h"))
+    rows = filters.unionByName(base.select("p", "text").mapInArrow(ask, ASK))
+    removed(stats.counts)
+    answers = saved(rows.repartition("range", "part").sortWithinPartitions("range", "part", "p", "k").mapInArrow(answer, ANSWER), "answers", keep_shuffles=False)
+    removed(bits)
+    return answers
+
+
+def weighed(base: DataFrame, answers: DataFrame, words: DataFrame, stats: Statistics) -> DataFrame:
+    """For each block of texts ``n(w)`` and ``D(w)`` of its distinct words, which are summed over all blocks by ranges of words."""
+    ranges = min(RANGES, 1 + ((answers.agg(F.sum(F.length("x"))).first()[0] or 0) >> 20))
+    least, discount, begins = stats.least, stats.discount, stats.rows
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block its words, and of its sorted distinct bigrams how often they are learnt and the place of the first word."""
+        for p, k, block in blocks(batches):
+            token, context, owner = tokens_of(block.column("text"))
+            grams, place = np.unique(bigrams(context, token), return_inverse=True)
+            learnt = block.column("learn").to_numpy(zero_copy_only=False)[owner]
+            found, _, before = told_apart(token, context)
+            of = np.zeros(len(grams), np.int64)
+            of[place] = before
+            n = np.bincount(place[learnt], minlength=len(grams))
+            yield _batch([(p, k, 1, 0, narrow(of), narrow(n), _told(grams), squeezed(found))], f"{ANSWER}, z binary")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, k, held in _blockwise(_rows(batches)):
+            (of, n, told, found) = held[1][0]
+            of, n, found = widened(of).astype(np.int64), widened(n), unsqueezed(found)
+            steps = _answered([x[:3] for x in held[0]], len(of), told)
+            count = count_of(np.arange(steps.max() + 1), least)[steps]
+            some = (count > 0) & (n > 0)
+            mass = np.bincount(of[some], n[some] * (1 - discount / count[some]), len(found))
+            at = segment_of(found, ranges)
+            yield _batch([(int(at[a]), p, k, squeezed(found[a:b]), mass[a:b].tobytes()) for a, b in _cuts(at)], OF_WORDS)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, n in _rows(batches):
+            h, n = np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)
+            at = segment_of(h, ranges)
+            yield _batch([(int(at[a]), -1, 0, squeezed(h[a:b]), n[a:b].tobytes()) for a, b in _cuts(at)], OF_WORDS)
+
+    def summed(at: int, held: list[tuple]) -> pa.RecordBatch | None:
+        """The answers to blocks: words of one range with their numbers and mass."""
+        own = [(unsqueezed(h), np.frombuffer(n, np.int64)) for p, _, h, n in held if p < 0] + [(np.array([BEGIN]), np.array([begins]))]
+        h, n = (np.concatenate(x) for x in zip(*own))
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        asked = [(p, k, unsqueezed(x), np.frombuffer(mass)) for p, k, x, mass in held if p >= 0]
+        if not asked:
+            return None
+        distinct, back = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
+        kept = np.bincount(back, np.concatenate([x[3] for x in asked])).astype(np.float32)
+        spot = np.minimum(np.searchsorted(h, distinct), len(h) - 1)
+        times = np.where(h[spot] == distinct, n[spot], 0)
+        ends = np.cumsum([len(x[2]) for x in asked]).tolist()
+        some = [back[end - len(x[2]) : end] for x, end in zip(asked, ends)]
+        return _batch([(p, k, 1, at, narrow(times[i]), kept[i].tobytes(), None) for (p, k, _, _), i in zip(asked, some)], ANSWER)
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for at, *row in _rows(batches):
+            if at != last and held and (out := summed(last, held)):
+                yield out
+            held = held if at == last else []
+            last = at
+            held.append(row)
+        if held and (out := summed(last, held)):
+            yield out
+
+    wide = answers.withColumn("z", F.lit(None).cast("binary"))
+    rows = wide.unionByName(base.select("p", "learn", "text").mapInArrow(pairs, f"{ANSWER}, z binary"))
+    asked = rows.repartition("p", "k").sortWithinPartitions("p", "k", "kind", "at").mapInArrow(weigh, OF_WORDS)
+    both = words.select("h", "n").mapInArrow(known, OF_WORDS).unionByName(asked)
+    return saved(both.repartition("at").sortWithinPartitions("at", "p", "k").mapInArrow(ranged, ANSWER), "weights", keep_shuffles=False)
+
+
 def joined(docs: DataFrame, stats: Statistics, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same scores from the same filter, for statistics too large to broadcast: it is asked by segments, and counts are joined on hashes."""
+    """The same scores from the same filter, for statistics too large to broadcast: blocks of texts ask its segments and the ranges of words.
+
+    Blocks are told apart by partition and number, so rows have to come in the same order each time; where a shuffle is below them, they are written first.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), texts_of(docs, text_col))
+    written = [base := saved(base, "texts", keep_shuffles=False)] if "Exchange" in base._jdf.queryExecution().executedPlan().toString() else []
+    base = base.withColumn("p", F.spark_partition_id())  # a task's own number would count those of other tables in a union
+    words = saved(stats.counts.filter("kind = 0").select("h", "n"), "words")
+    answers = answered(base, stats)
+    weights = weighed(base, answers, words, stats)
+    removed(words)
+    total, size, discount = stats.total, float(stats.total + stats.distinct + 1), stats.discount
+    least = stats.least
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, words in slices(batch.column(3), lower=True):
-                token, context, owner = tokens(words, b - a)
-                # equal pairs of a text once, with their number
-                key, first, n = np.unique(np.stack([owner.astype(np.uint64), context, token]), axis=1, return_index=True, return_counts=True)
-                o = owner[first]
-                at = pa.array(o + a)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), *[pa.array(x[first].view(np.int64)) for x in (token, context, bigrams(context, token))], pa.array(n)],
-                    ["doc_id", "row", "learn", "w", "v", "g", "n"],
-                )
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, k, block in blocks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema) as out:
+                out.write_batch(block)
+            yield _batch([(p, k, 2, 0, sink.getvalue().to_pybytes(), None, None)], ANSWER)
 
-    base = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(learn, F.lit(False)).alias("learn"), texts_of(docs, text_col))
-    pairs = saved(base.mapInArrow(spread, f"doc_id {kind}, row bigint, learn boolean, w bigint, v bigint, g bigint, n bigint"), "pairs")
-    grams = saved(probed(pairs.select("g").distinct(), stats), "probed")
-    begin = docs.sparkSession.createDataFrame([(int(BEGIN.view(np.int64)), stats.rows)], "h bigint, n bigint")
-    placed = saved(pairs.join(grams, "g", "left").withColumn("count", F.coalesce("count", F.lit(0.0))), "counted")
-    mass = placed.filter("learn and count > 0").groupBy("v").agg(F.sum(F.col("n") * (1 - stats.discount / F.col("count"))).alias("mass"))
-    contexts = saved(stats.words.unionByName(begin).select(F.col("h").alias("v"), F.col("n").alias("times")).join(mass, "v", "left"), "contexts")
-    words = stats.words.select(F.col("h").alias("w"), F.col("n").alias("known"))
-    every = placed.join(words, "w", "left").join(contexts, "v", "left").fillna(0, ["known", "times", "mass"])
-    single = (F.col("known") + 1) / F.lit(float(stats.total + stats.distinct + 1))
-    times = F.greatest("times", F.lit(1))
-    own = F.greatest(F.least("count", "times") - stats.discount, F.lit(0.0)) / times
-    chance = F.when(F.col("times") > 0, own + (1 - F.least(F.col("mass") / times, F.lit(0.999))) * single).otherwise(single)
-    out = every.groupBy("row", "doc_id").agg(
-        F.sum("n").alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("known") > 0, F.col("n"))), F.lit(0)).alias("n_known"), F.sum(F.col("n") * F.log10(single)).alias("base_score"), F.sum(F.col("n") * F.log10(chance)).alias("score")
-    )
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(stats.total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, held in _blockwise(_rows(batches)):
+            block = pa.ipc.open_stream(held[2][0][0]).read_next_batch()
+            token, context, owner = tokens_of(block.column("text"))
+            grams, place = np.unique(bigrams(context, token), return_inverse=True)
+            steps = _answered(held[0], len(grams), _told(grams))
+            count = count_of(np.arange(steps.max() + 1), least)[steps][place]
+            _, of, before = told_apart(token, context)
+            times = np.concatenate([widened(x) for x, _, _ in held[1]]).astype(float)
+            kept = np.concatenate([np.frombuffer(x, np.float32) for _, x, _ in held[1]]).astype(float)
+            single = (times + 1) / size
+            chance = mixture(single[of], times[before], kept[before], count, discount)
+            n = len(block)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    block.column("doc_id"), pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, times[of] > 0, n).astype(np.int64)), pa.array(np.bincount(owner, np.log10(single)[of], n)),
+                    pa.array(np.bincount(owner, np.log10(chance), n)),
+                ],
+                ["doc_id", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    rows = answers.unionByName(weights).unionByName(base.select("p", "doc_id", "text").mapInArrow(send, ANSWER))
+    out = rows.repartition("p", "k").sortWithinPartitions("p", "k", "kind", "at").mapInArrow(run, OUTPUT.format(kind=kind))
+    out = saved(out, "scores", keep_shuffles=False)
+    removed(answers, weights, *written)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
 A written table cuts the lineage: losing an executor costs a re-read, not a
-recomputation, and several readers see one evaluation. Files stay until the
-folder of the application is removed; its name is ``windrow-llm/<application>``
+recomputation, and several readers see one evaluation. Files stay until they
+are ``removed`` or the folder of the application is; its name is ``windrow-llm/<application>``
 under ``spark.checkpoint.dir``.
 """
 
@@ -15,9 +15,31 @@ from pyspark.sql import DataFrame
 from windrow.session import checkpoint_dir
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, label: str, keep_shuffles: bool = True) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Without ``keep_shuffles`` the files of its shuffles go as soon as it is written, and not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/windrow-llm/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        if not keep_shuffles:
+            spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if not keep_shuffles:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Remove the files of ``saved`` tables that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
