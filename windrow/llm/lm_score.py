@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from windrow.llm.store import removed, saved
+from windrow.llm.store import removed, saved, setting
 from windrow.llm.words import Words, mix, slices
 
 _U = np.uint64
@@ -432,7 +432,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     stats = train(docs, learn, text_col, least, discount)
     kind = docs.schema[id_col].dataType.simpleString()
     if stats.bytes > max_broadcast:
-        return joined(docs, stats, learn, id_col, text_col)
+        # the texts are scanned again and again, and their partitions must not change with the cores that are there
+        spark, key = docs.sparkSession, "spark.sql.leafNodeDefaultParallelism"
+        with setting(spark, key, spark.conf.get(key, None) or str(spark.sparkContext.defaultParallelism)):
+            return joined(docs, stats, learn, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(built(stats, docs, learn, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,13 +8,26 @@ under ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from windrow.session import checkpoint_dir
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,14 +38,8 @@ def saved(df: DataFrame, label: str, keep_shuffles: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/windrow-llm/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    try:
-        if not keep_shuffles:
-            spark.conf.set(CLEANUP, "true")
+    with nullcontext() if keep_shuffles else setting(spark, CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        if not keep_shuffles:
-            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
